@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters of ``[\x20\x09-\x0D]``.
@@ -62,3 +62,22 @@ def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     Beyond ``BROADCAST_ROWS`` the table is returned unmarked and the join shuffles.
     """
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
+#: Rows that one task numbers at a time.
+SLOT_BLOCK = 50_000
+
+
+def with_slots(df: DataFrame, group: str, order: list[str], most: int) -> DataFrame:
+    """Number the rows of each group from 0 without gaps, in blocks of bounded size.
+
+    ``most``: rows of the largest group. Rows are dealt to blocks by a hash of ``order``;
+    a block's offset is the sum of the counts before it.
+    """
+    blocks = max(1, -(-most // SLOT_BLOCK))
+    dealt = df.withColumn("block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
+    counts = dealt.groupBy(group, "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(group, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy(group, "block").orderBy(*order))
+    return dealt.withColumn("place", place).join(offsets, [group, "block"]).withColumn("slot", F.col("offset") + F.col("place") - 1).drop("block", "offset", "place")

@@ -11,17 +11,15 @@ of the id within the same key, so no value is too frequent to be split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaspark.llm.common import materialise, text_of
+from vistaspark.llm.common import materialise, text_of, with_slots
 
 #: The key: 20 bits of the dimension, 28 of the id's hash, 12 that part repeated rows.
 VALUE_BITS, HASH_BITS, ROW_BITS = 20, 28, 12
 DIGIT_BITS = 12
 KEY_BITS = VALUE_BITS + HASH_BITS + ROW_BITS
-#: Rows that one task numbers at a time.
-SLOT_BLOCK = 50_000
 
 
 def _unit(column):
@@ -134,21 +132,6 @@ def kd_split(meta: DataFrame, leaves: int) -> DataFrame:
     return current.withColumnRenamed("node", "shard")
 
 
-def with_slots(df: DataFrame, group: str, order: list[str], most: int) -> DataFrame:
-    """Number the rows of each group from 0 without gaps, in blocks of bounded size.
-
-    ``most``: rows of the largest group. Rows are dealt to blocks by a hash of ``order``;
-    a block's offset is the sum of the counts before it.
-    """
-    blocks = max(1, -(-most // SLOT_BLOCK))
-    dealt = df.withColumn("block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
-    counts = dealt.groupBy(group, "block").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(group, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    place = F.row_number().over(Window.partitionBy(group, "block").orderBy(*order))
-    return dealt.join(offsets, [group, "block"]).withColumn("slot", F.col("offset") + place - 1).drop("block", "offset")
-
-
 def kd_shards(df: DataFrame, leaves: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``df``.
 

@@ -4,14 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistaspark.llm import content_sort, kd_shards, mixing
-from vistaspark.llm.common import documents
+from vistaspark.llm import content_sort, kd_shards, mixing, packing, token_cache
+from vistaspark.llm.common import documents, scratch_path
 
 
 def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.kd_shards(documents(spark, sf_dir), leaves=24)
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own that starts empty, so every distinct content is encoded."""
+    return token_cache.cached_counts(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), scratch_path(spark, "token-cache"))
+
+
+def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")).drop("ids")
+
+
 def op6_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_sort(documents(spark, sf_dir))
 
@@ -22,7 +37,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
+    "op5_token_cache": op5_token_cache,
     "op6_content_sort": op6_content_sort,
+    "op7_best_two_fit": op7_best_two_fit,
     "op10_mixing": op10_mixing,
 }
 
