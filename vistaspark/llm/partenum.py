@@ -10,7 +10,9 @@ gives a signature, and similar sets share one.
 
 Copies (equal sets) are one class from the start. A signature shared by many classes is not
 expanded into all pairs: its classes are compared with the first and with the one before.
-What that leaves apart within a signature is then compared in full.
+What that leaves apart within a signature is then compared too. Before two sets are fetched,
+the parities of their shingle counts in 512 cells must leave the pair open: those differ in
+no more cells than the sets do in shingles, so no link is lost.
 """
 
 from __future__ import annotations
@@ -68,15 +70,31 @@ def _class(shingles: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a)), int(np.int64(b))
 
 
+#: Parities of the counts of shingles in 512 cells, as longs. Sets differ in at least as many shingles as parities.
+PARITIES = [f"p{i}" for i in range(8)]
+DESCRIBED = "doc_id long, n_shingles long, c1 long, c2 long, " + ", ".join(f"{x} long" for x in PARITIES)
+
+
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    cells = (mix(shingles + np.uint64(11)) >> np.uint64(55)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=512) & 1).astype(np.uint8)).view(np.int64)
+
+
+def may_reach(a: str, b: str, num: int, den: int):
+    """Whether the parities leave open that two sets are similar; never false for sets that are."""
+    apart = sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in PARITIES[1:]), F.bit_count(F.col(f"{a}p0").bitwiseXOR(F.col(f"{b}p0"))))
+    return apart * (den + num) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (den - num)
+
+
 def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, c1, c2 = [], [], []
+            rows = []
             for data in texts_of(batch.column(1)):
                 s = shingle_set(data, k)
-                a, b = _class(s)
-                n.append(len(s)), c1.append(a), c2.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64())], ["doc_id", "n_shingles", "c1", "c2"])
+                rows.append((len(s), *_class(s), *_parities(s)))
+            columns = np.array(rows, np.int64).reshape(-1, 3 + len(PARITIES)).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x) for x in columns]], ["doc_id", "n_shingles", "c1", "c2", *PARITIES])
 
     return run
 
@@ -132,8 +150,8 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 8, den: int = 1
     component of its own unless its class has an id. An empty table gives an empty result.
     """
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    described = materialise(texts.mapInArrow(_describe(words), "doc_id long, n_shingles long, c1 long, c2 long"), "partenum-classes")
-    classes = materialise(described.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("id")), "partenum-firsts")
+    described = materialise(texts.mapInArrow(_describe(words), DESCRIBED), "partenum-classes")
+    classes = materialise(described.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), *[F.min(x).alias(x) for x in PARITIES]), "partenum-firsts")
     # signatures that more than one class has
     rows = texts.select("text").mapInArrow(_sign(words, num, den), "class long, signatures array<long>")
     rows = rows.select("class", F.explode("signatures").alias("signature"))
@@ -147,18 +165,20 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 8, den: int = 1
     )
     near = near.filter("class <> first OR class <> after").withColumn("before", F.when(F.col("class") != F.col("before"), F.col("before")))
     shared = materialise(near.groupBy("signature", "class").agg(F.min("first").alias("first"), F.max("before").alias("before")), "partenum-shared")
-    ids = classes.select(F.col("c1").alias("class"), "id")
+    ids = classes.select(F.col("c1").alias("class"), "id", "n", *PARITIES)
+    others = ids.select(*[F.col(x).alias(f"other_{x}") for x in ids.columns])
     stars = shared.filter("class <> first").select("class", F.explode(F.array("first", "before")).alias("other")).filter("other IS NOT NULL").distinct()
-    pairs = stars.join(ids, "class").join(ids.select(F.col("class").alias("other"), F.col("id").alias("other_id")), "other")
-    pairs = materialise(pairs.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).filter("a <> b").distinct(), "partenum-pairs")
+    stars = stars.withColumnRenamed("other", "other_class").join(ids, "class").join(others, "other_class")
+    pairs = materialise(stars.filter(may_reach("", "other_", num, den)).select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).filter("a <> b").distinct(), "partenum-pairs")
     links = materialise(_verified(pairs, texts, words, num, den), "partenum-links")
     roots = materialise(connected_components(links), "partenum-roots")
     # what shares a signature and is still apart
-    with_root = shared.select("signature", "class").join(ids, "class").join(roots.withColumnRenamed("node", "id"), "id", "left").select("signature", "id", F.coalesce("root", "id").alias("root"))
+    with_root = shared.select("signature", "class").join(ids, "class").join(roots.withColumnRenamed("node", "id"), "id", "left").select("signature", "id", F.coalesce("root", "id").alias("root"), "n", *PARITIES)
     apart = with_root.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("signature")
     members = materialise(with_root.join(apart, "signature", "left_semi"), "partenum-apart")
-    other = members.select("signature", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    cross = members.withColumnRenamed("id", "a").join(other, "signature").filter("a < b AND root <> root_b").select("a", "b").distinct()
+    other = members.select(*[F.col(x).alias(x if x == "signature" else f"other_{x}") for x in members.columns])
+    open_pairs = (F.col("id") < F.col("other_id")) & (F.col("root") != F.col("other_root")) & may_reach("", "other_", num, den)
+    cross = members.join(other, "signature").filter(open_pairs).select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
     cross = materialise(cross.join(pairs, ["a", "b"], "left_anti"), "partenum-cross")
     if cross.head(1):
         more = _verified(cross, texts, words, num, den)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistaspark.llm import content_sort, kd_shards, mixing, packing, token_cache
+from vistaspark.llm import content_sort, kd_shards, mixing, packing, page_text, partenum, token_cache
 from vistaspark.llm.common import documents, scratch_path
 
 
@@ -12,6 +12,14 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.kd_shards(documents(spark, sf_dir), leaves=24)
 
 
+def op2_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(documents(spark, sf_dir), words=3, num=90, den=100)
+
+
+def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.page_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -37,6 +45,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
+    "op2_partenum": op2_partenum,
+    "op3_page_differencing": op3_page_differencing,
     "op5_token_cache": op5_token_cache,
     "op6_content_sort": op6_content_sort,
     "op7_best_two_fit": op7_best_two_fit,
