@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistaspark.llm import content_sort, kd_shards, mixing, packing, page_text, partenum, token_cache
+from vistaspark.llm import anisotropic, content_sort, kd_shards, mixing, packing, page_text, partenum, token_cache, toxicity
 from vistaspark.llm.common import documents, scratch_path
 
 
@@ -39,6 +39,15 @@ def op6_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_sort(documents(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return anisotropic.nearest_neighbours(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir))
 
@@ -50,6 +59,8 @@ QUERIES = {
     "op5_token_cache": op5_token_cache,
     "op6_content_sort": op6_content_sort,
     "op7_best_two_fit": op7_best_two_fit,
+    "op8_toxicity": op8_toxicity,
+    "op9_anisotropic": op9_anisotropic,
     "op10_mixing": op10_mixing,
 }
 
