@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistaspark.llm import anisotropic, content_sort, kd_shards, mixing, packing, page_text, partenum, token_cache, toxicity
+from vistaspark.llm import anisotropic, chaining, content_sort, kd_shards, mixing, packing, page_text, partenum, token_cache, toxicity
 from vistaspark.llm.common import documents, scratch_path
 
 
@@ -20,6 +20,10 @@ def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.page_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op4_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(documents(spark, sf_dir))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op1_kd_shards": op1_kd_shards,
     "op2_partenum": op2_partenum,
     "op3_page_differencing": op3_page_differencing,
+    "op4_chaining": op4_chaining,
     "op5_token_cache": op5_token_cache,
     "op6_content_sort": op6_content_sort,
     "op7_best_two_fit": op7_best_two_fit,
