@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vistaspark.llm.common import ASCII_SPACE, materialise, text_of
+from vistaspark.llm.common import ASCII_SPACE, materialise, small_side, text_of
 
 #: A group is hot when it has more than this share of the rows; so there are at most as many hot groups.
 HOT_SHARE = 2048
@@ -84,6 +84,26 @@ def content_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def one_of_each(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` (doc_id, text, ...) that stay, columns unchanged, one for each normalised text.
+
+    Rows that go are told by id. Where an id is null or stands on several rows, by id and
+    digest, and of the rows alike in both the first with most code points stays.
+    """
+    found = materialise(content_sort(df), "content-kept")
+    several = materialise(found.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id")), "content-several")
+    gone = materialise(found.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct(), "content-gone")
+    plain = df.filter("doc_id IS NOT NULL").join(small_side(several), F.col("doc_id") == F.col("__id"), "left_anti")
+    plain = plain.join(small_side(gone), F.col("doc_id") == F.col("__id"), "left_anti")
+    odd = df.join(small_side(several), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    odd = odd.withColumn("__sha", F.sha2(normalised().cast("binary"), 256))
+    alike = Window.partitionBy("doc_id", "__sha").orderBy(F.desc(F.length(text_of())))
+    odd = odd.withColumn("__place", F.row_number().over(alike)).filter("__place = 1")
+    stays = found.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha"))
+    odd = odd.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept_sha")), "left_semi")
+    return plain.select(*[f"`{c}`" for c in df.columns]).union(odd.select(*[f"`{c}`" for c in df.columns]))
+
+
 SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
