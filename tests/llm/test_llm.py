@@ -209,6 +209,19 @@ def test_repeated_passages(docs, corpus):
     assert must <= {r["doc_id"] for r in chaining.repeated_passages(corpus).collect()}
 
 
+def test_hot_seeds_are_dealt_to_blocks(spark, monkeypatch):
+    passage = " ".join(f"shared{i}" for i in range(80))
+    rows = spark.createDataFrame([(i, f"own{i} {passage} end{i}") for i in range(40)], "doc_id long, text string")
+    for name, value in (("TRIED", 1), ("HOT_LEAST", 2), ("SEED_BLOCK", 5)):
+        monkeypatch.setattr(chaining, name, value)
+    assert {r["blocks"] for r in chaining._hot_seeds(rows).collect()} == {8}
+    links = [(r["doc_id"], r["other_id"]) for r in chaining.repeated_passages(rows).collect()]
+    reached = {0}
+    for _ in rows.columns * 40:
+        reached |= {b for a, b in links if a in reached}
+    assert reached == set(range(40))
+
+
 def test_chains_skip_what_does_not_rise():
     a, b = np.arange(0, 50, 5), np.arange(100, 150, 5)
     found = chaining.chains(np.append(a, 22), np.append(b, 3))
