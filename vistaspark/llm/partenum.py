@@ -6,13 +6,15 @@ lie in the same or in neighbouring bands; each set takes part in the instance of
 band and in that of the next. An instance with most difference ``d`` splits the domain of
 shingles by hash into ``d // 2 + 1`` parts of three subparts. In some part two similar sets
 differ in at most one place, so they agree on two of its three subparts: each subset of two
-gives a signature, and similar sets share one.
+gives a signature, and similar sets share one. Where the two subparts of a subset are empty,
+unlike sets would share it too; but the third then differs in one shingle at most, so its
+content, whole and without each one of its shingles, gives the signatures instead.
 
 Copies (equal sets) are one class from the start. A signature shared by many classes is not
 expanded into all pairs: its classes are compared with the first and with the one before.
 What that leaves apart within a signature is then compared too. Before two sets are fetched,
-the parities of their shingle counts in 512 cells must leave the pair open: those differ in
-no more cells than the sets do in shingles, so no link is lost.
+the parities of their shingle counts in cells, at least as many as shingles, must leave the
+pair open: those differ in no more cells than the sets do in shingles, so no link is lost.
 """
 
 from __future__ import annotations
@@ -54,12 +56,23 @@ def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
         spread = mix(shingles ^ np.uint64(instance * 0x9E3779B1))
         place = ((spread >> np.uint64(33)) * np.uint64(3 * parts)) >> np.uint64(31)
         # the content of a subpart is the sum of its shingles' hashes, its count in the mix
-        content = np.zeros(3 * parts, np.uint64)
-        np.add.at(content, place.astype(np.int64), mix(spread + np.uint64(1)))
-        content = mix(content.reshape(parts, 3))
+        place, own_hash = place.astype(np.int64), mix(spread + np.uint64(1))
+        sums = np.zeros(3 * parts, np.uint64)
+        np.add.at(sums, place, own_hash)
+        content = mix(sums.reshape(parts, 3))
+        counts = np.bincount(place, minlength=3 * parts).reshape(parts, 3)
         label = np.arange(parts, dtype=np.uint64) * np.uint64(8) + np.uint64(instance << 40)
         for k, (i, j) in enumerate(SUBSETS):
-            out.append(mix(content[:, i] * np.uint64(3) ^ mix(content[:, j] + label + np.uint64(k))))
+            bare = (counts[:, i] == 0) & (counts[:, j] == 0)
+            out.append(mix(content[:, i] * np.uint64(3) ^ mix(content[:, j] + label + np.uint64(k)))[~bare])
+            if bare.any():
+                # nothing to agree on but the third subpart, which differs in one shingle at most
+                third = np.arange(parts) * 3 + (3 - i - j)
+                rest = np.zeros(3 * parts, np.uint64)
+                rest[third] = label + np.uint64(4 + k)
+                gone = np.isin(place, third[bare])
+                out.append(mix(sums[third[bare]] ^ mix(rest[third[bare]])))
+                out.append(mix((sums[place[gone]] - own_hash[gone]) ^ mix(rest[place[gone]])))
     return np.concatenate(out)
 
 
@@ -70,31 +83,54 @@ def _class(shingles: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a)), int(np.int64(b))
 
 
-#: Parities of the counts of shingles in 512 cells, as longs. Sets differ in at least as many shingles as parities.
-PARITIES = [f"p{i}" for i in range(8)]
-DESCRIBED = "doc_id long, n_shingles long, c1 long, c2 long, " + ", ".join(f"{x} long" for x in PARITIES)
+#: ``parities``: those of the counts of shingles in cells, a bit each. Sets differ in at least as many shingles as parities.
+DESCRIBED = "doc_id long, n_shingles long, c1 long, c2 long, parities array<long>"
+LEAST_CELLS = 512
 
 
 def _parities(shingles: np.ndarray) -> np.ndarray:
-    cells = (mix(shingles + np.uint64(11)) >> np.uint64(55)).astype(np.int64)
-    return np.packbits((np.bincount(cells, minlength=512) & 1).astype(np.uint8)).view(np.int64)
+    cells = max(LEAST_CELLS, 1 << (len(shingles) - 1).bit_length() if len(shingles) else 0)
+    place = (mix(shingles + np.uint64(11)) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=cells) & 1).astype(np.uint8)).view(np.int64)
 
 
-def may_reach(a: str, b: str, num: int, den: int):
-    """Whether the parities leave open that two sets are similar; never false for sets that are."""
-    apart = sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in PARITIES[1:]), F.bit_count(F.col(f"{a}p0").bitwiseXOR(F.col(f"{b}p0"))))
-    return apart * (den + num) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (den - num)
+def parities_apart(a: str, b: str):
+    """In how many cells the parities of two sets differ.
+
+    The longer array's upper half is folded onto its lower one; one more than twice as long tells nothing.
+    """
+    x, y = F.col(f"{a}parities"), F.col(f"{b}parities")
+    cells = F.least(F.size(x), F.size(y))
+    fold = lambda v: F.when(F.size(v) > cells, F.zip_with(F.slice(v, F.lit(1), cells), F.slice(v, cells + 1, cells), lambda p, q: p.bitwiseXOR(q))).otherwise(v)
+    apart = F.aggregate(F.zip_with(fold(x), fold(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, bits: total + bits)
+    return F.when(F.greatest(F.size(x), F.size(y)) <= 2 * cells, apart).otherwise(0)
+
+
+def sizes_near(a: str, b: str, num: int, den: int):
+    return F.least(f"{a}n", f"{b}n") * den >= F.greatest(f"{a}n", f"{b}n") * num
+
+
+def _open(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, apart) of the pairs (a, b) that the parities leave open; never without a similar pair."""
+    of_a = classes.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("parities").alias("a_parities"))
+    of_b = classes.select(F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("parities").alias("b_parities"))
+    joined = pairs.join(of_a, "a").join(of_b, "b").withColumn("apart", parities_apart("a_", "b_"))
+    return joined.filter(F.col("apart") * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num)).select("a", "b", "apart")
 
 
 def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, lists = [], []
             for data in texts_of(batch.column(1)):
                 s = shingle_set(data, k)
-                rows.append((len(s), *_class(s), *_parities(s)))
-            columns = np.array(rows, np.int64).reshape(-1, 3 + len(PARITIES)).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x) for x in columns]], ["doc_id", "n_shingles", "c1", "c2", *PARITIES])
+                rows.append((len(s), *_class(s)))
+                lists.append(_parities(s))
+            columns = np.array(rows, np.int64).reshape(-1, 3).T
+            offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            values = np.concatenate(lists) if lists else np.empty(0, np.int64)
+            parities = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x) for x in columns], parities], ["doc_id", "n_shingles", "c1", "c2", "parities"])
 
     return run
 
@@ -118,27 +154,54 @@ def _sign(k: int, num: int, den: int):
     return run
 
 
-def _sets(k: int):
+#: Members that are compared with one hub in one block; a hub's text is sent once to each block.
+BLOCK = 64
+
+
+def _compare(k: int, num: int, den: int):
+    """Of the rows (b, block, a, text), sorted so that the hub's own row (a null) leads, the pairs that are similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, hub_set = None, None
         for batch in batches:
-            lists = [shingle_set(data, k).view(np.int64) for data in texts_of(batch.column(1))]
-            offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            values = np.concatenate(lists) if lists else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "shingles"])
+            found = []
+            for b, a, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_of(batch.column(3)), strict=True):
+                if a is None:
+                    if b != hub:
+                        hub, hub_set = b, shingle_set(data, k)
+                    continue
+                s = shingle_set(data, k)
+                at = np.minimum(np.searchsorted(hub_set, s), len(hub_set) - 1)
+                shared = int(np.count_nonzero(hub_set[at] == s))
+                if den * shared >= num * (len(s) + len(hub_set) - shared):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b) of ids, those whose sets reach the threshold; compared in full."""
-    ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct(), "partenum-ids")
-    wanted = texts.join(small_side(ids), texts["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
-    sets = materialise(wanted.mapInArrow(_sets(k), "id long, shingles array<long>"), "partenum-sets")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return joined.withColumn("shared", shared).filter(den * F.col("shared") >= num * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
+    """Of the distinct pairs (a, b) of ids, those whose sets reach the threshold; compared in full.
+
+    b is the hub: its members are dealt to blocks of about ``BLOCK``, and each block holds
+    the hub's text once and that of each member, so a hub of many members is no one task's.
+    """
+    blocks = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = materialise(pairs.join(blocks, "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")), "partenum-dealt")
+    hubs = dealt.select("b", "block").distinct()
+    n = dealt.count()
+    members = texts.join(small_side(dealt, n), texts["doc_id"] == dealt["a"]).select("b", "block", "a", "text")
+    hub_rows = texts.join(small_side(hubs, n), texts["doc_id"] == hubs["b"]).select("b", "block", F.lit(None).cast("long").alias("a"), "text")
+    rows = members.union(hub_rows).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
+    return rows.mapInArrow(_compare(k, num, den), "a long, b long").distinct()
+
+
+def _still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the components found so far leave apart."""
+    of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+    of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    joined = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    return joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
 def jaccard_components(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,7 +214,7 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 8, den: int = 1
     """
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     described = materialise(texts.mapInArrow(_describe(words), DESCRIBED), "partenum-classes")
-    classes = materialise(described.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), *[F.min(x).alias(x) for x in PARITIES]), "partenum-firsts")
+    classes = materialise(described.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("parities").alias("parities")), "partenum-firsts")
     # signatures that more than one class has
     rows = texts.select("text").mapInArrow(_sign(words, num, den), "class long, signatures array<long>")
     rows = rows.select("class", F.explode("signatures").alias("signature"))
@@ -165,21 +228,32 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 8, den: int = 1
     )
     near = near.filter("class <> first OR class <> after").withColumn("before", F.when(F.col("class") != F.col("before"), F.col("before")))
     shared = materialise(near.groupBy("signature", "class").agg(F.min("first").alias("first"), F.max("before").alias("before")), "partenum-shared")
-    ids = classes.select(F.col("c1").alias("class"), "id", "n", *PARITIES)
+    ids = classes.select(F.col("c1").alias("class"), "id", "n")
     others = ids.select(*[F.col(x).alias(f"other_{x}") for x in ids.columns])
-    stars = shared.filter("class <> first").select("class", F.explode(F.array("first", "before")).alias("other")).filter("other IS NOT NULL").distinct()
-    stars = stars.withColumnRenamed("other", "other_class").join(ids, "class").join(others, "other_class")
-    pairs = materialise(stars.filter(may_reach("", "other_", num, den)).select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).filter("a <> b").distinct(), "partenum-pairs")
-    links = materialise(_verified(pairs, texts, words, num, den), "partenum-links")
+    stars = shared.filter("class <> first").select("class", F.explode(F.array("first", "before")).alias("other_class")).filter("other_class IS NOT NULL").distinct()
+    stars = stars.join(ids, "class").join(others, "other_class").filter((F.col("id") != F.col("other_id")) & sizes_near("", "other_", num, den))
+    stars = stars.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
+    pairs = materialise(_open(stars, classes, num, den), "partenum-pairs")
+    # the likest candidate of each class first; others only if that leaves them apart
+    likest = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("likest")).select("a", "likest.b")
+    likest = materialise(likest, "partenum-likest")
+    links = materialise(_verified(likest, texts, words, num, den), "partenum-links")
     roots = materialise(connected_components(links), "partenum-roots")
+    rest = _still_apart(pairs.select("a", "b").join(likest, ["a", "b"], "left_anti"), roots)
+    rest = materialise(rest, "partenum-rest")
+    if rest.head(1):
+        links = materialise(links.union(_verified(rest, texts, words, num, den)), "partenum-links")
+        roots = materialise(connected_components(links), "partenum-roots")
     # what shares a signature and is still apart
-    with_root = shared.select("signature", "class").join(ids, "class").join(roots.withColumnRenamed("node", "id"), "id", "left").select("signature", "id", F.coalesce("root", "id").alias("root"), "n", *PARITIES)
+    with_root = shared.select("signature", "class").join(ids, "class").join(roots.withColumnRenamed("node", "id"), "id", "left").select("signature", "id", F.coalesce("root", "id").alias("root"), "n")
     apart = with_root.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("signature")
     members = materialise(with_root.join(apart, "signature", "left_semi"), "partenum-apart")
     other = members.select(*[F.col(x).alias(x if x == "signature" else f"other_{x}") for x in members.columns])
-    open_pairs = (F.col("id") < F.col("other_id")) & (F.col("root") != F.col("other_root")) & may_reach("", "other_", num, den)
+    open_pairs = (F.col("id") < F.col("other_id")) & (F.col("root") != F.col("other_root")) & sizes_near("", "other_", num, den)
     cross = members.join(other, "signature").filter(open_pairs).select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
-    cross = materialise(cross.join(pairs, ["a", "b"], "left_anti"), "partenum-cross")
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = _open(cross.join(tried, ["a", "b"], "left_anti"), classes, num, den).select("a", "b")
+    cross = materialise(cross, "partenum-cross")
     if cross.head(1):
         more = _verified(cross, texts, words, num, den)
         roots = materialise(connected_components(materialise(links.union(more), "partenum-links")), "partenum-roots")
