@@ -165,6 +165,14 @@ def test_signatures_lose_no_pair():
                 assert len(np.intersect1d(partenum.signatures(a, 9, 10), partenum.signatures(b, 9, 10)))
 
 
+def test_parities_of_unlike_length_lose_no_pair(spark):
+    words = [f"w{i}" for i in range(600)]
+    texts = {1: words[:510], 2: words[:530], 3: words[60:], 4: [f"v{i}" for i in range(520)]}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in partenum.jaccard_components(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_words_hash_alike_wherever_they_stand():
     as_bytes = lambda s: np.frombuffer(s.encode(), np.uint8)
     assert shingles.word_hashes(as_bytes("x Ab é"))[1] == shingles.word_hashes(as_bytes("\n aB"))[0]
