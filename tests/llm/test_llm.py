@@ -217,6 +217,33 @@ def test_repeated_passages(docs, corpus):
     assert must <= {r["doc_id"] for r in chaining.repeated_passages(corpus).collect()}
 
 
+@pytest.mark.parametrize(("shared", "gap"), [(60, 50), (60, 100), (60, 200), (200, 200)])
+def test_two_passages_of_a_pair(spark, shared, gap):
+    run = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(i, " ".join([run("x", shared), run(f"own{i}w", gap), run("y", shared)])) for i in (1, 2)]
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = [(0, shared), (shared + gap, 2 * shared + gap)]
+    assert {(r["doc_id"], r["start_word"], r["end_word"], r["other_id"], r["other_start"], r["other_end"]) for r in got} == {(a, *s, b, *s) for a, b in ((1, 2), (2, 1)) for s in spans}
+    assert all(r["matched_words"] == shared and r["identity"] == 1 for r in got)
+
+
+def test_common_words_and_parts_against_brute_force(monkeypatch):
+    rng = np.random.default_rng(3)
+    for cells in (1_000_000, 6):
+        monkeypatch.setattr(chaining, "CELLS", cells)
+        for n, m in rng.integers(0, 30, (60, 2)):
+            a, b = rng.integers(0, 6, n), rng.integers(0, 6, m)
+            i, j = chaining.common(a, b)
+            assert (a[i] == b[j]).all() and (np.diff(i) > 0).all() and (np.diff(j) > 0).all()
+            assert len(i) == chaining._last_row(a, b)[-1]
+    for _ in range(200):
+        i, j = (np.cumsum(rng.choice([1, 1, 1, 1, 1, 1, 2, 9], 40)) for _ in range(2))
+        good = {(p, q) for p in range(40) for q in range(p, 40) if min(i[q] - i[p], j[q] - j[p]) >= 11 and q + 1 - p >= 0.8 * (max(i[q] - i[p], j[q] - j[p]) + 1)}
+        found = chaining.passages(i, j, 12, 0.8)
+        assert all(min(b - a, d - c) >= 12 and n >= 0.8 * max(b - a, d - c) for a, b, c, d, n in found)
+        assert bool(found) == bool(good)
+
+
 def test_hot_seeds_are_dealt_to_blocks(spark, monkeypatch):
     passage = " ".join(f"shared{i}" for i in range(80))
     rows = spark.createDataFrame([(i, f"own{i} {passage} end{i}") for i in range(40)], "doc_id long, text string")
