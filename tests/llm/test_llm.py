@@ -257,6 +257,20 @@ def test_hot_seeds_are_dealt_to_blocks(spark, monkeypatch):
     assert reached == set(range(40))
 
 
+def test_partners_do_not_hang_on_the_dealing(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        words = [f"edit{i}w{k}" if rng.random() < 0.03 else f"shared{k}" for k in range(120)]
+        rows.append((i, f"own{i} " + " ".join(words)))
+    rows = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = set(chaining.repeated_passages(rows).collect())
+    for name, value in (("TRIED", 1), ("HOT_LEAST", 2), ("SEED_BLOCK", 9)):
+        monkeypatch.setattr(chaining, name, value)
+    assert len({r["blocks"] for r in chaining._hot_seeds(rows).collect()}) > 1
+    assert whole and set(chaining.repeated_passages(rows).collect()) == whole
+
+
 def test_chains_skip_what_does_not_rise():
     a, b = np.arange(0, 50, 5), np.arange(100, 150, 5)
     found = chaining.chains(np.append(a, 22), np.append(b, 3))
