@@ -346,6 +346,21 @@ def test_network_gradients():
         assert (up - down) / 2e-4 == pytest.approx(slopes[i], rel=0.05, abs=1e-4)
 
 
+def test_long_runs_are_read_to_their_end():
+    rng = np.random.default_rng(2)
+    run = lambda n: "".join(rng.choice(list("bcdfgmnpst"), n))
+    long = run(1000)
+    pieces = [x.decode() for x in rnn.chunks_of(f"a {long} b".encode())]
+    assert pieces[0] == "a" and pieces[-1] == "b" and all(len(x.strip()) <= rnn.LONGEST for x in pieces)
+    assert all(any(long[i : i + rnn.SHARED] in x for x in pieces) for i in range(1000 - rnn.SHARED + 1))
+    assert not [x for x in pieces[2:-1] if any(r[0] == "<" for r in rnn.letter_runs(x))]
+    assert rnn.chunks_of("é".encode() * 64) == ["é".encode() * 64]
+    words = [run(5) for _ in range(200)]
+    sample = [(" ".join([*rng.choice(words, 20), *["hateful"] * (k % 2)]).encode(), k % 2) for k in range(300)]
+    clean, toxic = toxicity.scorer(toxicity.train(sample))(toxicity.pa.array([run(300), run(300) + "hateful"]))
+    assert clean < 0.5 < toxic
+
+
 def test_toxicity_scores_every_row(docs, spark):
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(1, 11)], "doc_id long, toxic int")
     got = toxicity.toxicity(docs, labels).collect()

@@ -14,6 +14,8 @@ import numpy as np
 WORDS, LETTERS = 12, 12  # widths of the embeddings
 HIDDEN, ATTENTION = 8, 6
 UNKNOWN = 0
+#: Letters of a step, and those that the pieces of a longer run share.
+LONGEST, SHARED = 64, 16
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -21,7 +23,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def token(chunk: str) -> str:
-    """A run of non-space as the network reads it: lower case, without marks at its ends."""
+    """A run of non-space as the network reads it: lower case, without marks at its ends; a piece as it is."""
+    if " " in chunk:
+        return chunk
     low = chunk.lower()
     a, b = 0, len(low)
     while a < b and not low[a].isalnum():
@@ -31,12 +35,34 @@ def token(chunk: str) -> str:
     return low[a:b] or low[:1]
 
 
+def chunks_of(text: bytes) -> list[bytes]:
+    """The steps of a text: its runs of non-space, one of over ``LONGEST`` letters as overlapping pieces.
+
+    A piece has a space at an end where the run goes on, so that a cut isn't read as the
+    start or the end of a word.
+    """
+    chunks = text.split()
+    if max(map(len, chunks), default=0) <= LONGEST:
+        return chunks
+    out = []
+    for chunk in chunks:
+        word = token(chunk.decode("utf-8", "replace")) if len(chunk) > LONGEST else ""
+        if len(word) <= LONGEST:
+            out.append(chunk)
+            continue
+        last = len(word) - LONGEST
+        for at in [*range(0, last, LONGEST - SHARED), last]:
+            out.append(f"{' ' * (at > 0)}{word[at : at + LONGEST]}{' ' * (at < last)}".encode())
+    return out
+
+
 def letter_runs(word: str) -> list[str]:
     """Trigrams, starts of 4 to 8 letters and ends of 4 to 6, the edges counting as letters; each once."""
-    padded = f"<{word[:64]}>"
+    starts, ends = word[:1] != " ", word[-1:] != " "
+    padded = f"{'<' * starts}{word.strip(' ')}{'>' * ends}"
     n = len(padded)
     runs = [padded[i : i + 3] for i in range(max(1, n - 2))]
-    runs += [padded[:k] for k in range(4, min(9, n))] + [padded[-k:] for k in range(4, min(7, n))]
+    runs += [padded[:k] for k in range(4, min(9, n)) if starts] + [padded[-k:] for k in range(4, min(7, n)) if ends]
     return list(dict.fromkeys(runs))
 
 

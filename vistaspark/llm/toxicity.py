@@ -60,7 +60,7 @@ def train(sample: list[tuple[bytes, int]], seed: int = 7) -> dict:
     # each distinct word is held once, the documents as numbers: the driver has little memory
     distinct: dict[str, int] = {}
     number = lambda chunk: distinct.setdefault(rnn.token(chunk.decode("utf-8", "replace")), len(distinct))
-    tokens = [np.fromiter(map(number, text.split()), np.int32) for text, _ in sample]
+    tokens = [np.fromiter(map(number, rnn.chunks_of(text)), np.int32) for text, _ in sample]
     names = list(distinct)
     inputs = rnn.Inputs(({names[i] for i in np.unique(words)} for words in tokens), np.array([y for _, y in sample]))
     word_rows, grams = map(list, zip(*[inputs.rows(w) for w in distinct], (rnn.UNKNOWN, [0]), strict=True))
@@ -169,7 +169,7 @@ def scorer(model: dict):
             waiting = 0
 
         for k, data in enumerate(texts_of(texts)) if table else ():
-            chunks = data.tobytes().split()
+            chunks = rnn.chunks_of(data.tobytes())
             if table.used > table.KEPT:
                 flush()
                 table.clear()
