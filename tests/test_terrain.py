@@ -61,6 +61,21 @@ def test_near_and_far_ridge_are_two_fronts(spark):
     assert any(r["to_m"] < 10000 for r in got) and any(r["from_m"] > 20000 for r in got)
 
 
+def test_cells_are_summed_in_blocks(spark, monkeypatch):
+    from vistaspark.operators import raster
+
+    monkeypatch.setattr(raster, "CELLS_BLOCK", 9)
+    rows = [(i, float(5000 + i * 7919 % 40), 10 + i * 31 % 17, 1 + i % 2) for i in range(200)]
+    cells = spark.createDataFrame(rows, "cell long, relief double, bytes long, priority int")
+    assert cells.select(raster._blocks(cells).alias("b")).distinct().count() > 15
+    used, want = 0, []
+    for cell, _, size, _ in sorted(rows, key=lambda r: (r[3], -r[1], r[0])):
+        want += [(cell, used)] if used < 2500 else []
+        used += size
+    got = raster.select_cells(cells, 3000.0, 2500).collect()
+    assert 50 < len(want) < 200 and sorted((r["cell"], r["used"]) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("name", sorted(terrain.QUERIES))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,18 +31,38 @@ def relief_stats(raster: DataFrame, tile: int) -> DataFrame:
     return by.agg(cut.alias("p"), F.avg("h").alias("mean")).select("tx", "ty", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "mean", (F.col("p")[1] - F.col("p")[0]).alias("relief"))
 
 
+#: Cells that one task sums up, about; the most blocks of them; cells sampled for each block's bound.
+CELLS_BLOCK, MOST_BLOCKS, SAMPLED = 100_000, 1000, 20
+
+
+def _blocks(kept: DataFrame) -> Column:
+    """The block of a cell: blocks follow each other in the order of priority, relief from high to low, and cell."""
+    key = [(-F.col("priority")).cast("long"), F.col("relief").cast("double"), (-F.col("cell")).cast("long")]
+    blocks = min(MOST_BLOCKS, -(-kept.count() // CELLS_BLOCK))
+    if blocks <= 1:
+        return F.lit(0)
+    # a few cells of each block, chosen by a hash; their order on the driver gives the bounds
+    sample = kept.orderBy(F.xxhash64("cell"), "cell").limit(SAMPLED * blocks).select(F.struct(*[k.alias(x) for k, x in zip(key, "prc", strict=True)]).alias("key"))
+    ranked = [tuple(r["key"]) for r in sample.orderBy(F.desc("key")).collect()]
+    bounds = [ranked[i * len(ranked) // blocks] for i in range(1, blocks)]
+    literals = [F.struct(*[F.lit(v).cast(t).alias(x) for v, t, x in zip(bound, ("long", "double", "long"), "prc", strict=True)]) for bound in bounds]
+    return F.size(F.filter(F.array(*literals), lambda bound: bound >= F.struct(*[k.alias(x) for k, x in zip(key, "prc", strict=True)])))
+
+
 def select_cells(cells: DataFrame, least_relief: float, budget: int) -> DataFrame:
     """Cells of enough relief for their priority, best first, while the bytes before them are under the budget.
 
-    The running sum is taken over priorities first (a handful of rows) and then within each.
+    The running sum is taken over blocks of the order first (at most ``MOST_BLOCKS`` rows)
+    and then within each.
     """
     boost = F.when(F.col("priority") == 1, 4.0).when(F.col("priority") == 2, 3.0).when(F.col("priority") == 3, 2.0).otherwise(1.5)
     kept = cells.filter(F.col("relief") * boost >= least_relief)
-    before = Window.orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)
-    bases = kept.groupBy("priority").agg(F.sum("bytes").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(before), F.lit(0))).drop("all")
-    within = Window.partitionBy("priority").orderBy(F.desc("relief"), "cell").rowsBetween(Window.unboundedPreceding, -1)
-    rows = kept.join(F.broadcast(bases), "priority").withColumn("used", F.col("base") + F.coalesce(F.sum("bytes").over(within), F.lit(0)))
-    return rows.filter(F.col("used") < budget).drop("base")
+    kept = kept.withColumn("block", _blocks(kept))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = kept.groupBy("block").agg(F.sum("bytes").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(before), F.lit(0))).drop("all")
+    within = Window.partitionBy("block").orderBy(F.asc_nulls_last("priority"), F.desc("relief"), F.asc_nulls_last("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = kept.join(F.broadcast(bases), "block").withColumn("used", F.col("base") + F.coalesce(F.sum("bytes").over(within), F.lit(0)))
+    return rows.filter(F.col("used") < budget).drop("base", "block")
 
 
 def tile_keys(boxes: DataFrame, degrees: float) -> DataFrame:
