@@ -1,4 +1,4 @@
-"""Peaks: isolation, the search index, and search (survey J1, W7-W9, X5-X9, T2)."""
+"""Peaks: isolation, the search index, and search (survey J1, W7-W9, X5, X8, T2)."""
 
 from __future__ import annotations
 
@@ -55,7 +55,7 @@ def normalised_name(name: Column) -> Column:
 
 
 def typo_budget(plain: Column) -> Column:
-    """Typos allowed for a typed name of that length."""
+    """Typos allowed for a typed name of that length. No search uses it yet."""
     return F.when(F.length(plain) < 5, 0).when(F.length(plain) <= 8, 1).otherwise(2)
 
 

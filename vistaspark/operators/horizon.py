@@ -1,6 +1,6 @@
 """The horizon around a point: ray march, layers, crests, fronts and visibility.
 
-Survey M5-M8, A1-A5, W1-W5, T1. A march is rows (ray, step, d, h); comparing slopes instead
+Survey M5, M6, part of M8, A1-A5, W1, W4, W5, T1. A march is rows (ray, step, d, h); comparing slopes instead
 of angles keeps arcs out of the windows, and every window is partitioned by the ray.
 """
 
