@@ -10,11 +10,17 @@ gives a signature, and similar sets share one. Where the two subparts of a subse
 unlike sets would share it too; but the third then differs in one shingle at most, so its
 content, whole and without each one of its shingles, gives the signatures instead.
 
-Copies (equal sets) are one class from the start. A signature shared by many classes is not
-expanded into all pairs: its classes are compared with the first and with the one before.
-What that leaves apart within a signature is then compared too. Before two sets are fetched,
-the parities of their shingle counts in cells, at least as many as shingles, must leave the
-pair open: those differ in no more cells than the sets do in shingles, so no link is lost.
+Copies (equal sets) are one class from the start. A shingle that one class alone has counts
+against every pair of it: a class with more than ``1 - t`` of such shingles is linked with
+nothing, and the others sign only what they share (``shared``). That leaves out all but the
+near-copies and what is made of common passages, so a signature seldom joins unlike sets.
+
+Classes that share signatures, over any path, form a cluster. It is not expanded into pairs:
+its classes are dealt to blocks, a task merges what is linked within a block and with a few
+pivots that stand in all blocks, and what is then still apart from the cluster's largest
+component is compared with the whole cluster, block by block. Before two sets are compared,
+the parities of their shingle counts in cells must leave the pair open: those differ in no
+more cells than the sets do in shingles, so no link is lost.
 """
 
 from __future__ import annotations
@@ -26,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vistaspark.llm.common import materialise, small_side, text_of
+from vistaspark.llm.common import discard, materialise, small_side, text_of
 from vistaspark.llm.components import connected_components
+from vistaspark.llm.shared import class_of, shared_counts, shared_shingles
 from vistaspark.llm.shingles import mix, shingle_set, texts_of
 
 SUBSETS = ((0, 1), (0, 2), (1, 2))
@@ -42,9 +49,12 @@ def band_tops(size: int, num: int, den: int) -> list[int]:
     return tops
 
 
-def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The set's signatures in the instances of its band and of the next one."""
-    size = len(shingles)
+def signatures(shingles: np.ndarray, num: int, den: int, size: int | None = None) -> np.ndarray:
+    """The set's signatures in the instances of its band and of the next one.
+
+    ``size``: that of the whole set, where ``shingles`` are only those it shares.
+    """
+    size = len(shingles) if size is None else size
     if not size:
         return np.empty(0, np.uint64)
     tops, out = band_tops(size, num, den), []
@@ -76,196 +86,224 @@ def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _class(shingles: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for the set."""
-    a = np.bitwise_xor.reduce(mix(shingles + np.uint64(7))) if len(shingles) else np.uint64(0)
-    b = np.add.reduce(mix(shingles ^ np.uint64(0x5851F42D4C957F2D))) if len(shingles) else np.uint64(0)
-    return int(np.int64(a)), int(np.int64(b))
-
-
-#: ``parities``: those of the counts of shingles in cells, a bit each. Sets differ in at least as many shingles as parities.
-DESCRIBED = "doc_id long, n_shingles long, c1 long, c2 long, parities array<long>"
-LEAST_CELLS = 512
-
-
-def _parities(shingles: np.ndarray) -> np.ndarray:
-    cells = max(LEAST_CELLS, 1 << (len(shingles) - 1).bit_length() if len(shingles) else 0)
-    place = (mix(shingles + np.uint64(11)) & np.uint64(cells - 1)).astype(np.int64)
-    return np.packbits((np.bincount(place, minlength=cells) & 1).astype(np.uint8)).view(np.int64)
-
-
-def parities_apart(a: str, b: str):
-    """In how many cells the parities of two sets differ.
-
-    The longer array's upper half is folded onto its lower one; one more than twice as long tells nothing.
-    """
-    x, y = F.col(f"{a}parities"), F.col(f"{b}parities")
-    cells = F.least(F.size(x), F.size(y))
-    fold = lambda v: F.when(F.size(v) > cells, F.zip_with(F.slice(v, F.lit(1), cells), F.slice(v, cells + 1, cells), lambda p, q: p.bitwiseXOR(q))).otherwise(v)
-    apart = F.aggregate(F.zip_with(fold(x), fold(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, bits: total + bits)
-    return F.when(F.greatest(F.size(x), F.size(y)) <= 2 * cells, apart).otherwise(0)
-
-
-def sizes_near(a: str, b: str, num: int, den: int):
-    return F.least(f"{a}n", f"{b}n") * den >= F.greatest(f"{a}n", f"{b}n") * num
-
-
-def _open(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, apart) of the pairs (a, b) that the parities leave open; never without a similar pair."""
-    of_a = classes.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("parities").alias("a_parities"))
-    of_b = classes.select(F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("parities").alias("b_parities"))
-    joined = pairs.join(of_a, "a").join(of_b, "b").withColumn("apart", parities_apart("a_", "b_"))
-    return joined.filter(F.col("apart") * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num)).select("a", "b", "apart")
-
-
 def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, lists = [], []
+            rows = []
             for data in texts_of(batch.column(1)):
                 s = shingle_set(data, k)
-                rows.append((len(s), *_class(s)))
-                lists.append(_parities(s))
+                rows.append((len(s), *class_of(s)))
             columns = np.array(rows, np.int64).reshape(-1, 3).T
-            offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            values = np.concatenate(lists) if lists else np.empty(0, np.int64)
-            parities = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x) for x in columns], parities], ["doc_id", "n_shingles", "c1", "c2", "parities"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x) for x in columns]], ["doc_id", "n_shingles", "class", "class2"])
 
     return run
 
 
-def _sign(k: int, num: int, den: int):
+def _sets_of(column: pa.Array) -> list[np.ndarray]:
+    values = column.values.to_numpy().view(np.uint64)
+    return [values[a:b] for a, b in zip(column.offsets[:-1].to_numpy(), column.offsets[1:].to_numpy(), strict=True)]
+
+
+def _sign(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()  # a task signs a class once
         for batch in batches:
-            ids, lists = [], []
-            for data in texts_of(batch.column(0)):
-                s = shingle_set(data, k)
-                c = _class(s)
-                if len(s) and c not in seen:
-                    seen.add(c)
-                    ids.append(c[0])
-                    lists.append(signatures(s, num, den).view(np.int64))
+            lists = [np.unique(signatures(s, num, den, n)).view(np.int64) for n, s in zip(batch.column(1).to_pylist(), _sets_of(batch.column(2)), strict=True)]
             offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             values = np.concatenate(lists) if lists else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["class", "signatures"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["class", "signatures"])
 
     return run
 
 
-#: Members that are compared with one hub in one block; a hub's text is sent once to each block.
-BLOCK = 64
+LEAST_CELLS = 512
+
+
+def _parities(shingles: np.ndarray, cells: int) -> np.ndarray:
+    """Those of the counts of shingles in cells, a bit each. Sets differ in at least as many shingles as parities."""
+    place = (mix(shingles + np.uint64(11)) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=cells) & 1).astype(np.uint8)).view(np.uint64)
+
 
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The parities over fewer cells."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def merging_links(sizes: np.ndarray, sets: list[np.ndarray], roots: np.ndarray, left: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of places whose links merge components; with them, all links between a set of ``left`` and any other are within components.
+
+    ``sizes``: of the whole sets; ``sets``: the shingles that others have, sorted; ``roots``:
+    what is known to be linked has the same number.
+    """
+    order = np.argsort(sizes, kind="stable")
+    n, left, root = sizes[order], left[order], np.unique(roots[order], return_inverse=True)[1]
+    sets = [sets[i] for i in order]
+    own = n - np.array([len(s) for s in sets])
+    words = np.array([max(LEAST_CELLS, 1 << (int(x) - 1).bit_length()) // 64 for x in n])
+    widths, starts = np.unique(words, return_index=True)
+    ends = np.append(starts[1:], len(n))
+    bits = {int(w): np.stack([_parities(s, 64 * int(w)) for s in sets[a:b]]) for w, a, b in zip(widths, starts, ends, strict=True)}
+    out = []
+    for i in range(1, len(n)):
+        low = int(np.searchsorted(n * den, num * n[i]))
+        near = low + np.flatnonzero((root[low:i] != root[i]) & (left[low:i] | left[i]))
+        if not len(near):
+            continue
+        mine, apart = bits[int(words[i])][i - starts[np.searchsorted(widths, words[i])]], np.empty(len(near), np.int64)
+        for w, a, b in zip(widths, starts, ends, strict=True):
+            here = (near >= a) & (near < b)
+            if here.any():
+                apart[here] = np.bitwise_count(bits[int(w)][near[here] - a] ^ _folded(mine, int(w))).sum(1)
+        apart += own[near] + own[i]
+        still = apart * (den + num) <= (n[near] + n[i]) * (den - num)
+        for j in near[still][np.argsort(apart[still], kind="stable")]:
+            if root[j] != root[i]:
+                small, large = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+                if not len(small):
+                    continue
+                shared = int(np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small))
+                if den * shared >= num * int(n[i] + n[j] - shared):
+                    out.append((int(order[i]), int(order[j])))
+                    root[root == root[i]] = root[j]
+    return out
 
-def _compare(k: int, num: int, den: int):
-    """Of the rows (b, block, a, text), sorted so that the hub's own row (a null) leads, the pairs that are similar."""
+
+#: Classes and shingles of a block; pivots that stand in every block of a cluster, on average.
+BLOCK_CLASSES, BLOCK_SHINGLES, PIVOTS = 2048, 1 << 22, 32
+GROUPED = "cluster long, part long, class long, root long, left boolean, n long, shingles array<long>"
+
+
+def _merge(num: int, den: int):
+    """Links of each group (cluster, part) of rows as in ``GROUPED``, which come sorted by group."""
+
+    def links_of(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        group = pa.Table.from_batches(rows).combine_chunks()
+        classes, roots, left, sizes = (group.column(c).to_numpy() for c in ("class", "root", "left", "n"))
+        sets = [np.sort(s) for s in _sets_of(group.column("shingles").chunk(0))]
+        found = np.array(merging_links(sizes, sets, roots, left, num, den), np.int64).reshape(-1, 2).T
+        return classes[found[0]], classes[found[1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_set = None, None
+        held, now = [], None
         for batch in batches:
-            found = []
-            for b, a, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_of(batch.column(3)), strict=True):
-                if a is None:
-                    if b != hub:
-                        hub, hub_set = b, shingle_set(data, k)
-                    continue
-                s = shingle_set(data, k)
-                at = np.minimum(np.searchsorted(hub_set, s), len(hub_set) - 1)
-                shared = int(np.count_nonzero(hub_set[at] == s))
-                if den * shared >= num * (len(s) + len(hub_set) - shared):
-                    found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    key = tuple(keys[:, a])
+                    if key != now and held:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in links_of(held)], ["a", "b"])
+                        held = []
+                    now = key
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in links_of(held)], ["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Of the distinct pairs (a, b) of ids, those whose sets reach the threshold; compared in full.
+def _merged(rows: DataFrame, num: int, den: int) -> DataFrame:
+    dealt = rows.select(*[x.split()[0] for x in GROUPED.split(", ")]).repartition("cluster", "part").sortWithinPartitions("cluster", "part")
+    return dealt.mapInArrow(_merge(num, den), "a long, b long")
 
-    b is the hub: its members are dealt to blocks of about ``BLOCK``, and each block holds
-    the hub's text once and that of each member, so a hub of many members is no one task's.
-    """
-    blocks = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = materialise(pairs.join(blocks, "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")), "partenum-dealt")
-    hubs = dealt.select("b", "block").distinct()
-    n = dealt.count()
-    members = texts.join(small_side(dealt, n), texts["doc_id"] == dealt["a"]).select("b", "block", "a", "text")
-    hub_rows = texts.join(small_side(hubs, n), texts["doc_id"] == hubs["b"]).select("b", "block", F.lit(None).cast("long").alias("a"), "text")
-    rows = members.union(hub_rows).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
-    return rows.mapInArrow(_compare(k, num, den), "a long, b long").distinct()
+
+def _every(n: str):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
 
-def _still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the components found so far leave apart."""
-    of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-    of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-    joined = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
-    return joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+def _clusters(reduced: DataFrame, num: int, den: int) -> DataFrame:
+    """node, root: which classes share signatures over any path.
+
+    The rows of a signature are linked with the first of their salt, and those with the
+    signature's first, so that a signature of very many classes is no one task's.
+    """
+    salts = -(-reduced.count() // 100_000)
+    rows = reduced.select("class", "n", "shingles").mapInArrow(_sign(num, den), "class long, signatures array<long>")
+    rows = rows.select("class", F.explode("signatures").alias("signature"), F.pmod(F.xxhash64("class"), F.lit(max(1, salts))).alias("salt"))
+    first = F.min("class").over(Window.partitionBy("signature", "salt"))
+    stars = materialise(rows.withColumn("first", first).filter((F.col("class") != F.col("first")) | F.lit(salts > 1)).groupBy("signature", "class", "first").count().drop("count"), "partenum-stars")
+    edges = stars.select(F.col("class").alias("a"), F.col("first").alias("b"))
+    if salts > 1:
+        heads = stars.groupBy("signature").agg(F.min("first").alias("b")).join(stars.filter("class = first").select("signature", F.col("class").alias("a")), "signature")
+        edges = edges.union(heads.select("a", "b"))
+    clusters = connected_components(edges)
+    discard(stars)
+    return clusters
+
+
+def _links(reduced: DataFrame, num: int, den: int) -> DataFrame:
+    """node, root of all classes that are linked; ``reduced``: class, n, shingles."""
+    clusters = _clusters(reduced, num, den)
+    members = reduced.join(clusters.withColumnRenamed("root", "cluster"), F.col("class") == F.col("node")).drop("node")
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("count"), F.sum(F.size("shingles")).alias("total"))
+    blocks = F.greatest(F.ceil(F.col("count") / BLOCK_CLASSES), F.ceil(F.col("total") / BLOCK_SHINGLES))
+    sizes = materialise(sizes.withColumn("blocks", blocks.cast("long")), "partenum-clusters")
+    members = members.join(small_side(sizes), "cluster").withColumn("part", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    members = members.withColumn("root", F.col("class")).withColumn("left", F.lit(True))
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("class", F.lit(7)), F.ceil(F.col("count") / PIVOTS)) == 0)
+    pivots = members.filter(pivot).withColumn("home", F.col("part")).withColumn("part", _every("blocks")).filter("part <> home").drop("home")
+    links = materialise(_merged(members.unionByName(pivots), num, den), "partenum-links")
+    roots = connected_components(links)
+    if not sizes.filter("blocks > 1").head(1):
+        return roots
+    # in clusters of several blocks: what is not of the largest component, with everything
+    known = roots.withColumnRenamed("root", "known")
+    large = members.filter("blocks > 1").drop("root", "left").join(known, F.col("class") == F.col("node"), "left")
+    large = large.withColumn("root", F.coalesce("known", "class")).drop("node", "known")
+    counts = large.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("size"))
+    most = counts.groupBy("cluster").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("all"))
+    most = most.select("cluster", F.col("most.root").alias("main"), F.ceil((F.col("all") - F.col("most.size")) / BLOCK_CLASSES).cast("long").alias("minor_blocks"))
+    most = materialise(most.filter("minor_blocks > 0"), "partenum-main")
+    large = large.join(small_side(most), "cluster").withColumn("left", F.col("root") != F.col("main"))
+    everything = large.withColumn("minor_part", _every("minor_blocks")).withColumn("left", F.lit(False))
+    minors = large.filter("left").withColumn("minor_part", F.pmod(F.xxhash64("class", F.lit(3)), F.col("minor_blocks"))).withColumn("part", _every("blocks"))
+    both = minors.unionByName(everything).withColumn("part", F.col("part") * F.col("minor_blocks") + F.col("minor_part"))
+    more = materialise(links.union(_merged(both, num, den)), "partenum-links")
+    discard(links)
+    return connected_components(more)
 
 
 def jaccard_components(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``df``.
 
-    ``num / den``: least similarity. A document without words has an empty set and is linked
-    with nothing; rows with equal sets are one class. The component's id is the smallest id
-    in it. Ids are taken as integers that name one text each; a row with a null id is a
-    component of its own unless its class has an id. An empty table gives an empty result.
+    ``num / den``: least similarity, at least a half. A document without words (null and
+    empty texts too) has an empty set and is linked with nothing; rows with equal sets are
+    one class. The component's id is the smallest id in it. Of repeated ids each row has the
+    component of its own text; a null id counts as no id, so such a row has a component of
+    null unless its component has an id. Texts of any length are read whole. An empty table
+    gives an empty result. Columns other than the two named are not read.
     """
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    described = materialise(texts.mapInArrow(_describe(words), DESCRIBED), "partenum-classes")
-    classes = materialise(described.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("parities").alias("parities")), "partenum-firsts")
-    # signatures that more than one class has
-    rows = texts.select("text").mapInArrow(_sign(words, num, den), "class long, signatures array<long>")
-    rows = rows.select("class", F.explode("signatures").alias("signature"))
-    by_signature = Window.partitionBy("signature").orderBy("class")
-    near = rows.select(
-        "signature",
-        "class",
-        F.first("class").over(by_signature.rowsBetween(Window.unboundedPreceding, 0)).alias("first"),
-        F.lag("class").over(by_signature).alias("before"),
-        F.lead("class").over(by_signature).alias("after"),
-    )
-    near = near.filter("class <> first OR class <> after").withColumn("before", F.when(F.col("class") != F.col("before"), F.col("before")))
-    shared = materialise(near.groupBy("signature", "class").agg(F.min("first").alias("first"), F.max("before").alias("before")), "partenum-shared")
-    ids = classes.select(F.col("c1").alias("class"), "id", "n")
-    others = ids.select(*[F.col(x).alias(f"other_{x}") for x in ids.columns])
-    stars = shared.filter("class <> first").select("class", F.explode(F.array("first", "before")).alias("other_class")).filter("other_class IS NOT NULL").distinct()
-    stars = stars.join(ids, "class").join(others, "other_class").filter((F.col("id") != F.col("other_id")) & sizes_near("", "other_", num, den))
-    stars = stars.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
-    pairs = materialise(_open(stars, classes, num, den), "partenum-pairs")
-    # the likest candidate of each class first; others only if that leaves them apart
-    likest = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("likest")).select("a", "likest.b")
-    likest = materialise(likest, "partenum-likest")
-    links = materialise(_verified(likest, texts, words, num, den), "partenum-links")
-    roots = materialise(connected_components(links), "partenum-roots")
-    rest = _still_apart(pairs.select("a", "b").join(likest, ["a", "b"], "left_anti"), roots)
-    rest = materialise(rest, "partenum-rest")
-    if rest.head(1):
-        links = materialise(links.union(_verified(rest, texts, words, num, den)), "partenum-links")
-        roots = materialise(connected_components(links), "partenum-roots")
-    # what shares a signature and is still apart
-    with_root = shared.select("signature", "class").join(ids, "class").join(roots.withColumnRenamed("node", "id"), "id", "left").select("signature", "id", F.coalesce("root", "id").alias("root"), "n")
-    apart = with_root.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("signature")
-    members = materialise(with_root.join(apart, "signature", "left_semi"), "partenum-apart")
-    other = members.select(*[F.col(x).alias(x if x == "signature" else f"other_{x}") for x in members.columns])
-    open_pairs = (F.col("id") < F.col("other_id")) & (F.col("root") != F.col("other_root")) & sizes_near("", "other_", num, den)
-    cross = members.join(other, "signature").filter(open_pairs).select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = _open(cross.join(tried, ["a", "b"], "left_anti"), classes, num, den).select("a", "b")
-    cross = materialise(cross, "partenum-cross")
-    if cross.head(1):
-        more = _verified(cross, texts, words, num, den)
-        roots = materialise(connected_components(materialise(links.union(more), "partenum-links")), "partenum-roots")
-    found = described.join(classes, ["c1", "c2"], "left").join(roots, F.col("id") == F.col("node"), "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("root", "id", "doc_id").alias("component_id"))
+    described = materialise(texts.mapInArrow(_describe(words), "doc_id long, n_shingles long, class long, class2 long"), "partenum-classes")
+    classes = described.filter("n_shingles > 0").groupBy("class").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows"))
+    total = described.agg(F.sum("n_shingles")).first()[0] or 0
+    # a class is out when more than 1 - t of its shingles are its own
+    could = lambda shared: (F.col("n") - shared) * den <= F.col("n") * (den - num)
+    candidates = shared_counts(texts, words, total).join(classes, "class").filter(could(F.least("shared", "n")))
+    candidates = materialise(candidates.select("class", "id", "n"), "partenum-candidates")
+    kept = candidates.agg(F.count(F.lit(1)), F.sum("n")).first()
+    ids = candidates.select(F.col("id").alias("candidate")).distinct()
+    held = texts.join(small_side(ids, kept[0]), F.col("doc_id").eqNullSafe(F.col("candidate")), "left_semi")
+    reduced = shared_shingles(held, words, kept[1] or 0).join(candidates.select("class", "n"), "class").filter(could(F.size("shingles")))
+    reduced = materialise(reduced.select("class", "n", "shingles"), "partenum-shared")
+    roots = _links(reduced, num, den)
+    # (class, component) of the classes of several rows or links; every other row stands alone
+    linked = classes.join(roots, F.col("class") == F.col("node")).select("class", "id", "root")
+    lowest = linked.groupBy("root").agg(F.min("id").alias("component"))
+    linked = linked.join(lowest, "root").select("class", "component")
+    copies = classes.filter("rows > 1").join(linked, "class", "left_anti").select("class", F.col("id").alias("component"))
+    component = materialise(linked.union(copies).withColumnRenamed("class", "of"), "partenum-components")
+    found = described.join(small_side(component), (F.col("class") == F.col("of")) & (F.col("n_shingles") > 0), "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(df: DataFrame, **options) -> DataFrame:
     """``df`` without the rows whose text is linked, over any path, with one of a smaller id.
 
-    Of wholly repeated ids all rows stay together with the first; null ids stay.
+    Rows of one id stay if any of them would; null ids stay.
     """
-    found = jaccard_components(df, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = materialise(found, "partenum-gone")
+    found = jaccard_components(df, **options).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("goes"))
+    gone = materialise(found.filter("goes").select(F.col("doc_id").alias("__gone")), "partenum-gone")
     return df.join(small_side(gone), df["doc_id"] == F.col("__gone"), "left_anti")
