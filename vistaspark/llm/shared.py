@@ -2,9 +2,9 @@
 
 A shingle that one class of texts alone has can't be in an intersection, and most shingles
 are of that kind. To find them, tasks put texts together to chunks and send each shingle's
-hash to a bucket, packed; a bucket tells the classes which of their hashes others have. What
-two classes of a chunk share is answered on the spot and sent once, so however common a
-shingle is, a bucket gets it once a chunk.
+hash to a bucket, packed; a bucket answers each chunk which of its hashes others have, and
+the answers of a chunk are put together again. What two classes of a chunk share is answered
+on the spot and sent once, so however common a shingle is, a bucket gets it once a chunk.
 """
 
 from __future__ import annotations
@@ -13,16 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistaspark.llm.shingles import mix, shingle_set, texts_of
 
 #: Shingles and classes of a chunk; hashes of a bucket.
-CHUNK, CLASSES, BUCKET = 1 << 20, 65_535, 1 << 22
+CHUNK, CLASSES, BUCKET = 1 << 20, 65_535, 1 << 21
 #: Stands for a hash that several classes of the chunk have: known to be shared, asked by none.
 KNOWN = 65_535
-PACKED = "bucket int, classes binary, owners binary, hashes binary"
+ASKED = "bucket long, chunk long, classes binary, owners binary, hashes binary"
+#: Of each class the count of its hashes, and the hashes in the order of classes.
+ANSWERED = "chunk long, classes binary, counts binary, hashes binary"
 
 
 def class_of(shingles: np.ndarray) -> tuple[int, int]:
@@ -52,7 +55,8 @@ def _ask(k: int, buckets: int, lists: bool):
     edges = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in _chunks(batches, k):
+        task = TaskContext.get().partitionId() << 32
+        for number, sets in enumerate(_chunks(batches, k)):
             classes = np.fromiter(sets, np.int64, len(sets))
             values = np.concatenate(list(sets.values()))
             owner = np.repeat(np.arange(len(sets), dtype=np.uint16), list(map(len, sets.values())))
@@ -61,7 +65,7 @@ def _ask(k: int, buckets: int, lists: bool):
             first = np.append(True, values[1:] != values[:-1])
             alone = first & np.append(first[1:], True)
             cuts = [0, *np.searchsorted(values, edges).tolist(), len(values)]
-            rows = [[], [], [], []]
+            rows = [[], [], [], [], []]
 
             def put(bucket: int, owners: np.ndarray, hashes: np.ndarray, known: bool) -> None:
                 asking, place = np.unique(owners, return_inverse=True)
@@ -69,7 +73,7 @@ def _ask(k: int, buckets: int, lists: bool):
                 if known:
                     place[owners == KNOWN] = KNOWN
                     asking = asking[asking != KNOWN]
-                for column, x in zip(rows, (bucket, classes[asking].tobytes(), place.tobytes(), hashes.astype(kind).tobytes()), strict=True):
+                for column, x in zip(rows, (bucket, task + number, classes[asking].tobytes(), place.tobytes(), hashes.astype(kind).tobytes()), strict=True):
                     column.append(x)
 
             for b, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -79,57 +83,95 @@ def _ask(k: int, buckets: int, lists: bool):
                     put(b, np.where(one, o, np.uint16(KNOWN))[asked], v[asked], True)
                     if not one.all():
                         put(-1 - b, o[~one], v[~one], False)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(x, pa.binary()) for x in rows[1:]]], ["bucket", "classes", "owners", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, [pa.int64()] * 2 + [pa.binary()] * 3, strict=True)], ["bucket", "chunk", "classes", "owners", "hashes"])
 
     return run
 
 
 def _answer(lists: bool):
-    kind, name = (np.uint64, "shingles") if lists else (np.uint32, "shared")
+    kind = np.uint64 if lists else np.uint32
 
-    def reply(owners: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+    def reply(chunk: int, owners: np.ndarray, hashes: np.ndarray) -> tuple:
         order = np.argsort(owners, kind="stable")
-        own, starts, counts = np.unique(owners[order], return_index=True, return_counts=True)
-        if not lists:
-            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts.astype(np.int64))], ["class", name])
-        offsets = np.append(starts, len(owners)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[order].view(np.int64)))], ["class", name])
+        own, counts = np.unique(owners, return_counts=True)
+        return chunk, own.tobytes(), counts.astype(np.uint32).tobytes(), hashes[order].tobytes() if lists else b""
 
-    def bucket_of(held: list) -> pa.RecordBatch:
-        hashes = np.concatenate([h for _, h in held])
-        owners = np.concatenate([o for o, _ in held])
+    def bucket_of(held: list) -> list[tuple]:
+        hashes = np.concatenate([h for _, _, h in held])
+        owners = np.concatenate([o for _, o, _ in held])
         order = np.argsort(hashes)
-        hashes, owners = hashes[order], owners[order]
-        starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        several = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts)
-        wanted = np.repeat(several, np.diff(np.append(starts, len(hashes)))) & (owners != 0)
-        return reply(owners[wanted], hashes[wanted])
+        sorted_owners = owners[order]
+        starts = np.flatnonzero(np.append(True, np.diff(hashes[order]) != 0))
+        several = np.minimum.reduceat(sorted_owners, starts) != np.maximum.reduceat(sorted_owners, starts)
+        wanted = np.empty(len(hashes), bool)
+        wanted[order] = np.repeat(several, np.diff(np.append(starts, len(hashes))))
+        wanted &= owners != 0
+        out, at = [], 0
+        for chunk, o, h in held:
+            mine = wanted[at : at + len(o)]
+            at += len(o)
+            if mine.any():
+                out.append(reply(chunk, o[mine], h[mine]))
+        return out
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64()] + [pa.binary()] * 3, strict=True)], ["chunk", "classes", "counts", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
-            for i, bucket in enumerate(batch.column(0).to_pylist()):
-                classes, owners, hashes = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((1, np.int64), (2, np.uint16), (3, kind)))
+            for i, (bucket, chunk) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                classes, owners, hashes = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((2, np.int64), (3, np.uint16), (4, kind)))
                 if bucket < 0:
-                    yield reply(classes[owners], hashes)
+                    yield batch_of([reply(chunk, classes[owners], hashes)])
                     continue
                 if bucket != now and held:
-                    yield bucket_of(held)
+                    if rows := bucket_of(held):
+                        yield batch_of(rows)
                     held = []
                 now = bucket
                 # a known hash has the owner 0, which is no class: with any other it makes two
-                held.append((np.where(owners == KNOWN, 0, np.append(classes, 0)[np.minimum(owners, len(classes))]), hashes))
+                held.append((chunk, np.where(owners == KNOWN, 0, np.append(classes, 0)[np.minimum(owners, len(classes))]), hashes))
+        if held and (rows := bucket_of(held)):
+            yield batch_of(rows)
+
+    return run
+
+
+def _gather(lists: bool):
+    """The answers of each chunk, which come sorted by chunk, as one row a class."""
+
+    def chunk_of(held: list) -> pa.RecordBatch:
+        classes, counts = (np.concatenate(x) for x in zip(*[h[:2] for h in held], strict=True))
+        own, place = np.unique(classes, return_inverse=True)
+        total = np.bincount(place, counts).astype(np.int64)
+        if not lists:
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(total)], ["class", "shared"])
+        order = np.argsort(np.repeat(place, counts), kind="stable")
+        hashes = np.concatenate([h[2] for h in held])[order]
+        offsets = np.append(0, np.cumsum(total)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes))], ["class", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            for i, chunk in enumerate(batch.column(0).to_pylist()):
+                if chunk != now and held:
+                    yield chunk_of(held)
+                    held = []
+                now = chunk
+                held.append(tuple(np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((1, np.int64), (2, np.uint32), (3, np.int64))))
         if held:
-            yield bucket_of(held)
+            yield chunk_of(held)
 
     return run
 
 
 def _exchange(texts: DataFrame, k: int, total: int, lists: bool) -> DataFrame:
     buckets = max(1, -(-total // BUCKET))
-    asked = texts.select("text").mapInArrow(_ask(k, buckets, lists), PACKED)
-    dealt = asked.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_answer(lists), "class long, shingles array<long>" if lists else "class long, shared long")
+    asked = texts.select("text").mapInArrow(_ask(k, buckets, lists), ASKED).repartition("bucket").sortWithinPartitions("bucket")
+    answered = asked.mapInArrow(_answer(lists), ANSWERED).repartition("chunk").sortWithinPartitions("chunk")
+    return answered.mapInArrow(_gather(lists), "class long, shingles array<long>" if lists else "class long, shared long")
 
 
 def shared_counts(texts: DataFrame, k: int, total: int) -> DataFrame:
