@@ -12,6 +12,7 @@ gap most tightly, as long as that leaves less empty.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -22,25 +23,123 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistaspark.llm.common import materialise, text_of, with_slots
+from vistaspark.llm.shingles import PIECE, span_hashes
 
 CAPACITY = 2048
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-#: Chunks whose ids a worker keeps; others are encoded again when they come.
-KEPT_CHUNKS = 300_000
+#: Bytes of chunks, and ids, that a worker keeps; beyond, it starts anew. Longer chunks are encoded when they come.
+KEPT_BYTES, KEPT_IDS, LONG_CHUNK = 16 << 20, 8 << 20, 256
+#: Bytes that no chunk is cut beside: white space and what may be a part of it in UTF-8.
+_CLOSED = np.zeros(256, bool)
+_CLOSED[[*range(33), 0x7F]] = True
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[ord(x) for x in ",.;:!?"]] = True
 
 
-def chunks_of(text: str) -> list[str]:
-    """Cut before each space that stands between two characters that are no white space.
+def chunk_starts(data: np.ndarray) -> np.ndarray:
+    """Where a text may be cut: before a space and on both sides of a line end that stand
+    between two characters that are no white space, and between a letter and a mark.
 
-    A byte-level pre-tokenizer starts a new piece at such a space and looks at nothing
-    beyond it, so the ids of a text are those of its chunks in a row.
+    A byte-level pre-tokenizer starts a new piece there and looks at nothing beyond, so the
+    ids of a text are those of its chunks in a row. Beside characters of the UTF-8 ranges
+    that hold the other kinds of white space nothing is cut.
     """
-    import re
+    at = np.flatnonzero((data[1:-1] == 32) | (data[1:-1] == 10)) + 1
+    before, after = data[at - 1], data[at + 1]
+    at = at[~_CLOSED[before] & ~_CLOSED[after] & ~np.isin(after, (0xC2, 0xE1, 0xE2, 0xE3))]
+    wide = data[at - 1] >= 0x80
+    second, third = data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    at = at[~(wide & ((second == 0xC2) | np.isin(third, (0xE1, 0xE2, 0xE3))))]
+    marks = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
+    return np.concatenate([at, at[data[at] == 10] + 1, marks])
 
-    if re.search(r" \s|\s ", text):
-        return re.split(r"(?<=\S)(?= \S)", text)
-    parts = text.split(" ")
-    return [parts[0], *[" " + x for x in parts[1:]]]
+
+class ChunkIds:
+    """Ids of chunks; a worker encodes each chunk it meets once, as far as it keeps them."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.places = np.zeros((1 << 14, 2), np.int64)  # start and number of the ids of each chunk
+        self.used = self.bytes = self.count = 0
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        encoded = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+        lists = [e.ids for e in encoded]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        new, first = int(lengths.sum()), self.count
+        while self.used + new > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while first + len(chunks) > len(self.places):
+            self.places = np.concatenate([self.places, np.zeros_like(self.places)])
+        self.ids[self.used : self.used + new] = np.fromiter((x for ids in lists for x in ids), np.uint32, new)
+        ends = self.used + np.cumsum(lengths)
+        self.places[first : first + len(chunks)] = np.stack([ends - lengths, lengths], axis=1)
+        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        self.used, self.count, self.bytes = self.used + new, first + len(chunks), self.bytes + sum(map(len, chunks))
+
+    def _spans(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, number of each span); the spans begin at ``starts``."""
+        if self.bytes > KEPT_BYTES or self.used > KEPT_IDS:
+            self.clear()
+        ends = np.append(starts[1:], len(data))
+        which, distinct = pd.factorize(span_hashes(data, starts))
+        first = np.empty(len(distinct), np.int64)
+        first[which[::-1]] = np.arange(len(starts))[::-1]
+        raw = data.tobytes()
+        chunks = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        missing = list(dict.fromkeys(c for c in chunks if c not in self.known))
+        if missing:
+            self._learn(missing)
+        places = self.places[np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))][which]
+        lengths = places[:, 1]
+        total = np.cumsum(lengths)
+        ids = self.ids[np.repeat(places[:, 0] - (total - lengths), lengths) + np.arange(total[-1])]
+        for c in missing:
+            if len(c) > LONG_CHUNK:  # its ids stay unused until the next start
+                del self.known[c]
+        return ids, lengths
+
+    def of(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that stand in a row, and where each begins and the last ends; ``bounds``: the same of their bytes."""
+        ids, starts, lengths, at, size = [], [], [], 0, PIECE
+        while at < len(data):
+            end = min(len(data), at + size)
+            starts_here = np.zeros(end - at, bool)
+            starts_here[0] = starts_here[chunk_starts(data[at:end])] = True
+            starts_here[bounds[np.searchsorted(bounds, at, "right") : np.searchsorted(bounds, end)] - at] = True
+            here = np.flatnonzero(starts_here)
+            if end < len(data) and len(here) < 2:
+                size *= 2
+                continue
+            if end - at > PIECE:  # its first chunk is that long, and goes alone
+                end, here = at + int(here[1]) if len(here) > 1 else end, here[:1]
+            elif end < len(data):  # the last chunk may go on
+                end, here = at + int(here[-1]), here[:-1]
+            if end - at > PIECE:
+                part = np.array(self.tokenizer.encode(data[at:end].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+                n = np.array([len(part)])
+            else:
+                part, n = self._spans(data[at:end], here)
+            ids.append(part), starts.append(here + at), lengths.append(n)
+            at, size = end, PIECE
+        if not ids:
+            return np.empty(0, np.uint32), np.zeros(len(bounds), np.int64)
+        total = np.append(0, np.cumsum(np.concatenate(lengths)))
+        return np.concatenate(ids), total[np.searchsorted(np.concatenate(starts), bounds)]
+
+
+@functools.lru_cache(1)
+def chunk_ids_of(path: str) -> ChunkIds:
+    """A worker keeps what it has met from task to task."""
+    return ChunkIds(path)
 
 
 def pieces_of(path: str, capacity: int, keep_ids: bool, end_id: int = 0):
@@ -50,31 +149,28 @@ def pieces_of(path: str, capacity: int, keep_ids: bool, end_id: int = 0):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer, known = Tokenizer.from_file(path), {"": b""}
-        end = np.array([end_id], "<u4").tobytes()
+        chunk_ids = chunk_ids_of(path)
         for batch in batches:
-            out = [[], [], [], [], [], []]
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                chunks = chunks_of(value.as_py())
-                if missing := [c for c in dict.fromkeys(chunks) if c not in known]:
-                    if len(known) > KEPT_CHUNKS:
-                        known = {"": b""} | dict(list(known.items())[: KEPT_CHUNKS // 2])
-                        missing = [c for c in dict.fromkeys(chunks) if c not in known]
-                    encoded = tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-                    known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(missing, encoded, strict=True))
-                ids = b"".join([*map(known.__getitem__, chunks), end])
-                n = len(ids) // 4
-                first = n - (-(-n // capacity) - 1) * capacity
-                bounds = [0, *range(first, n + 1, capacity)]
-                for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                    cut = ids[4 * a : 4 * b]
-                    for column, x in zip(out, (doc_id, k, a, b - a, zlib.crc32(cut), cut if keep_ids else None), strict=True):
-                        column.append(x)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
+            text = batch.column(1).cast(pa.large_string())
+            bounds = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+            ids, at = chunk_ids.of(data, bounds - bounds[0])
+            ends = at[1:] + np.arange(len(at) - 1)
+            whole, own = np.full(len(ids) + len(ends), end_id, "<u4"), np.ones(len(ids) + len(ends), bool)
+            own[ends] = False
+            whole[own] = ids
+            raw = memoryview(whole).cast("B")
+            at = at + np.arange(len(at))
+            sizes = np.diff(at)
+            pieces = -(-sizes // capacity)
+            owner = np.repeat(np.arange(len(sizes)), pieces)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            end = sizes[owner] - (pieces[owner] - 1 - piece) * capacity
+            start = np.where(piece > 0, end - capacity, 0)
+            cuts = [raw[4 * a : 4 * b] for a, b in zip((at[owner] + start).tolist(), (at[owner] + end).tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(end - start)]
+            columns += [pa.array([zlib.crc32(c) for c in cuts], pa.int64()), pa.array([bytes(c) for c in cuts] if keep_ids else [None] * len(cuts), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     return run
 

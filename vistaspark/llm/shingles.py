@@ -69,6 +69,19 @@ def _hash_piece(data: np.ndarray) -> np.ndarray:
     return mix(sums + (ends - starts).astype(np.uint64) * _M2)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the spans of at most ``PIECE`` bytes that begin at ``starts`` (the first at 0) and follow each other."""
+    terms = _BYTE[data] * _UP[: len(data)]
+    lengths = np.diff(np.append(starts, len(data))).astype(np.uint64)
+    return mix(np.add.reduceat(terms, starts) * _DOWN[starts] + lengths * _M2)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values (``np.unique`` hashes integers first, which is slower by far)."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def shingle_set(data: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; with fewer words, of all words as one; none without words."""
     words = word_hashes(data)
@@ -79,7 +92,7 @@ def shingle_set(data: np.ndarray, k: int) -> np.ndarray:
     h = np.full(n - width + 1, np.uint64(width), np.uint64)
     for i in range(width):
         h = mix(h * _BASE + words[i : n - width + 1 + i])
-    return np.unique(h)
+    return distinct(h)
 
 
 def texts_of(column: pa.Array) -> Iterator[np.ndarray]:
