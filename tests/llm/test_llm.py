@@ -404,3 +404,67 @@ def test_pipeline_against_its_parts(spark):
     want = {r["doc_id"]: r["taken"] // r["size"] for r in mixed if r["taken"]}
     got = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, SF).filter("piece = 0").collect())
     assert got == want
+
+
+def plain_differencing(pages):
+    """Page differencing as a plain loop over each host's pages in the order of paths."""
+    from urllib.parse import urlsplit
+
+    read = {i: page_text.lines_of(h or "") for i, _, h in pages}
+    keys = sorted(((urlsplit(u or "").netloc.lower(), urlsplit(u or "").path, i) for i, u, _ in pages))
+    out = {}
+    for n, (host, _, i) in enumerate(keys):
+        lines, kinds = read[i]
+        gone = set()
+        for m in (n - 1, n + 1):
+            if 0 <= m < len(keys) and keys[m][0] == host:
+                other = read[keys[m][2]][0]
+                table = [[0] * (len(other) + 1) for _ in range(len(lines) + 1)]
+                for a in range(len(lines) - 1, -1, -1):
+                    for b in range(len(other) - 1, -1, -1):
+                        table[a][b] = table[a + 1][b + 1] + 1 if lines[a] == other[b] else max(table[a + 1][b], table[a][b + 1])
+                a = b = 0
+                shared = set()
+                while a < len(lines) and b < len(other):
+                    if lines[a] == other[b]:
+                        shared.add(a)
+                        a, b = a + 1, b + 1
+                    elif table[a + 1][b] >= table[a][b + 1]:
+                        a += 1
+                    else:
+                        b += 1
+                if 10 * sum(len(lines[x]) for x in shared) <= 9 * sum(map(len, lines)):
+                    gone |= shared
+        out[i] = "\n\n".join(x for k, x in enumerate(lines) if kinds[k] == page_text.ARTICLE or kinds[k] == page_text.OPEN and k not in gone)
+    return out
+
+
+def test_page_differencing_against_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    pages = []
+    for i in range(120):
+        host, article = f"h{i % 5}", i % 4 == 0
+        frame = [f"<div>frame {host} {k}</div>" for k in range(4)]
+        body = [f"<p>text {i} {k} {rng.integers(1000)}</p>" for k in range(int(rng.integers(1, 6)))] + (["<p>shared licence</p>"] if i % 3 else [])
+        inner = "".join(body)
+        pages.append((i, f"http://{host}/{int(rng.integers(40)):03d}/{i:03d}?q={i}", "".join(frame[:2]) + (f"<article>{inner}</article>" if article else inner) + "".join(frame[2:])))
+    pages += [(200, "http://h0/000/copy", pages[0][2]), (201, None, "<p>no address</p>"), (202, "http://h1/long", "<p>" + "long text " * 50_000 + "</p>")]
+    got = page_text.page_text(spark.createDataFrame([(*p, 1, "x") for p in pages], "page_id long, url string, html string, row int, lines string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == plain_differencing(pages)
+    assert sum(r["n_shared"] for r in got) > 400 and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert any("shared licence" in r["text"] for r in got if r["page_id"] % 4 == 0 and r["page_id"] % 3)
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<script ", "<", "<!--", '<p class="', "</", "<nav>", "<b class='x"])
+def test_long_broken_pages_are_read_in_one_scan(part):
+    import time
+
+    start = time.monotonic()
+    page_text.lines_of("<p>a" + part * (1_000_000 // len(part)) + "</p>")
+    assert time.monotonic() - start < 20
+
+
+def test_heading_of_an_article_stays():
+    page = '<div class="site-header">S</div><article><div class="entry-header"><h1>Title</h1></div><p>Body</p><div class="share">no</div></article>'
+    lines, kinds = page_text.lines_of(page)
+    assert [x for x, k in zip(lines, kinds, strict=True) if k == page_text.ARTICLE] == ["Title", "Body"]

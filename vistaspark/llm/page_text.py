@@ -1,30 +1,30 @@
 """HTML extraction by nearest-URL page differencing.
 
-A page is read into text lines, one per block. Where the markup names the article, its lines
-are the text, without the menus, forms, adverts, comments and the like that stand in it.
-Where it doesn't, the page is paired with its neighbours in the order of URL paths within its
-host, lines are aligned by longest common subsequence, and the lines that pages share, the
-frame of the site, are deleted.
-
-Differencing alone can't give the contract's text: a line that two articles share (a copied
-article, a licence line) would go, and a frame with words of its own on each page would stay.
-So it decides only where the markup leaves the article open.
+A page is read into text lines, one per block, frame and article alike. Each page is paired
+with its neighbours in the order of URL paths within its host, the pages' lines are aligned
+by longest common subsequence, and the lines that they share, the frame of the site, go.
+
+Then the markup is held against that, as an exact check. A shared line that stands in the
+element that names the article stays: a copied article or a licence line is no frame. A line
+that is not shared but stands in a menu, form, advert, comment or the like, or outside the
+article that the page names, goes: a frame can have words of its own on each page.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vistaspark.llm.common import materialise
+from vistaspark.llm.chaining import common
+from vistaspark.llm.common import materialise, small_side
 
 # Names of HTML elements and the usual names of page parts.
 BLOCKS = set(
@@ -34,7 +34,7 @@ BLOCKS = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = set("aside button canvas datalist dialog footer form head iframe menu nav noscript object search select svg template textarea title".split())
-RAW = "script|style|textarea|title|noscript|iframe|template|svg|xmp"
+RAW = set("iframe noembed noframes script style textarea title xmp".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words in a class or id that mark a part of the frame.
 MARKS = set(
@@ -44,10 +44,12 @@ MARKS = set(
     "sidebar signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
 )
 
-_TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*)>""",
-    re.S | re.I,
-)
+#: Words in a class that mark the frame of a site, but the heading of an article within it.
+HEADINGS = {"header"}
+
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>""")
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I) for tag in RAW}
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|$)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
@@ -59,107 +61,140 @@ def _part(tag: str, attrs: str, in_article: bool) -> str:
             return "frame"
         if name == "role" and value in ROLES:
             return "frame"
-        if name in ("class", "id") and tag not in ("html", "body") and MARKS & set(re.split(r"[^a-z]+", value)):
+        if name in ("class", "id") and tag not in ("html", "body") and (MARKS - HEADINGS if in_article else MARKS) & set(re.split(r"[^a-z]+", value)):
             return "frame" if tag not in ("article", "main") or "comment" in value else "article"
     if tag in DROPPED or tag == "header" and not in_article:
         return "frame"
     return "article" if tag in ("article", "main") else ""
 
 
-def lines_of(page: str) -> tuple[list[str] | None, list[str]]:
-    """(lines of the named article or None, lines in no named part), in page order."""
-    article, rest, pieces = [], [], []
+def tokens(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(text before, whether an end tag, tag or '', attributes) in page order, in one forward scan.
+
+    Comments, declarations and the content of scripts and the like are left out. Once a quote
+    in a tag is found to have no end, quotes no longer hold tags together.
+    """
+    at, form, strict = 0, _TAG, True
+    while (lt := page.find("<", at)) >= 0:
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            yield page[at:lt], False, "", ""
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        kind = page[lt + 1 : lt + 3]
+        if kind[:1] in ("!", "?"):
+            end = page.find(">", lt)
+            if end < 0:
+                break
+            yield page[at:lt], False, "", ""
+            at = end + 1
+            continue
+        if not (kind[:1].isascii() and kind[:1].isalpha() or kind[:1] == "/" and kind[1:].isascii() and kind[1:].isalpha()):
+            yield page[at : lt + 1], False, "", ""
+            at = lt + 1
+            continue
+        m = form.match(page, lt)
+        if m is None and strict:
+            form, strict = _LOOSE_TAG, False
+            m = form.match(page, lt)
+        if m is None:  # no ">" is left
+            break
+        tag = m[2].lower()
+        yield page[at:lt], m[1] == "/", tag, m[3]
+        at = m.end()
+        if tag in RAW and not m[1]:
+            end = _END[tag].search(page, at)
+            at = end.end() if end else len(page)
+    yield page[at:], False, "", ""
+
+
+#: What the markup says of a line: in the article that the page names; in the frame, or
+#: outside that article; neither.
+ARTICLE, FRAME, OPEN = 1, 2, 0
+
+
+def lines_of(page: str) -> tuple[list[str], list[int]]:
+    """The lines of a page in order, and what the markup says of each."""
+    lines, kinds, pieces = [], [], []
     stack: list[tuple[str, str]] = []  # open elements that name a part, or whose end must be told from theirs
-    frames = articles = 0
+    named: dict[str, int] = {}  # of them, those that name a part, by tag
+    parts = {"frame": 0, "article": 0, "": 0}
     found = False
 
     def close() -> None:
         line = " ".join(html.unescape("".join(pieces)).split())
         pieces.clear()
-        if line and not frames:
-            (article if articles else rest).append(line)
+        if line:
+            lines.append(line)
+            kinds.append(FRAME if parts["frame"] else ARTICLE if parts["article"] else OPEN)
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            pieces.append(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+    for text, is_end, tag, attrs in tokens(page):
+        pieces.append(text)
+        if not tag:
             continue
-        tag = tag.lower()
         if tag == "br":
             pieces.append(" ")
             continue
         if tag in BLOCKS:
             close()
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if any(part for _, part in stack[k:]) and tag not in BLOCKS:
-                        close()
-                    for _, part in stack[k:]:
-                        frames -= part == "frame"
-                        articles -= part == "article"
-                    del stack[k:]
-                    break
-        elif tag not in VOID and not m["attrs"].rstrip().endswith("/"):
-            part = _part(tag, m["attrs"], articles > 0)
-            if part or any(t == tag and p for t, p in stack):
+        if is_end:
+            # of elements that name no part only those are on the stack that stand in one of the same tag
+            if named.get(tag):
+                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag)
+                if any(part for _, part in stack[k:]) and tag not in BLOCKS:
+                    close()
+                for t, part in stack[k:]:
+                    parts[part] -= 1
+                    named[t] -= part != ""
+                del stack[k:]
+        elif tag not in VOID and not attrs.rstrip().endswith("/"):
+            part = _part(tag, attrs, parts["article"] > 0)
+            if part or named.get(tag):
                 if part and tag not in BLOCKS:
                     close()
                 stack.append((tag, part))
-                frames += part == "frame"
-                articles += part == "article"
-                found = found or part == "article" and not frames
-    pieces.append(page[at:])
+                parts[part] += 1
+                named[tag] = named.get(tag, 0) + (part != "")
+                found = found or part == "article" and not parts["frame"]
     close()
-    return (article if found else None), rest
-
-
-def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b`` (Hunt and Szymanski)."""
-    where = defaultdict(list)
-    for j, line in enumerate(b):
-        where[line].append(j)
-    ends, links = [], []
-    for i, line in enumerate(a):
-        for j in reversed(where.get(line, ())):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j), links.append(link)
-            else:
-                ends[k], links[k] = j, link
-    out, link = set(), links[-1] if links else None
-    while link:
-        out.add(link[0])
-        link = link[1]
-    return out
-
-
-def without_shared(lines: list[str], *others: list[str] | None) -> list[str]:
-    """``lines`` less those on a common subsequence with a neighbour.
+    return lines, [FRAME if found and kind == OPEN else kind for kind in kinds]
+
+
+def common_lines(a: list, b: list) -> set[int]:
+    """Places in ``a`` of a longest common subsequence with ``b``."""
+    return set(common(np.asarray(a), np.asarray(b))[0].tolist())
+
+
+def shared_lines(lines: list, lengths: list[int], *others: list | None) -> list[bool]:
+    """For each line, whether it is on a common subsequence with a neighbour.
 
     A neighbour that shares more than nine tenths of the page's characters is a copy of the
-    article, not only of the frame, and is left out.
+    article, not only of the frame: it tells nothing and is left out.
     """
-    gone, whole = set(), sum(map(len, lines))
+    shared, whole = np.zeros(len(lines), bool), sum(lengths)
     for other in others:
-        shared = common_lines(lines, other) if other is not None else set()
-        if 10 * sum(len(lines[i]) for i in shared) <= 9 * whole:
-            gone |= shared
-    return [x for i, x in enumerate(lines) if i not in gone]
+        places = list(common_lines(lines, other)) if other is not None and len(other) and len(lines) else []
+        if 10 * sum(lengths[i] for i in places) <= 9 * whole:
+            shared[places] = True
+    return shared.tolist()
+
+
+def _digest(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "big", signed=True)
+
+
+#: What is kept of a page: of each line a hash, its length and what the markup says; the lines outside the frame.
+READ = {"hashes": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "kinds": pa.list_(pa.int8()), "lines": pa.list_(pa.string())}
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, rests = [], []
+        columns = [[], [], [], []]
         for value in batch.column(1):
-            article, rest = lines_of(value.as_py())
-            texts.append(None if article is None else "\n\n".join(article))
-            rests.append(rest if article is None else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts, pa.string()), pa.array(rests, pa.list_(pa.string()))], ["page_id", "url", "text", "lines"])
+            own, said = lines_of(value.as_py())
+            for column, x in zip(columns, ([_digest(x) for x in own], [len(x) for x in own], said, [x for x, kind in zip(own, said, strict=True) if kind != FRAME]), strict=True):
+                column.append(x)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(x, t) for x, t in zip(columns, READ.values(), strict=True)]], ["page_id", "url", *READ])
 
 
 def _neighbours(pages: DataFrame) -> DataFrame:
@@ -178,34 +213,40 @@ def _neighbours(pages: DataFrame) -> DataFrame:
     ends = ends.select("part", F.lag("tail").over(parts).alias("tail_before"), F.lead("head").over(parts).alias("head_after"))
     inside = Window.partitionBy("part").orderBy("host", "path", "row")
     near = dealt.select("row", "host", "part", F.lag(key).over(inside).alias("b"), F.lead(key).over(inside).alias("a"))
+    # one row a partition
     near = near.join(F.broadcast(ends), "part").withColumn("b", F.coalesce("b", "tail_before")).withColumn("a", F.coalesce("a", "head_after"))
     same = lambda x: F.when(F.col(f"{x}.host") == F.col("host"), F.col(f"{x}.row"))
     return near.select("row", same("b").alias("before"), same("a").alias("after"))
 
 
 def page_text(df: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for every row of ``df`` (page_id, url, html).
+    """page_id, url, text, n_chars, n_lines, n_shared for every row of ``df`` (page_id, url, html).
 
-    Null and empty html give an empty text, a null url a page of an empty host. Of copies of
-    a page, each gets its text. An empty table gives an empty result. Other columns are not
-    read.
+    ``n_lines``: all text lines of the page, ``n_shared``: those that its neighbours share.
+    Null and empty html give an empty text, a null url a page of an empty host; broken and
+    very long html is read to its end in one scan. Of copies of a page, each gets its text,
+    and repeated page_ids are rows of their own. An empty table gives an empty result. Other
+    columns are not read.
     """
     source = df.select("page_id", F.coalesce("html", F.lit("")).alias("html"), "url")
     kinds = dict(df.dtypes)
-    read = source.mapInArrow(_read, f"page_id {kinds['page_id']}, url string, text string, lines array<string>")
+    read = source.mapInArrow(_read, f"page_id {kinds['page_id']}, url string, hashes array<long>, lengths array<int>, kinds array<tinyint>, lines array<string>")
     read = materialise(read.withColumn("row", F.monotonically_increasing_id()), "page-lines")
-    named = read.filter("text IS NOT NULL").select("page_id", "url", "text")
-    unnamed = read.filter("text IS NULL AND size(lines) > 0")
-    lines = unnamed.select("row", "lines")
-
-    @F.pandas_udf("string")
-    def rest(own: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
-        as_list = lambda x: None if x is None else list(x)
-        return pd.Series(["\n\n".join(without_shared(list(a), as_list(b), as_list(c))) for a, b, c in zip(own, before, after, strict=True)], dtype=object)
-
-    paired = unnamed.join(_neighbours(unnamed), "row")
-    paired = paired.join(lines.select(F.col("row").alias("before"), F.col("lines").alias("lines_before")), "before", "left")
-    paired = paired.join(lines.select(F.col("row").alias("after"), F.col("lines").alias("lines_after")), "after", "left")
-    differenced = paired.select("page_id", "url", rest("lines", "lines_before", "lines_after").alias("text"))
-    blank = read.filter("text IS NULL AND size(lines) = 0").select("page_id", "url", F.lit("").alias("text"))
-    return named.union(differenced).union(blank).withColumn("n_chars", F.length("text").cast("long"))
+    # lines are aligned by their hashes: what moves between tasks is some bytes a line
+    narrow = read.select("row", "url", "hashes", "lengths")
+    near = _neighbours(narrow)
+
+    @F.pandas_udf("array<boolean>")
+    def shared(own: pd.Series, lengths: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series([shared_lines(a, n.tolist(), b, c) for a, n, b, c in zip(own, lengths, before, after, strict=True)], dtype=object)
+
+    of = lambda side: narrow.select(F.col("row").alias(side), F.col("hashes").alias(f"hashes_{side}"))
+    paired = narrow.join(near, "row").join(of("before"), "before", "left").join(of("after"), "after", "left")
+    aligned = paired.select("row", shared("hashes", "lengths", "hashes_before", "hashes_after").alias("shared"))
+    aligned = materialise(aligned, "page-shared")
+    size = aligned.agg(F.count(F.lit(1)), F.sum(F.size("shared"))).first()
+    whole = read.join(small_side(aligned, max(size[0], (size[1] or 0) // 32)), "row")
+    outside = F.filter(F.arrays_zip("kinds", "shared"), lambda x: x["kinds"] != FRAME)
+    stays = F.filter(F.arrays_zip("lines", outside.alias("said")), lambda x: (x["said"]["kinds"] == ARTICLE) | ~x["said"]["shared"])
+    whole = whole.withColumn("text", F.array_join(F.transform(stays, lambda x: x["lines"]), "\n\n"))
+    return whole.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.size("kinds").alias("n_lines"), F.size(F.filter("shared", lambda x: x)).alias("n_shared"))
