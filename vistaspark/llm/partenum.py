@@ -15,8 +15,9 @@ against every pair of it: a class with more than ``1 - t`` of such shingles is l
 nothing, and the others sign only what they share (``shared``). That leaves out all but the
 near-copies and what is made of common passages, so a signature seldom joins unlike sets.
 
-Classes that share signatures, over any path, form a cluster. It is not expanded into pairs:
-its classes are dealt to blocks, a task merges what is linked within a block and with a few
+Classes that share signatures, over any path, form a cluster, and within it those that share
+rare shingles (a prefix filter, the exact second key). It is not expanded into pairs: its
+classes are dealt to blocks, a task merges what is linked within a block and with a few
 pivots that stand in all blocks, and what is then still apart from the cluster's largest
 component is compared with the whole cluster, block by block. Before two sets are compared,
 the parities of their shingle counts in cells must leave the pair open: those differ in no
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from vistaspark.llm.common import discard, materialise, small_side, text_of
 from vistaspark.llm.components import connected_components
 from vistaspark.llm.shared import class_of, shared_counts, shared_shingles
-from vistaspark.llm.shingles import mix, shingle_set, texts_of
+from vistaspark.llm.shingles import distinct, mix, shingle_set, texts_of
 
 SUBSETS = ((0, 1), (0, 2), (1, 2))
 
@@ -107,7 +108,7 @@ def _sets_of(column: pa.Array) -> list[np.ndarray]:
 def _sign(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [np.unique(signatures(s, num, den, n)).view(np.int64) for n, s in zip(batch.column(1).to_pylist(), _sets_of(batch.column(2)), strict=True)]
+            lists = [distinct(signatures(s, num, den, n)).view(np.int64) for n, s in zip(batch.column(1).to_pylist(), _sets_of(batch.column(2)), strict=True)]
             offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             values = np.concatenate(lists) if lists else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["class", "signatures"])
@@ -213,30 +214,50 @@ def _every(n: str):
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
 
-def _clusters(reduced: DataFrame, num: int, den: int) -> DataFrame:
-    """node, root: which classes share signatures over any path.
+def _joined(rows: DataFrame, keys: list[str], classes: int) -> DataFrame:
+    """node, root: which classes share keys over any path; ``rows``: class and keys.
 
-    The rows of a signature are linked with the first of their salt, and those with the
-    signature's first, so that a signature of very many classes is no one task's.
+    The rows of a key are linked with the first of their salt, and those with the key's
+    first, so that a key of very many classes is no one task's.
     """
-    salts = -(-reduced.count() // 100_000)
-    rows = reduced.select("class", "n", "shingles").mapInArrow(_sign(num, den), "class long, signatures array<long>")
-    rows = rows.select("class", F.explode("signatures").alias("signature"), F.pmod(F.xxhash64("class"), F.lit(max(1, salts))).alias("salt"))
-    first = F.min("class").over(Window.partitionBy("signature", "salt"))
-    stars = materialise(rows.withColumn("first", first).filter((F.col("class") != F.col("first")) | F.lit(salts > 1)).groupBy("signature", "class", "first").count().drop("count"), "partenum-stars")
+    salts = -(-classes // 100_000)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(max(1, salts))))
+    first = F.min("class").over(Window.partitionBy(*keys, "salt"))
+    stars = materialise(rows.withColumn("first", first).filter((F.col("class") != F.col("first")) | F.lit(salts > 1)).select(*(keys if salts > 1 else []), "class", "first").distinct(), "partenum-stars")
     edges = stars.select(F.col("class").alias("a"), F.col("first").alias("b"))
     if salts > 1:
-        heads = stars.groupBy("signature").agg(F.min("first").alias("b")).join(stars.filter("class = first").select("signature", F.col("class").alias("a")), "signature")
-        edges = edges.union(heads.select("a", "b"))
+        heads = stars.filter("class = first").select(*keys, F.col("class").alias("a"))
+        edges = edges.union(heads.join(stars.groupBy(*keys).agg(F.min("first").alias("b")), keys).select("a", "b"))
     clusters = connected_components(edges)
     discard(stars)
     return clusters
 
 
+def _clusters(reduced: DataFrame, num: int, den: int) -> DataFrame:
+    """cluster, class, n, shingles: classes that may be linked over any path; what stands alone is left out.
+
+    Similar sets share a signature; over any path, the classes that do are together. Within,
+    similar sets share one of their rarest shingles too: of a set of n, t * n or more are in
+    the other, so one of those is among the first n - t * n + 1 in any order that both keep,
+    here that of how many classes of the cluster have the shingle. A shingle that one class
+    alone has comes first and joins nothing, so few classes are left with a common passage.
+    """
+    classes = reduced.count()
+    signed = reduced.select("class", "n", "shingles").mapInArrow(_sign(num, den), "class long, signatures array<long>")
+    signed = _joined(signed.select("class", F.explode("signatures").alias("signature")), ["signature"], classes)
+    members = reduced.join(signed.withColumnRenamed("root", "cluster"), F.col("class") == F.col("node")).select("cluster", "class", "shingles")
+    single = members.select("cluster", "class", F.explode("shingles").alias("shingle"))
+    counts = single.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    held = single.join(counts, ["cluster", "shingle"]).groupBy("cluster", "class").agg(F.sort_array(F.collect_list(F.struct("classes", "shingle"))).alias("held"))
+    first = F.size("held") - F.ceil(F.col("n") * num / den).cast("int") + 1
+    rare = held.join(reduced.select("class", "n"), "class").filter(first > 0).select("cluster", "class", F.explode(F.slice("held", F.lit(1), first)).alias("x"))
+    rare = _joined(rare.select("cluster", F.col("x.shingle").alias("shingle"), "class"), ["cluster", "shingle"], classes)
+    return reduced.join(rare.withColumnRenamed("root", "cluster"), F.col("class") == F.col("node")).drop("node")
+
+
 def _links(reduced: DataFrame, num: int, den: int) -> DataFrame:
     """node, root of all classes that are linked; ``reduced``: class, n, shingles."""
-    clusters = _clusters(reduced, num, den)
-    members = reduced.join(clusters.withColumnRenamed("root", "cluster"), F.col("class") == F.col("node")).drop("node")
+    members = _clusters(reduced, num, den)
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("count"), F.sum(F.size("shingles")).alias("total"))
     blocks = F.greatest(F.ceil(F.col("count") / BLOCK_CLASSES), F.ceil(F.col("total") / BLOCK_SHINGLES))
     sizes = materialise(sizes.withColumn("blocks", blocks.cast("long")), "partenum-clusters")

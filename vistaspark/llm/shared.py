@@ -23,9 +23,10 @@ from vistaspark.llm.shingles import mix, shingle_set, texts_of
 CHUNK, CLASSES, BUCKET = 1 << 20, 65_535, 1 << 21
 #: Stands for a hash that several classes of the chunk have: known to be shared, asked by none.
 KNOWN = 65_535
-ASKED = "bucket long, chunk long, classes binary, owners binary, hashes binary"
-#: Of each class the count of its hashes, and the hashes in the order of classes.
-ANSWERED = "chunk long, classes binary, counts binary, hashes binary"
+#: ``owners``: places of the classes in their chunk. One row of a chunk brings the classes instead, and no bucket.
+ASKED = "bucket long, chunk long, owners binary, hashes binary, classes binary"
+#: Of each owner the count of its hashes, and the hashes in the order of owners; or the classes of the chunk.
+ANSWERED = "chunk long, owners binary, counts binary, hashes binary, classes binary"
 
 
 def class_of(shingles: np.ndarray) -> tuple[int, int]:
@@ -65,75 +66,74 @@ def _ask(k: int, buckets: int, lists: bool):
             first = np.append(True, values[1:] != values[:-1])
             alone = first & np.append(first[1:], True)
             cuts = [0, *np.searchsorted(values, edges).tolist(), len(values)]
-            rows = [[], [], [], [], []]
+            rows = [(-1, task + number, b"", b"", classes.tobytes())]
 
-            def put(bucket: int, owners: np.ndarray, hashes: np.ndarray, known: bool) -> None:
-                asking, place = np.unique(owners, return_inverse=True)
-                place = place.astype(np.uint16)
-                if known:
-                    place[owners == KNOWN] = KNOWN
-                    asking = asking[asking != KNOWN]
-                for column, x in zip(rows, (bucket, task + number, classes[asking].tobytes(), place.tobytes(), hashes.astype(kind).tobytes()), strict=True):
-                    column.append(x)
+            def put(bucket: int, owners: np.ndarray, hashes: np.ndarray) -> None:
+                rows.append((bucket, task + number, owners.tobytes(), hashes.astype(kind).tobytes(), None))
 
             for b, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 v, o, one = values[low:high], owner[low:high], alone[low:high]
                 if len(v):
                     asked = first[low:high]
-                    put(b, np.where(one, o, np.uint16(KNOWN))[asked], v[asked], True)
+                    put(b, np.where(one, o, np.uint16(KNOWN))[asked], v[asked])
                     if not one.all():
-                        put(-1 - b, o[~one], v[~one], False)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, [pa.int64()] * 2 + [pa.binary()] * 3, strict=True)], ["bucket", "chunk", "classes", "owners", "hashes"])
+                        put(-2 - b, o[~one], v[~one])
+            yield _batch(rows, ASKED)
 
     return run
 
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*[x.split() for x in schema.split(", ")], strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if t == "long" else pa.binary()) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
+
+
 def _answer(lists: bool):
     kind = np.uint64 if lists else np.uint32
 
     def reply(chunk: int, owners: np.ndarray, hashes: np.ndarray) -> tuple:
         order = np.argsort(owners, kind="stable")
-        own, counts = np.unique(owners, return_counts=True)
-        return chunk, own.tobytes(), counts.astype(np.uint32).tobytes(), hashes[order].tobytes() if lists else b""
+        counts = np.bincount(owners)
+        own = np.flatnonzero(counts).astype(np.uint16)
+        return chunk, own.tobytes(), counts[own].astype(np.uint32).tobytes(), hashes[order].tobytes() if lists else b"", None
 
-    def bucket_of(held: list) -> list[tuple]:
+    def bucket_of(held: list) -> Iterator[pa.RecordBatch]:
         hashes = np.concatenate([h for _, _, h in held])
-        owners = np.concatenate([o for _, o, _ in held])
+        # who asks: the chunk and the owner; a known hash differs from all of them
+        askers = np.concatenate([np.where(o == KNOWN, -1, o + (np.int64(i) << 16)) for i, (_, o, _) in enumerate(held)])
         order = np.argsort(hashes)
-        sorted_owners = owners[order]
+        askers = askers[order]
         starts = np.flatnonzero(np.append(True, np.diff(hashes[order]) != 0))
-        several = np.minimum.reduceat(sorted_owners, starts) != np.maximum.reduceat(sorted_owners, starts)
+        several = np.minimum.reduceat(askers, starts) != np.maximum.reduceat(askers, starts)
         wanted = np.empty(len(hashes), bool)
-        wanted[order] = np.repeat(several, np.diff(np.append(starts, len(hashes))))
-        wanted &= owners != 0
+        wanted[order] = np.repeat(several, np.diff(np.append(starts, len(hashes)))) & (askers >= 0)
         out, at = [], 0
         for chunk, o, h in held:
             mine = wanted[at : at + len(o)]
             at += len(o)
             if mine.any():
                 out.append(reply(chunk, o[mine], h[mine]))
-        return out
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64()] + [pa.binary()] * 3, strict=True)], ["chunk", "classes", "counts", "hashes"])
+        if out:
+            yield _batch(out, ANSWERED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
             for i, (bucket, chunk) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                classes, owners, hashes = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((2, np.int64), (3, np.uint16), (4, kind)))
+                if bucket == -1:
+                    yield _batch([(chunk, None, None, None, batch.column(4)[i].as_py())], ANSWERED)
+                    continue
+                owners, hashes = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((2, np.uint16), (3, kind)))
                 if bucket < 0:
-                    yield batch_of([reply(chunk, classes[owners], hashes)])
+                    yield _batch([reply(chunk, owners, hashes)], ANSWERED)
                     continue
                 if bucket != now and held:
-                    if rows := bucket_of(held):
-                        yield batch_of(rows)
+                    yield from bucket_of(held)
                     held = []
                 now = bucket
-                # a known hash has the owner 0, which is no class: with any other it makes two
-                held.append((chunk, np.where(owners == KNOWN, 0, np.append(classes, 0)[np.minimum(owners, len(classes))]), hashes))
-        if held and (rows := bucket_of(held)):
-            yield batch_of(rows)
+                held.append((chunk, owners, hashes))
+        if held:
+            yield from bucket_of(held)
 
     return run
 
@@ -141,35 +141,41 @@ def _answer(lists: bool):
 def _gather(lists: bool):
     """The answers of each chunk, which come sorted by chunk, as one row a class."""
 
-    def chunk_of(held: list) -> pa.RecordBatch:
-        classes, counts = (np.concatenate(x) for x in zip(*[h[:2] for h in held], strict=True))
-        own, place = np.unique(classes, return_inverse=True)
-        total = np.bincount(place, counts).astype(np.int64)
-        if not lists:
-            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(total)], ["class", "shared"])
-        order = np.argsort(np.repeat(place, counts), kind="stable")
-        hashes = np.concatenate([h[2] for h in held])[order]
-        offsets = np.append(0, np.cumsum(total)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes))], ["class", "shingles"])
+    def chunk_of(held: list, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if held:
+            owners, counts = (np.concatenate(x) for x in zip(*[h[:2] for h in held], strict=True))
+            total = np.bincount(owners, counts, minlength=len(classes)).astype(np.int64)
+            own = np.flatnonzero(total)
+            if lists:
+                order = np.argsort(np.repeat(owners, counts), kind="stable")
+                hashes = np.concatenate([h[2] for h in held])[order]
+                offsets = np.append(0, np.cumsum(total[own])).astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes))
+            else:
+                found = pa.array(total[own])
+            yield pa.RecordBatch.from_arrays([pa.array(classes[own]), found], ["class", "shingles" if lists else "shared"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
+        held, classes, now = [], np.empty(0, np.int64), None
         for batch in batches:
             for i, chunk in enumerate(batch.column(0).to_pylist()):
-                if chunk != now and held:
-                    yield chunk_of(held)
-                    held = []
-                now = chunk
-                held.append(tuple(np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((1, np.int64), (2, np.uint32), (3, np.int64))))
-        if held:
-            yield chunk_of(held)
+                if chunk != now:
+                    yield from chunk_of(held, classes)
+                    held, now = [], chunk
+                if batch.column(4)[i].is_valid:
+                    classes = np.frombuffer(batch.column(4)[i].as_buffer(), np.int64)
+                else:
+                    held.append(tuple(np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((1, np.uint16), (2, np.uint32), (3, np.int64))))
+        yield from chunk_of(held, classes)
 
     return run
 
 
 def _exchange(texts: DataFrame, k: int, total: int, lists: bool) -> DataFrame:
     buckets = max(1, -(-total // BUCKET))
-    asked = texts.select("text").mapInArrow(_ask(k, buckets, lists), ASKED).repartition("bucket").sortWithinPartitions("bucket")
+    # the rows that wait for no bucket are spread by their chunk
+    spread = F.when(F.col("bucket") == -1, -2 - F.col("chunk")).otherwise(F.col("bucket"))
+    asked = texts.select("text").mapInArrow(_ask(k, buckets, lists), ASKED).repartition(spread).sortWithinPartitions("bucket")
     answered = asked.mapInArrow(_answer(lists), ANSWERED).repartition("chunk").sortWithinPartitions("chunk")
     return answered.mapInArrow(_gather(lists), "class long, shingles array<long>" if lists else "class long, shared long")
 
@@ -178,11 +184,12 @@ def shared_counts(texts: DataFrame, k: int, total: int) -> DataFrame:
     """class, shared: how many of its shingles other classes of ``texts`` (text) have; never too few.
 
     ``total``: about how many shingles there are. The exchange tells hashes apart by 32 bits
-    within a bucket, so it may count a few too many. Classes that share nothing are left out.
+    within a bucket, and takes copies of a text in another chunk for another class, so it may
+    count too many. Classes that share nothing are left out.
     """
     return _exchange(texts, k, total, False).groupBy("class").agg(F.sum("shared").alias("shared"))
 
 
 def shared_shingles(texts: DataFrame, k: int, total: int) -> DataFrame:
-    """class, shingles: those shingles of each class that other classes of ``texts`` have, by 64-bit hashes."""
+    """class, shingles: those shingles of each class that other texts have, by 64-bit hashes."""
     return _exchange(texts, k, total, True).groupBy("class").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
