@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Earth radius and refraction of the terrain model, metres per degree.
 EARTH_M, REFRACTION, DEGREE_M = 6371000.0, 0.13, 111320.0
-MERCATOR_LIMIT = 85.0511
+MERCATOR_LIMIT, SLIPPY_LIMIT = 85.0511, 85.05112878
 
 
 def drop_m(d: Column) -> Column:
@@ -45,6 +45,14 @@ def destination(lat: Column, lon: Column, az: Column, d: Column) -> tuple[Column
     return F.degrees(F.asin(s)), normalize_lon(to)
 
 
+def destination_tabled(lat: Column, lon: Column, az: Column, sin_r: Column, cos_r: Column) -> tuple[Column, Column]:
+    """As ``destination``, with the sine and cosine of the way's angle out of a table of steps."""
+    p = F.radians(lat)
+    s = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.sin(p) * cos_r + F.cos(p) * sin_r * F.cos(az)))
+    to = F.degrees(F.radians(lon) + F.atan2(F.sin(az) * sin_r * F.cos(p), cos_r - F.sin(p) * s))
+    return F.degrees(F.asin(s)), normalize_lon(to)
+
+
 def elevation_angle(h_from: Column, h_to: Column, d: Column) -> Column:
     """Angle above the horizontal under which a height is seen."""
     return F.atan2(h_to - h_from - drop_m(d), d)
@@ -90,3 +98,77 @@ def slippy_tile(lat: Column, lon: Column, zoom: int) -> tuple[Column, Column]:
     x, y = mercator(lat, lon, zoom)
     tx = F.pmod(F.floor(x / 256).cast("long"), F.lit(n))
     return tx, F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor(y / 256).cast("long")))
+
+
+def normalize_azimuth(a: Column) -> Column:
+    """Into [0, 2 pi)."""
+    return F.pmod(a, F.lit(2 * math.pi))
+
+
+def bbox_centre(box: str = "") -> tuple[Column, Column]:
+    """Centre of a box, taken along the way that it covers."""
+    lo, hi = F.col(f"{box}min_lon"), F.col(f"{box}max_lon")
+    east = F.when(hi < lo, hi + 360).otherwise(hi)
+    return (F.col(f"{box}min_lat") + F.col(f"{box}max_lat")) / 2, normalize_lon((lo + east) / 2)
+
+
+def unproject(x: Column, y: Column, zoom: int) -> tuple[Column, Column]:
+    """Latitude and longitude of world pixels."""
+    size = 256.0 * (1 << zoom)
+    return F.degrees(F.atan(F.sinh(math.pi - 2 * math.pi * y / size))), x / size * 360 - 180
+
+
+def slippy_pixel(lat: Column, lon: Column, zoom: int) -> tuple[Column, Column]:
+    """Place within the tile, in [0, 256)."""
+    x, y = mercator(lat, normalize_lon(lon), zoom)
+    return F.pmod(x, F.lit(256.0)), F.pmod(y, F.lit(256.0))
+
+
+def slippy_bbox(tx: Column, ty: Column, zoom: int) -> dict[str, Column]:
+    """The box of a tile, held to the limits of the projection."""
+    n = float(1 << zoom)
+    lat = lambda y: F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * y / n))))
+    return {
+        "min_lon": tx / n * 360 - 180,
+        "min_lat": F.greatest(F.lit(-SLIPPY_LIMIT), lat(ty + 1)),
+        "max_lon": (tx + 1) / n * 360 - 180,
+        "max_lat": F.least(F.lit(SLIPPY_LIMIT), lat(ty)),
+    }
+
+
+def pyramid_bbox(min_lon: Column, max_lat: Column, side: Column, tx: Column, ty: Column) -> dict[str, Column]:
+    """The box of a tile of ``side`` degrees in a grid from the north-western corner."""
+    west, north = min_lon + tx * side, max_lat - ty * side
+    return {"min_lon": west, "min_lat": north - side, "max_lon": west + side, "max_lat": north}
+
+
+def is_regional(box: str = "") -> Column:
+    """a box that does not span the globe."""
+    return (F.col(f"{box}max_lon") - F.col(f"{box}min_lon") < 180) | (F.col(f"{box}max_lat") - F.col(f"{box}min_lat") < 120)
+
+
+# Fixed value: names of the eight winds, from north on.
+WINDS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
+
+
+def cardinal(degrees: Column) -> Column:
+    """G23: 'NE 45°' for a multiple of 45 degrees."""
+    name = F.element_at(F.array(*[F.lit(x) for x in WINDS]), (F.pmod(degrees, F.lit(360)) / 45).cast("int") + 1)
+    return F.concat(name, F.lit(" "), degrees.cast("int").cast("string"), F.lit("°"))
+
+
+def format_azimuth(a: Column) -> Column:
+    """Whole degrees in [0, 360], halves up."""
+    return F.concat(F.floor(F.pmod(F.degrees(a), F.lit(360.0)) + 0.5).cast("int").cast("string"), F.lit("°"))
+
+
+def decimal_year(ts: Column) -> Column:
+    """The year and the part of it that has passed, in UTC."""
+    start, end = F.date_trunc("year", ts), F.date_trunc("year", ts) + F.expr("INTERVAL 1 YEAR")
+    micros = F.unix_micros
+    return F.year(ts) + (micros(ts) - micros(start)) / (micros(end) - micros(start))
+
+
+def in_sector(a: Column, centre: Column, fov: Column) -> Column:
+    """an azimuth at most half the field of view from the centre."""
+    return F.abs(wrap_angle(a - centre)) <= fov / 2

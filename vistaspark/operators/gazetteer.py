@@ -1,4 +1,4 @@
-"""Peaks: isolation, the search index, and search (survey J1, W7-W9, X5, X8, T2)."""
+"""Peaks: isolation, the search index, and the map's selection (survey J1, W7, W8, W10, T3, M3)."""
 
 from __future__ import annotations
 
@@ -12,16 +12,32 @@ from vistaspark.functions.geo import DEGREE_M
 ISOLATION_CAP_M = 36000.0
 
 
+#: Side of the cells in which a nearer answer is sought first.
+NEAR_M = 6000.0
+
+
+def _nearest_above(askers: DataFrame, higher: DataFrame, keys: list[str], side: float) -> DataFrame:
+    """id, d2: squared metres to the nearest higher peak in the asker's cell of that side and the eight around it."""
+    cell = lambda c: F.floor(F.col(c) / side)
+    spread = higher.select(*keys, *[F.col(c).alias(f"o_{c}") for c in ("id", "h", "x", "y")], cell("x").alias("cx"), cell("y").alias("cy"))
+    spread = spread.withColumn("cx", F.explode(F.array(*[F.col("cx") + i for i in (-1, 0, 1)]))).withColumn("cy", F.explode(F.array(*[F.col("cy") + i for i in (-1, 0, 1)])))
+    above = (F.col("o_h") > F.col("h")) | ((F.col("o_h") == F.col("h")) & (F.col("o_id") < F.col("id")))
+    near = askers.withColumn("cx", cell("x")).withColumn("cy", cell("y")).join(spread, [*keys, "cx", "cy"]).filter(above)
+    return near.groupBy("id").agg(F.min(F.pow(F.col("o_x") - F.col("x"), 2) + F.pow(F.col("o_y") - F.col("y"), 2)).alias("d2"))
+
+
 def isolation(peaks: DataFrame, group: str | None = None) -> DataFrame:
     """``iso_m``, metres to the nearest peak that ranks higher by (height, order of id).
 
-    Positions are planar about the mean latitude of the group. Cells are as wide as the cap,
-    so a peak meets only the higher ones of its own and the eight cells around: an
-    equi-join, no distance is taken between far peaks. Peaks without a height stop nobody.
+    Positions are planar about the mean latitude of the group. A peak first asks the cells
+    of 6 km around it, by an equi-join; an answer within 6 km holds. Only peaks without one,
+    of which few fit into an area, ask the cells as wide as the cap. Peaks without a height
+    stop nobody.
     """
     keys = [group] if group else []
     means = peaks.groupBy(*keys).agg(F.avg("lat").alias("mean_lat"))
-    placed = peaks.join(F.broadcast(means), group) if group else peaks.crossJoin(F.broadcast(means))
+    # a row a group, joined by key; without groups one row
+    placed = peaks.join(means, group) if group else peaks.crossJoin(F.broadcast(means))
     placed = placed.select(
         *keys,
         "id",
@@ -30,53 +46,30 @@ def isolation(peaks: DataFrame, group: str | None = None) -> DataFrame:
         (F.col("lon") * DEGREE_M * F.cos(F.radians("mean_lat"))).alias("x"),
         (F.col("lat") * DEGREE_M).alias("y"),
     )
-    cell = lambda c: F.floor(F.col(c) / ISOLATION_CAP_M)
-    placed = placed.withColumn("cx", cell("x")).withColumn("cy", cell("y"))
-    around = lambda c: F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)])).alias(c)
-    higher = placed.filter("has_ele").select(*keys, *[F.col(c).alias(f"o_{c}") for c in ("id", "h", "x", "y")], around("cx"), "cy")
-    higher = higher.withColumn("cy", F.explode(F.array(*[F.col("cy") + i for i in (-1, 0, 1)])))
-    above = (F.col("o_h") > F.col("h")) | ((F.col("o_h") == F.col("h")) & (F.col("o_id") < F.col("id")))
-    near = placed.join(higher, [*keys, "cx", "cy"]).filter(above)
-    nearest = near.groupBy("id").agg(F.min(F.pow(F.col("o_x") - F.col("x"), 2) + F.pow(F.col("o_y") - F.col("y"), 2)).alias("d2"))
+    higher = placed.filter("has_ele")
+    settled = _nearest_above(placed, higher, keys, NEAR_M).filter(F.col("d2") <= NEAR_M * NEAR_M)
+    answers = settled.union(_nearest_above(placed.join(settled, "id", "left_anti"), higher, keys, ISOLATION_CAP_M))
     iso = F.coalesce(F.least(F.sqrt("d2"), F.lit(ISOLATION_CAP_M)), F.lit(ISOLATION_CAP_M))
-    return peaks.join(nearest, "id", "left").withColumn("iso_m", iso).drop("d2")
+    return peaks.join(answers, "id", "left").withColumn("iso_m", iso).drop("d2")
 
 
 def search_index(peaks: DataFrame, per_region: int = 400) -> DataFrame:
     """The best named peaks of each region; the number is taken before the nameless go."""
-    ranked = peaks.withColumn("score", scores.index_score(F.col("ele"), F.col("iso_m"), F.col("wikidata").isNotNull()))
+    known = F.col("wikidata").isNotNull()
+    if "wikipedia" in peaks.columns:
+        known = known | F.col("wikipedia").isNotNull()
+    ranked = peaks.withColumn("score", scores.index_score(F.col("ele"), F.col("iso_m"), known))
     best = Window.partitionBy("region").orderBy(F.desc(F.round("score", 6)), "id")
     return ranked.withColumn("rank", F.row_number().over(best)).filter((F.col("rank") <= per_region) & F.col("name").isNotNull())
 
 
-def normalised_name(name: Column) -> Column:
-    """X5 for names in Latin letters: lower case, letters and digits only."""
-    return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "")
-
-
-def typo_budget(plain: Column) -> Column:
-    """Typos allowed for a typed name of that length. No search uses it yet."""
-    return F.when(F.length(plain) < 5, 0).when(F.length(plain) <= 8, 1).otherwise(2)
-
-
-def search(peaks: DataFrame, typed: str, lat: float, lon: float, limit: int = 12) -> DataFrame:
-    """Names that equal or contain what was typed, one hit a place, best first."""
-    wanted = "".join(c for c in typed.lower() if c.isascii() and c.isalnum())
-    name = normalised_name(F.col("name"))
-    hits = peaks.filter(name.contains(wanted)).withColumn("exact", name == wanted)
-    km = F.hypot((F.col("lat") - lat) * 111.32, (F.col("lon") - lon) * 111.32 * F.cos(F.radians(F.lit(lat))))
-    place = Window.partitionBy(F.round("lat", 5), F.round("lon", 5)).orderBy(F.desc("exact"), "id")
-    one = hits.withColumn("n", F.row_number().over(place)).filter("n = 1").drop("n")
-    scored = one.withColumn("score", F.round(scores.hit_score(F.col("ele"), F.col("exact"), F.lit(0), km), 4))
-    return scored.orderBy(F.desc("score"), "id").limit(limit)
-
-
 def select_for_map(peaks: DataFrame, zoom: float, limit: int = 400) -> DataFrame:
     """The highest-scored peaks, one a name below zoom 14; nameless ones are kept."""
     score = F.round(scores.label_score(F.col("ele"), F.lit(0.0), F.col("iso_m")), 6)
     scored = peaks.withColumn("score", score)
     if zoom < 14:
         blank = F.coalesce(F.trim("name"), F.lit("")).isin("", "—")
-        first = Window.partitionBy("name", blank).orderBy(F.desc("score"), F.desc("ele"), "id")
-        scored = scored.withColumn("n", F.row_number().over(first)).filter(blank | (F.col("n") == 1)).drop("n")
+        first = Window.partitionBy("name").orderBy(F.desc("score"), F.desc("ele"), "id")
+        named = scored.filter(~blank).withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
+        scored = named.unionByName(scored.filter(blank))
     return scored.orderBy(F.desc("score"), F.desc_nulls_last("ele"), "id").limit(limit)

@@ -1,6 +1,6 @@
 """The horizon around a point: ray march, layers, crests, fronts and visibility.
 
-Survey M5, M6, part of M8, A1-A5, W1, W4, W5, T1. A march is rows (ray, step, d, h); comparing slopes instead
+Survey G7, M5, M6, M8, M28, A1-A6, A15, A16, J12, W1-W6, W15, T1, T7, T8. A march is rows (ray, step, d, h); comparing slopes instead
 of angles keeps arcs out of the windows, and every window is partitioned by the ray.
 """
 
@@ -44,6 +44,100 @@ def march(spark: SparkSession, rays: int, height, eye: Column | float, start: fl
     return seen.withColumn("slope", (F.col("h") - eye - geo.drop_m(F.col("d"))) / F.col("d"))
 
 
+def ray_points(spark: SparkSession, lat: float, lon: float, rays: int, start: float = 150.0, reach: float = REACH_M) -> DataFrame:
+    """The places (lat, lon) of all samples of all rays, in the order of azimuth from north."""
+    # a few hundred rows that depend on the reach alone
+    steps = steps_table(spark, start, reach).withColumn("sin_r", F.sin(F.col("d") / geo.EARTH_M)).withColumn("cos_r", F.cos(F.col("d") / geo.EARTH_M))
+    az = F.col("id") * (2 * math.pi / rays)
+    to = geo.destination_tabled(F.lit(lat), F.lit(lon), az, F.col("sin_r"), F.col("cos_r"))
+    rows = spark.range(rays).crossJoin(F.broadcast(steps))
+    return rows.select(F.col("id").alias("ray"), "step", "d", "layer", "crest_bin", to[0].alias("lat"), to[1].alias("lon"))
+
+
+def seen(points: DataFrame, eye: Column | float) -> DataFrame:
+    """The march over sampled points (ray, step, d, h): those with a height, and the slope to each."""
+    return points.filter("h IS NOT NULL").withColumn("slope", (F.col("h") - eye - geo.drop_m(F.col("d"))) / F.col("d"))
+
+
+# Fixed values of the early exit: from where, how far below the layer's highest, how low that one lies.
+EXIT_FROM_M, EXIT_DEPTH, EXIT_BELOW = 60_000.0, 0.02, -0.005
+
+
+def early_exit(marched: DataFrame) -> DataFrame:
+    """The march without what follows a ray's exit.
+
+    A ray ends at the first far sample that lies well below the highest so far of its layer,
+    once that one lies below the horizontal; the sample itself still counts.
+    """
+    so_far = Window.partitionBy("ray", "layer").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    rows = marched.withColumn("layer_angle", F.atan(F.max("slope").over(so_far)))
+    ends = (F.col("d") > EXIT_FROM_M) & (F.col("slope") < F.tan(F.col("layer_angle") - EXIT_DEPTH)) & (F.col("layer_angle") < EXIT_BELOW)
+    cut = F.min(F.when(ends, F.col("step"))).over(Window.partitionBy("ray"))
+    return rows.withColumn("cut", cut).filter("cut IS NULL OR step <= cut").drop("cut", "layer_angle")
+
+
+def skyline(marched: DataFrame) -> DataFrame:
+    """A2: of each ray the highest angle."""
+    return marched.groupBy("ray").agg(F.atan(F.max("slope")).alias("angle"))
+
+
+def horizon_distance(layered: DataFrame) -> DataFrame:
+    """A3: the nearest of the distances at which the layers of a ray are highest."""
+    return layered.groupBy("ray").agg(F.min("dist_m").alias("horizon_m"))
+
+
+def smooth(layered: DataFrame, rays: int) -> DataFrame:
+    """The layers' angles averaged over the neighbouring rays, by half a cell of the data at their distance, at most eight.
+
+    ``layered``: ray, layer, slope, dist_m. The ring is closed; neighbours at another
+    distance (by more than half) and holes don't count.
+    """
+    step = 2 * math.pi / rays
+    half = F.least(F.lit(8.0), F.greatest(F.lit(0.0), F.floor(F.greatest(F.lit(90.0), F.col("dist_m") / 150) / 2 / F.col("dist_m") / step + 0.5)))
+    own = layered.select("ray", "layer", F.atan("slope").alias("angle"), "dist_m", half.cast("int").alias("half"))
+    wide = own.withColumn("other", F.explode(F.expr("sequence(-half, half)"))).withColumn("other", F.pmod(F.col("ray") + F.col("other"), F.lit(rays)))
+    near = own.select(F.col("ray").alias("other"), "layer", F.col("angle").alias("near_angle"), F.col("dist_m").alias("near_m"))
+    rows = wide.join(near, ["other", "layer"]).filter(F.abs(F.col("near_m") - F.col("dist_m")) / F.col("dist_m") <= 0.5)
+    return rows.groupBy("ray", "layer").agg(F.avg("near_angle").alias("angle"), F.first("dist_m").alias("dist_m"))
+
+
+def silhouette(*profiles: DataFrame) -> DataFrame:
+    """Of each ray the highest angle of all profiles (ray, angle)."""
+    rows = profiles[0].select("ray", "angle")
+    for other in profiles[1:]:
+        rows = rows.union(other.select("ray", "angle"))
+    return rows.groupBy("ray").agg(F.max("angle").alias("angle"))
+
+
+# Fixed value: a crest must stand out by this much over the nearer ones.
+STANDS_OUT = 5e-4
+
+
+def visible_crests(crested: DataFrame) -> DataFrame:
+    """The crests (ray, crest_bin, slope) that rise above all nearer ones of their ray."""
+    nearer = Window.partitionBy("ray").orderBy("crest_bin").rowsBetween(Window.unboundedPreceding, -1)
+    rows = crested.withColumn("angle", F.atan("slope"))
+    return rows.withColumn("nearer", F.max("angle").over(nearer)).filter(F.col("nearer").isNull() | (F.col("angle") > F.col("nearer") + STANDS_OUT)).drop("nearer")
+
+
+def angle_at(profile: DataFrame, at: DataFrame, rays: int) -> DataFrame:
+    """The profile's angle at azimuths (id, az): between the two rays around, that of one where the other is a hole, null in a gap."""
+    place = F.pmod(F.col("az"), F.lit(2 * math.pi)) / (2 * math.pi / rays)
+    rows = at.withColumn("share", place - F.floor(place)).withColumn("r0", F.floor(place) % rays).withColumn("r1", (F.floor(place) + 1) % rays)
+    ring = lambda r, a: profile.select(F.col("ray").alias(r), F.col("angle").alias(a))
+    rows = rows.join(ring("r0", "a0"), "r0", "left").join(ring("r1", "a1"), "r1", "left")
+    between = F.col("a0") + (F.col("a1") - F.col("a0")) * F.col("share")
+    return rows.withColumn("angle", F.coalesce(between, "a0", "a1")).drop("r0", "r1", "a0", "a1", "share")
+
+
+def auto_tilt(profile: DataFrame, centre: float, fov: float, rays: int) -> DataFrame:
+    """Tilt of the view: the upper median of the silhouette within the sector, between 0 and 45 degrees; null for fewer than ten rays."""
+    inside = profile.filter(geo.in_sector(F.col("ray") * (2 * math.pi / rays), F.lit(centre), F.lit(fov)))
+    sorted_angles = F.sort_array(F.collect_list("angle"))  # at most a sector of one ring
+    found = inside.agg(sorted_angles.alias("a"))
+    return found.select(F.when(F.size("a") >= 10, F.least(F.lit(math.pi / 4), F.greatest(F.lit(0.0), F.get("a", F.floor(F.size("a") / 2).cast("int"))))).alias("tilt"))
+
+
 def layers(marched: DataFrame) -> DataFrame:
     """A1-A3: of each ray and layer the highest slope and the first distance that has it."""
     top = F.max(F.struct(F.col("slope").alias("slope"), (-F.col("d")).alias("back")))
@@ -81,18 +175,53 @@ def fronts(marched: DataFrame) -> DataFrame:
     return rows.groupBy("ray", "front").agg(F.min("d").alias("from_m"), F.max("d").alias("to_m"), F.min("slope").alias("slope_start"), F.max("slope").alias("slope_max"))
 
 
-def visibility(peaks: DataFrame, marched: DataFrame, observer_h: float) -> DataFrame:
-    """A5, part of M8: visible, or hidden by a little.
+def peak_rays(peaks: DataFrame, lat: float, lon: float, reach: float = REACH_M) -> DataFrame:
+    """Samples of the ray to each peak (id, lat, lon, ele) of a known height within reach, up to just before it."""
+    spark = peaks.sparkSession
+    here = (F.lit(lat), F.lit(lon))
+    rows = peaks.filter("ele IS NOT NULL").withColumn("dist_m", geo.distance_m(*here, F.col("lat"), F.col("lon"))).filter(F.col("dist_m").between(1, reach))
+    rows = rows.withColumn("az", geo.azimuth(*here, F.col("lat"), F.col("lon"))).select("id", "ele", "dist_m", "az")
+    steps = steps_table(spark, 100.0, reach).withColumn("sin_r", F.sin(F.col("d") / geo.EARTH_M)).withColumn("cos_r", F.cos(F.col("d") / geo.EARTH_M))
+    # left, so that a peak nearer than the first sample stays
+    along = rows.join(F.broadcast(steps), F.col("d") < F.col("dist_m") - PEAK_MARGIN_M, "left")
+    to = geo.destination_tabled(*here, F.col("az"), F.col("sin_r"), F.col("cos_r"))
+    return along.withColumn("lat", to[0]).withColumn("lon", to[1]).drop("sin_r", "cos_r", "layer", "crest_bin")
+
+
+def visibility(rays: DataFrame, eye: float, horizon: DataFrame, ring: int) -> DataFrame:
+    """What of each peak is seen: visible, onSlope, hidden by a little; what lies deeper is left out.
 
-    ``peaks``: id, ele, ray, dist_m. A peak below its line by more than the depth or the
-    deficit is left out.
+    ``rays``: ``peak_rays`` with heights; ``horizon``: ray, horizon_m of a ring of ``ring``
+    rays, the nearest of which tells whether a covered peak stands before the horizon.
     """
-    line = peaks.join(marched.select("ray", "d", "slope"), "ray").filter(F.col("d") < F.col("dist_m") - PEAK_MARGIN_M)
-    line = line.groupBy("id").agg(F.max("slope").alias("line"))
-    angle = F.atan2(F.col("ele") - observer_h - geo.drop_m(F.col("dist_m")), F.col("dist_m"))
-    rows = peaks.filter(F.col("ele").isNotNull()).join(line, "id", "left").withColumn("angle", F.round(angle, 6)).withColumn("line_angle", F.round(F.atan("line"), 6))
-    deficit = F.round(F.tan("line_angle") * F.col("dist_m") - F.tan("angle") * F.col("dist_m"), 1)
-    rows = rows.withColumn("deficit_m", deficit)
-    seen = F.col("line_angle").isNull() | (F.col("angle") >= F.col("line_angle") - ANGLE_EPS)
-    hidden = (F.col("line_angle") - F.col("angle") <= HIDDEN_DEPTH) & (F.col("deficit_m") <= HIDDEN_DEFICIT_M)
-    return rows.withColumn("visibility", F.when(seen, "visible").when(hidden, "hidden")).filter("visibility IS NOT NULL")
+    slope = (F.col("h") - eye - geo.drop_m(F.col("d"))) / F.col("d")
+    rows = rays.groupBy("id").agg(*[F.first(c).alias(c) for c in ("ele", "dist_m", "az")], F.max(slope).alias("line"))
+    rows = rows.withColumn("ray", F.floor(F.col("az") / (2 * math.pi / ring) + 0.5) % ring)
+    rows = rows.join(horizon, "ray", "left")
+    own = (F.col("ele") - eye - geo.drop_m(F.col("dist_m"))) / F.col("dist_m")
+    rows = rows.withColumn("angle", F.atan(own)).withColumn("depth", F.atan("line") - F.col("angle")).withColumn("deficit", (F.col("line") - own) * F.col("dist_m"))
+    covered = F.coalesce(F.col("depth") > ANGLE_EPS, F.lit(False))
+    before = F.coalesce(F.col("dist_m") < F.col("horizon_m"), F.lit(True))
+    little = (F.col("depth") <= HIDDEN_DEPTH) & (F.col("deficit") <= HIDDEN_DEFICIT_M)
+    kind = F.when(~covered, "visible").when(before, "onSlope").when(little, "hidden")
+    rows = rows.withColumn("visibility", kind).withColumn("deficit_m", F.when(F.col("visibility") == "hidden", F.col("deficit")))
+    return rows.filter("visibility IS NOT NULL").select("id", "ele", "dist_m", "az", "angle", "visibility", "deficit_m")
+
+
+def ranked(peaks: DataFrame, score: Column) -> DataFrame:
+    """Visible, then on a slope, then hidden ones; the highest label score first in each."""
+    order = F.when(F.col("visibility") == "visible", 0).when(F.col("visibility") == "onSlope", 1).otherwise(2)
+    return peaks.withColumn("score", score).orderBy(order, F.desc("score"), "id")
+
+
+def main_peak(peaks: DataFrame, centre: float, fov: float) -> DataFrame:
+    """The highest peak in view that is not hidden, the first of equal ones."""
+    inside = peaks.filter((F.col("visibility") != "hidden") & geo.in_sector(F.col("az"), F.lit(centre), F.lit(fov)))
+    return inside.agg(F.max_by("id", F.struct("ele", -F.col("id"))).alias("id"))
+
+
+def hidden_in_budget(peaks: DataFrame, placed: int, most: int = 6) -> DataFrame:
+    """Hidden peaks that may still be named when so many labels are placed."""
+    first = Window.partitionBy("visibility").orderBy(F.desc("score"), "id")
+    rows = peaks.withColumn("n", F.row_number().over(first))
+    return rows.filter((F.col("visibility") != "hidden") | (F.col("n") <= max(0, most - placed))).drop("n")

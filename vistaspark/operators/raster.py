@@ -1,4 +1,4 @@
-"""Rasters and tile pyramids as tables (survey A7, A8, M10, M14, T5, W11, W14, J14, M15)."""
+"""Rasters and tile pyramids as tables (survey A7, A8, M10, M14, T5, W11, W14, M15)."""
 
 from __future__ import annotations
 
@@ -55,7 +55,7 @@ def select_cells(cells: DataFrame, least_relief: float, budget: int) -> DataFram
     The running sum is taken over blocks of the order first (at most ``MOST_BLOCKS`` rows)
     and then within each.
     """
-    boost = F.when(F.col("priority") == 1, 4.0).when(F.col("priority") == 2, 3.0).when(F.col("priority") == 3, 2.0).otherwise(1.5)
+    boost = F.when(F.col("priority") == 1, 4.0).when(F.col("priority") == 2, 3.0).when(F.col("priority") == 3, 2.0).when(F.col("priority") == 4, 1.5).otherwise(1.0)
     kept = cells.filter(F.col("relief") * boost >= least_relief)
     kept = kept.withColumn("block", _blocks(kept))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,9 +72,3 @@ def tile_keys(boxes: DataFrame, degrees: float) -> DataFrame:
     span = lambda a, b: F.explode(F.sequence(F.floor(a / degrees).cast("long"), (F.ceil(b / degrees) - 1).cast("long")))
     rows = split_boxes(boxes).withColumn("tx", span(F.col("part.lo") + 180, F.col("part.hi") + 180))
     return rows.withColumn("ty", span(90 - F.col("max_lat"), 90 - F.col("min_lat"))).select("ord", "tx", "ty").distinct()
-
-
-def covered_by_detail(detail: DataFrame, side: int = 5) -> DataFrame:
-    """Cells of which all ``side * side`` detail tiles are there."""
-    cell = lambda c: F.floor(F.col(c) / side).cast("long").alias(f"c{c[-1]}")
-    return detail.select("tx", "ty").distinct().groupBy(cell("tx"), cell("ty")).count().filter(F.col("count") == side * side).drop("count")

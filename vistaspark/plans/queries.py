@@ -8,21 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistaspark.functions import geo, scores
-from vistaspark.operators import gazetteer, horizon, raster, regions
+from vistaspark.operators import gazetteer, raster, regions, search
 from vistaspark.plans import fixtures as fx
+from vistaspark.plans import imaging, names, offline, panorama, scalars  # noqa: F401
+from vistaspark.plans import sensors as readings
+from vistaspark.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from vistaspark.streaming import sensors
 
 OBSERVER = (43.35, 42.44)
 LAT, LON = (f"{x}e0" for x in OBSERVER)
-QUERIES, ORACLE_SQL = {}, {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
-        return f
-
-    return add
 
 
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +110,7 @@ s AS (SELECT *, round(coalesce(ele, 0) * CASE WHEN exact THEN 2e0 ELSE 1e0 END
 SELECT id, name, exact, round(score, 2) AS score FROM (SELECT * FROM s ORDER BY score DESC, id LIMIT 12)""")
 def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that contain what was typed."""
-    return gazetteer.search(fx.peaks(spark, sf_dir), "An", *OBSERVER).select("id", "name", "exact", F.round("score", 2).alias("score"))
+    return search.search([fx.peaks(spark, sf_dir)], "An", *OBSERVER).select("id", "name", "exact", F.round("score", 2).alias("score"))
 
 
 @query(f"WITH {fx.PEAKS}, {fx.REGIONS} SELECT p.id, r.region AS found FROM peaks p JOIN regions r ON {fx.INSIDE}")
@@ -142,73 +136,23 @@ def region_of_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.region_of(fx.peaks(spark, sf_dir), fx.regions(spark, sf_dir))
 
 
-def _height(ray, d):
-    """A closed form in whole metres, so that both engines see the same ground."""
-    return ((ray * 37 + F.floor(d / 90).cast("long") * 101) % 997 + (ray * 11 + F.floor(d / 3000).cast("long") * 53) % 1501).cast("double")
-
-
-_STEPS = ", ".join(f"({i}, {d!r}e0, {next(k for k in range(5) if d < horizon.LAYERS[k + 1] or k == 4)}, {next(k for k in range(7) if d < horizon.CREST_BOUNDS[k + 1])})" for i, d in enumerate(horizon.march_steps()))
-MARCH = f"""st(step, d, layer, crest_bin) AS (VALUES {_STEPS}), rays AS (SELECT range AS ray FROM range(360)),
-march AS (SELECT ray, step, d, layer, crest_bin, (CAST((ray * 37 + CAST(floor(d / 90) AS BIGINT) * 101) % 997 + (ray * 11 + CAST(floor(d / 3000) AS BIGINT) * 53) % 1501 AS DOUBLE)
-          - 1001.7e0 - d * d * ((1 - 0.13e0) / (2 * 6371000e0))) / d AS slope FROM rays, st)"""
-
-
-def _march(spark: SparkSession) -> DataFrame:
-    return horizon.march(spark, 360, _height, 1001.7)
-
-
-@query(f"WITH {MARCH} SELECT ray, CAST(layer AS INT) AS layer, round(max(slope), 9) AS slope, arg_max(d, (round(slope, 15), -d)) AS dist_m FROM march GROUP BY ray, layer")
-def horizon_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M5, M6, A1-A3: highest ground of each ray and distance layer."""
-    return horizon.layers(_march(spark)).withColumn("slope", F.round("slope", 9))
-
-
-RECORDS = f"{MARCH}, rec AS (SELECT *, max(slope) OVER (PARTITION BY ray ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM march)"
-
-
-@query(f"""WITH {RECORDS}, seg AS (SELECT *, sum(CASE WHEN before IS NULL OR slope > before THEN 1 ELSE 0 END) OVER (PARTITION BY ray ORDER BY step) AS segment FROM rec),
-g AS (SELECT ray, segment, arg_min(slope, step) AS top, arg_min(crest_bin, step) AS crest_bin, min(slope) AS low, max(segment) OVER (PARTITION BY ray) AS last FROM seg GROUP BY ray, segment)
-SELECT ray, CAST(crest_bin AS INT) AS crest_bin, round(max(top), 9) AS slope FROM g WHERE segment = last OR low < tan(atan(top) - 0.0015e0) GROUP BY ray, crest_bin""")
-def horizon_crests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge lines by gaps and islands."""
-    return horizon.crests(_march(spark)).withColumn("slope", F.round("slope", 9))
-
-
-@query(f"""WITH {MARCH}, far AS (SELECT *, max(slope) OVER (PARTITION BY ray ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM march WHERE d >= 500),
-up AS (SELECT *, lag(d) OVER (PARTITION BY ray ORDER BY step) AS prev FROM far WHERE before IS NULL OR slope > before),
-f AS (SELECT *, sum(CASE WHEN prev IS NULL OR d - prev > 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY ray ORDER BY step) AS front FROM up)
-SELECT ray, CAST(front AS BIGINT) AS front, min(d) AS from_m, max(d) AS to_m, round(min(slope), 9) AS slope_start, round(max(slope), 9) AS slope_max FROM f GROUP BY ray, front""")
-def horizon_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fronts of rising visible ground."""
-    f = horizon.fronts(_march(spark))
-    return f.select("ray", "front", "from_m", "to_m", F.round("slope_start", 9).alias("slope_start"), F.round("slope_max", 9).alias("slope_max"))
-
-
-def _raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 256).alias("gx"), (F.col("l_partkey") % 256).alias("gy"), (F.floor("l_extendedprice").cast("long") % 6000).alias("h"))
-    return rows.groupBy("gx", "gy").agg(F.max("h").alias("h"))
-
-
-RASTER = "raster AS (SELECT l_orderkey % 256 AS gx, l_partkey % 256 AS gy, max(CAST(floor(l_extendedprice) AS BIGINT) % 6000) AS h FROM lineitem GROUP BY 1, 2)"
-
-
-@query(f"WITH {RASTER} SELECT gx // 4 AS gx, gy // 4 AS gy, round(avg(h), 6) AS h FROM raster GROUP BY 1, 2")
+@query(f"WITH {fx.RASTER} SELECT gx // 4 AS gx, gy // 4 AS gy, round(avg(h), 6) AS h FROM raster GROUP BY 1, 2")
 def raster_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block means without the holes."""
-    return raster.downsample(_raster(spark, sf_dir), 4).withColumn("h", F.round("h", 6))
+    return raster.downsample(fx.raster(spark, sf_dir), 4).withColumn("h", F.round("h", 6))
 
 
-@query(f"WITH {RASTER}, q AS (SELECT gx, gy, CAST(round_even(h / 4e0, 0) AS INT) AS q FROM raster) SELECT gx, gy, q, q - lag(q, 1, 0) OVER (PARTITION BY gy ORDER BY gx) AS delta FROM q")
+@query(f"WITH {fx.RASTER}, q AS (SELECT gx, gy, CAST(round_even(h / 4e0, 0) AS INT) AS q FROM raster) SELECT gx, gy, q, q - lag(q, 1, 0) OVER (PARTITION BY gy ORDER BY gx) AS delta FROM q")
 def raster_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantised heights and their differences along the row."""
-    return raster.row_deltas(raster.quantise(_raster(spark, sf_dir), 4.0)).select("gx", "gy", "q", "delta")
+    return raster.row_deltas(raster.quantise(fx.raster(spark, sf_dir), 4.0)).select("gx", "gy", "q", "delta")
 
 
-@query(f"""WITH {RASTER} SELECT gx // 64 AS tx, gy // 64 AS ty, round(quantile_cont(h, 0.005), 4) AS low, round(quantile_cont(h, 0.995), 4) AS high,
+@query(f"""WITH {fx.RASTER} SELECT gx // 64 AS tx, gy // 64 AS ty, round(quantile_cont(h, 0.005), 4) AS low, round(quantile_cont(h, 0.995), 4) AS high,
 round(avg(h), 4) AS mean, round(quantile_cont(h, 0.995) - quantile_cont(h, 0.005), 4) AS relief FROM raster GROUP BY 1, 2""")
 def raster_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles and relief of tiles."""
-    r = raster.relief_stats(_raster(spark, sf_dir), 64)
+    r = raster.relief_stats(fx.raster(spark, sf_dir), 64)
     return r.select("tx", "ty", *[F.round(c, 4).alias(c) for c in ("low", "high", "mean", "relief")])
 
 
@@ -270,3 +214,6 @@ SELECT DISTINCT ord, tx, unnest(range(CAST(floor((90 - max_lat) / 0.5e0) AS BIGI
 def planned_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tile keys of every region."""
     return raster.tile_keys(fx.regions(spark, sf_dir), 0.5)
+
+
+QUERIES.update(readings.WITHOUT_SQL)

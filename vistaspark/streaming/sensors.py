@@ -34,3 +34,48 @@ def windowed_counts(events: DataFrame, width: str = "10 minutes", late: str = "5
     if events.isStreaming:
         events = events.withWatermark("ts", late)
     return events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"))
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "5 minutes") -> DataFrame:
+    """ST15, ST11: a device's events without a longer gap between them, as Spark's session windows."""
+    if events.isStreaming:
+        events = events.withWatermark("ts", late)
+    return events.groupBy(F.session_window("ts", gap).alias("w"), "device").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sliding_counts(events: DataFrame, width: str = "10 minutes", step: str = "5 minutes", late: str = "5 minutes") -> DataFrame:
+    """ST15: counts in windows that overlap."""
+    if events.isStreaming:
+        events = events.withWatermark("ts", late)
+    return events.groupBy(F.window("ts", width, step).alias("w"), "device").agg(F.count(F.lit(1)).alias("n"))
+
+
+def without_repeats(events: DataFrame, late: str = "5 minutes") -> DataFrame:
+    """ST15: each event once; a stream forgets ids when the watermark has passed them."""
+    if events.isStreaming:
+        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return events.dropDuplicates(["event_id"])
+
+
+def best_position(fixes: DataFrame) -> DataFrame:
+    """ST10: of each device the position by precedence: of the address, the last one, a cached fix of at most five minutes, the receiver, the fallback.
+
+    ``fixes``: device, kind (url, last, cached, receiver, fallback), age_s, lat, lon.
+    """
+    kinds = ("url", "last", "cached", "receiver", "fallback")
+    rank = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
+    good = (rank > 0) & ((F.col("kind") != "cached") | (F.col("age_s") <= 300))
+    best = fixes.filter(good).groupBy("device").agg(F.min_by(F.struct("lat", "lon", "kind"), rank).alias("p"))
+    return best.select("device", "p.*", (F.col("p.kind") != "fallback").alias("trusted"))
+
+
+def with_expiry(flags: DataFrame, seconds: float = 15.0) -> DataFrame:
+    """ST12, ST13: each raising of a flag (device, t) with the time it falls by itself, later if it was raised again before."""
+    along = Window.partitionBy("device").orderBy("t")
+    again = F.lead("t").over(along)
+    return flags.withColumn("falls", F.when(again - F.col("t") > seconds, F.col("t") + seconds).when(again.isNull(), F.col("t") + seconds))
+
+
+def still_current(replies: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
+    """ST9, ST17: the replies whose request is still the one that is asked for."""
+    return replies.join(requests.select(*keys), keys, "left_semi")
