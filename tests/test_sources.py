@@ -177,3 +177,52 @@ def test_the_true_direction_is_found(spark):
     assert best["place"] == 500 and best["score"] == pytest.approx(1, abs=1e-6) and best["uniqueness"] > 1
     order = skyline.apart_peaks(np.array([0.1, 0.9, 0.8, 0.2, 0.7, -1.0]), 1)
     assert order == [1, 4]
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def field(number, value):
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def zigzag(n):
+    return n << 1 if n >= 0 else (-n << 1) - 1
+
+
+def pack(numbers):
+    return b"".join(map(varint, numbers))
+
+
+def pbf_blob(kind, data, squeeze=True):
+    blob = field(2, len(data)) + field(3, zlib.compress(data)) if squeeze else field(1, data)
+    head = field(1, kind) + field(3, len(blob))
+    return struct.pack(">I", len(head)) + head + blob
+
+
+def pbf_block(strings, group, grain=None):
+    return field(1, b"".join(field(1, s.encode()) for s in strings)) + field(2, group) + (field(17, grain) if grain else b"")
+
+
+def test_nodes_of_a_map_file(spark, tmp_path, monkeypatch):
+    from vistaspark.sources import pbf
+
+    strings = ["", "natural", "peak", "name", "Эльбрус", "ele", "5642"]
+    deltas = lambda values: pack([zigzag(b - a) for a, b in zip([0, *values], values)])  # noqa: B905, E731
+    ids, lats, lons = [5, 7, 300], [433499000, -10, 433600000], [424453000, 20, -424000000]
+    dense = field(1, deltas(ids)) + field(8, deltas(lats)) + field(9, deltas(lons)[:5]) + field(9, deltas(lons)[5:]) + field(10, pack([1, 2, 3, 4, 0, 0, 5, 6, 0]))
+    bare = field(1, deltas([9])) + field(8, deltas([1])) + field(9, deltas([1]))
+    node = field(1, zigzag(-12)) + field(2, pack([1, 5])) + field(3, pack([2, 6])) + field(8, zigzag(430000000)) + field(9, zigzag(420000000))
+    data = pbf_blob(b"OSMHeader", b"") + pbf_blob(b"OSMData", pbf_block(strings, field(2, dense))) + pbf_blob(b"OSMData", pbf_block(strings, field(1, node) + field(2, bare)), squeeze=False)
+    (tmp_path / "m.pbf").write_bytes(data)
+    spark.dataSource.register(pbf.PbfNodes)
+    monkeypatch.setattr(pbf, "RUN_BYTES", 1)
+    nodes = spark.read.format("pbf-nodes").load(f"{tmp_path}/m.pbf")
+    got = {r["id"]: (round(r["lat"], 7), round(r["lon"], 7), r["tags"]) for r in nodes.collect()}
+    assert got == {5: (43.3499, 42.4453, {"natural": "peak", "name": "Эльбрус"}), 300: (43.36, -42.4, {"ele": "5642"}), -12: (43.0, 42.0, {"natural": "peak", "ele": "5642"})}
+    assert len(pbf.PbfReader(f"{tmp_path}/m.pbf").partitions()) == 2
+    assert [(r["name"], r["ele"]) for r in etl.peaks_of(nodes).collect()] == [("Эльбрус", None)]

@@ -1,4 +1,4 @@
-"""Geodesy on a sphere as Column expressions (survey G1-G20)."""
+"""Geodesy on a sphere as Column expressions (survey F13, F20, G1-G12, G14-G20, G23, G25)."""
 
 from __future__ import annotations
 

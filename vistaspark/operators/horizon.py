@@ -1,6 +1,6 @@
 """The horizon around a point: ray march, layers, crests, fronts and visibility.
 
-Survey G7, M5, M6, M8, M28, A1-A6, A15, A16, J12, W1-W6, W15, T1, T7, T8. A march is rows (ray, step, d, h); comparing slopes instead
+Survey A1-A6, A15, A16, G7, J12, J13, M5, M6, M8, M28, M29, ST14, T1, T7, T8, W1-W6, W15. A march is rows (ray, step, d, h); comparing slopes instead
 of angles keeps arcs out of the windows, and every window is partitioned by the ray.
 """
 
@@ -225,3 +225,77 @@ def hidden_in_budget(peaks: DataFrame, placed: int, most: int = 6) -> DataFrame:
     first = Window.partitionBy("visibility").orderBy(F.desc("score"), "id")
     rows = peaks.withColumn("n", F.row_number().over(first))
     return rows.filter((F.col("visibility") != "hidden") | (F.col("n") <= max(0, most - placed))).drop("n")
+
+
+def preview(spark: SparkSession, lat: float, lon: float, rays: int = 720, reach: float = 12_000.0) -> DataFrame:
+    """ST14: the places of a first look, few rays and near ones only; the whole march comes after it."""
+    return ray_points(spark, lat, lon, rays, 150.0, reach)
+
+
+# Fixed values of the match of peaks with fronts: the window of azimuth, the width of a peak, gaps of distance, weights.
+WINDOW, PEAK_WIDE_M, LEAST_GAP_M, GAP_SHARE, WEIGHTS = (0.009, 0.052), 1500.0, 2000.0, 0.15, (0.4, 0.3, 0.3)
+
+
+def markers(peaks: DataFrame, fronts_of: DataFrame, profile: DataFrame, rays: int) -> DataFrame:
+    """Where each peak (id, az, dist_m, angle, visibility) is marked: on the front that fits its distance and azimuth best.
+
+    A hidden peak is marked where it is; one without a front on the profile (ray, angle) at
+    its azimuth. Peaks ask the few rays around theirs: an equi-join.
+    """
+    step = 2 * math.pi / rays
+    window = F.greatest(F.lit(WINDOW[0]), F.least(F.lit(WINDOW[1]), F.atan2(F.lit(PEAK_WIDE_M), F.col("dist_m"))))
+    middle, wide = F.floor(F.col("az") / step + 0.5), F.ceil(window / step)
+    rows = peaks.filter("visibility <> 'hidden'").withColumn("window", window).withColumn("tolerance", F.greatest(F.lit(LEAST_GAP_M), F.col("dist_m") * GAP_SHARE))
+    near = rows.withColumn("ray", F.explode(F.sequence(F.greatest(F.lit(0), middle - wide), F.least(F.lit(rays - 1), middle + wide))))
+    near = near.join(fronts_of, "ray").withColumn("gap", F.greatest(F.lit(0.0), F.col("from_m") - F.col("dist_m"), F.col("dist_m") - F.col("to_m"))).filter("gap <= tolerance")
+    top = F.atan("slope_max")
+    score = -(F.col("gap") / F.col("tolerance")) * WEIGHTS[0] - F.abs(geo.wrap_angle(F.col("ray") * step - F.col("az"))) / F.col("window") * WEIGHTS[1] + top / 0.3 * WEIGHTS[2]
+    best = near.groupBy("id").agg(F.max(F.struct(F.round(score, 12).alias("score"), (-F.col("ray")).alias("ray"), (-F.col("front")).alias("front"), top.alias("top"))).alias("best"))
+    line = angle_at(profile, peaks.select("id", "az"), rays).select("id", F.col("angle").alias("line"))
+    found = peaks.join(best, "id", "left").join(line, "id")
+    hidden = F.col("visibility") == "hidden"
+    return found.select("id", F.when(hidden | F.col("best").isNull(), F.col("az")).otherwise(-F.col("best.ray") * step).alias("marker_az"), F.when(hidden, F.col("angle")).otherwise(F.coalesce("best.top", "line")).alias("marker_angle"))
+
+
+def around(peaks: DataFrame, distance: float, views: int = 12) -> DataFrame:
+    """Points (id, view, lat, lon) about each summit (id, lat, lon, ele), with the azimuth and distance back to it."""
+    rows = peaks.select("id", "ele", F.col("lat").alias("top_lat"), F.col("lon").alias("top_lon"), F.explode(F.sequence(F.lit(0), F.lit(views - 1))).alias("view"))
+    to = geo.destination(F.col("top_lat"), F.col("top_lon"), F.col("view") * (2 * math.pi / views), F.lit(distance))
+    rows = rows.withColumn("lat", to[0]).withColumn("lon", to[1])
+    back = [F.col(c) for c in ("lat", "lon", "top_lat", "top_lon")]
+    return rows.withColumn("az", geo.azimuth(*back)).withColumn("dist_m", geo.distance_m(*back))
+
+
+def viewpoints(views: DataFrame, samples: DataFrame) -> DataFrame:
+    """Of each summit the point to look at it from: one that sees it if there is one, the lowest, the first of equal ones.
+
+    ``views``: ``around`` with the ground's height; ``samples``: id, view, d, h on the way.
+    Points without ground don't count; with none the summit itself is given.
+    """
+    eye = F.col("ground") + EYE_M
+    line = samples.join(views.select("id", "view", "ground"), ["id", "view"]).groupBy("id", "view").agg(F.max((F.col("h") - eye - geo.drop_m(F.col("d"))) / F.col("d")).alias("line"))
+    own = F.atan((F.col("ele") - eye - geo.drop_m(F.col("dist_m"))) / F.col("dist_m"))
+    rows = views.filter("ground IS NOT NULL").join(line, ["id", "view"], "left").withColumn("unseen", F.coalesce(F.atan("line") - own > ANGLE_EPS, F.lit(False)))
+    best = rows.groupBy("id").agg(F.min(F.struct("unseen", F.round("ground", 6).alias("ground"), "view", "lat", "lon", "az")).alias("b"))
+    summits = views.groupBy("id").agg(F.first("top_lat").alias("top_lat"), F.first("top_lon").alias("top_lon"))
+    found = summits.join(best, "id", "left")
+    return found.select("id", "b.view", F.coalesce("b.lat", "top_lat").alias("lat"), F.coalesce("b.lon", "top_lon").alias("lon"), F.coalesce("b.az", F.lit(0.0)).alias("az"), (~F.col("b.unseen")).alias("sees"))
+
+
+def clipped_leaders(leaders: DataFrame, profile: DataFrame, rays: int, steps: int = 24) -> DataFrame:
+    """Lines from labels to summits (id, az0, e0, az1, e1) cut where they go behind the profile (ray, angle): id, az, elevation.
+
+    The cut lies on the straight line between the two steps about it.
+    """
+    share = F.col("step") / steps
+    rows = leaders.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    rows = rows.select("id", "step", (F.col("az0") + (F.col("az1") - F.col("az0")) * share).alias("az"), (F.col("e0") + (F.col("e1") - F.col("e0")) * share).alias("e"))
+    rows = angle_at(profile, rows, rays).withColumnRenamed("angle", "h")
+    along = Window.partitionBy("id").orderBy("step")
+    for c in ("az", "e", "h"):
+        rows = rows.withColumn(f"last_{c}", F.lag(c).over(along))
+    cut = F.min(F.when((F.col("step") > 0) & (F.col("e") < F.col("h")), F.col("step"))).over(Window.partitionBy("id"))
+    ends = rows.withColumn("cut", cut).filter(F.col("step") == F.coalesce("cut", F.lit(steps)))
+    tau = F.try_divide(F.col("last_e") - F.col("last_h"), (F.col("h") - F.col("last_h")) - (F.col("e") - F.col("last_e")))
+    at = lambda c: F.when(F.col("cut").isNull(), F.col(c)).when(tau.between(0, 1), F.col(f"last_{c}") + (F.col(c) - F.col(f"last_{c}")) * tau).otherwise(F.col(f"last_{c}"))
+    return ends.select("id", at("az").alias("az"), at("e").alias("elevation"))

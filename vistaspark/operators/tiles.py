@@ -1,4 +1,4 @@
-"""Height tiles as bytes: codecs, voids, validity, and tables of tiles (survey 2.13, A19, F8, F16, M10, M11, M30, M31, S8, S9, S12, W14).
+"""Height tiles as bytes: codecs, voids, validity, and tables of tiles (survey 2.13, A19, F8, F16, M10, M11, M30, M31, S8, S9, S12, W13, W14).
 
 A tile is a row (tx, ty, heights): a square of ``side * side`` values in rows from the north.
 Each is coded on its own in an Arrow batch, so the tiles of a pyramid are coded wherever they lie.
@@ -12,7 +12,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Passes that fill voids, bytes of a raw tile, heights that can be, the signatures of PNG and gzip.
@@ -161,3 +161,27 @@ def decode_png(tiles: DataFrame, side: int = 256) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     return tiles.filter(payload_kind(F.col("data")) == "png").select("tx", "ty", heights("data").alias("heights"))
+
+
+def paeth(cells: DataFrame, side: int) -> DataFrame:
+    """Cells (gx, gy, q) of tiles with what is left of each after the nearest of left, above and left + above - corner."""
+    cells = cells.withColumn("tx", F.floor(F.col("gx") / side)).withColumn("ty", F.floor(F.col("gy") / side))
+    along, down = Window.partitionBy("tx", "gy").orderBy("gx"), Window.partitionBy("ty", "gx").orderBy("gy")
+    rows = cells.withColumn("a", F.lag("q").over(along)).withColumn("b", F.lag("q").over(down)).withColumn("c", F.lag("b").over(along))
+    a, b, c = (F.col(x) for x in "abc")
+    p = a + b - c
+    nearest = F.when((F.abs(p - a) <= F.abs(p - b)) & (F.abs(p - a) <= F.abs(p - c)), a).when(F.abs(p - b) <= F.abs(p - c), b).otherwise(c)
+    guess = F.when(a.isNull() & b.isNull(), 0).when(b.isNull(), a).when(a.isNull(), b).otherwise(nearest)
+    return rows.withColumn("residual", F.col("q") - guess).drop("a", "b", "c")
+
+
+def rice_bits(residuals: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Bits of a Rice code of parameter ``k`` for the residuals of each key."""
+    zigzag = F.when(F.col("residual") >= 0, F.col("residual") * 2).otherwise(-F.col("residual") * 2 - 1)
+    return residuals.groupBy(*keys).agg(F.sum(F.floor(zigzag / (1 << k)) + 1 + k).alias("bits"))
+
+
+def prefix_sums(cells: DataFrame) -> DataFrame:
+    """Down each column (gx) the running sums of h and its square, and the highest so far."""
+    down = Window.partitionBy("gx").orderBy("gy").rowsBetween(Window.unboundedPreceding, 0)
+    return cells.select("gx", "gy", F.sum("h").over(down).alias("sum"), F.sum(F.col("h") * F.col("h")).over(down).alias("sum2"), F.max("h").over(down).alias("top"))

@@ -201,3 +201,21 @@ def reprojection(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     samples = fx.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 2).cast("int").alias("source"), (40 + k * 7919 % 3000 / F.lit(1e3)).alias("lat"), (38 + k * 104729 % 4000 / F.lit(1e3)).alias("lon"), F.floor("o_totalprice").cast("double").alias("h"))
     return planning.reprojected(samples, 0.5).withColumn("h", F.round("h", 6))
+
+
+@query(f"WITH {fx.RASTER} SELECT gx, gy, CAST(sum(h) OVER w AS BIGINT) AS sum, CAST(sum(h * h) OVER w AS BIGINT) AS sum2, max(h) OVER w AS top FROM raster WINDOW w AS (PARTITION BY gx ORDER BY gy)")
+def column_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running sums and the highest so far down the columns."""
+    return tiles.prefix_sums(fx.raster(spark, sf_dir))
+
+
+@query(f"""WITH {fx.RASTER}, q AS (SELECT a.gx, b.gy, CAST(coalesce(round_even(h / 4e0, 0), 0) AS BIGINT) AS q FROM range(64) a(gx), range(64) b(gy) LEFT JOIN raster4 r ON r.gx = a.gx AND r.gy = b.gy),
+n AS (SELECT o.gx, o.gy, o.q, l.q AS a, u.q AS b, c.q AS c FROM q o LEFT JOIN q l ON l.gx = o.gx - 1 AND l.gy = o.gy AND o.gx % 16 > 0 LEFT JOIN q u ON u.gx = o.gx AND u.gy = o.gy - 1 AND o.gy % 16 > 0 LEFT JOIN q c ON c.gx = o.gx - 1 AND c.gy = o.gy - 1 AND o.gx % 16 > 0 AND o.gy % 16 > 0),
+r AS (SELECT *, q - CASE WHEN a IS NULL AND b IS NULL THEN 0 WHEN b IS NULL THEN a WHEN a IS NULL THEN b WHEN abs(b - c) <= abs(a - c) AND abs(b - c) <= abs(a + b - 2 * c) THEN a WHEN abs(a - c) <= abs(a + b - 2 * c) THEN b ELSE c END AS residual FROM n)
+SELECT gx // 16 AS tx, gy // 16 AS ty, CAST(sum((CASE WHEN residual >= 0 THEN residual * 2 ELSE -residual * 2 - 1 END) // 64 + 7) AS BIGINT) AS bits FROM r GROUP BY 1, 2""")
+def codec_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits of tiles after prediction."""
+    cells = fx.level(spark, sf_dir, 4).cells.withColumn("q", F.rint(F.col("h") / 4).cast("long"))
+    grid = spark.range(64).withColumnRenamed("id", "gx").withColumn("gy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
+    whole = grid.join(cells.select("gx", "gy", "q"), ["gx", "gy"], "left").withColumn("q", F.coalesce("q", F.lit(0)))
+    return tiles.rice_bits(tiles.paeth(whole, 16), ["tx", "ty"], 6)

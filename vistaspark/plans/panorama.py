@@ -194,3 +194,58 @@ def tile_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx, ty = F.floor((F.col("lon") - whole.min_lon) / a.cell_deg / 16), F.floor((whole.max_lat - F.col("lat")) / a.cell_deg / 16)
     fine = sampling.is_fine(F.lit(geo.DEGREE_M * a.cell_deg) / (F.col("id") % 40 + 1))
     return rows.select("id", sampling.has_tile(F.col("coverage"), 16, 16, tx, ty).alias("there"), "covered", "coverage", fine.alias("fine"))
+
+
+@query(f"""{SEEN}, far AS (SELECT *, max(slope) OVER (PARTITION BY ray ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM march WHERE d >= 500),
+up AS (SELECT *, lag(d) OVER (PARTITION BY ray ORDER BY step) AS prev FROM far WHERE before IS NULL OR slope > before), f AS (SELECT *, sum(CASE WHEN prev IS NULL OR d - prev > 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY ray ORDER BY step) AS front FROM up),
+fronts AS (SELECT ray, front, min(d) AS from_m, max(d) AS to_m, atan(max(slope)) AS top FROM f GROUP BY ray, front), lines AS (SELECT ray, atan(max(slope)) AS angle FROM layered GROUP BY ray),
+w AS (SELECT *, greatest(0.009e0, least(0.052e0, atan2(1500e0, dist_m))) AS win, greatest(2000e0, dist_m * 0.15e0) AS tol, CAST(floor(az / ({TURN} / 3600) + 0.5e0) AS BIGINT) AS mid FROM shown),
+x AS (SELECT *, unnest(range(greatest(0, mid - CAST(ceil(win / ({TURN} / 3600)) AS BIGINT)), least(3599, mid + CAST(ceil(win / ({TURN} / 3600)) AS BIGINT)) + 1)) AS r FROM w WHERE visibility <> 'hidden'),
+m AS (SELECT x.id, f.ray, f.front, f.top, round(-(greatest(0, from_m - dist_m, dist_m - to_m) / tol) * 0.4e0 - abs((r * ({TURN} / 3600) - az) - {TURN} * ceil(((r * ({TURN} / 3600) - az) - pi()) / {TURN})) / win * 0.3e0 + top / 0.3e0 * 0.3e0, 12) AS score
+  FROM x JOIN fronts f ON f.ray = x.r WHERE greatest(0, from_m - dist_m, dist_m - to_m) <= tol), b AS (SELECT id, arg_max(ray, (score, -ray, -front)) AS ray, arg_max(top, (score, -ray, -front)) AS top FROM m GROUP BY id),
+p AS (SELECT id, az / ({TURN} / 3600) AS place FROM shown), li2 AS (SELECT p.id, coalesce(a.angle + (c.angle - a.angle) * (place - floor(place)), a.angle, c.angle) AS edge FROM p LEFT JOIN lines a ON a.ray = CAST(floor(place) AS BIGINT) % 3600 LEFT JOIN lines c ON c.ray = (CAST(floor(place) AS BIGINT) + 1) % 3600)
+SELECT s.id, round(CASE WHEN visibility = 'hidden' OR b.ray IS NULL THEN az ELSE b.ray * ({TURN} / 3600) END, 9) AS marker_az, round(CASE WHEN visibility = 'hidden' THEN angle ELSE coalesce(top, edge) END, 9) AS marker_angle FROM shown s LEFT JOIN b USING (id) JOIN li2 USING (id)""")
+def peak_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where peaks are marked on the fronts."""
+    marched = march(spark, sf_dir)
+    line = horizon.silhouette(horizon.layers(marched).withColumn("angle", F.atan("slope")))
+    found = horizon.markers(_seen(spark, sf_dir), horizon.fronts(marched), line, RAYS)
+    return found.select("id", F.round("marker_az", 9).alias("marker_az"), F.round("marker_angle", 9).alias("marker_angle"))
+
+
+VIEW_AT = "asin(sin(radians(lat)) * cos(6000 / 6371000e0) + cos(radians(lat)) * sin(6000 / 6371000e0) * cos(az))"
+
+
+@query(f"""WITH RECURSIVE {STEPS.format(name="vst", start=100)}, {fx.RASTER}, {fx.PEAKS}, v0 AS (SELECT id, ele, lat, lon, CAST(v AS INT) AS view, v * {TURN} / 12 AS az FROM peaks, range(12) r(v) WHERE ele IS NOT NULL AND id % 5 = 0),
+v1 AS (SELECT id, ele, lat AS top_lat, lon AS top_lon, view, degrees({VIEW_AT}) AS lat, degrees(radians(lon) + atan2(sin(az) * sin(6000 / 6371000e0) * cos(radians(lat)), cos(6000 / 6371000e0) - sin(radians(lat)) * sin({VIEW_AT}))) AS lon FROM v0),
+v2 AS (SELECT *, {fx.haversine('lat', 'lon', 'top_lat', 'top_lon')} AS dist_m, atan2(sin(radians(top_lon - lon)) * cos(radians(top_lat)), cos(radians(lat)) * sin(radians(top_lat)) - sin(radians(lat)) * cos(radians(top_lat)) * cos(radians(top_lon - lon))) AS a FROM v1),
+v3 AS (SELECT *, CASE WHEN a < 0 THEN a + {TURN} ELSE a END AS az FROM v2), g AS (SELECT id, view, max(h) AS ground FROM v3 JOIN raster16 ON gx BETWEEN CAST(floor((lon - 40.4371e0) * 4) AS BIGINT) - 1 AND CAST(floor((lon - 40.4371e0) * 4) AS BIGINT) + 1 AND gy BETWEEN CAST(floor((45.3529e0 - lat) * 4) AS BIGINT) - 1 AND CAST(floor((45.3529e0 - lat) * 4) AS BIGINT) + 1 GROUP BY 1, 2),
+w AS (SELECT id, view, d, lat AS o_lat, lon AS o_lon, az FROM v3 JOIN vst ON d < dist_m - 100),
+w2 AS (SELECT id, view, d, degrees(asin(sin(radians(o_lat)) * cos(d / 6371000e0) + cos(radians(o_lat)) * sin(d / 6371000e0) * cos(az))) AS lat,
+  degrees(radians(o_lon) + atan2(sin(az) * sin(d / 6371000e0) * cos(radians(o_lat)), cos(d / 6371000e0) - sin(radians(o_lat)) * (sin(radians(o_lat)) * cos(d / 6371000e0) + cos(radians(o_lat)) * sin(d / 6371000e0) * cos(az)))) AS lon FROM w),
+{fx.sampled_sql("ws", "w2")}, l AS (SELECT ws.id, ws.view, max((h2 - ground - 1.7e0 - {DROP}) / d) AS line FROM ws JOIN g USING (id, view) GROUP BY 1, 2),
+c AS (SELECT v3.*, ground, coalesce(atan(line) - atan((ele - ground - 1.7e0 - dist_m * dist_m * ((1 - 0.13e0) / (2 * 6371000e0))) / dist_m) > 0.0009e0, false) AS unseen FROM v3 JOIN g USING (id, view) LEFT JOIN l USING (id, view)),
+b AS (SELECT id, min({{'unseen': unseen, 'ground': round(ground, 6), 'view': view, 'lat': lat, 'lon': lon, 'az': az}}) AS b FROM c GROUP BY id)
+SELECT v.id, b.b.view AS view, round(coalesce(b.b.lat, top_lat), 6) AS lat, round(coalesce(b.b.lon, top_lon), 6) AS lon, round(coalesce(b.b.az, 0), 6) AS az, NOT b.b.unseen AS sees FROM (SELECT DISTINCT id, top_lat, top_lon FROM v3) v LEFT JOIN b USING (id)""")
+def viewpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From where to look at a summit."""
+    coarse = fx.pyramid(spark, sf_dir, (16,))
+    views = horizon.around(fx.peaks(spark, sf_dir).filter("ele IS NOT NULL AND id % 5 = 0"), 6000.0)
+    key = F.concat_ws("/", F.col("id"), F.col("view"))
+    ground = sampling.observer_height(views.select(key.alias("id"), "lat", "lon"), coarse).select(F.col("id").alias("place"), "ground")
+    views = views.join(ground, key == F.col("place"), "left").drop("place")
+    steps = horizon.steps_table(spark, 100.0, 6100.0).select("d")
+    way = views.join(F.broadcast(steps), F.col("d") < F.col("dist_m") - horizon.PEAK_MARGIN_M)
+    to = geo.destination(F.col("lat"), F.col("lon"), F.col("az"), F.col("d"))
+    samples = sampling.sample(way.select("id", "view", "d", to[0].alias("lat"), to[1].alias("lon")), coarse)
+    found = horizon.viewpoints(views, samples)
+    return found.select("id", "view", *[F.round(c, 6).alias(c) for c in ("lat", "lon", "az")], "sees")
+
+
+@query(f"""WITH RECURSIVE pst(step, d) AS (SELECT CAST(0 AS INT), 150e0 UNION ALL SELECT step + 1, d + CASE WHEN d < 5000 THEN 90 ELSE 180 END FROM pst WHERE d + CASE WHEN d < 5000 THEN 90 ELSE 180 END <= 12000), {fx.RASTER},
+pr AS (SELECT ray, step, d, ray * ({TURN} / 720) AS az FROM range(720) r(ray), pst), pts AS (SELECT ray, d, {PLACE} FROM pr), {fx.sampled_sql("sampled", "pts")}
+SELECT ray, round(atan(max((h - {EYE}e0 - {DROP}) / d)), 9) AS angle, count(*) AS samples FROM sampled WHERE h IS NOT NULL GROUP BY ray""")
+def preview_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST14: the skyline of a first look."""
+    seen = horizon.seen(sampling.sample(horizon.preview(spark, LAT, LON), fx.pyramid(spark, sf_dir)), EYE)
+    return seen.groupBy("ray").agg(F.round(F.atan(F.max("slope")), 9).alias("angle"), F.count(F.lit(1)).alias("samples"))

@@ -1,4 +1,4 @@
-"""Sensor events: sessions, means, latest request, windows with watermarks (survey ST2, ST8, ST11, ST15)."""
+"""Sensor events: sessions, means, latest request, windows with watermarks (survey ST2, ST8-ST13, ST15, ST17)."""
 
 from __future__ import annotations
 
