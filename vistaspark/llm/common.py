@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -17,11 +19,13 @@ WORD = r"[^\x20\x09-\x0D]++"
 def scratch_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a notebook on one machine) a folder of
-    this machine is used, and remembered in the session.
+    Only where that setting is absent and all runs in one process (tests, a notebook) a
+    folder of this machine is used, and remembered in the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vistaspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,6 +47,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(run):
+    """A function over Arrow batches that gives freed memory back at its end; workers live on between tasks."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return tidied
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table in the shared folder that later tables have taken the place of."""
     spark = df.sparkSession

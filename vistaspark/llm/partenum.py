@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vistaspark.llm.common import discard, materialise, small_side, text_of
+from vistaspark.llm.common import discard, materialise, small_side, text_of, tidy
 from vistaspark.llm.components import connected_components
 from vistaspark.llm.shared import class_of, shared_counts, shared_shingles
 from vistaspark.llm.shingles import distinct, mix, shingle_set, texts_of
@@ -207,7 +207,7 @@ def _merge(num: int, den: int):
 
 def _merged(rows: DataFrame, num: int, den: int) -> DataFrame:
     dealt = rows.select(*[x.split()[0] for x in GROUPED.split(", ")]).repartition("cluster", "part").sortWithinPartitions("cluster", "part")
-    return dealt.mapInArrow(_merge(num, den), "a long, b long")
+    return dealt.mapInArrow(tidy(_merge(num, den)), "a long, b long")
 
 
 def _every(n: str):
@@ -243,7 +243,7 @@ def _clusters(reduced: DataFrame, num: int, den: int) -> DataFrame:
     alone has comes first and joins nothing, so few classes are left with a common passage.
     """
     classes = reduced.count()
-    signed = reduced.select("class", "n", "shingles").mapInArrow(_sign(num, den), "class long, signatures array<long>")
+    signed = reduced.select("class", "n", "shingles").mapInArrow(tidy(_sign(num, den)), "class long, signatures array<long>")
     signed = _joined(signed.select("class", F.explode("signatures").alias("signature")), ["signature"], classes)
     members = reduced.join(signed.withColumnRenamed("root", "cluster"), F.col("class") == F.col("node")).select("cluster", "class", "shingles")
     single = members.select("cluster", "class", F.explode("shingles").alias("shingle"))
@@ -297,7 +297,7 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 8, den: int = 1
     gives an empty result. Columns other than the two named are not read.
     """
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    described = materialise(texts.mapInArrow(_describe(words), "doc_id long, n_shingles long, class long, class2 long"), "partenum-classes")
+    described = materialise(texts.mapInArrow(tidy(_describe(words)), "doc_id long, n_shingles long, class long, class2 long"), "partenum-classes")
     classes = described.filter("n_shingles > 0").groupBy("class").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows"))
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
     # a class is out when more than 1 - t of its shingles are its own

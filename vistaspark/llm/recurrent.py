@@ -222,7 +222,7 @@ class Adam:
 class Table:
     """Input shares of the gates, a row for each distinct chunk a worker has met (row 0: none)."""
 
-    KEPT = 400_000
+    KEPT = 250_000
 
     def __init__(self, net: dict, inputs: Inputs):
         self.net, self.inputs = net, inputs

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vistaspark.llm.common import tidy
 from vistaspark.llm.shingles import mix, shingle_set, texts_of
 
 #: Shingles and classes of a chunk; hashes of a bucket.
@@ -175,9 +176,9 @@ def _exchange(texts: DataFrame, k: int, total: int, lists: bool) -> DataFrame:
     buckets = max(1, -(-total // BUCKET))
     # the rows that wait for no bucket are spread by their chunk
     spread = F.when(F.col("bucket") == -1, -2 - F.col("chunk")).otherwise(F.col("bucket"))
-    asked = texts.select("text").mapInArrow(_ask(k, buckets, lists), ASKED).repartition(spread).sortWithinPartitions("bucket")
-    answered = asked.mapInArrow(_answer(lists), ANSWERED).repartition("chunk").sortWithinPartitions("chunk")
-    return answered.mapInArrow(_gather(lists), "class long, shingles array<long>" if lists else "class long, shared long")
+    asked = texts.select("text").mapInArrow(tidy(_ask(k, buckets, lists)), ASKED).repartition(spread).sortWithinPartitions("bucket")
+    answered = asked.mapInArrow(tidy(_answer(lists)), ANSWERED).repartition("chunk").sortWithinPartitions("chunk")
+    return answered.mapInArrow(tidy(_gather(lists)), "class long, shingles array<long>" if lists else "class long, shared long")
 
 
 def shared_counts(texts: DataFrame, k: int, total: int) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistaspark.llm import recurrent as rnn
-from vistaspark.llm.common import text_of
+from vistaspark.llm.common import text_of, tidy
 from vistaspark.llm.shingles import texts_of
 
 LENGTH, STRIDE = 24, 12
@@ -191,12 +191,15 @@ def scorer(model: dict):
 def score_column(model: dict, text_col: str = "text"):
     """The score of a text column, null texts as empty."""
 
-    @F.arrow_udf("double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = scorer(model)
         for texts in batches:
             yield pa.array(of(texts))
 
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(scores)(batches)
+
     return score(text_of(text_col))
 
 
