@@ -12,7 +12,7 @@ gap most tightly, as long as that leaves less empty.
 
 from __future__ import annotations
 
-import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaspark.llm.common import materialise, text_of, with_slots
+from vistaspark.llm.common import materialise, text_of, tidy, with_slots
 from vistaspark.llm.shingles import PIECE, span_hashes
 
 CAPACITY = 2048
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-#: Bytes of chunks, and ids, that a worker keeps; beyond, it starts anew. Longer chunks are encoded when they come.
-KEPT_BYTES, KEPT_IDS, LONG_CHUNK = 16 << 20, 8 << 20, 256
+#: Chunks and ids that a task keeps, 24 and 4 bytes each; beyond, those that came first stay, to half of the ids.
+KEPT_CHUNKS, KEPT_IDS = 400_000, 3_000_000
+#: Bytes of texts whose ids are held at a time, unless one text is longer.
+GROUP_BYTES = 2 << 20
 #: Bytes that no chunk is cut beside: white space and what may be a part of it in UTF-8.
 _CLOSED = np.zeros(256, bool)
 _CLOSED[[*range(33), 0x7F]] = True
@@ -56,56 +58,58 @@ def chunk_starts(data: np.ndarray) -> np.ndarray:
 
 
 class ChunkIds:
-    """Ids of chunks; a worker encodes each chunk it meets once, as far as it keeps them."""
+    """Ids of chunks; a task encodes each chunk it meets once, as far as it keeps them.
+
+    Chunks are known by 64-bit hashes of their bytes and length, in sorted arrays.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.places = np.zeros((1 << 14, 2), np.int64)  # start and number of the ids of each chunk
-        self.used = self.bytes = self.count = 0
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        lists = [e.ids for e in encoded]
+        self.hashes = np.empty(0, np.uint64)
+        self.places = np.empty((0, 2), np.int64)  # start and number of the ids of each chunk
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _halve(self) -> None:
+        """Keep what came first, mostly the common chunks: ids lie in the order of coming."""
+        old = self.places.sum(1) <= self.used // 2
+        self.hashes, self.places = self.hashes[old], self.places[old]
+        self.used = int(self.places.sum(1).max(initial=0))
+        self.ids = self.ids[: self.used].copy()
+
+    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        new, first = int(lengths.sum()), self.count
-        while self.used + new > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while first + len(chunks) > len(self.places):
-            self.places = np.concatenate([self.places, np.zeros_like(self.places)])
-        self.ids[self.used : self.used + new] = np.fromiter((x for ids in lists for x in ids), np.uint32, new)
+        new = int(lengths.sum())
+        if self.used + new > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(new, self.used // 2), np.uint32)])
+        self.ids[self.used : self.used + new] = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, new)
         ends = self.used + np.cumsum(lengths)
-        self.places[first : first + len(chunks)] = np.stack([ends - lengths, lengths], axis=1)
-        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
-        self.used, self.count, self.bytes = self.used + new, first + len(chunks), self.bytes + sum(map(len, chunks))
+        self.used += new
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.places = np.insert(self.places, at, np.stack([ends - lengths, lengths], axis=1)[order], axis=0)
 
     def _spans(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row, number of each span); the spans begin at ``starts``."""
-        if self.bytes > KEPT_BYTES or self.used > KEPT_IDS:
-            self.clear()
-        ends = np.append(starts[1:], len(data))
+        if len(self.hashes) > KEPT_CHUNKS or self.used > KEPT_IDS:
+            self._halve()
         which, distinct = pd.factorize(span_hashes(data, starts))
-        first = np.empty(len(distinct), np.int64)
-        first[which[::-1]] = np.arange(len(starts))[::-1]
-        raw = data.tobytes()
-        chunks = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        missing = list(dict.fromkeys(c for c in chunks if c not in self.known))
-        if missing:
-            self._learn(missing)
-        places = self.places[np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))][which]
+        known = np.zeros(len(distinct), bool)
+        if len(self.hashes):
+            known = self.hashes[np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)] == distinct
+        if not known.all():
+            first = np.empty(len(distinct), np.int64)
+            first[which[::-1]] = np.arange(len(starts))[::-1]
+            missing = first[~known]
+            raw, ends = data.tobytes(), np.append(starts[1:], len(data))
+            self._learn(distinct[~known], [raw[a:b].decode() for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)])
+        places = self.places[np.searchsorted(self.hashes, distinct)][which]
         lengths = places[:, 1]
         total = np.cumsum(lengths)
-        ids = self.ids[np.repeat(places[:, 0] - (total - lengths), lengths) + np.arange(total[-1])]
-        for c in missing:
-            if len(c) > LONG_CHUNK:  # its ids stay unused until the next start
-                del self.known[c]
-        return ids, lengths
+        return self.ids[np.repeat(places[:, 0] - (total - lengths), lengths) + np.arange(total[-1])], lengths
 
     def of(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts that stand in a row, and where each begins and the last ends; ``bounds``: the same of their bytes."""
@@ -136,12 +140,6 @@ class ChunkIds:
         return np.concatenate(ids), total[np.searchsorted(np.concatenate(starts), bounds)]
 
 
-@functools.lru_cache(1)
-def chunk_ids_of(path: str) -> ChunkIds:
-    """A worker keeps what it has met from task to task."""
-    return ChunkIds(path)
-
-
 def pieces_of(path: str, capacity: int, keep_ids: bool, end_id: int = 0):
     """mapInArrow function: (doc_id, text) to the pieces of each document."""
 
@@ -149,28 +147,36 @@ def pieces_of(path: str, capacity: int, keep_ids: bool, end_id: int = 0):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        chunk_ids = chunk_ids_of(path)
+        chunk_ids = ChunkIds(path)
         for batch in batches:
             text = batch.column(1).cast(pa.large_string())
             bounds = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-            data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
-            ids, at = chunk_ids.of(data, bounds - bounds[0])
-            ends = at[1:] + np.arange(len(at) - 1)
-            whole, own = np.full(len(ids) + len(ends), end_id, "<u4"), np.ones(len(ids) + len(ends), bool)
-            own[ends] = False
-            whole[own] = ids
-            raw = memoryview(whole).cast("B")
-            at = at + np.arange(len(at))
-            sizes = np.diff(at)
-            pieces = -(-sizes // capacity)
-            owner = np.repeat(np.arange(len(sizes)), pieces)
-            piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            end = sizes[owner] - (pieces[owner] - 1 - piece) * capacity
-            start = np.where(piece > 0, end - capacity, 0)
-            cuts = [raw[4 * a : 4 * b] for a, b in zip((at[owner] + start).tolist(), (at[owner] + end).tolist(), strict=True)]
-            columns = [batch.column(0).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(end - start)]
-            columns += [pa.array([zlib.crc32(c) for c in cuts], pa.int64()), pa.array([bytes(c) for c in cuts] if keep_ids else [None] * len(cuts), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+            data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+            # some texts at a time, so that the ids of a whole batch are never held
+            group = (bounds[:-1] - bounds[0]) // GROUP_BYTES if len(text) else np.empty(0, np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(text)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if high > low:
+                    yield pieces(chunk_ids, batch.column(0).slice(low, high - low), data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
+
+    def pieces(chunk_ids: ChunkIds, doc_ids: pa.Array, data: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        ids, at = chunk_ids.of(data, bounds)
+        ends = at[1:] + np.arange(len(at) - 1)
+        whole, own = np.full(len(ids) + len(ends), end_id, "<u4"), np.ones(len(ids) + len(ends), bool)
+        own[ends] = False
+        whole[own] = ids
+        raw = memoryview(whole).cast("B")
+        at = at + np.arange(len(at))
+        sizes = np.diff(at)
+        count = -(-sizes // capacity)
+        owner = np.repeat(np.arange(len(sizes)), count)
+        piece = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        end = sizes[owner] - (count[owner] - 1 - piece) * capacity
+        start = np.where(piece > 0, end - capacity, 0)
+        cuts = [raw[4 * a : 4 * b] for a, b in zip((at[owner] + start).tolist(), (at[owner] + end).tolist(), strict=True)]
+        columns = [doc_ids.take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(end - start)]
+        columns += [pa.array([zlib.crc32(c) for c in cuts], pa.int64()), pa.array([bytes(c) for c in cuts] if keep_ids else [None] * len(cuts), pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     return run
 
@@ -249,7 +255,7 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids:
     unless ``keep_ids``; ``sequences`` puts them together. Other columns are not read.
     """
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    pieces = materialise(texts.mapInArrow(pieces_of(tokenizer_path, capacity, keep_ids), PIECE_SCHEMA), "pieces")
+    pieces = materialise(texts.mapInArrow(tidy(pieces_of(tokenizer_path, capacity, keep_ids)), PIECE_SCHEMA), "pieces")
     histogram = pieces.groupBy("length").count().collect()  # at most ``capacity`` rows
     counts = np.zeros(capacity + 1, np.int64)
     for r in histogram:
