@@ -32,9 +32,18 @@ BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no square is lost or overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def cosines(rows: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Cosines of rows and a vector in double precision, whatever their lengths."""
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    vector = vector / np.abs(vector).max()
+    return (rows * vector).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((vector * vector).sum()))
+
+
 def nearest(x: np.ndarray, centres: np.ndarray, n: int = 1) -> np.ndarray:
     score = x @ centres.T - 0.5 * (centres * centres).sum(1)
     if n >= len(centres):
@@ -152,7 +161,6 @@ def _scan(width: int, books: np.ndarray, k: int):
             ids, v = rows["vec_id"].to_numpy()[order], matrix(rows["v"], width)[order]
             packed = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             codes = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(ids), -1)[:, :m].T.astype(np.int64)
-            norms = np.sqrt((v * v).sum(1))
             q = matrix(queries["q"], width)
             tables = np.einsum("qmw,mkw->qmk", unit(q).reshape(len(q), m, WIDTH), books)
             # all rows of a group are of one list, so its centre adds the same to every score
@@ -164,7 +172,7 @@ def _scan(width: int, books: np.ndarray, k: int):
                 # ties by the smaller id: the sort is stable and rows are in the order of ids
                 best = np.argsort(-score, kind="stable")[:RERANKED]
                 best = best[ids[best] != query_id]
-                exact = (v[best] * vector).sum(1) / (norms[best] * np.sqrt((vector * vector).sum()))
+                exact = cosines(v[best], vector)
                 top = np.lexsort((ids[best], -exact))[:k]
                 out[0] += [query_id] * len(top)
                 out[1].append(ids[best[top]])
@@ -177,9 +185,12 @@ def _scan(width: int, books: np.ndarray, k: int):
 def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = 5, lists: int | None = None, probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the ``k`` nearest found by cosine, ties to the smaller id.
 
-    ``df`` and ``queries``: vec_id, embedding. Vectors that are null, zero, or hold nulls,
-    NaN or infinities take no part, nor do those of another width than most of the sample
-    has. Equal vectors tie; a query's own id is never its neighbour. An empty table, or no
+    ``df`` and ``queries``: vec_id, embedding; other columns are not read, whatever their
+    names. Vectors that are null, zero, or hold nulls, NaN or infinities take no part; a
+    cosine is defined for vectors of one width alone, so neither do those of another width
+    than most of the sample has. Very small and very large components count like any other.
+    Equal vectors tie, repeated rows are one neighbour; a query's own id is never its
+    neighbour. With fewer than ``k`` candidates all of them are given. An empty table, or no
     queries, give an empty result. All vectors are indexed; centres and codebooks come from
     at most ``SAMPLE_ROWS`` of them, chosen by a hash of the id.
     """
@@ -199,7 +210,7 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = 5, lists: int
     x = unit(np.pad(np.array([v for v in taken if len(v) == width]), ((0, 0), (0, -width % WIDTH))))
     rows = rows.filter(F.size("v") == width)
     total = rows.count()
-    lists = lists or max(1, min(int(math.sqrt(total)), len(x) // 20 or 1))
+    lists = lists or max(1, min(int(math.sqrt(total)), len(x) // 5 or 1))
     centres = fit_centres(x, lists)
     dims = x.shape[1]
     weight = max(1.0, (dims - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
@@ -207,9 +218,33 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = 5, lists: int
     probes = min(len(centres), probes or max(8, probes_for(x, centres, own, k)))
     books = fit_books(x, x - centres[own], weight)
     index = materialise(rows.mapInArrow(_encode(width, centres, books, weight), "vec_id long, v array<double>, list int, codes binary"), "ann-index")
-    probed = valid(queries).filter(F.size("v") == width).mapInArrow(_probe(width, centres, probes), "query_id long, q array<double>, lists array<int>")
+    asked = valid(queries).filter(F.size("v") == width)
+    probed = asked.mapInArrow(_probe(width, centres, probes), "query_id long, q array<double>, lists array<int>")
     probed = materialise(probed.select("query_id", "q", F.explode("lists").alias("list")), "ann-queries")
-    # blocks of rows and of queries: at most ``lists`` rows, known by their counts
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def nearest_of(found: DataFrame) -> DataFrame:
+        return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = materialise(nearest_of(_searched(index, probed, width, books, k)), "ann-found")
+    # queries whose lists hold too few vectors are asked of all lists; few, since a list holds hundreds
+    wanted = F.lit(min(k, total - 1))
+    enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= wanted).select("query_id")
+    short = probed.select("query_id", "q").dropDuplicates(["query_id"]).join(enough, "query_id", "left_anti")
+    short = materialise(short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(centres) - 1)))), "ann-short")
+    if short.head(1):
+        rest = nearest_of(_searched(index, short, width, books, k))
+        found = found.join(short.select("query_id").distinct(), "query_id", "left_anti").union(rest)
+    return found
+
+
+def _searched(index: DataFrame, probed: DataFrame, width: int, books: np.ndarray, k: int) -> DataFrame:
+    """query_id, vec_id, score: the best of each block of the lists that the queries (query_id, q, list) ask.
+
+    Vectors travel with their codes, one copy for each block of queries of their list: a
+    query reranks so many that fetching them afterwards would move more.
+    """
+    # blocks of rows and of queries: at most one row a list, known by their counts
     blocks = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("row_blocks"))
     asked = probed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("query_blocks"))
     sizes = F.broadcast(materialise(blocks.join(asked, "list"), "ann-blocks"))
@@ -217,6 +252,4 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = 5, lists: int
     left = probed.join(sizes, "list").withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int")).withColumn("row_block", every("row_blocks"))
     right = index.join(sizes, "list").withColumn("row_block", F.pmod(F.xxhash64("vec_id"), F.col("row_blocks")).cast("int")).withColumn("query_block", every("query_blocks"))
     key = ["list", "row_block", "query_block"]
-    found = left.select(*key, "query_id", "q").groupBy(*key).cogroup(right.select(*key, "vec_id", "v", "codes").groupBy(*key)).applyInArrow(_scan(width, books, k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.select(*key, "query_id", "q").groupBy(*key).cogroup(right.select(*key, "vec_id", "v", "codes").groupBy(*key)).applyInArrow(_scan(width, books, k), "query_id long, vec_id long, score double")
