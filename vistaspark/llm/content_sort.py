@@ -19,7 +19,8 @@ from vistaspark.llm.common import ASCII_SPACE, materialise, small_side, text_of
 HOT_SHARE = 2048
 #: Smallest count of a hot group.
 HOT_LEAST = 200
-SALTS = 64
+#: Salts of a hot group at least, and its rows that one salt has at most, about.
+SALTS, SALT_ROWS = 64, 50_000
 
 
 def normalised(column: str = "text"):
@@ -42,7 +43,9 @@ def content_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).withColumn("hash", F.xxhash64("norm"))
     hot_rows = max(HOT_LEAST, df.count() // HOT_SHARE)
     # at most HOT_SHARE rows, since the counts add up to the rows of the table
-    hot = rows.groupBy("hash").count().filter(F.col("count") > hot_rows).select("hash", F.lit(True).alias("hot"))
+    counted = materialise(rows.groupBy("hash").count().filter(F.col("count") > hot_rows), "content-hot")
+    salts = max(salts, -(-(counted.agg(F.max("count")).first()[0] or 0) // SALT_ROWS))
+    hot = counted.select("hash", F.lit(True).alias("hot"))
     salted = (
         rows.join(F.broadcast(hot), "hash", "left")
         .withColumn("hot", F.coalesce("hot", F.lit(False)))
