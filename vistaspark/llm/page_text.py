@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistaspark.llm.chaining import common
-from vistaspark.llm.common import materialise, small_side
+from vistaspark.llm.common import materialise, small_side, tidy
 
 # Names of HTML elements and the usual names of page parts.
 BLOCKS = set(
@@ -230,7 +230,7 @@ def page_text(df: DataFrame) -> DataFrame:
     """
     source = df.select("page_id", F.coalesce("html", F.lit("")).alias("html"), "url")
     kinds = dict(df.dtypes)
-    read = source.mapInArrow(_read, f"page_id {kinds['page_id']}, url string, hashes array<long>, lengths array<int>, kinds array<tinyint>, lines array<string>")
+    read = source.mapInArrow(tidy(_read), f"page_id {kinds['page_id']}, url string, hashes array<long>, lengths array<int>, kinds array<tinyint>, lines array<string>")
     read = materialise(read.withColumn("row", F.monotonically_increasing_id()), "page-lines")
     # lines are aligned by their hashes: what moves between tasks is some bytes a line
     narrow = read.select("row", "url", "hashes", "lengths")
