@@ -468,3 +468,156 @@ def test_heading_of_an_article_stays():
     page = '<div class="site-header">S</div><article><div class="entry-header"><h1>Title</h1></div><p>Body</p><div class="share">no</div></article>'
     lines, kinds = page_text.lines_of(page)
     assert [x for x, k in zip(lines, kinds, strict=True) if k == page_text.ARTICLE] == ["Title", "Body"]
+
+
+def test_neighbours_of_tiny_and_huge_vectors(spark):
+    rng = np.random.default_rng(8)
+    plain = rng.normal(size=(60, 6))
+    rows = [(i, (v * (1e-200 if i % 3 == 1 else 1e200 if i % 3 == 2 else 1.0)).tolist(), i, "x") for i, v in enumerate(plain)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank long, list string")
+    got = anisotropic.nearest_neighbours(df, df.filter("vec_id % 50 = 0"), probes=1, lists=12).collect()
+    x = plain / np.linalg.norm(plain, axis=1, keepdims=True)
+    for q in (0, 50):
+        mine = {r["vec_id"]: r["score"] for r in got if r["query_id"] == q}
+        assert len(mine) == 5 and all(s == pytest.approx(x[v] @ x[q]) for v, s in mine.items())
+
+
+def test_neighbours_when_there_are_few(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = anisotropic.nearest_neighbours(df, df).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(q, k) for q in range(3) for k in (1, 2)]
+
+
+def plain_kd_tree(rows, leaves):
+    """Shards of metadata rows by recursive splits at the weighted quantile of the widest dimension."""
+    dims = np.array([r["dims"] for r in rows])
+    size, tie = np.array([r["size"] for r in rows]), np.array([r["tie"] for r in rows])
+    spread, top, shard = np.maximum(np.ptp(dims, axis=0), 1e-300), (1 << kd_shards.VALUE_BITS) - 1, np.zeros(len(rows), int)
+
+    def split(here, first, n):
+        if n == 1 or not len(here):
+            return
+        wide = np.ptp(dims[here], axis=0) / spread
+        d = int(np.argmax(wide))
+        low, width = dims[here, d].min(), np.ptp(dims[here, d]) or 1.0
+        key = np.floor((dims[here, d] - low) / width * top).astype(np.int64)
+        order = here[np.lexsort((tie[here], key))]
+        total = np.cumsum(size[order])
+        goal = size[here].sum() * (n // 2) / n
+        at = min(int(np.searchsorted(total, goal)), len(order) - 1)
+        before = total[at] - size[order[at]]
+        cut = at + 1 if total[at] - goal < goal - before else at
+        shard[order[cut:]] = first + n // 2
+        split(order[:cut], first, n // 2)
+        split(order[cut:], first + n // 2, n - n // 2)
+
+    split(np.arange(len(rows)), 0, leaves)
+    return shard
+
+
+def test_shards_against_a_plain_tree(corpus):
+    from vistaspark.llm.common import materialise
+
+    meta = materialise(kd_shards.metadata(corpus), "t")
+    rows = meta.collect()
+    want = Counter(zip([r["doc_id"] for r in rows], plain_kd_tree(rows, 7).tolist(), strict=True))
+    assert Counter((r["doc_id"], r["shard"]) for r in kd_shards.kd_split(meta, 7).collect()) == want
+
+
+def test_toxicity_has_skill_on_texts_it_has_not_seen():
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(3, 9)))) for _ in range(2000)]
+    stems = ["zorvak", "mungrel", "quivit", "drubbel"]
+
+    def text(label):
+        out = list(rng.choice(words, int(rng.integers(20, 300))))
+        for _ in range(3 if label else 0):
+            out.insert(int(rng.integers(len(out))), str(rng.choice(stems)) + str(rng.choice(["", "s", "ing", "ed"])))
+        return " ".join(out).encode()
+
+    labels = [int(k % 4 == 0) for k in range(800)]
+    sample = [(text(y), y) for y in labels]
+    score = toxicity.scorer(toxicity.train(sample[:600]))(toxicity.pa.array([t.decode() for t, _ in sample[600:]]))
+    truth = np.array(labels[600:])
+    over = (score[truth == 1][:, None] > score[truth == 0]).mean()
+    assert over > 0.97 and ((score >= 0.5) == truth).mean() > 0.85
+
+
+@pytest.mark.parametrize("which", ["docs", "none"])
+def test_stages_on_awkward_tables(spark, request, tmp_path, which):
+    import corpus_pipeline
+
+    df = request.getfixturevalue(which)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 2)) for i in range(1, 11)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = corpus_pipeline.documents(spark, str(tmp_path))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() <= 3 * docs.count()
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(packed.columns)
+    assert packed.count() == 0 if which == "none" else packed.count() > 0
+
+
+def test_rows_that_share_an_id_keep_their_own_passages(spark):
+    run = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, run("a", 80), 1), (1, run("b", 80), 2), (2, "x " + run("a", 80), 3), (3, "y " + run("b", 80), 4)]
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string, words int")).collect()
+    assert {(r["doc_id"], r["other_id"], r["start_word"], r["matched_words"]) for r in got} == {(1, 2, 0, 80), (2, 1, 1, 80), (1, 3, 0, 80), (3, 1, 1, 80)}
+
+
+def edited(rng, words, identity):
+    return [w if rng.random() < identity else f"edit{rng.integers(1 << 40)}" for w in words]
+
+
+def test_recall_of_fuzzy_passages(spark):
+    rng = np.random.default_rng(12)
+    rows, pairs = [], {}
+    for identity in (1.0, 0.95, 0.9):
+        for _ in range(40):
+            i = len(rows)
+            passage = [f"w{rng.integers(1 << 40)}" for _ in range(100)]
+            for k in (0, 1):
+                own = [f"own{rng.integers(1 << 40)}" for _ in range(30)]
+                rows.append((i + k, " ".join(own + (edited(rng, passage, identity) if k else passage) + own[::-1])))
+            pairs[i] = identity
+    got = {r["doc_id"] for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {t: np.mean([i in got for i, x in pairs.items() if x == t]) for t in (1.0, 0.95, 0.9)}
+    assert found[1.0] == 1 and found[0.95] >= 0.95 and found[0.9] >= 0.6
+
+
+def test_clusters_of_many_blocks_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    rows, base = [], [f"w{k}" for k in range(120)]
+    for i in range(150):
+        words = list(base)
+        for _ in range(int(rng.integers(0, 7))):
+            words[int(rng.integers(120))] = f"x{rng.integers(40)}"
+        rows.append((i, " ".join(words + [f"own{i}"] * int(rng.integers(0, 2)))))
+    want = components(rows, 5, 8, 10)
+    assert 2 < len({c for _, c in want.values()}) < 140
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in (("BLOCK_CLASSES", 9), ("PIVOTS", 3)):
+        monkeypatch.setattr(partenum, name, value)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in partenum.jaccard_components(df).collect()}
+    assert got == want
+
+
+def test_links_grow_with_the_documents_not_their_pairs(spark, monkeypatch):
+    counts = []
+    merged = partenum._merged
+    for copies in (1, 5):
+        rng = np.random.default_rng(15)
+        rows = []
+        for g in range(20 * copies):
+            base = [f"g{g}w{k}" for k in range(60)]
+            for i in range(6):
+                words = list(base)
+                words[int(rng.integers(60))] = f"e{rng.integers(1 << 30)}"
+                rows.append((len(rows), " ".join(["a common line that all of them share"] + words)))
+        seen = []
+        monkeypatch.setattr(partenum, "_merged", lambda df, num, den, seen=seen: seen.append(df.count()) or merged(df, num, den))
+        partenum.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).count()
+        counts.append(sum(seen))
+    assert counts[0] > 0 and counts[1] <= 5.5 * counts[0]
