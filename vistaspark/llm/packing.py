@@ -12,6 +12,7 @@ gap most tightly, as long as that leaves less empty.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from vistaspark.llm.shingles import PIECE, span_hashes
 
 CAPACITY = 2048
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-#: Chunks and ids that a task keeps, 24 and 4 bytes each; beyond, those that came first stay, to half of the ids.
+#: Chunks and ids that a worker keeps, 24 and 4 bytes each; beyond, those that came first stay, to half of the ids.
 KEPT_CHUNKS, KEPT_IDS = 400_000, 3_000_000
 #: Bytes of texts whose ids are held at a time, unless one text is longer.
 GROUP_BYTES = 2 << 20
@@ -58,15 +59,14 @@ def chunk_starts(data: np.ndarray) -> np.ndarray:
 
 
 class ChunkIds:
-    """Ids of chunks; a task encodes each chunk it meets once, as far as it keeps them.
+    """Ids of chunks; a worker encodes each chunk it meets once, as far as it keeps them.
 
-    Chunks are known by 64-bit hashes of their bytes and length, in sorted arrays.
+    Chunks are known by 64-bit hashes of their bytes and length, in sorted arrays. These
+    stay from task to task, some 20 MB; the tokenizer, which is larger, only for a task.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self):
+        self.tokenizer = None
         self.hashes = np.empty(0, np.uint64)
         self.places = np.empty((0, 2), np.int64)  # start and number of the ids of each chunk
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -140,6 +140,11 @@ class ChunkIds:
         return np.concatenate(ids), total[np.searchsorted(np.concatenate(starts), bounds)]
 
 
+@functools.lru_cache(1)
+def chunk_ids_of(path: str) -> ChunkIds:
+    return ChunkIds()
+
+
 def pieces_of(path: str, capacity: int, keep_ids: bool, end_id: int = 0):
     """mapInArrow function: (doc_id, text) to the pieces of each document."""
 
@@ -147,7 +152,10 @@ def pieces_of(path: str, capacity: int, keep_ids: bool, end_id: int = 0):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        chunk_ids = ChunkIds(path)
+        from tokenizers import Tokenizer
+
+        chunk_ids = chunk_ids_of(path)
+        chunk_ids.tokenizer = Tokenizer.from_file(path)
         for batch in batches:
             text = batch.column(1).cast(pa.large_string())
             bounds = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
@@ -158,6 +166,7 @@ def pieces_of(path: str, capacity: int, keep_ids: bool, end_id: int = 0):
             for low, high in zip(cuts, cuts[1:], strict=False):
                 if high > low:
                     yield pieces(chunk_ids, batch.column(0).slice(low, high - low), data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
+        chunk_ids.tokenizer = None
 
     def pieces(chunk_ids: ChunkIds, doc_ids: pa.Array, data: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
         ids, at = chunk_ids.of(data, bounds)
