@@ -84,10 +84,10 @@ def isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ISO}, s AS (SELECT *, round(coalesce(ele, 0) * {fx.weight('iso_m')} * CASE WHEN wikidata IS NOT NULL THEN 1.35e0 ELSE 1e0 END, 6) AS sc FROM isolated),
 r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY sc DESC, id) AS rank FROM s)
-SELECT region, CAST(rank AS INT) AS rank, id, name, round(sc, 3) AS score FROM r WHERE rank <= 20 AND name IS NOT NULL""")
+SELECT region, CAST(rank AS INT) AS rank, id, name, round(sc, 3) AS score FROM r WHERE rank <= 400 AND name IS NOT NULL""")
 def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best peaks of each region."""
-    p = gazetteer.search_index(gazetteer.isolation(fx.peaks(spark, sf_dir)), 20)
+    p = gazetteer.search_index(gazetteer.isolation(fx.peaks(spark, sf_dir)))
     return p.select("region", "rank", "id", "name", F.round("score", 3).alias("score"))
 
 
@@ -156,15 +156,15 @@ def raster_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("tx", "ty", *[F.round(c, 4).alias(c) for c in ("low", "high", "mean", "relief")])
 
 
-@query("""WITH cells AS (SELECT o_custkey AS cell, round((max(o_totalprice) - min(o_totalprice)) / 1e2, 4) AS relief, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS bytes, CAST(1 + o_custkey % 4 AS INT) AS priority FROM orders GROUP BY o_custkey),
-k AS (SELECT * FROM cells WHERE relief * CASE priority WHEN 1 THEN 4e0 WHEN 2 THEN 3e0 WHEN 3 THEN 2e0 ELSE 1.5e0 END >= 3000),
+@query("""WITH cells AS (SELECT o_custkey AS cell, round((max(o_totalprice) - min(o_totalprice)) / 1e2, 4) AS relief, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS bytes, CAST(CASE WHEN o_custkey % 10 = 0 THEN 9 ELSE 1 + o_custkey % 4 END AS INT) AS priority FROM orders GROUP BY o_custkey),
+k AS (SELECT * FROM cells WHERE relief * CASE priority WHEN 1 THEN 4e0 WHEN 2 THEN 3e0 WHEN 3 THEN 2e0 WHEN 4 THEN 1.5e0 ELSE 1e0 END >= 3000),
 u AS (SELECT *, CAST(coalesce(sum(bytes) OVER (ORDER BY priority, relief DESC, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used FROM k)
 SELECT cell, priority, relief, bytes, used FROM u WHERE used < 300000000""")
 def cells_in_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells by priority and relief under a byte budget."""
     o = fx.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("cell"))
     cells = o.agg(F.round((F.max("o_totalprice") - F.min("o_totalprice")) / F.lit(1e2), 4).alias("relief"), F.sum(F.floor("o_totalprice").cast("long")).alias("bytes"))
-    cells = cells.withColumn("priority", (1 + F.col("cell") % 4).cast("int"))
+    cells = cells.withColumn("priority", F.when(F.col("cell") % 10 == 0, 9).otherwise(1 + F.col("cell") % 4).cast("int"))
     return raster.select_cells(cells, 3000.0, 300_000_000).select("cell", "priority", "relief", "bytes", "used")
 
 
