@@ -76,7 +76,7 @@ def test_cells_are_summed_in_blocks(spark, monkeypatch):
     assert 50 < len(want) < 200 and sorted((r["cell"], r["used"]) for r in got) == sorted(want)
 
 
-@pytest.mark.parametrize("name", sorted(terrain.QUERIES))
+@pytest.mark.parametrize("name", sorted(terrain.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
