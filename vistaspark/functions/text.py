@@ -157,10 +157,10 @@ def slug(text: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 40)
 
 
-def photo_filename(peak: Column, region: Column, at: Column) -> Column:
-    """Named after the peak, else the region, and the second."""
+def photo_filename(peak: Column, region: Column, at: Column, prefix: str = "view") -> Column:
+    """The application's prefix, the peak, else the region, and the second."""
     known = lambda x: F.nullif(slug(to_latin(x)), F.lit(""))
-    return F.concat(F.concat_ws("-", F.lit("vershiny"), F.coalesce(known(peak), known(region)), F.date_format(at, "yyyy-MM-dd-HHmmss")), F.lit(".png"))
+    return F.concat(F.concat_ws("-", F.lit(prefix), F.coalesce(known(peak), known(region)), F.date_format(at, "yyyy-MM-dd-HHmmss")), F.lit(".png"))
 
 
 def numbered(filename: Column, number: Column) -> Column:

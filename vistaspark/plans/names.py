@@ -54,7 +54,7 @@ def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, concat_ws(' · ', coalesce(name_en, name, '—'), CASE WHEN ele IS NOT NULL THEN ele || ' m' END, CASE WHEN d < 10000 THEN printf('%.1f', d / 1000) ELSE printf('%.0f', d / 1000) END || ' km') AS label,
   printf('%.5f,%.5f', lat, lon) AS hit_key, concat_ws('/', id % 3, id % 100, id % 77) AS tile_key, CASE WHEN id % 4 = 0 THEN '' ELSE 'hi' || id % 4 || '/' END AS prefix,
   coalesce(MAP {{'a': 'first', 'b': 'second'}}[substr('abcd', CAST(id % 4 + 1 AS INT), 1)], substr('abcd', CAST(id % 4 + 1 AS INT), 1)) AS looked_up,
-  coalesce(name_en, name, name_ru, '') AS title, 'vershiny-peak-' || id % 5 || '-2026-01-02-030405' || CASE WHEN row_number() OVER (PARTITION BY id % 5 ORDER BY id) > 1 THEN '-' || row_number() OVER (PARTITION BY id % 5 ORDER BY id) ELSE '' END || '.png' AS photo,
+  coalesce(name_en, name, name_ru, '') AS title, 'view-peak-' || id % 5 || '-2026-01-02-030405' || CASE WHEN row_number() OVER (PARTITION BY id % 5 ORDER BY id) > 1 THEN '-' || row_number() OVER (PARTITION BY id % 5 ORDER BY id) ELSE '' END || '.png' AS photo,
   array_to_string([CASE WHEN name IS NOT NULL THEN name END, regexp_replace(printf('%.5f', abs(lat - 43)), '\\.?0+$', '') || CASE WHEN round(lat - 43, 5) >= 0 THEN '°N' ELSE '°S' END, regexp_replace(printf('%.5f', abs(lon)), '\\.?0+$', '') || '°E', CAST(floor(d + 0.5) AS BIGINT) || ' m'], ';') AS caption FROM t""")
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels, keys, file names and captions."""
