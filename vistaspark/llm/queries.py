@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistaspark.llm import anisotropic, chaining, content_sort, kd_shards, mixing, packing, page_text, partenum, token_cache, toxicity
+from vistaspark.llm import anisotropic, chaining, content_sort, kd_shards, mixing, packing, page_text, partenum, resampling, token_cache, toxicity
 from vistaspark.llm.common import documents, scratch_path
 
 
@@ -56,6 +56,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
     "op2_partenum": op2_partenum,
@@ -67,9 +71,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_anisotropic": op9_anisotropic,
     "op10_mixing": op10_mixing,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL = {
     "op6_content_sort": content_sort.SQL,
     "op10_mixing": mixing.SQL,
+    "op13_importance_resampling": resampling.SQL,
 }
