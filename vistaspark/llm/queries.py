@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistaspark.llm import anisotropic, chaining, content_sort, kd_shards, mixing, packing, page_text, partenum, resampling, token_cache, toxicity
+from vistaspark.llm import anisotropic, chaining, content_sort, filter_audit, kd_shards, mixing, packing, page_text, partenum, resampling, suffix_levels, token_cache, toxicity
 from vistaspark.llm.common import documents, scratch_path
 
 
@@ -56,6 +56,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir))
 
 
+def op11_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.repeats_removed(documents(spark, sf_dir))
+
+
+def op12_lattice_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -71,11 +79,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_anisotropic": op9_anisotropic,
     "op10_mixing": op10_mixing,
+    "op11_suffix_levels": op11_suffix_levels,
+    "op12_lattice_edges": op12_lattice_edges,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL = {
     "op6_content_sort": content_sort.SQL,
     "op10_mixing": mixing.SQL,
+    "op12_lattice_edges": filter_audit.SQL,
     "op13_importance_resampling": resampling.SQL,
 }
