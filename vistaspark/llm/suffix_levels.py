@@ -260,7 +260,7 @@ class SuffixFamily:
 
     def repeated_heads(self) -> DataFrame:
         """head: each that two suffixes of the family begin with, once."""
-        return reduce(DataFrame.union, self.hits).distinct()
+        return materialise(reduce(DataFrame.union, self.hits).distinct(), "suffix-heads")
 
     def _keep(self, rows: DataFrame) -> DataFrame:
         return _bucketed(rows, "suffix_level", "head", self.buckets)
@@ -302,7 +302,8 @@ def _pieces(least: int, size: int):
 def _counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(marks, open) of materialised segments or pieces: the rows that repeat whole, and one of each kind whose head others share."""
     kinds = materialise(rows.groupBy("head", "span").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "start", "n", "lead")).alias("one")), "suffix-kinds")
-    heads = kinds.groupBy("head").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("head")
+    # a table of its own, so that the join deals both sides and can split a head that very many share
+    heads = materialise(kinds.groupBy("head").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("head"), "suffix-open")
     marks = rows.join(kinds.filter("c > 1").select("head", "span"), ["head", "span"], "left_semi").select("id", "start", "n")
     return marks, kinds.join(heads, "head", "left_semi").select("one.*")
 
