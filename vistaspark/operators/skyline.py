@@ -1,4 +1,4 @@
-"""Skylines of camera frames against the horizon's ring (survey A11-A14, J19, M19-M22, M26, ST7, T6).
+"""Skylines of camera frames against the horizon's ring (survey A11-A14, J19, M19-M21, M26, ST7, T6).
 
 A profile is rows (frame, col, y), without a row where the border is unknown.
 """
@@ -50,17 +50,17 @@ def best_shift(raw: DataFrame, reference: DataFrame, most: int = MOST_SHIFT) ->
     return raw.select("frame").distinct().join(best, "frame", "left").select("frame", F.coalesce("best.shift", F.lit(0)).alias("shift"), "best.error")
 
 
-def residuals(profile: DataFrame, ring: DataFrame, rays: int, shifts: DataFrame) -> DataFrame:
-    """The upper median of the differences between a profile and the ring, for each shift (shift, tilt).
+def residuals(profiles: DataFrame, rings: DataFrame, rays: int, shifts: DataFrame) -> DataFrame:
+    """Of each frame the upper median of the differences between its profile and its ring, for each shift (shift, tilt).
 
-    ``profile``: col (a ray's offset), y; ``ring``: ray, angle. Shifts with too few columns
-    over the ring have no median.
+    ``profiles``: frame, col (a ray's offset), y; ``rings``: frame, ray, angle; ``shifts`` is a
+    grid and broadcast. Shifts with too few columns over the ring have no median.
     """
-    n = profile.count()  # one frame's columns
-    at = profile.crossJoin(F.broadcast(shifts)).withColumn("ray", F.pmod(F.col("col") + F.col("shift"), F.lit(rays)))
-    rows = at.join(ring, "ray").groupBy("shift", "tilt").agg(F.collect_list(F.abs(F.col("y") + F.col("tilt") - F.col("angle"))).alias("errors"))
-    enough = F.size("errors") >= max(8, round(n * 0.5))
-    return rows.select("shift", "tilt", F.when(enough, upper_median(F.col("errors"))).alias("residual"))
+    known = profiles.groupBy("frame").agg(F.count(F.lit(1)).alias("known"))
+    at = profiles.join(F.broadcast(shifts)).withColumn("ray", F.pmod(F.col("col") + F.col("shift"), F.lit(rays)))
+    rows = at.join(rings, ["frame", "ray"]).groupBy("frame", "shift", "tilt").agg(F.collect_list(F.abs(F.col("y") + F.col("tilt") - F.col("angle"))).alias("errors"))
+    enough = F.size("errors") >= F.greatest(F.lit(8), F.round(F.col("known") * 0.5))
+    return rows.join(known, "frame").select("frame", "shift", "tilt", F.when(enough, upper_median(F.col("errors"))).alias("residual"))
 
 
 def is_telling(ys: Column, columns: int) -> Column:
@@ -99,17 +99,18 @@ def apart_peaks(scores: np.ndarray, separation: int, most: int = 5) -> list[int]
     return out
 
 
-def hypotheses(frames: DataFrame, fov: float, hint: float | None = None, most: int = 5, least: float = LEAST_SCORE) -> DataFrame:
+def hypotheses(frames: DataFrame, fov: float, most: int = 5, least: float = LEAST_SCORE) -> DataFrame:
     """Where on its ring a frame (frame, ring, ys) may look: rank, place of its left edge, centre, score, uniqueness.
 
     ``uniqueness``: the best score over that of the next place apart, 2 if there is none;
-    places near the compass's hint gain a little.
+    places near the compass (a column ``hint``, if there is one) gain a little.
     """
+    frames = frames if "hint" in frames.columns else frames.withColumn("hint", F.lit(None).cast("double"))
 
     def run(batches):
         for batch in batches:
             out = []
-            for frame, ring, ys in zip(batch["frame"], batch["ring"], batch["ys"], strict=True):
+            for frame, ring, ys, hint in zip(batch["frame"], batch["ring"], batch["ys"], batch["hint"], strict=True):
                 ring, ys = np.asarray(ring, float), np.asarray(ys, float)
                 step = 2 * math.pi / len(ring)
                 scores = ring_scores(ring, ys)
@@ -120,20 +121,13 @@ def hypotheses(frames: DataFrame, fov: float, hint: float | None = None, most: i
                 rows = []
                 for s in found:
                     centre = math.remainder(s * step + fov / 2, 2 * math.pi)
-                    near = hint is not None and abs(math.remainder(centre - hint, 2 * math.pi)) < NEAR_COMPASS
+                    near = np.isfinite(hint) and abs(math.remainder(centre - hint, 2 * math.pi)) < NEAR_COMPASS
                     rows.append((frame, s, centre, scores[s] + (scores[found[0]] * BONUS if near else 0.0), unique))
                 rows = sorted((r for r in rows if r[3] >= least), key=lambda r: -r[3])
                 out += [(*r, k + 1) for k, r in enumerate(rows)]
             yield pd.DataFrame(out, columns=["frame", "place", "centre", "score", "uniqueness", "rank"])
 
-    return frames.select("frame", "ring", "ys").mapInPandas(run, "frame long, place int, centre double, score double, uniqueness double, rank int")
-
-
-def confidence(error: Column, baseline: Column, uniqueness: Column, anchors: Column) -> Column:
-    """How much better than usual a match is, less where it is not unique, more where peaks stand where they should."""
-    base = F.greatest(F.lit(0.0), 1 - error / F.nullif(baseline, F.lit(0.0)))
-    by_anchor = F.when(anchors < 0, 1.0).otherwise(0.7 + 0.3 * anchors)
-    return F.least(F.lit(1.0), F.coalesce(base, F.lit(0.0)) * F.least(F.lit(1.0), uniqueness / 1.1) * by_anchor)
+    return frames.select("frame", "ring", "ys", "hint").mapInPandas(run, "frame long, place int, centre double, score double, uniqueness double, rank int")
 
 
 def anchor_scores(frames: DataFrame, profile: DataFrame, peaks: DataFrame, columns: int, fov: float) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaspark.operators import mapview, planning, skyline, tiles
+from vistaspark.operators import mapview, panorama_labels, planning, skyline, tiles
 from vistaspark.plans import fixtures as fx
 from vistaspark.plans.registry import query
 
@@ -45,25 +45,31 @@ h AS (SELECT vec_id AS frame, CAST(j AS BIGINT) AS j, CAST(embedding[j + 1] AS D
 s AS (SELECT frame, p.s, round(corr(c, v), 9) AS score FROM range(64) p(s), t JOIN h ON h.j = (t.i + p.s) % 64 GROUP BY frame, p.s)"""
 
 
-@query(f"WITH {RING} SELECT frame, CAST(arg_max(s, (score, -s)) AS INT) AS place, round(max(score), 6) AS score FROM s GROUP BY frame HAVING max(score) > 0")
+@query(f"""WITH RECURSIVE {RING}, lists AS (SELECT frame, list_sort(list({{'score': -score, 's': s}})) AS rest FROM s WHERE score > 0 GROUP BY frame),
+picks AS (SELECT frame, 1 AS k, rest[1].s AS s, -rest[1].score AS score, list_filter(rest, lambda x: least((x.s - rest[1].s + 64) % 64, (rest[1].s - x.s + 64) % 64) > 1) AS rest FROM lists
+  UNION ALL SELECT frame, k + 1, rest[1].s, -rest[1].score, list_filter(rest, lambda x: least((x.s - rest[1].s + 64) % 64, (rest[1].s - x.s + 64) % 64) > 1) FROM picks WHERE k < 5 AND len(rest) > 0),
+tops AS (SELECT frame, max(score) FILTER (k = 1) AS first, max(score) FILTER (k = 2) AS second, max(CASE WHEN k = 1 THEN radians(frame * 11 % 360) END) AS hint FROM picks GROUP BY frame),
+c AS (SELECT p.*, first, second, s * ({TURN}::DOUBLE / 64) + {TURN}::DOUBLE / 8 - hint AS off FROM picks p JOIN tops USING (frame)),
+w AS (SELECT *, CASE WHEN abs(off - {TURN}::DOUBLE * round(off / {TURN}::DOUBLE)) < radians(20) THEN score + first * 0.08e0 ELSE score END AS total FROM c)
+SELECT frame, CAST(s AS INT) AS place, round(total, 6) AS score, round(CASE WHEN second IS NULL THEN 2e0 ELSE first / second END, 6) AS uniqueness, CAST(row_number() OVER (PARTITION BY frame ORDER BY total DESC, k) AS INT) AS rank FROM w""")
 def ring_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where on its ring a frame correlates best."""
+    """The five places on its ring where a frame correlates best, apart from each other, and how unique the best is."""
     e = fx.table(spark, sf_dir, "embeddings")
     template = e.filter("vec_id = 0").select(F.slice("embedding", 1, 16).alias("ys"))  # one row
-    frames = e.select(F.col("vec_id").alias("frame"), F.col("embedding").alias("ring")).crossJoin(F.broadcast(template))
-    found = skyline.hypotheses(frames, 16 * 2 * math.pi / 64, least=0.0)
-    return found.filter("rank = 1").select("frame", "place", F.round("score", 6).alias("score"))
+    frames = e.select(F.col("vec_id").alias("frame"), F.col("embedding").alias("ring"), F.radians((F.col("vec_id") * 11 % 360).cast("double")).alias("hint")).crossJoin(F.broadcast(template))
+    found = skyline.hypotheses(frames, 16 * 2 * math.pi / 64, least=-1.0)
+    return found.select("frame", "place", F.round("score", 6).alias("score"), F.round("uniqueness", 6).alias("uniqueness"), "rank")
 
 
-@query(f"""WITH {PROFILES}, ring AS (SELECT col AS ray, y AS angle FROM profiles WHERE frame = 1), one AS (SELECT col, y FROM profiles WHERE frame = 2), sh AS (SELECT s AS shift, t / 10e0 AS tilt FROM range(-8, 9) a(s), range(-2, 3) b(t)),
-e AS (SELECT shift, tilt, list_sort(list(abs(o.y + tilt - r.angle))) AS v FROM sh, one o JOIN ring r ON r.ray = (o.col + shift + 64) % 64 GROUP BY 1, 2)
-SELECT CAST(shift AS INT) AS shift, tilt, CASE WHEN len(v) >= (SELECT greatest(8, round(count(*) * 0.5)) FROM one) THEN round(v[len(v) // 2 + 1], 6) END AS residual FROM e""")
+@query(f"""WITH {PROFILES}, ring AS (SELECT frame + 1 AS frame, col AS ray, y AS angle FROM profiles), sh AS (SELECT s AS shift, t / 10e0 AS tilt FROM range(-8, 9) a(s), range(-2, 3) b(t)),
+n AS (SELECT frame, count(*) AS n FROM profiles GROUP BY frame), e AS (SELECT o.frame, shift, tilt, list_sort(list(abs(o.y + tilt - r.angle))) AS v FROM sh, profiles o JOIN ring r ON r.frame = o.frame AND r.ray = (o.col + shift + 64) % 64 GROUP BY 1, 2, 3)
+SELECT frame, CAST(shift AS INT) AS shift, tilt, CASE WHEN len(v) >= greatest(8, round(n * 0.5)) THEN round(v[len(v) // 2 + 1], 6) END AS residual FROM e JOIN n USING (frame)""")
 def skyline_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median differences over a grid of shifts and tilts."""
+    """Of every frame the median differences to the frame before, over a grid of shifts and tilts."""
     p = _profiles(spark, sf_dir)
-    ring = p.filter("frame = 1").select(F.col("col").alias("ray"), F.col("y").alias("angle"))
+    rings = p.select((F.col("frame") + 1).alias("frame"), F.col("col").alias("ray"), F.col("y").alias("angle"))
     shifts = spark.range(-8, 9).select(F.col("id").cast("int").alias("shift"), F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("t")).select("shift", (F.col("t") / 10).alias("tilt"))
-    return skyline.residuals(p.filter("frame = 2").select("col", "y"), ring, 64, shifts).withColumn("residual", F.round("residual", 6))
+    return skyline.residuals(p.select("frame", "col", "y"), rings, 64, shifts).withColumn("residual", F.round("residual", 6))
 
 
 @query(f"""WITH {PROFILES}, g AS (SELECT frame, count(*) AS n, stddev_pop(y) AS sd FROM profiles GROUP BY frame), f AS (SELECT frame, radians(frame * 37 % 360) - CASE WHEN radians(frame * 37 % 360) > pi() THEN {TURN} ELSE 0 END AS centre FROM g),
@@ -219,3 +225,32 @@ def codec_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = spark.range(64).withColumnRenamed("id", "gx").withColumn("gy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
     whole = grid.join(cells.select("gx", "gy", "q"), ["gx", "gy"], "left").withColumn("q", F.coalesce("q", F.lit(0)))
     return tiles.rice_bits(tiles.paeth(whole, 16), ["tx", "ty"], 6)
+
+
+def _label_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture a customer: its size, roll and the ridge in it."""
+    k = F.col("c_custkey")
+    ridge = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda j: 240 + 70 * F.sin(k * 0.37 + j * 0.4))
+    return fx.table(spark, sf_dir, "customer").select(
+        k.alias("frame"), (640.0 + k % 3 * 160).alias("width"), F.lit(480.0).alias("height"), (1 + k % 2 * 0.25).alias("scale"), ((k % 7 - 3) * 0.03).alias("roll"), ridge.alias("ridge")
+    )
+
+
+def _picture_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a peak in its customer's picture; each fifth lies behind the ridge."""
+    k = F.col("o_orderkey")
+    parts = fx.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    rows = fx.table(spark, sf_dir, "orders").withColumn("part", k % 200).join(parts, F.col("part") == F.col("p_partkey"), "left")
+    hidden = k % 5 == 0
+    info = F.array(F.concat((500 + k * 613 % 5000).cast("string"), F.lit(" m")), F.concat((1 + k % 90).cast("string"), F.lit(" km")))
+    return rows.select(
+        F.col("o_custkey").alias("frame"), k.alias("key"), (k * 7919 % 1000 - 50.0).alias("x"), (F.when(hidden, 300).otherwise(150) + k * 613 % 130).cast("double").alias("y"),
+        F.col("p_name").alias("name"), info.alias("info"), hidden.alias("hidden"), (-F.col("o_totalprice")).alias("rank"),
+    )
+
+
+@query(None)
+def panorama_label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the labels in every picture."""
+    rows = panorama_labels.panorama_labels(_picture_labels(spark, sf_dir), _label_frames(spark, sf_dir))
+    return rows.select("frame", "key", "form", F.round("lift", 4).alias("lift"), "mirrored", "line", "text", *[F.round(c, 4).alias(c) for c in ("u0", "u1", "v")])

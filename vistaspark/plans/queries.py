@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vistaspark.functions import geo, scores
 from vistaspark.operators import gazetteer, raster, regions, search
 from vistaspark.plans import fixtures as fx
-from vistaspark.plans import imaging, names, offline, panorama, scalars  # noqa: F401
+from vistaspark.plans import camera, imaging, names, offline, panorama, scalars  # noqa: F401
 from vistaspark.plans import sensors as readings
 from vistaspark.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from vistaspark.streaming import sensors
