@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -65,6 +66,12 @@ def tidy(run):
     return tidied
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner take the shuffle files of jobs that are over, which else stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table in the shared folder that later tables have taken the place of."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaspark.llm.common import discard, materialise, scratch_path, text_of, tidy
+from vistaspark.llm.common import discard, free_shuffles, materialise, scratch_path, text_of, tidy
 from vistaspark.llm.shingles import mix
 
 #: Bytes of a repeated string, of the head of a suffix, k-grams of a window, windows of a piece.
@@ -182,6 +182,7 @@ def _bucketed(df: DataFrame, name: str, key: str, buckets: int, by: str | None =
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     writer = df.write.bucketBy(buckets, key).sortBy(key).option("path", scratch_path(spark, name)).option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).format("parquet").saveAsTable(table)
+    free_shuffles(spark)
     return spark.table(table)
 
 
@@ -349,6 +350,7 @@ def repeated_spans(df: DataFrame, least: int = LEAST, batches: int = BATCHES) ->
     rows = materialise(every.join(family.repeated_heads(), "head", "left_semi"), "suffix-segments")
     for _, level in family.levels:
         discard(level)
+    free_shuffles(df.sparkSession)
     marks, open_ones = _counted(rows)
     found = [marks]
     for size in (PIECE_WINDOWS, 1):
