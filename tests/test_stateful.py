@@ -20,17 +20,19 @@ def stream(spark, tmp_path_factory):
     shuffles = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "2")
 
-    def run(batches, schema, operator, together=False):
+    def run(batches, schema, operator, empty_batches):
+        # a state that ends by the clock asks for batches without data for ever
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(empty_batches).lower())
         base = tmp_path_factory.mktemp("stream")
         for i, rows in enumerate(batches):
             spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{base}/in/{i:03d}")
-            if not together or i == len(batches) - 1:
-                made = operator(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*"))
-                q = made.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start()
-                assert q.awaitTermination(240)
+            made = operator(spark.readStream.schema(schema).parquet(f"{base}/in/*"))
+            q = made.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start()
+            assert q.awaitTermination(120)
         return spark.read.parquet(f"{base}/out").collect()
 
     yield run
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     spark.conf.set("spark.sql.shuffle.partitions", shuffles)
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
@@ -103,7 +105,7 @@ def test_a_label_without_room_is_remembered_for_some_frames(missed, anchor):
 def test_labels_over_a_stream_that_restarts(spark, stream):
     rows = moving_labels(9)
     batches = [[r for r in rows if lo <= r[1] < hi] for lo, hi in ((0, 3), (3, 4), (4, 9))]
-    assert rows_of(stream(batches, LABEL, stateful.labels_stream)) == rows_of(stateful.labels_over(spark.createDataFrame(rows, LABEL)).collect())
+    assert rows_of(stream(batches, LABEL, stateful.labels_stream, False)) == rows_of(stateful.labels_over(spark.createDataFrame(rows, LABEL)).collect())
 
 
 def test_the_flag_falls_by_itself(spark, stream):
@@ -112,7 +114,7 @@ def test_the_flag_falls_by_itself(spark, stream):
     schema = "device long, ts timestamp"
     batches = [[(1, at(0)), (2, at(1)), (2, at(9))], [(1, at(10))], [(3, at(60))], [(3, at(61)), (2, at(62))], [(4, at(200))], [(4, at(201))]]
     every = [r for b in batches for r in b]
-    seen = {(r["device"], (r["at"] - start).total_seconds(), r["raised"]) for r in stream(batches, schema, stateful.calls_stream)}
+    seen = {(r["device"], (r["at"] - start).total_seconds(), r["raised"]) for r in stream(batches, schema, stateful.calls_stream, True)}
     # device 1 calls at 0 and 10 and never again: its flag falls at 25, when the others' time has passed that
     assert {(1, 0, True), (1, 25, False), (2, 1, True), (2, 24, False), (2, 62, True), (2, 77, False), (3, 60, True), (3, 76, False)} <= seen
     table = {(r["device"], (r["at"] - start).total_seconds(), r["raised"]) for r in stateful.calls_over(spark.createDataFrame([*every, (None, at(1)), (9, None)], schema)).collect()}
@@ -186,7 +188,7 @@ def test_the_tracker_is_a_plain_loop(spark):
 def test_the_tracker_over_a_stream_that_restarts(spark, stream):
     rows = profiles(14)
     batches = [[r for r in rows if lo <= r[1] < hi] for lo, hi in ((0, 5), (5, 12), (12, 14))]
-    got = stream(batches, PROFILE, stateful.tracked_stream)
+    got = stream(batches, PROFILE, stateful.tracked_stream, False)
     want = {(r["session"], r["frame"]): r for r in stateful.tracked_over(spark.createDataFrame(rows, PROFILE)).collect()}
     assert len(got) == len(want)
     for r in got:

@@ -21,13 +21,44 @@ def test_follow_filter_damps_and_turns():
     assert filters.follow(0.001, 2 * math.pi - 0.1) > 6
 
 
+NOTHING = [None, math.nan, math.inf]
+
+
+@pytest.mark.parametrize("nothing", NOTHING)
+def test_readings_that_say_nothing_change_nothing(nothing):
+    assert filters.follow(1.0, nothing) == 1.0 and filters.follow(nothing, 1.0) == 1.0 and filters.follow(nothing, nothing) == 0.0
+    state, plain = {}, {}
+    assert filters.follow_step(state, nothing) is None
+    for azimuth in (0.1, nothing, 0.4, nothing, nothing, 0.5):
+        made = filters.follow_step(state, azimuth)
+        if azimuth is not nothing:
+            wanted = filters.follow_step(plain, azimuth)
+        assert made == wanted
+    roll = {}
+    assert filters.roll_step(roll, 0.0, nothing) is None and filters.roll_step(roll, 1.0, 0.2) == 0.2 == filters.roll_step(roll, 1.1, nothing)
+    assert filters.roll_step(roll, 1.5, 0.4) == pytest.approx(0.2 + 0.2 * (1 - math.exp(-2)))
+    form = {}
+    assert filters.form_step(form, 0.0, nothing) == ("portrait", 0) and filters.form_step(form, 1.0, 80) == ("landscape", 1) == filters.form_step(form, 9.0, nothing)
+    said = {}
+    assert filters.emit_step(said, 0.0, nothing, 0.0, False) and not filters.emit_step(said, 0.01, 1.0, nothing, False)
+    assert not filters.emit_step(said, 0.02, nothing, 0.0, False) and filters.emit_step(said, 0.03, 1.1, 0.0, False)
+    fused = {}
+    assert filters.compass_step(fused, 0.0, nothing) is None and filters.turn_step(fused, 0.0, nothing) is None
+    filters.turn_step(fused, 0.1, 0.0)
+    first = filters.compass_step(fused, 0.12, 1.0)
+    assert filters.compass_step(fused, 0.14, nothing) == first and filters.turn_step(fused, 0.15, nothing) is None
+    assert filters.compass_step(fused, 0.16, 1.0) == first
+    drawn = {}
+    assert filters.overlay_step(drawn, nothing, 0.0, 900.0, 200.0) and not filters.overlay_step(drawn, 0.0, nothing, 900.0, 200.0)
+
+
 def test_fused_azimuth_against_a_loop(spark):
     rows = plans.readings(spark, SF).orderBy("device", "ts", "event_id").collect()
     states, want = {}, {}
     for r in rows:
         k, state = r["event_id"], states.setdefault(r["device"], {})
         gyro = k % 3 == 0
-        made = filters.fused_step(state, {"t": r["t"], "kind": "gyroscope" if gyro else "compass", "absolute": k % 4 != 0, "value": r["roll"] / 10 if gyro else r["az"]})
+        made = filters.fused_step(state, {"t": r["t"], "kind": "gyroscope" if gyro else "compass", "absolute": k % 4 != 0, "value": (r["roll"] if r["roll"] is None else r["roll"] / 10) if gyro else r["az"]})
         if made:
             want[k] = round(made["azimuth"], 6)
     got = {r["event_id"]: r["azimuth"] for r in plans.fused_azimuth(spark, SF).collect()}

@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vistaspark.functions import scripts
+
 # Blocks of the scripts that are told apart.
 SCRIPTS = {
     "cyrillic": "\\u0400-\\u04FF",
@@ -22,7 +24,7 @@ SCRIPTS = {
     "korean": "\\uAC00-\\uD7AF\\u1100-\\u11FF",
     "chinese": "\\u4E00-\\u9FFF",
 }
-# Latin spellings of letters, Cyrillic and Georgian. Other scripts are a parameter.
+# Latin spellings of letters, Cyrillic and Georgian; other scripts are in ``scripts``.
 CYRILLIC = {
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "yo", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
     "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
@@ -32,7 +34,7 @@ GEORGIAN = {
     "ა": "a", "ბ": "b", "გ": "g", "დ": "d", "ე": "e", "ვ": "v", "ზ": "z", "თ": "th", "ი": "i", "კ": "k", "ლ": "l", "მ": "m", "ნ": "n", "ო": "o", "პ": "p", "ჟ": "zh", "რ": "r",
     "ს": "s", "ტ": "t", "უ": "u", "ფ": "ph", "ქ": "q", "ღ": "gh", "ყ": "qh", "შ": "sh", "ჩ": "ch", "ც": "ts", "ძ": "dz", "წ": "ts", "ჭ": "ch", "ხ": "kh", "ჯ": "j", "ჰ": "h",
 }
-LATIN = CYRILLIC | GEORGIAN
+LATIN = CYRILLIC | GEORGIAN | scripts.others()
 # Cyrillic spellings of Latin letters, runs of several first, the longest before the shorter.
 TO_CYRILLIC_RUNS = (
     ("tsch", "ч"), ("dsch", "дж"), ("shch", "щ"), ("sch", "ш"), ("zh", "ж"), ("kh", "х"), ("ph", "ф"), ("ts", "ц"), ("ch", "ч"), ("sh", "ш"), ("yu", "ю"), ("ya", "я"), ("yo", "ё"), ("ye", "е"),
@@ -53,10 +55,38 @@ def decomposed() -> dict[str, str]:
     return {c: d[0] for c, d in pairs if len(d) > 1 and d[0].isascii() and d[0].islower()}
 
 
+def _list(values) -> Column:
+    """Constant texts as one array; as one literal, since a plan with a literal for each takes long to build."""
+    return F.split(F.lit(",".join(values)), ",")
+
+
+def _looked_up(c: Column, table: dict[str, str]) -> Column:
+    """What a table of single characters has for a character, else null: its place among the keys is that of its spelling."""
+    at = F.instr(F.lit("".join(table)), c)
+    return F.when((c != "") & (at > 0), F.get(_list(table.values()), at - 1))
+
+
 def _spelled(chars: Column, table: dict[str, str]) -> Column:
-    """Each character as the table spells it; others as they are."""
-    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return F.array_join(F.transform(chars, lambda c: F.coalesce(pairs[F.lower(c)], c)), "")
+    """Each character as the table spells it, small or as it is written; others as they are."""
+    return F.array_join(F.transform(chars, lambda c: F.coalesce(_looked_up(F.lower(c), table), _looked_up(c, table), c)), "")
+
+
+def _hangul(c: Column) -> Column:
+    """A Hangul syllable by the numbers of its letters."""
+    n = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int") - 0xAC00
+    letters = map(_list, (scripts.INITIALS, scripts.MEDIALS, scripts.FINALS))
+    places = (n / 588, n % 588 / 28, n % 28)
+    return F.concat(*[F.get(x, F.floor(i).cast("int")) for x, i in zip(letters, places, strict=True)])
+
+
+def latin_letters(name: Column, table: dict[str, str] | None = None, readings: dict[str, str] | None = None) -> Column:
+    """A name letter by letter in Latin ones: by the table, Hangul by its rule, Chinese characters by their readings, a capital and a space for each."""
+    table, readings = LATIN if table is None else table, scripts.CHINESE if readings is None else readings
+    as_is = table | {c: r.capitalize() for c, r in readings.items()}
+    spell = lambda c: F.when(c.between("\uac00", "\ud7a3"), _hangul(c)).otherwise(F.coalesce(_looked_up(F.lower(c), table), _looked_up(c, as_is), c))
+    spelled = F.transform(F.split(name, ""), spell)
+    joined = F.array_join(spelled, "")
+    return F.when(name.rlike(f"[{SCRIPTS['chinese']}]"), F.regexp_replace(joined, "([a-z])([A-Z])", "$1 $2")).otherwise(joined)
 
 
 def _capitalised(text: Column) -> Column:
@@ -74,7 +104,7 @@ def script(name: Column) -> Column:
 
 def to_latin(name: Column, table: dict[str, str] | None = None) -> Column:
     """A name in Latin letters, words capitalised."""
-    return _capitalised(_spelled(F.split(name, ""), LATIN if table is None else table))
+    return _capitalised(latin_letters(name, table))
 
 
 def to_cyrillic(name: Column) -> Column:
@@ -99,7 +129,7 @@ def readable_name(name: Column, locale: str) -> Column:
 
 def normalised(name: Column, table: dict[str, str] | None = None) -> Column:
     """Latin spelling, lower case, letters and digits only."""
-    return F.regexp_replace(F.lower(_spelled(F.split(name, ""), LATIN if table is None else table)), "[^a-z0-9]+", "")
+    return F.regexp_replace(F.lower(latin_letters(name, table)), "[^a-z0-9]+", "")
 
 
 def plain(name: Column) -> Column:
@@ -109,7 +139,7 @@ def plain(name: Column) -> Column:
 
 def forms(name: Column, latin: bool = False) -> Column:
     """The name in one word, and each of its words where it has several."""
-    text, cut = (F.lower(_spelled(F.split(name, ""), LATIN)), "[^a-z0-9]+") if latin else (F.lower(name), r"[^\p{L}\p{N}]+")
+    text, cut = (F.lower(latin_letters(name)), "[^a-z0-9]+") if latin else (F.lower(name), r"[^\p{L}\p{N}]+")
     words = F.filter(F.split(text, cut), lambda w: w != "")
     joined = F.array(F.array_join(words, ""))
     return F.when(F.size(words) > 1, F.concat(joined, words)).otherwise(joined)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from vistaspark.functions import geo
 
 TILE = 256
+#: Ranks that one window sums up; a share of a cell below this is a rounding of its edge.
+RANK_BLOCK, LEAST_SHARE = 100_000, 1e-9
 
 
 def levels_of(spec: Column) -> Column:
@@ -51,15 +53,19 @@ def estimate(ranked: DataFrame, measured: DataFrame, budget: float) -> DataFrame
     """How many jobs (rank from 0) fit into the bytes, with sizes drawn in straight lines between the measured ones (rank, bytes).
 
     A measured rank and the next one hold the jobs between them: an interval join on the few
-    samples. The running sum is over one level's jobs.
+    samples.
     """
     following = Window.orderBy("rank")  # a dozen samples
     spans = measured.select(F.col("rank").alias("r0"), F.col("bytes").alias("b0"), F.lead("rank").over(following).alias("r1"), F.lead("bytes").over(following).alias("b1"))
     hit = (F.col("rank") >= F.col("r0")) & (F.col("r1").isNull() | (F.col("rank") < F.col("r1")))
     size = F.when(F.col("r1").isNull(), F.col("b0")).otherwise(F.col("b0") + (F.col("b1") - F.col("b0")) * (F.col("rank") - F.col("r0")) / (F.col("r1") - F.col("r0")))
     sized = ranked.join(F.broadcast(spans), hit).withColumn("size", size)
-    total = F.sum("size").over(Window.orderBy("rank"))
-    run = sized.withColumn("used", total)
+    # the running sum in blocks of ranks: sums of blocks first, then within each
+    blocks = sized.withColumn("block", F.floor(F.col("rank") / RANK_BLOCK))
+    sums = blocks.groupBy("block").agg(F.sum("size").alias("all"))
+    before = sums.select("block", (F.sum("all").over(Window.orderBy("block")) - F.col("all")).alias("before"))  # one row a block
+    within = F.sum("size").over(Window.partitionBy("block").orderBy("rank"))
+    run = blocks.join(F.broadcast(before), "block").withColumn("used", F.col("before") + within)
     return run.agg(F.count_if(F.col("used") < budget).alias("fit"), F.coalesce(F.max(F.when(F.col("used") < budget, F.col("used"))), F.lit(0.0)).alias("bytes"))
 
 
@@ -70,18 +76,38 @@ def box_mean(cells: DataFrame) -> DataFrame:
     return cells.select("gx", "gy").join(spread, ["gx", "gy"])
 
 
-def reprojected(sources: DataFrame, cell_deg: float) -> DataFrame:
-    """Samples (source, lat, lon, h) as cells of a grid from (-180, 90): the mean of each source, the later source before the earlier."""
-    cell = sources.groupBy(F.floor((F.col("lon") + 180) / cell_deg).alias("gx"), F.floor((90 - F.col("lat")) / cell_deg).alias("gy"), "source").agg(F.avg("h").alias("h"))
-    return cell.groupBy("gx", "gy").agg(F.max_by("h", "source").alias("h"))
+def overlaps(cells: DataFrame, target: float, west: float = -180.0, north: float = 90.0) -> DataFrame:
+    """Each source cell (source, west, north, wide, high, h) dealt to the cells (gx, gy) of a grid that it overlaps, with the share of the target cell that it covers.
+
+    The grids need not line up: a cell's reach along each axis is a range of target cells, so
+    rows grow by the ratio of the cells' sizes only. Cells without a height are left out.
+    """
+
+    def along(start: Column, size: Column, name: str) -> tuple[Column, Column]:
+        """The range of target cells, and of one of them the share between ``start`` and ``start + size``."""
+        first, last = F.floor(start / target), F.ceil((start + size) / target) - 1
+        low, high = F.col(name) * target, (F.col(name) + 1) * target
+        return F.explode(F.sequence(first, F.greatest(first, last))).alias(name), F.greatest(F.lit(0.0), F.least(high, start + size) - F.greatest(low, start)) / target
+
+    x, y = F.col("west") - west, north - F.col("north")
+    each_x, share_x = along(x, F.col("wide"), "gx")
+    each_y, share_y = along(y, F.col("high"), "gy")
+    known = cells.filter(F.col("h").isNotNull() & ~F.isnan(F.col("h").cast("double")) & (F.col("wide") > 0) & (F.col("high") > 0))
+    spread = known.select("source", "west", "north", "wide", "high", "h", each_x).select("*", each_y)
+    return spread.select("source", "gx", "gy", "h", (share_x * share_y).alias("share")).filter(F.col("share") > LEAST_SHARE)
+
+
+def reprojected(cells: DataFrame, target: float, west: float = -180.0, north: float = 90.0) -> DataFrame:
+    """The cells (gx, gy, h) of a grid from its north-western corner: of each source the mean by shares of what overlaps, the later source before the earlier."""
+    dealt = overlaps(cells, target, west, north).groupBy("gx", "gy", "source").agg(F.sum("share").alias("share"), F.sum(F.col("share") * F.col("h")).alias("mass"))
+    return dealt.groupBy("gx", "gy").agg(F.max_by(F.col("mass") / F.col("share"), "source").alias("h"))
 
 
-def prefetch_keys(points: DataFrame, lat: float, lon: float, cell_deg: float, tile: int, west: float, north: float, rays: int = 72, step: float = 8_000.0, reach: float = 200_000.0) -> DataFrame:
-    """The tiles that a fan of rays about a point meets, for reading only those; ``points`` gives the session."""
-    spark = points.sparkSession
-    fan = spark.range(rays).withColumnRenamed("id", "ray").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(int(reach // step))))).withColumn("d", F.col("d") * step)
-    to = geo.destination(F.lit(lat), F.lit(lon), F.col("ray") * (2 * math.pi / rays), F.col("d"))
-    at = fan.select(F.floor((to[1] - west) / cell_deg / tile).alias("tx"), F.floor((north - to[0]) / cell_deg / tile).alias("ty"))
+def prefetch_keys(observers: DataFrame, cell_deg: float, tile: int, west: float, north: float, rays: int = 72, step: float = 8_000.0, reach: float = 200_000.0) -> DataFrame:
+    """Of each observer (id, lat, lon) the tiles that a fan of rays about it meets, for reading only those."""
+    fan = observers.select("id", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(rays - 1))).alias("ray")).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(int(reach // step))))).withColumn("d", F.col("d") * step)
+    to = geo.destination(F.col("lat"), F.col("lon"), F.col("ray") * (2 * math.pi / rays), F.col("d"))
+    at = fan.select("id", F.floor((to[1] - west) / cell_deg / tile).alias("tx"), F.floor((north - to[0]) / cell_deg / tile).alias("ty"))
     return at.distinct()
 
 

@@ -27,11 +27,11 @@ def upper_median(values: Column) -> Column:
 
 
 def stabilised(profiles: DataFrame, jitter: float = JITTER) -> DataFrame:
-    """A13, ST7: of each session and column (session, frame, col, y) the upper median over its frames and the spread about it.
+    """Of each session and column (session, frame, col, y) the upper median over its frames and the spread about it.
 
-    Columns seen too seldom or that move too much have no y.
+    Columns seen too seldom or that move too much have no y. A session is a set of frames that
+    belong together; over a film ``streaming.stateful`` tracks the last ones.
     """
-    # a session holds ten frames at most
     columns = profiles.groupBy("session", "col").agg(F.collect_list("y").alias("ys")).withColumn("median", upper_median(F.col("ys")))
     spread = F.aggregate("ys", F.lit(0.0), lambda s, y: s + (y - F.col("median")) * (y - F.col("median"))) / F.size("ys")
     rows = columns.filter(F.size("ys") >= LEAST_SEEN).withColumn("variance", spread)

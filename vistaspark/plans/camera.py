@@ -14,6 +14,7 @@ from vistaspark.operators import camera, skyline
 from vistaspark.plans import fixtures as fx
 from vistaspark.plans.imaging import PROFILES, TURN, _profiles
 from vistaspark.plans.registry import query
+from vistaspark.streaming import stateful
 
 #: The pictures: rays of a ring, angles of view, the horizon's share of the height, size.
 RAYS, FOV, FOV_V, HORIZON, SIZE = 720, math.radians(70), math.radians(50), 0.55, (160, 120)
@@ -141,3 +142,43 @@ def skyline_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = camera.matches(_spread(frames.join(rings, "session")))
     sure = camera.confidence(F.col("residual"), F.col("baseline"), F.lit(False), F.lit(1.0), F.lit(-1.0))
     return found.select("frame", *[F.round(c, 6).alias(c) for c in ("azimuth", "tilt", "residual")], F.round(sure, 6).alias("confidence"))
+
+
+_SHIFTED = "CASE WHEN x + {s} BETWEEN 0 AND 63 THEN raw[x + {s} + 1] END"
+TRACK = f"""WITH RECURSIVE p AS (SELECT vec_id // 25 AS session, vec_id AS frame, row_number() OVER (PARTITION BY vec_id // 25 ORDER BY vec_id) AS n,
+  list_transform(range(64), lambda c: CASE WHEN (vec_id + c) % 7 <> 0 THEN CAST(embedding[c + 1] AS DOUBLE) END) AS raw FROM embeddings),
+f(session, frame, n, shift, buf, ys, variances, ref) AS (
+  SELECT session, frame, n, CAST(0 AS BIGINT), [raw], raw, list_transform(raw, lambda v: CASE WHEN v IS NOT NULL THEN 0e0 END), raw FROM p WHERE n = 1
+  UNION ALL
+  SELECT session, frame, n, shift, buf, ys, variances, CASE WHEN len(list_filter(ys, lambda v: v IS NOT NULL)) >= 8 THEN ys ELSE ref END FROM (
+    SELECT *, list_transform(range(64), lambda x: CASE WHEN len(seen[x + 1]) >= 3 AND sqrt(variances[x + 1]) <= 0.12e0 THEN seen[x + 1][len(seen[x + 1]) // 2 + 1] END) AS ys FROM (
+      SELECT *, list_transform(seen, lambda v: CASE WHEN len(v) >= 3 THEN list_avg(list_transform(v, lambda y: (y - v[len(v) // 2 + 1]) * (y - v[len(v) // 2 + 1]))) END) AS variances FROM (
+        SELECT *, list_transform(range(64), lambda x: list_sort(list_filter(list_transform(buf, lambda b: b[x + 1]), lambda v: v IS NOT NULL))) AS seen FROM (
+          SELECT session, frame, n, ref, shift, list_append(past, list_transform(range(64), lambda x: {_SHIFTED.format(s="shift")}))[-10:] AS buf FROM (
+            SELECT session, frame, n, ref, raw, past, coalesce(list_sort(list_filter(tried, lambda e: e.n >= 20))[1].s, 0) AS shift FROM (
+              SELECT *, list_transform(offs, lambda o: {{'err': round(list_avg(o.d), 12), 's': o.s, 'n': len(o.d)}}) AS tried FROM (
+                SELECT p.session, p.frame, p.n, f.ref, p.raw, f.buf AS past, list_transform(range(-6, 7), lambda s: {{'s': s, 'd': list_filter(list_transform(range(64), lambda x: pow(({_SHIFTED.format(s="s")}) - ref[x + 1], 2)), lambda v: v IS NOT NULL)}}) AS offs
+                FROM f JOIN p ON p.session = f.session AND p.n = f.n + 1)))))))
+)
+SELECT session, frame, CAST(shift AS INT) AS shift, CAST(col AS INT) AS col, round(ys[col + 1], 6) AS y, round(variances[col + 1], 6) AS variance FROM f, range(64) r(col)"""
+
+
+@query(TRACK)
+def tracked_skylines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST7, M26: every profile aligned to the median of the last ten, column by column."""
+    known = F.transform("embedding", lambda v, c: F.when((F.col("vec_id") + c) % 7 != 0, v.cast("double")))
+    rows = fx.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 25).alias("session"), F.col("vec_id").alias("frame"), known.alias("ys"))
+    columns = F.posexplode(F.arrays_zip("ys", "variances"))
+    found = stateful.tracked_over(rows, 0.12).select("session", "frame", "shift", columns.alias("col", "p"))
+    return found.select("session", "frame", "shift", "col", F.round("p.ys", 6).alias("y"), F.round("p.variances", 6).alias("variance"))
+
+
+@query(None)
+def sticky_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1, ST13: the labels of the frames of every view, which keep their anchors. No SQL; the tests hold it against a plain loop."""
+    rows = fx.table(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 75).alias("view"), F.col("l_linenumber").cast("long").alias("frame"), (F.col("l_partkey") % 40).alias("k"), (F.col("l_suppkey") * 37 % 400).cast("double").alias("x"), (F.col("l_partkey") * 53 % 260).cast("double").alias("y"),
+    )
+    one = rows.groupBy("view", "frame", "k").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    labels = one.select("view", "frame", F.concat(F.lit("k"), F.col("k")).alias("key"), F.concat(F.lit("Peak "), F.col("k")).alias("text"), "x", "y", (F.col("k") * 7 % 40).cast("int").alias("rank"))
+    return stateful.labels_over(labels).withColumn("shift", F.round("shift", 4))

@@ -79,6 +79,7 @@ SPELLINGS = (
     ("Эльбрус", None, "Elbrus"), ("მყინვარწვერი - Казбек", "Казбек", "Kazbek"), ("Ушба Южная", None, None), ("Gora Ushba", "Ушба", None), ("Mont Blanc", "Монблан", "Mont Blanc"),
     ("Шхара", "Шхара", "Shkhara"), ("Schesaplana", None, None), ("Щуровского пик", None, ""), ("თეთნულდი", None, "Tetnuldi"), ("Kazbek (сопка)", None, None), ("Ağrı Dağı", "Арарат", "Ararat"),
     ("Dent du Géant", None, None), ("富士山", "Фудзи", "Mount Fuji"), ("", None, None), (None, None, None), ("Pic-Ouest — Ёлка", None, None),
+    ("Արարատ", None, None), ("Όλυμπος", None, None), ("جبل طوبقال", None, None), ("ཇོ་མོ་གླང་མ", None, None), ("सगरमाथा", None, None), ("ดอยอินทนนท์", None, None), ("ራስ ደጀን", None, None), ("フジ山", None, None), ("백두산", None, None), ("한라산", None, None), ("珠穆朗玛峰", None, None), ("玉龙雪山", None, None), ("ふじ", None, None),
 )
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaspark.operators import mapview, panorama_labels, planning, skyline, tiles
+from vistaspark.operators import codecs, mapview, panorama_labels, planning, skyline, tiles
 from vistaspark.plans import fixtures as fx
 from vistaspark.plans.registry import query
 
@@ -161,7 +161,7 @@ def phase_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapview.phases(fx.table(spark, sf_dir, "events").select(F.col("event_type").alias("phase"), F.col("value").alias("ms"))).withColumn("total", F.round("total", 4))
 
 
-JOB_CELLS = "cells AS (SELECT DISTINCT CAST(40 + o_custkey // 8 % 9 AS INT) AS lat, CAST(38 + o_custkey % 8 AS INT) AS lon FROM orders WHERE o_custkey % 3 > 0)"
+JOB_CELLS = "cells AS (SELECT DISTINCT CAST(40 + o_custkey // 8 % 9 AS INT) AS lat, CAST(38 + o_custkey % 8 AS INT) AS lon FROM orders)"
 
 
 @query(f"""WITH {JOB_CELLS}, small AS (SELECT CAST((lon + 180) * 2 + i AS BIGINT) AS tx, CAST((90 - lat - 1) * 2 + j AS BIGINT) AS ty FROM cells, range(2) a(i), range(2) b(j)),
@@ -171,7 +171,7 @@ SELECT CAST(512 AS INT) AS n, tx, ty, count(*) AS sources FROM small GROUP BY tx
 def pyramid_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles of a fine and of a coarse level with their source cells; the levels come out of their text."""
     k = F.col("o_custkey")
-    cells = fx.table(spark, sf_dir, "orders").filter(k % 3 > 0).select((40 + F.floor(k / 8) % 9).cast("int").alias("lat"), (38 + k % 8).cast("int").alias("lon")).distinct()
+    cells = fx.table(spark, sf_dir, "orders").select((40 + F.floor(k / 8) % 9).cast("int").alias("lat"), (38 + k % 8).cast("int").alias("lon")).distinct()
     levels = spark.range(1).select(F.explode(planning.levels_of(F.lit("512:2:600:0.5,64:8:0:-"))).alias("x")).select("x.cells_per_deg").collect()  # two levels
     out = None
     for r in levels:
@@ -193,20 +193,43 @@ def build_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("fit", F.round("bytes", 6).alias("bytes"))
 
 
-@query(f"""WITH f AS (SELECT ray * ({TURN} / 72) AS az, d * 8000e0 / 6371000e0 AS r FROM range(72) a(ray), range(26) b(d)), s AS (SELECT *, sin(radians(43.35e0)) * cos(r) + cos(radians(43.35e0)) * sin(r) * cos(az) AS s FROM f)
-SELECT DISTINCT CAST(floor((degrees(radians(42.44e0) + atan2(sin(az) * sin(r) * cos(radians(43.35e0)), cos(r) - sin(radians(43.35e0)) * s)) - 40.4371e0) / 0.25e0) AS BIGINT) AS tx, CAST(floor((45.3529e0 - degrees(asin(s))) / 0.25e0) AS BIGINT) AS ty FROM s""")
+TILES_THERE = "there AS (SELECT DISTINCT gx // 16 AS tx, gy // 16 AS ty FROM raster)"
+
+
+@query(f"""WITH {fx.RASTER}, {TILES_THERE}, o AS (SELECT s_suppkey AS id, 41.5e0 + (s_suppkey * 7919 % 3000) / 1e3 AS lat, 40.5e0 + (s_suppkey * 10429 % 3500) / 1e3 AS lon FROM supplier),
+f AS (SELECT id, lat, lon, ray * ({TURN} / 72) AS az, d * 8000e0 / 6371000e0 AS r FROM o, range(72) a(ray), range(26) b(d)), s AS (SELECT *, sin(radians(lat)) * cos(r) + cos(radians(lat)) * sin(r) * cos(az) AS s FROM f),
+k AS (SELECT DISTINCT id, CAST(floor((degrees(radians(lon) + atan2(sin(az) * sin(r) * cos(radians(lat)), cos(r) - sin(radians(lat)) * s)) - 40.4371e0) / 0.25e0) AS BIGINT) AS tx, CAST(floor((45.3529e0 - degrees(asin(s))) / 0.25e0) AS BIGINT) AS ty FROM s)
+SELECT id, tx, ty FROM k SEMI JOIN there USING (tx, ty)""")
 def prefetched_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles that a fan of rays meets."""
-    return planning.prefetch_keys(fx.table(spark, sf_dir, "region"), 43.35, 42.44, 1 / 64, 16, 40.4371, 45.3529)
+    """The tiles of the raster that the fans of all observers meet."""
+    k = F.col("s_suppkey")
+    observers = fx.table(spark, sf_dir, "supplier").select(k.alias("id"), (41.5 + k * 7919 % 3000 / F.lit(1e3)).alias("lat"), (40.5 + k * 10429 % 3500 / F.lit(1e3)).alias("lon"))
+    there = fx.raster(spark, sf_dir).select(F.floor(F.col("gx") / 16).alias("tx"), F.floor(F.col("gy") / 16).alias("ty")).distinct()
+    return planning.prefetch_keys(observers, 1 / 64, 16, 40.4371, 45.3529).join(there, ["tx", "ty"], "left_semi")
+
+
+SOURCE_CELLS = """source_cells AS (SELECT 0 AS source, 40e0 + gx * 0.015625e0 AS west, 45e0 - gy * 0.015625e0 AS north, 0.015625e0 AS wide, 0.015625e0 AS high, h FROM raster
+  UNION ALL SELECT 1, 40.7e0 + gx * 0.07e0, 44.3e0 - gy * 0.05e0, 0.07e0, 0.05e0, h FROM raster4 WHERE h > 2500)"""
+
+
+def _source_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources whose cells are of other sizes and corners than the grid's and each other's."""
 
+    def source(cells: DataFrame, k: int, west: float, north: float, wide: float, high: float) -> DataFrame:
+        return cells.select(F.lit(k).alias("source"), (west + F.col("gx") * wide).alias("west"), (north - F.col("gy") * high).alias("north"), F.lit(wide).alias("wide"), F.lit(high).alias("high"), F.col("h").cast("double").alias("h"))
 
-@query("""WITH s AS (SELECT CAST(o_custkey % 2 AS INT) AS source, 40 + (o_orderkey * 7919 % 3000) / 1e3 AS lat, 38 + (o_orderkey * 104729 % 4000) / 1e3 AS lon, floor(o_totalprice) AS h FROM orders),
-c AS (SELECT CAST(floor((lon + 180) / 0.5e0) AS BIGINT) AS gx, CAST(floor((90 - lat) / 0.5e0) AS BIGINT) AS gy, source, avg(h) AS h FROM s GROUP BY 1, 2, 3) SELECT gx, gy, round(arg_max(h, source), 6) AS h FROM c GROUP BY 1, 2""")
+    fine, coarse = fx.raster(spark, sf_dir), fx.level(spark, sf_dir, 4).cells.filter("h > 2500")
+    return source(fine, 0, 40.0, 45.0, 0.015625, 0.015625).union(source(coarse, 1, 40.7, 44.3, 0.07, 0.05))
+
+
+@query(f"""WITH {fx.RASTER}, {SOURCE_CELLS}, z AS (SELECT *, west + 180 AS x, 90 - north AS y FROM source_cells),
+r AS (SELECT *, unnest(range(CAST(floor(x / 0.04e0) AS BIGINT), greatest(CAST(ceil((x + wide) / 0.04e0) AS BIGINT), CAST(floor(x / 0.04e0) AS BIGINT) + 1))) AS gx FROM z),
+q AS (SELECT *, unnest(range(CAST(floor(y / 0.04e0) AS BIGINT), greatest(CAST(ceil((y + high) / 0.04e0) AS BIGINT), CAST(floor(y / 0.04e0) AS BIGINT) + 1))) AS gy FROM r),
+w AS (SELECT gx, gy, source, h, greatest(0e0, least((gx + 1) * 0.04e0, x + wide) - greatest(gx * 0.04e0, x)) / 0.04e0 * (greatest(0e0, least((gy + 1) * 0.04e0, y + high) - greatest(gy * 0.04e0, y)) / 0.04e0) AS share FROM q),
+c AS (SELECT gx, gy, source, sum(share * h) / sum(share) AS h FROM w WHERE share > 1e-9 GROUP BY 1, 2, 3) SELECT gx, gy, round(arg_max(h, source), 6) AS h FROM c GROUP BY 1, 2""")
 def reprojection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of two sources as cells of one grid."""
-    k = F.col("o_orderkey")
-    samples = fx.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 2).cast("int").alias("source"), (40 + k * 7919 % 3000 / F.lit(1e3)).alias("lat"), (38 + k * 104729 % 4000 / F.lit(1e3)).alias("lon"), F.floor("o_totalprice").cast("double").alias("h"))
-    return planning.reprojected(samples, 0.5).withColumn("h", F.round("h", 6))
+    """Two sources of unlike cells as one grid that lines up with neither."""
+    return planning.reprojected(_source_cells(spark, sf_dir), 0.04).withColumn("h", F.round("h", 6))
 
 
 @query(f"WITH {fx.RASTER} SELECT gx, gy, CAST(sum(h) OVER w AS BIGINT) AS sum, CAST(sum(h * h) OVER w AS BIGINT) AS sum2, max(h) OVER w AS top FROM raster WINDOW w AS (PARTITION BY gx ORDER BY gy)")
@@ -254,3 +277,44 @@ def panorama_label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of the labels in every picture."""
     rows = panorama_labels.panorama_labels(_picture_labels(spark, sf_dir), _label_frames(spark, sf_dir))
     return rows.select("frame", "key", "form", F.round("lift", 4).alias("lift"), "mirrored", "line", "text", *[F.round(c, 4).alias(c) for c in ("u0", "u1", "v")])
+
+
+def _zigzag(r: str) -> str:
+    return f"(CASE WHEN {r} >= 0 THEN {r} * 2 ELSE -{r} * 2 - 1 END)"
+
+
+def _paeth(name: str, cells: str) -> str:
+    """CTEs that end in ``name`` (gx, gy, residual): what Paeth leaves of ``cells`` (gx, gy, q) in tiles of 16."""
+    return f"""{name}_n AS (SELECT o.gx, o.gy, o.q, l.q AS a, u.q AS b, c.q AS c FROM {cells} o LEFT JOIN {cells} l ON l.gx = o.gx - 1 AND l.gy = o.gy AND o.gx % 16 > 0 LEFT JOIN {cells} u ON u.gx = o.gx AND u.gy = o.gy - 1 AND o.gy % 16 > 0 LEFT JOIN {cells} c ON c.gx = o.gx - 1 AND c.gy = o.gy - 1 AND o.gx % 16 > 0 AND o.gy % 16 > 0),
+{name} AS (SELECT gx, gy, q - CASE WHEN a IS NULL AND b IS NULL THEN 0 WHEN b IS NULL THEN a WHEN a IS NULL THEN b WHEN abs(b - c) <= abs(a - c) AND abs(b - c) <= abs(a + b - 2 * c) THEN a WHEN abs(a - c) <= abs(a + b - 2 * c) THEN b ELSE c END AS residual FROM {name}_n)"""
+
+
+_RICE = "least(" + ", ".join(f"sum(CASE WHEN (z >> {k}) > 47 THEN 69 ELSE (z >> {k}) + 1 + {k} END)" for k in range(16)) + ")"
+
+
+@query(f"""WITH {fx.RASTER}, q AS (SELECT a.gx, b.gy, CAST(coalesce(round_even(h / 4e0, 0), 0) AS BIGINT) AS q FROM range(64) a(gx), range(64) b(gy) LEFT JOIN raster4 r ON r.gx = a.gx AND r.gy = b.gy),
+parent AS (SELECT a.px, b.py, CAST(coalesce(round_even(h / 4e0, 0), 0) AS BIGINT) AS q FROM range(16) a(px), range(16) b(py) LEFT JOIN raster16 r ON r.gx = a.px AND r.gy = b.py),
+lefts AS (SELECT o.gx, o.gy, o.q - coalesce(l.q, 0) AS residual FROM q o LEFT JOIN q l ON l.gx = o.gx - 1 AND l.gy = o.gy AND o.gx % 16 > 0),
+fit AS (SELECT gx // 16 AS tx, gy // 16 AS ty, sum((gx % 16 - 7.5e0) * q) / 5440e0 AS a, sum((gy % 16 - 7.5e0) * q) / 5440e0 AS b, avg(q) AS c FROM q GROUP BY 1, 2),
+flat AS (SELECT gx, gy, q - CAST(round_even(a * (gx % 16 - 7.5e0) + b * (gy % 16 - 7.5e0) + c, 0) AS BIGINT) AS q FROM q JOIN fit ON tx = gx // 16 AND ty = gy // 16),
+drawn AS (SELECT q.gx, q.gy, q.q - CAST(round_even((a.q * (1 - q.gx % 4 / 4e0) + b.q * (q.gx % 4 / 4e0)) * (1 - q.gy % 4 / 4e0) + (c.q * (1 - q.gx % 4 / 4e0) + d.q * (q.gx % 4 / 4e0)) * (q.gy % 4 / 4e0), 0) AS BIGINT) AS q FROM q
+  JOIN parent a ON a.px = q.gx // 4 AND a.py = q.gy // 4 JOIN parent b ON b.px = least(q.gx // 4 + 1, 15) AND b.py = q.gy // 4 JOIN parent c ON c.px = q.gx // 4 AND c.py = least(q.gy // 4 + 1, 15) JOIN parent d ON d.px = least(q.gx // 4 + 1, 15) AND d.py = least(q.gy // 4 + 1, 15)),
+{_paeth("paeths", "q")}, {_paeth("planes", "flat")}, {_paeth("levels", "drawn")},
+every AS (SELECT 'left' AS predictor, 0 AS more, * FROM lefts UNION ALL SELECT 'paeth', 0, * FROM paeths UNION ALL SELECT 'plane', 12, * FROM planes UNION ALL SELECT 'level', 0, * FROM levels),
+z AS (SELECT predictor, more, gx // 16 AS tx, gy // 16 AS ty, gy % 16 // 4 AS block, {_zigzag("residual")} AS z FROM every),
+blocks AS (SELECT predictor, more, tx, ty, block, {_RICE} AS bits FROM z GROUP BY ALL),
+coded AS (SELECT tx, ty, predictor, 'rice' AS code, 4 + count(*) + (sum(bits) + 7) // 8 + more AS bytes FROM blocks GROUP BY tx, ty, predictor, more
+  UNION ALL SELECT tx, ty, predictor, 'golomb', 4 + (sum(2 * (length(bin(z + 1)) - 1) + 1) + 7) // 8 + more FROM z GROUP BY tx, ty, predictor, more)
+SELECT tx, ty, predictor, code, CAST(bytes AS BIGINT) AS bytes, bytes = min(bytes) OVER (PARTITION BY tx, ty) AS least FROM coded""")
+def codec_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of every tile by predictor and code, and which is least."""
+    from pyspark.sql import Window
+
+    def steps(factor: int, x: str, y: str) -> DataFrame:
+        side = fx.SIDE // factor
+        grid = spark.range(side).withColumnRenamed("id", x).withColumn(y, F.explode(F.sequence(F.lit(0), F.lit(side - 1)))).withColumn(y, F.col(y).cast("long"))
+        cells = fx.level(spark, sf_dir, factor).cells.select(F.col("gx").alias(x), F.col("gy").alias(y), "h")
+        return grid.join(cells, [x, y], "left").select(x, y, F.coalesce(F.rint(F.col("h") / 4), F.lit(0)).cast("long").alias("q"))
+
+    found = codecs.bench(steps(4, "gx", "gy"), steps(16, "px", "py"), 16, 4, 4)
+    return found.withColumn("least", F.col("bytes") == F.min("bytes").over(Window.partitionBy("tx", "ty")))

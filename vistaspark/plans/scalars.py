@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaspark.functions import frames, geo, screen
+from vistaspark.functions import frames, geo, screen, sql
 from vistaspark.plans import fixtures as fx
 from vistaspark.plans.registry import query
 
@@ -158,3 +158,38 @@ def dipole_declination(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = declination(spark.createDataFrame(DIPOLE, "n int, m int, g double, h double, gt double, ht double"), 2025.0)
     k = F.col("id")
     return fx.peaks(spark, sf_dir).select("id", F.round(at(F.col("lat") - k % 90, F.col("lon") * 4 - k % 180, 2024.5 + k % 9), 6).alias("declination"))
+
+
+@query(f"""WITH {fx.PEAKS}, d AS (SELECT id, ele, {fx.haversine('43.35e0', '42.44e0', 'lat', 'lon')} AS d FROM peaks)
+SELECT id, round(d, 3) AS d, round(d * d * 0.87e0 / (2 * 6371000e0), 6) AS sunk, round(atan2(coalesce(ele, 0) - 2000 - d * d * 0.87e0 / (2 * 6371000e0), d), 9) AS angle, round(coalesce(ele, 0) * (1 + 0.4e0 * exp(-d / 40000e0)), 3) AS score FROM d WHERE d < 150000""")
+def sql_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.14: distance, drop, elevation and score of peaks as SQL text over registered functions."""
+    sql.register(spark)
+    return spark.sql(
+        """SELECT id, round(d, 3) AS d, round(drop_m(d), 6) AS sunk, round(elevation_angle(2000, coalesce(ele, 0), d), 9) AS angle, round(label_score(ele, d, NULL), 3) AS score
+        FROM (SELECT id, ele, distance_m(43.35, 42.44, lat, lon) AS d FROM {peaks}) WHERE d < 150000""",
+        peaks=fx.peaks(spark, sf_dir),
+    )
+
+
+@query(f"""WITH {fx.REGIONS}, s AS (SELECT ord, min_lat, max_lat, unnest(CASE WHEN min_lon <= max_lon THEN [{{'lo': min_lon, 'hi': max_lon}}] ELSE [{{'lo': min_lon, 'hi': 180e0}}, {{'lo': -180e0, 'hi': max_lon}}] END) AS p FROM regions),
+x AS (SELECT ord, min_lat, max_lat, unnest(range(CAST(floor((p.lo + 180) / 0.25e0) AS BIGINT), CAST(ceil((p.hi + 180) / 0.25e0) AS BIGINT))) AS tx FROM s),
+k AS (SELECT DISTINCT ord, tx, unnest(range(CAST(floor((90 - max_lat) / 0.25e0) AS BIGINT), CAST(ceil((90 - min_lat) / 0.25e0) AS BIGINT))) AS ty FROM x) SELECT ord, count(*) AS tiles, min(tx) AS first_tx, max(ty) AS last_ty FROM k GROUP BY ord""")
+def sql_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.14, M15: the tiles of every region by a table function in a lateral join."""
+    sql.register(spark)
+    return spark.sql(
+        "SELECT ord, count(*) AS tiles, min(tx) AS first_tx, max(ty) AS last_ty FROM {regions} r, LATERAL tile_keys_in_bbox(r.min_lat, r.min_lon, r.max_lat, r.max_lon, 0.25) GROUP BY ord",
+        regions=fx.regions(spark, sf_dir),
+    )
+
+
+@query("""WITH RECURSIVE m(d) AS (SELECT 150e0 UNION ALL SELECT d + CASE WHEN d < 5000 THEN 90 WHEN d < 30000 THEN 180 WHEN d < 100000 THEN 350 ELSE 700 END FROM m WHERE d <= 200000), w AS (SELECT d / 6371000e0 AS w FROM m WHERE d <= 60000),
+o AS (SELECT s_suppkey AS id, radians(41.5e0 + (s_suppkey * 7919 % 3000) / 1e3) AS p, radians(40.5e0 + (s_suppkey * 10429 % 3500) / 1e3) AS q, radians(s_suppkey * 37 % 360) AS z FROM supplier),
+s AS (SELECT id, degrees(asin(sin(p) * cos(w) + cos(p) * sin(w) * cos(z))) AS lat FROM o, w) SELECT id, count(*) AS steps, round(max(lat), 6) AS top, round(min(lat), 6) AS low FROM s GROUP BY id""")
+def sql_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.14, M6: the samples of a ray of every observer by a table function in a lateral join."""
+    sql.register(spark)
+    k = F.col("s_suppkey")
+    observers = fx.table(spark, sf_dir, "supplier").select(k.alias("id"), (41.5 + k * 7919 % 3000 / F.lit(1e3)).alias("lat"), (40.5 + k * 10429 % 3500 / F.lit(1e3)).alias("lon"), F.radians((k * 37 % 360).cast("double")).alias("az"))
+    return spark.sql("SELECT id, count(*) AS steps, round(max(s.lat), 6) AS top, round(min(s.lat), 6) AS low FROM {observers} o, LATERAL ray_steps(o.lat, o.lon, o.az, 150, 60000) s GROUP BY id", observers=observers)

@@ -39,30 +39,45 @@ def _short(a: float) -> float:
     return a - TURN if a > math.pi else a + TURN if a <= -math.pi else a
 
 
-def follow(past: float, target: float) -> float:
-    """ST2: the picture follows the compass, the more the farther it is off."""
+def _told(x: float | None) -> bool:
+    """Whether a reading says something: sensors give null or NaN where they have nothing."""
+    return x is not None and math.isfinite(x)
+
+
+def follow(past: float | None, target: float | None) -> float:
+    """ST2: the picture follows the compass, the more the farther it is off; a side that says nothing leaves it to the other."""
+    if not _told(target):
+        return _norm(past) if _told(past) else 0.0
+    if not _told(past):
+        return _norm(target)
     off = _short(target - past)
     return _norm(past + off * min(1.0, max(LEAST_FOLLOW, abs(off) / FOLLOW_RAD)))
 
 
-def follow_step(state: dict, azimuth: float) -> float:
-    """ST2: the circular mean of the last samples, followed."""
+def follow_step(state: dict, azimuth: float | None) -> float | None:
+    """ST2: the circular mean of the last samples, followed. A reading that says nothing changes nothing; None before the first that does."""
+    if not _told(azimuth):
+        return state.get("az")
     last = state["last"] = [*state.get("last", []), azimuth][-MEAN_OF:]
     mean = math.atan2(sum(map(math.sin, last)) / len(last), sum(map(math.cos, last)) / len(last))
     state["az"] = follow(state["az"], mean) if "az" in state else _norm(mean)
     return state["az"]
 
 
-def roll_step(state: dict, t: float, roll: float) -> float:
-    """ST3: a light exponential mean; the first reading as it is."""
+def roll_step(state: dict, t: float, roll: float | None) -> float | None:
+    """ST3: a light exponential mean; the first reading as it is. A reading that says nothing changes nothing."""
+    if not _told(roll):
+        return state.get("roll")
     gap = min(ROLL_GAP_S, t - state["t"]) if "t" in state else 0.0
     state["roll"] = state["roll"] + _short(roll - state["roll"]) * (1 - math.exp(-gap / ROLL_S)) if gap > 0 else roll
     state["t"] = t
     return state["roll"]
 
 
-def form_step(state: dict, t: float, roll_deg: float) -> tuple[str, int]:
-    """ST6: portrait or landscape, and the side, changing past a threshold and not again for a while."""
+def form_step(state: dict, t: float, roll_deg: float | None) -> tuple[str, int]:
+    """ST6: portrait or landscape, and the side, changing past a threshold and not again for a while; portrait before any roll is known."""
+    if not _told(roll_deg):
+        return state.get("form", "portrait"), state.get("side", 0)
     side = 1 if roll_deg > LANDSCAPE_DEG else -1 if roll_deg < -LANDSCAPE_DEG else state.get("side", 0)
     lying = abs(roll_deg) >= PORTRAIT_DEG if state.get("form") == "landscape" else abs(roll_deg) > LANDSCAPE_DEG
     form = "landscape" if lying else "portrait"
@@ -81,11 +96,13 @@ def visit_step(state: dict, t: float) -> bool:
     return True
 
 
-def emit_step(state: dict, t: float, azimuth: float, roll: float, uncalibrated: bool) -> bool:
-    """ST5: whether a state is passed on: it turned, some time has gone by, or its flag changed."""
+def emit_step(state: dict, t: float, azimuth: float | None, roll: float | None, uncalibrated: bool) -> bool:
+    """ST5: whether a state is passed on: it turned, some time has gone by, or its flag changed. An angle that says nothing stays what it was."""
     past = state.get("past")
-    state["past"] = [azimuth, roll, uncalibrated]
-    said = past is None or abs(_short(azimuth - past[0])) > EMIT_RAD or abs(_short(roll - past[1])) > EMIT_RAD or t - state["t"] > EMIT_S or past[2] != uncalibrated
+    known = [now if _told(now) else was for now, was in zip((azimuth, roll), past or (None, None), strict=False)]
+    state["past"] = [*known, uncalibrated]
+    turned = past is not None and any(_told(was) and abs(_short(now - was)) > EMIT_RAD for now, was in zip(known, past, strict=False))
+    said = past is None or turned or t - state["t"] > EMIT_S or past[2] != uncalibrated
     if said:
         state["t"] = t
     return said
@@ -110,8 +127,10 @@ def _snap(state: dict, t: float, off: float) -> bool:
     return True
 
 
-def turn_step(state: dict, t: float, rate: float) -> float | None:
-    """ST1: the gyroscope's turn (radians a second to the right), added up; None while there is nothing to add to."""
+def turn_step(state: dict, t: float, rate: float | None) -> float | None:
+    """ST1: the gyroscope's turn (radians a second to the right), added up; None while there is nothing to add to, or for a rate that says nothing."""
+    if not _told(rate):
+        return None
     gap = min(t - state["gyro_t"], GYRO_GAP_S) if "gyro_t" in state else GYRO_GAP_S
     state["gyro_t"] = t
     if state.get("muted") or gap <= 0 or ("fused" not in state and "az" not in state):
@@ -120,8 +139,10 @@ def turn_step(state: dict, t: float, rate: float) -> float | None:
     return state["fused"]
 
 
-def compass_step(state: dict, t: float, azimuth: float) -> float:
-    """ST1: the compass slowly draws the gyroscope's sum; without a live gyroscope it is followed by itself."""
+def compass_step(state: dict, t: float, azimuth: float | None) -> float | None:
+    """ST1: the compass slowly draws the gyroscope's sum; without a live gyroscope it is followed by itself. A reading that says nothing changes nothing."""
+    if not _told(azimuth):
+        return state.get("fused", state.get("az"))
     gap = t - state["compass_t"] if "compass_t" in state else 0.0
     state["compass_t"] = t
     if state.get("muted") or t - state.get("gyro_t", -math.inf) >= GYRO_ALIVE_S:
@@ -149,12 +170,13 @@ def fused_step(state: dict, reading: dict) -> dict | None:
     return None if out is None else {"azimuth": out}
 
 
-def overlay_step(state: dict, azimuth: float, tilt: float, px_per_rad: float, margin_px: float) -> bool:
+def overlay_step(state: dict, azimuth: float | None, tilt: float | None, px_per_rad: float, margin_px: float) -> bool:
     """ST16: whether the drawn overlay is made anew: it drifted too far, a motion ended, or many frames have passed.
 
     While the view moves from frame to frame only the edge of the margin counts.
     """
     past, anchor = state.get("past"), state.get("anchor")
+    azimuth, tilt = (now if _told(now) else was for now, was in zip((azimuth, tilt), past or (0.0, 0.0), strict=True))
     step = abs(_short(azimuth - past[0])) * px_per_rad if past else 0.0, abs(tilt - past[1]) * px_per_rad if past else 0.0
     was = state.get("moving", 0) >= 3
     state["moving"] = state.get("moving", 0) + 1 if past and max(step) > 1.5 else 0
@@ -170,41 +192,51 @@ def overlay_step(state: dict, azimuth: float, tilt: float, px_per_rad: float, ma
     return drawn
 
 
-def _rows(batches: Iterator[pa.RecordBatch], key: str, step: Callable[[dict, dict], dict | None], keep: list[str]) -> Iterator[tuple[list, pa.RecordBatch]]:
-    state, now = {}, None
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            if row[key] != now:
-                state, now = {}, row[key]
-            made = step(state, row)
-            if made is not None:
-                out.append({**{c: row[c] for c in keep}, **made})
-        yield out, batch
+_KINDS = {"double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
 
+def folded(readings: DataFrame, step: Callable[[dict, dict], dict | None], made: str, key: str = "device", order: tuple[str, ...] = ("ts", "event_id"), reads: list[str] | None = None) -> DataFrame:
+    """``readings`` with what the step makes of each (columns ``made``), those of which it makes nothing left out.
 
-def folded(readings: DataFrame, step: Callable[[dict, dict], dict | None], made: str, key: str = "device", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """``readings`` with what the step makes of each (columns ``made``), those of which it makes nothing left out."""
+    The step sees the columns ``reads`` (all, if not said); the others stay in Arrow.
+    """
     kinds = dict(readings.dtypes)
-    names = [x.split()[0] for x in made.split(", ")]
+    made_kinds = dict(x.split() for x in made.split(", "))
+    seen = list(dict.fromkeys([key, *(reads if reads is not None else kinds)]))
     schema = ", ".join([*[f"`{c}` {t}" for c, t in kinds.items()], made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out, batch in _rows(batches, key, step, list(kinds)):
-            if out:
-                columns = [pa.array([r[c] for r in out], batch.schema.field(c).type) for c in kinds]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array([r[n] for r in out]) for n in names], [*kinds, *names])
+        state, now = {}, None
+        for batch in batches:
+            keep, out = [], []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in seen]
+            for i, values in enumerate(zip(*columns, strict=True)):
+                if values[0] != now:
+                    state, now = {}, values[0]
+                result = step(state, dict(zip(seen, values, strict=True)))
+                if result is not None:
+                    keep.append(i)
+                    out.append(result)
+            if keep:
+                rest = batch if len(keep) == batch.num_rows else batch.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*rest.columns, *[pa.array([r[c] for r in out], _KINDS[t]) for c, t in made_kinds.items()]], [*kinds, *made_kinds])
 
     return readings.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-def folded_stream(readings: DataFrame, step: Callable[[dict, dict], dict | None], made: str, key: str = "device", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """The same over a stream; within a micro-batch readings are taken in order. The state is one JSON text a device."""
+def folded_stream(readings: DataFrame, step: Callable[[dict, dict], dict | None], made: str, key: str = "device", order: tuple[str, ...] = ("ts", "event_id"), forget_ms: int = 6 * 3_600_000) -> DataFrame:
+    """The same over a stream; within a micro-batch readings are taken in order.
+
+    The state is one JSON text a device, dropped when the device was silent for ``forget_ms``.
+    """
     kinds = dict(readings.dtypes)
     names = [x.split()[0] for x in made.split(", ")]
     schema = ", ".join([*[f"`{c}` {t}" for c, t in kinds.items()], made])
 
     def run(_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         state = json.loads(held.get[0]) if held.exists else {}
         rows = pd.concat(list(frames)).sort_values(list(order))
         out = []
@@ -213,6 +245,7 @@ def folded_stream(readings: DataFrame, step: Callable[[dict, dict], dict | None]
             if result is not None:
                 out.append({**row, **result})
         held.update((json.dumps(state),))
+        held.setTimeoutDuration(forget_ms)
         yield pd.DataFrame(out, columns=[*kinds, *names])
 
-    return readings.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    return readings.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
