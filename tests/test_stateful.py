@@ -122,6 +122,23 @@ def test_the_flag_falls_by_itself(spark, stream):
     assert table - seen == {(4, 216, False)} and seen <= table
 
 
+def test_a_position_is_waited_for(spark, stream):
+    start = dt.datetime(2024, 5, 1, 12)
+    at = lambda s: start + dt.timedelta(seconds=s)
+    schema, nan = "device long, ts timestamp, kind string, age_s double, lat double, lon double", float("nan")
+    first = [(1, at(0), "start", None, None, None), (2, at(0), "start", None, None, None), (3, at(0), "url", None, 43.0, 42.0), (3, at(0), "receiver", None, 1.0, 1.0), (4, at(1), "cached", 900.0, 5.0, 5.0), (5, at(1), "url", None, 99.0, 42.0), (6, at(1), "start", None, None, None)]
+    second = [(1, at(10), "receiver", None, 44.0, 41.0), (4, at(9), "last", None, 6.0, 6.0), (5, at(3), "cached", 100.0, 7.0, 7.0), (6, at(40), "receiver", None, 3.0, 3.0)]
+    third = [(3, at(60), "receiver", None, 2.0, 2.0), (9, at(100), "start", None, None, None)]
+    fourth = [(9, at(101), "url", None, nan, 1.0)]
+    got = stream([first, second, third, fourth], schema, lambda f: stateful.positions_stream(f, (50.0, 10.0)), True)
+    seen = {r["device"]: ((r["at"] - start).total_seconds(), r["kind"], r["lat"], r["lon"], r["trusted"]) for r in got}
+    assert len(got) == len(seen) == 6
+    assert seen == {1: (10, "receiver", 44, 41, True), 2: (30, "fallback", 50, 10, False), 3: (0, "url", 43, 42, True), 4: (9, "last", 6, 6, False), 5: (3, "cached", 7, 7, True), 6: (31, "fallback", 50, 10, False)}
+    every = [*first, *second, *third, *fourth, (None, at(1), "url", None, 1.0, 1.0), (8, None, "url", None, 1.0, 1.0)]
+    table = {r["device"]: ((r["at"] - start).total_seconds(), r["kind"], r["lat"], r["lon"], r["trusted"]) for r in stateful.positions_over(spark.createDataFrame(every, schema), (50.0, 10.0)).collect()}
+    assert table == {**seen, 9: (130, "fallback", 50, 10, False)}
+
+
 PROFILE = "session long, frame long, ys array<double>"
 
 

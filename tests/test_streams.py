@@ -100,8 +100,9 @@ def test_stream_as_table(spark, tmp_path):
     (made, step), = STEP.items()
     query = filters.folded_stream(stream, step, made).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/mark").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
-    got = {r["event_id"]: round(r["followed"], 9) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    want = {r["event_id"]: round(r["followed"], 9) for r in filters.folded(table, step, made).collect()}
+    rounded = lambda v: None if v is None else round(v, 9)
+    got = {r["event_id"]: rounded(r["followed"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {r["event_id"]: rounded(r["followed"]) for r in filters.folded(table, step, made).collect()}
     assert got == want and len(got) == table.count()
 
 
@@ -131,9 +132,9 @@ def test_repeats_are_dropped_within_the_watermark(spark, tmp_path):
 
 
 def test_positions_by_precedence(spark):
-    rows = [("a", "fallback", 0.0, 1.0, 1.0), ("a", "cached", 400.0, 2.0, 2.0), ("b", "cached", 20.0, 3.0, 3.0), ("b", "receiver", 0.0, 4.0, 4.0), ("c", "url", 0.0, 5.0, 5.0), ("c", "last", 0.0, 6.0, 6.0)]
+    rows = [("a", "fallback", 0.0, 1.0, 1.0), ("a", "cached", 400.0, 2.0, 2.0), ("b", "cached", 20.0, 3.0, 3.0), ("b", "receiver", 0.0, 4.0, 4.0), ("c", "url", 0.0, 5.0, 5.0), ("c", "last", 0.0, 6.0, 6.0), ("d", "last", 0.0, 7.0, 7.0)]
     got = {r["device"]: (r["lat"], r["trusted"]) for r in sensors.best_position(spark.createDataFrame(rows, "device string, kind string, age_s double, lat double, lon double")).collect()}
-    assert got == {"a": (1.0, False), "b": (3.0, True), "c": (5.0, True)}
+    assert got == {"a": (1.0, False), "b": (3.0, True), "c": (5.0, True), "d": (7.0, False)}
 
 
 def test_flags_fall_by_themselves(spark):

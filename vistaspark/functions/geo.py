@@ -172,3 +172,18 @@ def decimal_year(ts: Column) -> Column:
 def in_sector(a: Column, centre: Column, fov: Column) -> Column:
     """an azimuth at most half the field of view from the centre."""
     return F.abs(wrap_angle(a - centre)) <= fov / 2
+
+
+#: G32, fixed values: metres that an observer goes forward and is lifted at a time.
+FORWARD_M, LIFT_M = 500.0, 100.0
+
+
+def forward(lat: Column, lon: Column, centre: Column, fov: Column, x: Column, width: Column) -> tuple[Column, Column]:
+    """The point ``FORWARD_M`` metres on in the direction of a column ``x`` of the picture; null: of its middle."""
+    off = F.when(x.isNotNull() & (width > 0), (x - width / 2) / width * fov).otherwise(0.0)
+    return destination(lat, lon, centre + off, F.lit(FORWARD_M))
+
+
+def lifted(override: Column, ground: Column, steps: Column) -> Column:
+    """The observer's height after some steps up (or down, below 0), from the one set before or else the ground's."""
+    return F.coalesce(override, ground) + steps * LIFT_M

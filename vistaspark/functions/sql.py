@@ -17,6 +17,7 @@ from vistaspark.functions.geo import DEGREE_M, EARTH_M, REFRACTION
 from vistaspark.operators.horizon import march_steps
 
 _SHORT = "d - 2 * pi() * ceil((d - pi()) / (2 * pi()))"
+_BEARING = "atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))"
 #: name, arguments, expression; all numbers are doubles.
 SCALARS = {
     "drop_m": ("d DOUBLE", f"d * d * {(1 - REFRACTION) / (2 * EARTH_M)!r}"),
@@ -26,7 +27,7 @@ SCALARS = {
     ),
     "azimuth": (
         "lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE",
-        "pmod(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1))), 2 * pi())",
+        f"CASE WHEN {_BEARING} < 0 THEN {_BEARING} + 2 * pi() ELSE {_BEARING} END",
     ),
     "normalize_lon": ("lon DOUBLE", "pmod(lon + 180D, 360D) - 180D"),
     "wrap_angle": ("d DOUBLE", _SHORT),

@@ -61,20 +61,22 @@ def calibration(raw: DataFrame) -> DataFrame:
     )
 
 
-def ridge_lines(profile: DataFrame, centre: float, fov: float, width: float, rays: int, margin: float = 20.0) -> DataFrame:
-    """Points (line, ray, x, angle) of a ridge (ray, angle) on the screen, in pieces of two points at least.
+def ridge_lines(profiles: DataFrame, fov: float, rays: int, margin: float = 20.0) -> DataFrame:
+    """Points (frame, line, ray, x, angle) of ridges (frame, centre, width, ray, angle) on the screen, in pieces of two points at least.
 
-    A piece ends at a hole, off the screen, at a wide gap, and where the angle jumps.
+    A piece ends at a hole, off the screen, at a wide gap, and where the angle jumps. Rays are
+    taken from the left side of the view, so a view across north is one run of them.
     """
-    step = 2 * math.pi / rays
-    x = width / 2 + geo.wrap_angle(F.col("ray") * step - centre) / fov * width
-    rows = profile.withColumn("x", x).filter(F.col("x").between(-margin, width + margin))
-    along = Window.orderBy("ray")  # one ring
+    step, width = 2 * math.pi / rays, F.col("width")
+    off = geo.wrap_angle(F.col("ray") * step - F.col("centre"))
+    rows = profiles.withColumn("x", width / 2 + off / fov * width).filter(F.col("x").between(-margin, width + margin) & F.col("angle").isNotNull())
+    along = Window.partitionBy("frame").orderBy("x")
     last = lambda c: F.lag(c).over(along)
-    breaks = (F.col("ray") - last("ray") > 1) | (F.abs(F.col("x") - last("x")) > width * WIDEST_GAP) | (F.abs(F.col("angle") - last("angle")) > STEEPEST * step)
+    gap = F.pmod(F.col("ray") - last("ray"), F.lit(rays)) > 1
+    breaks = gap | (F.abs(F.col("x") - last("x")) > width * WIDEST_GAP) | (F.abs(F.col("angle") - last("angle")) > STEEPEST * step)
     rows = rows.withColumn("line", F.sum(F.coalesce(breaks, F.lit(True)).cast("int")).over(along))
-    size = F.count(F.lit(1)).over(Window.partitionBy("line"))
-    return rows.withColumn("n", size).filter("n > 1").select("line", "ray", "x", "angle")
+    size = F.count(F.lit(1)).over(Window.partitionBy("frame", "line"))
+    return rows.withColumn("n", size).filter("n > 1").select("frame", "line", "ray", "x", "angle")
 
 
 def phases(timings: DataFrame) -> DataFrame:

@@ -103,14 +103,18 @@ def reprojected(cells: DataFrame, target: float, west: float = -180.0, north: fl
     return dealt.groupBy("gx", "gy").agg(F.max_by(F.col("mass") / F.col("share"), "source").alias("h"))
 
 
-def prefetch_keys(observers: DataFrame, cell_deg: float, tile: int, west: float, north: float, rays: int = 72, step: float = 8_000.0, reach: float = 200_000.0) -> DataFrame:
-    """Of each observer (id, lat, lon) the tiles that a fan of rays about it meets, for reading only those."""
-    fan = observers.select("id", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(rays - 1))).alias("ray")).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(int(reach // step))))).withColumn("d", F.col("d") * step)
+def fan(observers: DataFrame, cell_deg: float, tile: int, west: float, north: float, rays: int = 72, step: float = 8_000.0, reach: float = 200_000.0) -> DataFrame:
+    """Of each observer (id, lat, lon) the samples (id, ray, d, tx, ty) of a fan of rays with the tile each lies in."""
+    rows = observers.select("id", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(rays - 1))).alias("ray")).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(int(reach // step))))).withColumn("d", F.col("d") * step)
     to = geo.destination(F.col("lat"), F.col("lon"), F.col("ray") * (2 * math.pi / rays), F.col("d"))
-    at = fan.select("id", F.floor((to[1] - west) / cell_deg / tile).alias("tx"), F.floor((north - to[0]) / cell_deg / tile).alias("ty"))
-    return at.distinct()
+    return rows.select("id", "ray", "d", F.floor((to[1] - west) / cell_deg / tile).alias("tx"), F.floor((north - to[0]) / cell_deg / tile).alias("ty"))
 
 
-def last_known(marched: DataFrame) -> DataFrame:
-    """Of each ray the last step that has a height; beyond it nothing needs to be read."""
-    return marched.groupBy("ray").agg(F.max(F.when(F.col("h").isNotNull(), F.col("step"))).alias("last_step"))
+def prefetch_keys(observers: DataFrame, cell_deg: float, tile: int, west: float, north: float, **options) -> DataFrame:
+    """Of each observer the tiles that a fan of rays about it meets, for reading only those."""
+    return fan(observers, cell_deg, tile, west, north, **options).select("id", "tx", "ty").distinct()
+
+
+def last_covered(samples: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Of each ray (id, ray) of a fan the farthest sample that lies in a tile which is there; rays without any are left out."""
+    return samples.join(tiles, ["tx", "ty"], "left_semi").groupBy("id", "ray").agg(F.max("d").alias("last_d"))

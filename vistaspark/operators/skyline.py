@@ -131,12 +131,12 @@ def hypotheses(frames: DataFrame, fov: float, most: int = 5, least: float = LEAS
 
 
 def anchor_scores(frames: DataFrame, profile: DataFrame, peaks: DataFrame, columns: int, fov: float) -> DataFrame:
-    """Of each frame (frame, centre) the share of the visible peaks (az, elevation) in view that its profile has a top for; -1 for fewer than two.
+    """Of each frame (frame, place, centre) the share of the peaks visible from its place (place, az, elevation) and in view that its profile has a top for; -1 for fewer than two.
 
-    The peaks of one view are few and broadcast; columns near a peak's are joined.
+    Frames meet the peaks of their own place, and of the profile only the columns near a peak.
     """
     off = geo.wrap_angle(F.col("az") - F.col("centre"))
-    seen = frames.join(F.broadcast(peaks), F.abs(off) < fov / 2).withColumn("left", geo.wrap_angle(F.col("centre") - fov / 2))
+    seen = frames.join(peaks, "place").filter(F.abs(off) < fov / 2).withColumn("left", geo.wrap_angle(F.col("centre") - fov / 2))
     middle = F.floor(geo.wrap_angle(F.col("az") - F.col("left")) / fov * columns + 0.5)
     wide = max(1, math.floor(ANCHOR_WIDE / fov * columns + 0.5))
     near = seen.withColumn("col", F.explode(F.sequence(middle - wide, middle + wide))).withColumn("col", F.pmod(F.col("col"), F.lit(columns)))

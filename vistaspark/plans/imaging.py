@@ -51,14 +51,14 @@ picks AS (SELECT frame, 1 AS k, rest[1].s AS s, -rest[1].score AS score, list_fi
 tops AS (SELECT frame, max(score) FILTER (k = 1) AS first, max(score) FILTER (k = 2) AS second, max(CASE WHEN k = 1 THEN radians(frame * 11 % 360) END) AS hint FROM picks GROUP BY frame),
 c AS (SELECT p.*, first, second, s * ({TURN}::DOUBLE / 64) + {TURN}::DOUBLE / 8 - hint AS off FROM picks p JOIN tops USING (frame)),
 w AS (SELECT *, CASE WHEN abs(off - {TURN}::DOUBLE * round(off / {TURN}::DOUBLE)) < radians(20) THEN score + first * 0.08e0 ELSE score END AS total FROM c)
-SELECT frame, CAST(s AS INT) AS place, round(total, 6) AS score, round(CASE WHEN second IS NULL THEN 2e0 ELSE first / second END, 6) AS uniqueness, CAST(row_number() OVER (PARTITION BY frame ORDER BY total DESC, k) AS INT) AS rank FROM w""")
+SELECT frame, CAST(s AS INT) AS place, round(total, 6) AS score, round(CASE WHEN second IS NULL THEN 2e0 ELSE first / second END, 4) AS uniqueness, CAST(row_number() OVER (PARTITION BY frame ORDER BY total DESC, k) AS INT) AS rank FROM w""")
 def ring_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five places on its ring where a frame correlates best, apart from each other, and how unique the best is."""
     e = fx.table(spark, sf_dir, "embeddings")
     template = e.filter("vec_id = 0").select(F.slice("embedding", 1, 16).alias("ys"))  # one row
     frames = e.select(F.col("vec_id").alias("frame"), F.col("embedding").alias("ring"), F.radians((F.col("vec_id") * 11 % 360).cast("double")).alias("hint")).crossJoin(F.broadcast(template))
     found = skyline.hypotheses(frames, 16 * 2 * math.pi / 64, least=-1.0)
-    return found.select("frame", "place", F.round("score", 6).alias("score"), F.round("uniqueness", 6).alias("uniqueness"), "rank")
+    return found.select("frame", "place", F.round("score", 6).alias("score"), F.round("uniqueness", 4).alias("uniqueness"), "rank")
 
 
 @query(f"""WITH {PROFILES}, ring AS (SELECT frame + 1 AS frame, col AS ray, y AS angle FROM profiles), sh AS (SELECT s AS shift, t / 10e0 AS tilt FROM range(-8, 9) a(s), range(-2, 3) b(t)),
@@ -72,8 +72,8 @@ def skyline_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skyline.residuals(p.select("frame", "col", "y"), rings, 64, shifts).withColumn("residual", F.round("residual", 6))
 
 
-@query(f"""WITH {PROFILES}, g AS (SELECT frame, count(*) AS n, stddev_pop(y) AS sd FROM profiles GROUP BY frame), f AS (SELECT frame, radians(frame * 37 % 360) - CASE WHEN radians(frame * 37 % 360) > pi() THEN {TURN} ELSE 0 END AS centre FROM g),
-pk AS (SELECT radians(id * 29 % 360) AS az, (id % 13 - 6) / 30e0 AS elevation FROM range(1, 41) r(id)), w AS (SELECT *, az - centre AS d FROM f, pk), x AS (SELECT *, d - {TURN} * ceil((d - pi()) / {TURN}) AS off FROM w),
+@query(f"""WITH {PROFILES}, {fx.PEAKS}, g AS (SELECT frame, count(*) AS n, stddev_pop(y) AS sd FROM profiles GROUP BY frame), f AS (SELECT frame, radians(frame * 37 % 360) - CASE WHEN radians(frame * 37 % 360) > pi() THEN {TURN} ELSE 0 END AS centre, frame // 10 % 50 AS place FROM g),
+pk AS (SELECT DISTINCT id % 50 AS place, radians(id * 29 % 360) AS az, (id % 13 - 6) / 30e0 AS elevation FROM peaks), w AS (SELECT *, az - centre AS d FROM f JOIN pk USING (place)), x AS (SELECT *, d - {TURN} * ceil((d - pi()) / {TURN}) AS off FROM w),
 i AS (SELECT frame, az, elevation, CAST(floor((off + 0.6e0) / 1.2e0 * 64 + 0.5e0) AS BIGINT) AS mid FROM x WHERE abs(off) < 0.6e0), tp AS (SELECT i.frame, az, elevation, max(y) AS top FROM i LEFT JOIN profiles p ON p.frame = i.frame AND p.col IN ((mid - 1 + 64) % 64, mid % 64, (mid + 1) % 64) GROUP BY 1, 2, 3),
 a AS (SELECT frame, count(*) AS n, avg(CASE WHEN abs(top - elevation) < {math.radians(0.5)!r} THEN 1e0 ELSE 0e0 END) AS share FROM tp GROUP BY frame)
 SELECT g.frame, g.n >= 64 * 0.4e0 AND sd >= 0.005e0 AS telling, round(CASE WHEN a.n >= 2 THEN share ELSE -1 END, 6) AS anchors FROM g LEFT JOIN a USING (frame)""")
@@ -83,8 +83,9 @@ def frame_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = p.groupBy("frame").agg(F.collect_list("y").alias("ys"))
     told = frames.select("frame", skyline.is_telling(F.col("ys"), 64).alias("telling"))
     az = F.radians((F.col("frame") * 37 % 360).cast("double"))
-    centres = told.select("frame", F.when(az > math.pi, az - 2 * math.pi).otherwise(az).alias("centre"))
-    peaks = spark.range(1, 41).select(F.radians((F.col("id") * 29 % 360).cast("double")).alias("az"), ((F.col("id") % 13 - 6) / F.lit(30.0)).alias("elevation"))
+    centres = told.select("frame", (F.floor(F.col("frame") / 10) % 50).alias("place"), F.when(az > math.pi, az - 2 * math.pi).otherwise(az).alias("centre"))
+    k = F.col("id")
+    peaks = fx.peaks(spark, sf_dir).select((k % 50).alias("place"), F.radians((k * 29 % 360).cast("double")).alias("az"), ((k % 13 - 6) / F.lit(30.0)).alias("elevation")).distinct()
     found = skyline.anchor_scores(centres, p, peaks, 64, 1.2)
     return told.join(found, "frame").select("frame", "telling", F.round("anchors", 6).alias("anchors"))
 
@@ -208,6 +209,31 @@ def prefetched_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.prefetch_keys(observers, 1 / 64, 16, 40.4371, 45.3529).join(there, ["tx", "ty"], "left_semi")
 
 
+@query(f"""WITH {fx.RASTER}, {TILES_THERE}, o AS (SELECT s_suppkey AS id, 41.5e0 + (s_suppkey * 7919 % 3000) / 1e3 AS lat, 40.5e0 + (s_suppkey * 10429 % 3500) / 1e3 AS lon FROM supplier),
+f AS (SELECT id, lat, lon, ray, d * 2000e0 AS d, ray * ({TURN} / 24) AS az, d * 2000e0 / 6371000e0 AS r FROM o, range(24) a(ray), range(101) b(d)), s AS (SELECT *, sin(radians(lat)) * cos(r) + cos(radians(lat)) * sin(r) * cos(az) AS s FROM f),
+k AS (SELECT id, ray, d, CAST(floor((degrees(radians(lon) + atan2(sin(az) * sin(r) * cos(radians(lat)), cos(r) - sin(radians(lat)) * s)) - 40.4371e0) / 0.25e0) AS BIGINT) AS tx, CAST(floor((45.3529e0 - degrees(asin(s))) / 0.25e0) AS BIGINT) AS ty FROM s)
+SELECT id, CAST(ray AS INT) AS ray, max(d) AS last_d FROM k SEMI JOIN there USING (tx, ty) GROUP BY id, ray""")
+def covered_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far along each ray of every observer the raster reaches."""
+    k = F.col("s_suppkey")
+    observers = fx.table(spark, sf_dir, "supplier").select(k.alias("id"), (41.5 + k * 7919 % 3000 / F.lit(1e3)).alias("lat"), (40.5 + k * 10429 % 3500 / F.lit(1e3)).alias("lon"))
+    there = fx.raster(spark, sf_dir).select(F.floor(F.col("gx") / 16).alias("tx"), F.floor(F.col("gy") / 16).alias("ty")).distinct()
+    return planning.last_covered(planning.fan(observers, 1 / 64, 16, 40.4371, 45.3529, rays=24, step=2_000.0), there)
+
+
+@query(f"""WITH p AS (SELECT vec_id AS frame, CAST(ray AS INT) AS ray, CAST(embedding[ray + 1] AS DOUBLE) * 0.2e0 AS angle, CASE WHEN radians(vec_id * 37 % 360) > pi() THEN radians(vec_id * 37 % 360) - {TURN} ELSE radians(vec_id * 37 % 360) END AS centre FROM embeddings, range(64) r(ray) WHERE (vec_id + ray) % 9 > 0),
+x AS (SELECT *, 400e0 + (ray * ({TURN} / 64) - centre - {TURN} * ceil((ray * ({TURN} / 64) - centre - pi()) / {TURN})) / 1.5e0 * 800 AS x FROM p), s AS (SELECT * FROM x WHERE x BETWEEN -20 AND 820),
+b AS (SELECT *, ((ray - lag(ray) OVER w) % 64 + 64) % 64 > 1 OR abs(x - lag(x) OVER w) > 800 * {mapview.WIDEST_GAP!r} OR abs(angle - lag(angle) OVER w) > {mapview.STEEPEST!r} * ({TURN} / 64) AS breaks FROM s WINDOW w AS (PARTITION BY frame ORDER BY x)),
+l AS (SELECT *, CAST(sum(CASE WHEN coalesce(breaks, true) THEN 1 ELSE 0 END) OVER (PARTITION BY frame ORDER BY x) AS BIGINT) AS line FROM b)
+SELECT frame, line, ray, round(x, 6) AS x, round(angle, 6) AS angle FROM (SELECT *, count(*) OVER (PARTITION BY frame, line) AS n FROM l) WHERE n > 1""")
+def ridge_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ridges of all frames on their screens, in pieces without holes or jumps."""
+    az = F.radians((F.col("frame") * 37 % 360).cast("double"))
+    rows = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("ray", "v")).filter((F.col("frame") + F.col("ray")) % 9 > 0)
+    profiles = rows.select("frame", "ray", (F.col("v").cast("double") * 0.2).alias("angle"), F.when(az > math.pi, az - 2 * math.pi).otherwise(az).alias("centre"), F.lit(800.0).alias("width"))
+    return mapview.ridge_lines(profiles, 1.5, 64).select("frame", "line", "ray", F.round("x", 6).alias("x"), F.round("angle", 6).alias("angle"))
+
+
 SOURCE_CELLS = """source_cells AS (SELECT 0 AS source, 40e0 + gx * 0.015625e0 AS west, 45e0 - gy * 0.015625e0 AS north, 0.015625e0 AS wide, 0.015625e0 AS high, h FROM raster
   UNION ALL SELECT 1, 40.7e0 + gx * 0.07e0, 44.3e0 - gy * 0.05e0, 0.07e0, 0.05e0, h FROM raster4 WHERE h > 2500)"""
 

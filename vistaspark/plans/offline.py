@@ -107,7 +107,7 @@ OWN = f"""own AS (SELECT p.id, arg_min(r.region, (r.priority, r.ord)) AS found F
 
 
 @query(f"""WITH {fx.PEAKS}, {fx.REGIONS}, {OWN}, c AS (SELECT p.id, p.region AS current, bool_or({fx.INSIDE}) AS holds FROM peaks p JOIN regions r ON r.region = p.region GROUP BY p.id, p.region),
-m AS (SELECT id, {fx.haversine('lat', 'lon', 'lag(lat) OVER (ORDER BY id)', 'lag(lon) OVER (ORDER BY id)')} AS moved FROM peaks WHERE id <= 100)
+m AS (SELECT id, {fx.haversine('lat', 'lon', 'lag(lat) OVER (PARTITION BY region ORDER BY id)', 'lag(lon) OVER (PARTITION BY region ORDER BY id)')} AS moved FROM peaks)
 SELECT c.id, CASE WHEN NOT holds AND found IS DISTINCT FROM current THEN found END AS offered, coalesce(moved >= 500, false) AS refine FROM c LEFT JOIN own USING (id) LEFT JOIN m USING (id)""")
 def region_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The region to offer at a point that the current one doesn't hold, and whether a move is worth a new view."""
@@ -115,10 +115,10 @@ def region_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p, boxes = fx.peaks(spark, sf_dir), fx.regions(spark, sf_dir)
     found = regions.containing(p, boxes.withColumnRenamed("region", "found")).groupBy("id").agg(F.min_by("found", F.struct("priority", "ord")).alias("found"))
-    current = p.join(F.broadcast(boxes.drop("ord", "priority")), "region").select("id", "region", geo.in_bbox(F.col("lat"), F.col("lon")).alias("holds"))
-    way = Window.orderBy("id")  # the hundred moves of one user
+    current = p.join(boxes.drop("ord", "priority"), "region").select("id", "region", geo.in_bbox(F.col("lat"), F.col("lon")).alias("holds"))
+    way = Window.partitionBy("region").orderBy("id")  # each region's peaks as the moves of one user
     moved = geo.distance_m(F.col("lat"), F.col("lon"), F.lag("lat").over(way), F.lag("lon").over(way))
-    moves = p.filter("id <= 100").select("id", moved.alias("moved"))
+    moves = p.select("id", moved.alias("moved"))
     rows = current.join(found, "id", "left").join(moves, "id", "left")
     return rows.select("id", offline.suggestion(F.col("region"), F.col("holds"), F.col("found")).alias("offered"), offline.worth_refining(F.col("moved")).alias("refine"))
 

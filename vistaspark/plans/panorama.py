@@ -216,7 +216,7 @@ def peak_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 VIEW_AT = "asin(sin(radians(lat)) * cos(6000 / 6371000e0) + cos(radians(lat)) * sin(6000 / 6371000e0) * cos(az))"
 
 
-@query(f"""WITH RECURSIVE {STEPS.format(name="vst", start=100)}, {fx.RASTER}, {fx.PEAKS}, v0 AS (SELECT id, ele, lat, lon, CAST(v AS INT) AS view, v * {TURN} / 12 AS az FROM peaks, range(12) r(v) WHERE ele IS NOT NULL AND id % 5 = 0),
+@query(f"""WITH RECURSIVE {STEPS.format(name="vst", start=100)}, {fx.RASTER}, {fx.PEAKS}, v0 AS (SELECT id, ele, lat, lon, CAST(v AS INT) AS view, v * {TURN} / 12 AS az FROM peaks, range(12) r(v) WHERE ele IS NOT NULL),
 v1 AS (SELECT id, ele, lat AS top_lat, lon AS top_lon, view, degrees({VIEW_AT}) AS lat, degrees(radians(lon) + atan2(sin(az) * sin(6000 / 6371000e0) * cos(radians(lat)), cos(6000 / 6371000e0) - sin(radians(lat)) * sin({VIEW_AT}))) AS lon FROM v0),
 v2 AS (SELECT *, {fx.haversine('lat', 'lon', 'top_lat', 'top_lon')} AS dist_m, atan2(sin(radians(top_lon - lon)) * cos(radians(top_lat)), cos(radians(lat)) * sin(radians(top_lat)) - sin(radians(lat)) * cos(radians(top_lat)) * cos(radians(top_lon - lon))) AS a FROM v1),
 v3 AS (SELECT *, CASE WHEN a < 0 THEN a + {TURN} ELSE a END AS az FROM v2), g AS (SELECT id, view, max(h) AS ground FROM v3 JOIN raster16 ON gx BETWEEN CAST(floor((lon - 40.4371e0) * 4) AS BIGINT) - 1 AND CAST(floor((lon - 40.4371e0) * 4) AS BIGINT) + 1 AND gy BETWEEN CAST(floor((45.3529e0 - lat) * 4) AS BIGINT) - 1 AND CAST(floor((45.3529e0 - lat) * 4) AS BIGINT) + 1 GROUP BY 1, 2),
@@ -230,7 +230,7 @@ SELECT v.id, b.b.view AS view, round(coalesce(b.b.lat, top_lat), 6) AS lat, roun
 def viewpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From where to look at a summit."""
     coarse = fx.pyramid(spark, sf_dir, (16,))
-    views = horizon.around(fx.peaks(spark, sf_dir).filter("ele IS NOT NULL AND id % 5 = 0"), 6000.0)
+    views = horizon.around(fx.peaks(spark, sf_dir).filter("ele IS NOT NULL"), 6000.0)
     key = F.concat_ws("/", F.col("id"), F.col("view"))
     ground = sampling.observer_height(views.select(key.alias("id"), "lat", "lon"), coarse).select(F.col("id").alias("place"), "ground")
     views = views.join(ground, key == F.col("place"), "left").drop("place")

@@ -193,3 +193,14 @@ def sql_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     observers = fx.table(spark, sf_dir, "supplier").select(k.alias("id"), (41.5 + k * 7919 % 3000 / F.lit(1e3)).alias("lat"), (40.5 + k * 10429 % 3500 / F.lit(1e3)).alias("lon"), F.radians((k * 37 % 360).cast("double")).alias("az"))
     return spark.sql("SELECT id, count(*) AS steps, round(max(s.lat), 6) AS top, round(min(s.lat), 6) AS low FROM {observers} o, LATERAL ray_steps(o.lat, o.lon, o.az, 150, 60000) s GROUP BY id", observers=observers)
+
+
+@query(f"""WITH {fx.PEAKS}, m AS (SELECT id, lat, lon, ele, radians(id * 37 % 360) + CASE WHEN id % 3 > 0 THEN (id % 900 - 450e0) / 900e0 * 1.2e0 ELSE 0e0 END AS az, 500e0 / 6371000e0 AS r FROM peaks),
+s AS (SELECT *, sin(radians(lat)) * cos(r) + cos(radians(lat)) * sin(r) * cos(az) AS s FROM m)
+SELECT id, round(degrees(asin(s)), 7) AS lat, round(degrees(radians(lon) + atan2(sin(az) * sin(r) * cos(radians(lat)), cos(r) - sin(radians(lat)) * s)), 7) AS lon, CASE WHEN id % 5 = 0 THEN 2500e0 ELSE ele END + (id % 7 - 3) * 100e0 AS height FROM s""")
+def moved_observers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observers a step forward where they tapped, and lifted."""
+    k = F.col("id")
+    to = geo.forward(F.col("lat"), F.col("lon"), F.radians((k * 37 % 360).cast("double")), F.lit(1.2), F.when(k % 3 > 0, (k % 900).cast("double")), F.lit(900.0))
+    height = geo.lifted(F.when(k % 5 == 0, 2500.0), F.col("ele").cast("double"), k % 7 - 3)
+    return fx.peaks(spark, sf_dir).select("id", F.round(to[0], 7).alias("lat"), F.round(to[1], 7).alias("lon"), height.alias("height"))

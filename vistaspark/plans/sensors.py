@@ -122,5 +122,16 @@ def calibration_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.calls_over(calls, 3600.0).select("device", F.unix_micros("at").alias("at_us"), "raised")
 
 
+@query("""WITH f AS (SELECT user_id AS device, ts, CASE event_type WHEN 'purchase' THEN 'cached' WHEN 'error' THEN 'receiver' WHEN 'signup' THEN 'last' ELSE 'start' END AS kind, value * 5 AS age_s, value % 80 AS lat, value * 1.5e0 % 170 AS lon FROM events),
+g AS (SELECT *, kind <> 'start' AND (kind <> 'cached' OR age_s <= 300) AS good FROM f), b AS (SELECT device, min(ts) AS start, min({'ts': ts, 'rank': CASE kind WHEN 'last' THEN 2 WHEN 'cached' THEN 3 ELSE 4 END, 'kind': kind, 'lat': lat, 'lon': lon}) FILTER (good) AS fix FROM g GROUP BY device)
+SELECT device, CASE WHEN coalesce(fix.ts < start + INTERVAL 10 HOUR, false) THEN fix.kind ELSE 'fallback' END AS kind, round(CASE WHEN coalesce(fix.ts < start + INTERVAL 10 HOUR, false) THEN fix.lat ELSE 50e0 END, 6) AS lat, coalesce(fix.ts < start + INTERVAL 10 HOUR, false) AND fix.kind <> 'last' AS trusted FROM b""")
+def first_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST10: the first usable position of every device, or the fallback."""
+    v, t = F.col("value"), F.col("event_type")
+    kind = F.when(t == "purchase", "cached").when(t == "error", "receiver").when(t == "signup", "last").otherwise("start")
+    fixes = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("device"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), (v * 5).alias("age_s"), (v % 80).alias("lat"), (v * 1.5 % 170).alias("lon"))
+    return stateful.positions_over(fixes, (50.0, 10.0), 36_000.0).select("device", "kind", F.round("lat", 6).alias("lat"), "trusted")
+
+
 #: Queries without SQL.
 WITHOUT_SQL = {"fused_azimuth": fused_azimuth, "overlay_refreshes": overlay_refreshes}

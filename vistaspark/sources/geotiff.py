@@ -183,7 +183,9 @@ class GeoTiffReader(DataSourceReader):
         tests = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "=": lambda a, b: a == b}
         return all(tests[sign](box[name], value) for name, sign, value in self.bounds)
 
-    def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Run | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return  # no file at all
         with open(partition.file, "rb") as file:
             found = pictures(file)
             first, (picture, by) = found[0], chosen(found, self.factor)

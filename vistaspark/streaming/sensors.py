@@ -58,7 +58,7 @@ def without_repeats(events: DataFrame, late: str = "5 minutes") -> DataFrame:
 
 
 def best_position(fixes: DataFrame) -> DataFrame:
-    """ST10: of each device the position by precedence: of the address, the last one, a cached fix of at most five minutes, the receiver, the fallback.
+    """ST10: of each device the position by precedence: of the address, the last one, a cached fix of at most five minutes, the receiver, the fallback. The last one and the fallback aren't trusted.
 
     ``fixes``: device, kind (url, last, cached, receiver, fallback), age_s, lat, lon.
     """
@@ -66,7 +66,7 @@ def best_position(fixes: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
     good = (rank > 0) & ((F.col("kind") != "cached") | (F.col("age_s") <= 300))
     best = fixes.filter(good).groupBy("device").agg(F.min_by(F.struct("lat", "lon", "kind"), rank).alias("p"))
-    return best.select("device", "p.*", (F.col("p.kind") != "fallback").alias("trusted"))
+    return best.select("device", "p.*", F.col("p.kind").isin("url", "cached", "receiver").alias("trusted"))
 
 
 def with_expiry(flags: DataFrame, seconds: float = 15.0) -> DataFrame:

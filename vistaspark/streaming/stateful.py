@@ -1,4 +1,4 @@
-"""Operators with a state that ends (survey L1, ST7, ST12, ST13): label memory, timers, the skyline tracker.
+"""Operators with a state that ends (survey L1, ST7, ST10, ST12, ST13): label memory, timers, first positions, the skyline tracker.
 
 Each has a core that takes one frame or event and what is remembered. ``..._over`` folds it
 over a table; the stateful processors run the same core over a stream, with the memory in
@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -24,6 +24,10 @@ from vistaspark.operators.layout import GAP, HEIGHT, LETTER, LIFT, MOST, PAD, SI
 # the tracker, the shifts it tries, columns that two profiles share, frames in which a column is seen, its jitter, and
 # columns of a profile that others are aligned to.
 REMEMBERED, CALL_S = 30, 15.0
+# Seconds that a position is waited for, and that a cached one may be old.
+POSITION_S, CACHED_S = 30.0, 300.0
+#: A settled position's state ends after a day.
+FORGET_MS = 86_400_000
 FRAMES, MOST_SHIFT, LEAST_COMMON, LEAST_SEEN, JITTER, LEAST_REFERENCE = 10, 6, 20, 3, 0.03, 8
 
 
@@ -192,6 +196,86 @@ def calls_stream(calls: DataFrame, seconds: float = CALL_S, late: str = "0 secon
     return rows.groupBy("device").transformWithStateInPandas(CallTimer(seconds), f"device {dict(calls.dtypes)['device'].replace('bigint', 'long')}, at timestamp, raised boolean", "Append", "EventTime")
 
 
+# A first position, waited for.
+
+POSITIONS = "at timestamp, kind string, lat double, lon double, trusted boolean"
+KINDS, TRUSTED = ("url", "last", "cached", "receiver"), ("url", "cached", "receiver")
+
+
+def _usable() -> Column:
+    """Whether a fix says where the device is: of a known kind, in range, and of cached ones not too old."""
+    inside = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
+    return F.coalesce(F.col("kind").isin(*KINDS) & inside & ((F.col("kind") != "cached") | (F.col("age_s") <= CACHED_S)), F.lit(False))
+
+
+def positions_over(fixes: DataFrame, fallback: tuple[float, float], seconds: float = POSITION_S) -> DataFrame:
+    """ST10 over a table of a device's events (device, ts, kind, age_s, lat, lon): device, at, kind, lat, lon, trusted.
+
+    The first event starts the wait; the first usable fix within ``seconds`` ends it, by kind
+    where several come at once, else the fallback does.
+    """
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    limit = F.make_dt_interval(secs=F.lit(seconds))
+    rows = fixes.filter("device IS NOT NULL AND ts IS NOT NULL").withColumn("good", _usable())
+    fix = F.when(F.col("good"), F.struct("ts", rank.alias("rank"), "kind", "lat", "lon"))
+    best = rows.groupBy("device").agg(F.min("ts").alias("start"), F.min(fix).alias("fix"))
+    timely = F.coalesce(F.col("fix.ts") < F.col("start") + limit, F.lit(False))
+    pick = lambda c, other: F.when(timely, F.col(f"fix.{c}")).otherwise(other).alias("at" if c == "ts" else c)
+    found = best.select("device", pick("ts", F.col("start") + limit), pick("kind", F.lit("fallback")), pick("lat", F.lit(fallback[0])), pick("lon", F.lit(fallback[1])))
+    return found.withColumn("trusted", F.col("kind").isin(*TRUSTED))
+
+
+class PositionWait(StatefulProcessor):
+    """The same over a stream in event time: a timer gives the fallback to a device of which nothing usable comes."""
+
+    def __init__(self, fallback: tuple[float, float], seconds: float = POSITION_S):
+        self.fallback, self.wait_ms = fallback, round(seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "until long, settled boolean")
+
+    def _row(self, key, at: int, kind: str, lat: float, lon: float) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], pd.Timestamp(at, unit="ms"), kind, lat, lon, kind in TRUSTED)], columns=["device", "at", "kind", "lat", "lon", "trusted"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        until, settled = self.until.get() if self.until.exists() else (None, False)
+        if settled:
+            return
+        events = pd.concat(list(rows))
+        events = events.assign(ms=[round(t.timestamp() * 1000) for t in events["ts"]], rank=events["kind"].map(dict(zip(KINDS, range(len(KINDS)), strict=True))))
+        if until is None:
+            until = int(events["ms"].min()) + self.wait_ms
+            self.handle.registerTimer(until)
+        fixes = events[events["good"] & (events["ms"] < until)].sort_values(["ms", "rank"])
+        if len(fixes):
+            first = fixes.iloc[0]
+            self.handle.deleteTimer(until)
+            self.handle.registerTimer(until + FORGET_MS)
+            settled = True
+            yield self._row(key, int(first["ms"]), first["kind"], float(first["lat"]), float(first["lon"]))
+        self.until.update((until, settled))
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if self.until.exists() and self.until.get()[1]:
+            self.until.clear()  # a device that comes again later waits again
+            return
+        self.until.update((at, True))
+        self.handle.registerTimer(at + FORGET_MS)
+        yield self._row(key, at, "fallback", *self.fallback)
+
+    def close(self) -> None:
+        pass
+
+
+def positions_stream(fixes: DataFrame, fallback: tuple[float, float], seconds: float = POSITION_S, late: str = "0 seconds") -> DataFrame:
+    """ST10 over a stream of a device's events."""
+    rows = fixes.withColumn("good", _usable()).select("device", "ts", "kind", "lat", "lon", "good").dropna(subset=["device", "ts"]).withWatermark("ts", late)
+    kind = dict(fixes.dtypes)["device"].replace("bigint", "long")
+    return rows.groupBy("device").transformWithStateInPandas(PositionWait(fallback, seconds), f"device {kind}, {POSITIONS}", "Append", "EventTime")
+
+
 # The skyline of a shaking camera.
 
 TRACKED = ["session long", "frame long", "shift int", "ys array<double>", "variances array<double>"]
