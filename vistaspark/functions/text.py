@@ -55,6 +55,11 @@ def decomposed() -> dict[str, str]:
     return {c: d[0] for c, d in pairs if len(d) > 1 and d[0].isascii() and d[0].islower()}
 
 
+def _once(value: Column, of) -> Column:
+    """``of(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def _list(values) -> Column:
     """Constant texts as one array; as one literal, since a plan with a literal for each takes long to build."""
     return F.split(F.lit(",".join(values)), ",")
@@ -83,10 +88,10 @@ def latin_letters(name: Column, table: dict[str, str] | None = None, readings: d
     """A name letter by letter in Latin ones: by the table, Hangul by its rule, Chinese characters by their readings, a capital and a space for each."""
     table, readings = LATIN if table is None else table, scripts.CHINESE if readings is None else readings
     as_is = table | {c: r.capitalize() for c, r in readings.items()}
-    spell = lambda c: F.when(c.between("\uac00", "\ud7a3"), _hangul(c)).otherwise(F.coalesce(_looked_up(F.lower(c), table), _looked_up(c, as_is), c))
+    spell = lambda c: F.when(c < "\u0080", c).when(c.between("\uac00", "\ud7a3"), _hangul(c)).otherwise(F.coalesce(_looked_up(F.lower(c), table), _looked_up(c, as_is), c))
     spelled = F.transform(F.split(name, ""), spell)
     joined = F.array_join(spelled, "")
-    return F.when(name.rlike(f"[{SCRIPTS['chinese']}]"), F.regexp_replace(joined, "([a-z])([A-Z])", "$1 $2")).otherwise(joined)
+    return F.when(name.rlike(f"[{SCRIPTS['chinese']}]"), F.regexp_replace(joined, "([a-z])([A-Z])", "$1 $2")).when(name.rlike(r"[^\x00-\x7F]"), joined).otherwise(name)
 
 
 def _capitalised(text: Column) -> Column:
@@ -140,15 +145,14 @@ def plain(name: Column) -> Column:
 def forms(name: Column, latin: bool = False) -> Column:
     """The name in one word, and each of its words where it has several."""
     text, cut = (F.lower(latin_letters(name)), "[^a-z0-9]+") if latin else (F.lower(name), r"[^\p{L}\p{N}]+")
-    words = F.filter(F.split(text, cut), lambda w: w != "")
-    joined = F.array(F.array_join(words, ""))
-    return F.when(F.size(words) > 1, F.concat(joined, words)).otherwise(joined)
+    joined = lambda words: F.array(F.array_join(words, ""))
+    return _once(F.filter(F.split(text, cut), lambda w: w != ""), lambda words: F.when(F.size(words) > 1, F.concat(joined(words), words)).otherwise(joined(words)))
 
 
 def match_quality(names: list[Column], wanted: Column) -> Column:
     """True for a name that equals what is wanted, false for one that contains it, else null."""
     known = F.filter(F.array(*[normalised(n) for n in names]), lambda n: n.isNotNull() & (n != ""))
-    return F.when(F.exists(known, lambda n: n == wanted), True).when(F.exists(known, lambda n: F.contains(n, wanted)), False)
+    return _once(known, lambda k: F.when(F.exists(k, lambda n: n == wanted), True).when(F.exists(k, lambda n: F.contains(n, wanted)), False))
 
 
 def typo_budget(length: Column) -> Column:

@@ -76,8 +76,9 @@ def quads(cells: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, (F.col("gx") - F.col("c.dx")).alias("gx"), (F.col("gy") - F.col("c.dy")).alias("gy")).agg(*[at(dx, dy) for dx in (0, 1) for dy in (0, 1)])
 
 
-def _small(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= BROADCAST_QUADS else table
+def _small(table: DataFrame, most: int) -> DataFrame:
+    """Broadcast a table of at most ``most`` rows, as its grid says, if that is little; else Spark chooses by what it meets."""
+    return F.broadcast(table) if most <= BROADCAST_QUADS else table
 
 
 def _mixed(fx: Column, fy: Column, h00: Column, h10: Column, h01: Column, h11: Column) -> Column:
@@ -91,7 +92,7 @@ def sample_level(points: DataFrame, pyramid: Pyramid, level: int, out: str) -> D
     gx, gy = (F.col("lon") - pyramid.min_lon) / x.cell_deg, (pyramid.max_lat - F.col("lat")) / x.cell_deg
     inside = (gx >= 0) & (gy >= 0) & (gx < x.width - 1) & (gy < x.height - 1)
     there = quads(x.cells, []).filter("h00 IS NOT NULL AND h10 IS NOT NULL AND h01 IS NOT NULL AND h11 IS NOT NULL")
-    there = _small(there.select(F.col("gx").alias("__gx"), F.col("gy").alias("__gy"), "h00", "h10", "h01", "h11"))
+    there = _small(there.select(F.col("gx").alias("__gx"), F.col("gy").alias("__gy"), "h00", "h10", "h01", "h11"), x.width * x.height)
     rows = points.withColumn("__x", F.when(inside, gx)).withColumn("__y", F.when(inside, gy))
     rows = rows.join(there, (F.floor("__x") == F.col("__gx")) & (F.floor("__y") == F.col("__gy")), "left")
     h = _mixed(F.col("__x") - F.floor("__x"), F.col("__y") - F.floor("__y"), *[F.col(c) for c in ("h00", "h10", "h01", "h11")])
@@ -120,7 +121,7 @@ def sample_slippy(points: DataFrame, pixels: DataFrame, zoom: str, out: str) ->
     world = F.pow(F.lit(2.0), F.col("z")) * TILE_PX
     there = quads(pixels, ["z"]).withColumn("gx", F.pmod(F.col("gx"), world).cast("long"))
     there = there.groupBy("z", "gx", "gy").agg(*[F.max(c).alias(c) for c in ("h00", "h10", "h01", "h11")]).filter("h00 IS NOT NULL")
-    there = _small(there.withColumnRenamed("z", "__z").withColumnRenamed("gx", "__gx").withColumnRenamed("gy", "__gy"))
+    there = there.withColumnRenamed("z", "__z").withColumnRenamed("gx", "__gx").withColumnRenamed("gy", "__gy")
     rows = points.withColumn("__x", x).withColumn("__y", y)
     rows = rows.join(there, (F.col(zoom) == F.col("__z")) & (F.floor("__x") == F.col("__gx")) & (F.floor("__y") == F.col("__gy")), "left")
     near = [F.coalesce(F.col(c), F.col("h00")) for c in ("h10", "h01", "h11")]
@@ -187,7 +188,7 @@ def any_coverage(points: DataFrame, pyramid: Pyramid, tile: int, start: int = 0,
     """whether some level from ``start`` on has the tile at a point."""
     flags = []
     for i, x in enumerate(pyramid.levels[start:], start):
-        tiles = _small(coverage(x.cells, tile).select(F.col("tx").alias("__tx"), F.col("ty").alias("__ty"), F.lit(True).alias(f"__c{i}")))
+        tiles = _small(coverage(x.cells, tile).select(F.col("tx").alias("__tx"), F.col("ty").alias("__ty"), F.lit(True).alias(f"__c{i}")), -(-x.width // tile) * -(-x.height // tile))
         tx, ty = F.floor((F.col("lon") - pyramid.min_lon) / x.cell_deg / tile), F.floor((pyramid.max_lat - F.col("lat")) / x.cell_deg / tile)
         points = points.join(tiles, (F.col("__tx") == tx) & (F.col("__ty") == ty), "left").drop("__tx", "__ty")
         flags.append(f"__c{i}")

@@ -11,8 +11,8 @@ from vistaspark.functions import scores, text
 
 def restricted_distance(a: str, b: str, most: int) -> int:
     """Edits between two words, neighbours changing places as one, no letter edited twice; over ``most``: one more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
+    if a == b or abs(len(a) - len(b)) > most:
+        return 0 if a == b else most + 1
     before, last = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -98,6 +98,6 @@ def search(sources: list[DataFrame], typed: str, lat: float, lon: float, limit:
         peaks = part if peaks is None else peaks.unionByName(part, allowMissingColumns=True)
     wanted, plain = _typed(peaks.sparkSession, typed)
     hits = exact_hits(peaks, wanted)
-    if not hits.head(1):
+    if not hits.agg(F.count(F.lit(1))).first()[0]:
         hits = fuzzy_hits(peaks, wanted, plain)
     return merged(hits, lat, lon, limit)

@@ -51,14 +51,14 @@ picks AS (SELECT frame, 1 AS k, rest[1].s AS s, -rest[1].score AS score, list_fi
 tops AS (SELECT frame, max(score) FILTER (k = 1) AS first, max(score) FILTER (k = 2) AS second, max(CASE WHEN k = 1 THEN radians(frame * 11 % 360) END) AS hint FROM picks GROUP BY frame),
 c AS (SELECT p.*, first, second, s * ({TURN}::DOUBLE / 64) + {TURN}::DOUBLE / 8 - hint AS off FROM picks p JOIN tops USING (frame)),
 w AS (SELECT *, CASE WHEN abs(off - {TURN}::DOUBLE * round(off / {TURN}::DOUBLE)) < radians(20) THEN score + first * 0.08e0 ELSE score END AS total FROM c)
-SELECT frame, CAST(s AS INT) AS place, round(total, 6) AS score, round(CASE WHEN second IS NULL THEN 2e0 ELSE first / second END, 4) AS uniqueness, CAST(row_number() OVER (PARTITION BY frame ORDER BY total DESC, k) AS INT) AS rank FROM w""")
+SELECT frame, CAST(s AS INT) AS place, round(total, 4) AS score, round(CASE WHEN second IS NULL THEN 2e0 ELSE first / second END, 4) AS uniqueness, CAST(row_number() OVER (PARTITION BY frame ORDER BY total DESC, k) AS INT) AS rank FROM w""")
 def ring_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five places on its ring where a frame correlates best, apart from each other, and how unique the best is."""
     e = fx.table(spark, sf_dir, "embeddings")
     template = e.filter("vec_id = 0").select(F.slice("embedding", 1, 16).alias("ys"))  # one row
     frames = e.select(F.col("vec_id").alias("frame"), F.col("embedding").alias("ring"), F.radians((F.col("vec_id") * 11 % 360).cast("double")).alias("hint")).crossJoin(F.broadcast(template))
     found = skyline.hypotheses(frames, 16 * 2 * math.pi / 64, least=-1.0)
-    return found.select("frame", "place", F.round("score", 6).alias("score"), F.round("uniqueness", 4).alias("uniqueness"), "rank")
+    return found.select("frame", "place", F.round("score", 4).alias("score"), F.round("uniqueness", 4).alias("uniqueness"), "rank")
 
 
 @query(f"""WITH {PROFILES}, ring AS (SELECT frame + 1 AS frame, col AS ray, y AS angle FROM profiles), sh AS (SELECT s AS shift, t / 10e0 AS tilt FROM range(-8, 9) a(s), range(-2, 3) b(t)),

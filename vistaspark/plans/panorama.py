@@ -226,7 +226,7 @@ w2 AS (SELECT id, view, d, degrees(asin(sin(radians(o_lat)) * cos(d / 6371000e0)
 {fx.sampled_sql("ws", "w2")}, l AS (SELECT ws.id, ws.view, max((h2 - ground - 1.7e0 - {DROP}) / d) AS line FROM ws JOIN g USING (id, view) GROUP BY 1, 2),
 c AS (SELECT v3.*, ground, coalesce(atan(line) - atan((ele - ground - 1.7e0 - dist_m * dist_m * ((1 - 0.13e0) / (2 * 6371000e0))) / dist_m) > 0.0009e0, false) AS unseen FROM v3 JOIN g USING (id, view) LEFT JOIN l USING (id, view)),
 b AS (SELECT id, min({{'unseen': unseen, 'ground': round(ground, 6), 'view': view, 'lat': lat, 'lon': lon, 'az': az}}) AS b FROM c GROUP BY id)
-SELECT v.id, b.b.view AS view, round(coalesce(b.b.lat, top_lat), 6) AS lat, round(coalesce(b.b.lon, top_lon), 6) AS lon, round(sin(coalesce(b.b.az, 0)), 6) AS east, round(cos(coalesce(b.b.az, 0)), 6) AS north, NOT b.b.unseen AS sees FROM (SELECT DISTINCT id, top_lat, top_lon FROM v3) v LEFT JOIN b USING (id)""")
+SELECT v.id, b.b.view AS view, round(coalesce(b.b.lat, top_lat), 6) AS lat, round(coalesce(b.b.lon, top_lon), 6) AS lon, round(sin(coalesce(b.b.az, 0)), 6) + 0e0 AS east, round(cos(coalesce(b.b.az, 0)), 6) + 0e0 AS north, NOT b.b.unseen AS sees FROM (SELECT DISTINCT id, top_lat, top_lon FROM v3) v LEFT JOIN b USING (id)""")
 def viewpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From where to look at a summit."""
     coarse = fx.pyramid(spark, sf_dir, (16,))
@@ -239,7 +239,7 @@ def viewpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = geo.destination(F.col("lat"), F.col("lon"), F.col("az"), F.col("d"))
     samples = sampling.sample(way.select("id", "view", "d", to[0].alias("lat"), to[1].alias("lon")), coarse)
     found = horizon.viewpoints(views, samples)
-    return found.select("id", "view", *[F.round(c, 6).alias(c) for c in ("lat", "lon")], F.round(F.sin("az"), 6).alias("east"), F.round(F.cos("az"), 6).alias("north"), "sees")
+    return found.select("id", "view", *[F.round(c, 6).alias(c) for c in ("lat", "lon")], (F.round(F.sin("az"), 6) + 0.0).alias("east"), (F.round(F.cos("az"), 6) + 0.0).alias("north"), "sees")
 
 
 @query(f"""WITH RECURSIVE pst(step, d) AS (SELECT CAST(0 AS INT), 150e0 UNION ALL SELECT step + 1, d + CASE WHEN d < 5000 THEN 90 ELSE 180 END FROM pst WHERE d + CASE WHEN d < 5000 THEN 90 ELSE 180 END <= 12000), {fx.RASTER},
