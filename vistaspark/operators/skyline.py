@@ -103,7 +103,8 @@ def hypotheses(frames: DataFrame, fov: float, most: int = 5, least: float = LEAS
     """Where on its ring a frame (frame, ring, ys) may look: rank, place of its left edge, centre, score, uniqueness.
 
     ``uniqueness``: the best score over that of the next place apart, 2 if there is none;
-    places near the compass (a column ``hint``, if there is one) gain a little.
+    places near the compass (a column ``hint``, if there is one) gain a little. Scores count to
+    nine decimals, so that places that correlate alike are equal and the first is taken.
     """
     frames = frames if "hint" in frames.columns else frames.withColumn("hint", F.lit(None).cast("double"))
 
@@ -113,7 +114,7 @@ def hypotheses(frames: DataFrame, fov: float, most: int = 5, least: float = LEAS
             for frame, ring, ys, hint in zip(batch["frame"], batch["ring"], batch["ys"], batch["hint"], strict=True):
                 ring, ys = np.asarray(ring, float), np.asarray(ys, float)
                 step = 2 * math.pi / len(ring)
-                scores = ring_scores(ring, ys)
+                scores = np.round(ring_scores(ring, ys), 9)
                 found = apart_peaks(scores, round(APART / step), most)
                 if not found:
                     continue
@@ -121,7 +122,8 @@ def hypotheses(frames: DataFrame, fov: float, most: int = 5, least: float = LEAS
                 rows = []
                 for s in found:
                     centre = math.remainder(s * step + fov / 2, 2 * math.pi)
-                    near = np.isfinite(hint) and abs(math.remainder(centre - hint, 2 * math.pi)) < NEAR_COMPASS
+                    off = s * step + fov / 2 - hint
+                    near = np.isfinite(off) and abs(off - 2 * math.pi * round(off / (2 * math.pi))) < NEAR_COMPASS
                     rows.append((frame, s, centre, scores[s] + (scores[found[0]] * BONUS if near else 0.0), unique))
                 rows = sorted((r for r in rows if r[3] >= least), key=lambda r: -r[3])
                 out += [(*r, k + 1) for k, r in enumerate(rows)]
