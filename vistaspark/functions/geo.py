@@ -33,8 +33,8 @@ def azimuth(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def normalize_lon(lon: Column) -> Column:
-    """Longitude in [-180, 180)."""
-    return F.pmod(lon + 180, F.lit(360.0)) - 180
+    """Longitude in [-180, 180); one that lies there stays as it is, to the last bit, so that it does not cross a cell's edge."""
+    return F.when((lon >= -180) & (lon < 180), lon).otherwise(F.pmod(lon + 180, F.lit(360.0)) - 180)
 
 
 def destination(lat: Column, lon: Column, az: Column, d: Column) -> tuple[Column, Column]:

@@ -260,7 +260,7 @@ def markers(peaks: DataFrame, fronts_of: DataFrame, profile: DataFrame, rays: in
 def around(peaks: DataFrame, distance: float, views: int = 12) -> DataFrame:
     """Points (id, view, lat, lon) about each summit (id, lat, lon, ele), with the azimuth and distance back to it."""
     rows = peaks.select("id", "ele", F.col("lat").alias("top_lat"), F.col("lon").alias("top_lon"), F.explode(F.sequence(F.lit(0), F.lit(views - 1))).alias("view"))
-    to = geo.destination(F.col("top_lat"), F.col("top_lon"), F.col("view") * (2 * math.pi / views), F.lit(distance))
+    to = geo.destination(F.col("top_lat"), F.col("top_lon"), F.col("view") * (2 * math.pi) / views, F.lit(distance))
     rows = rows.withColumn("lat", to[0]).withColumn("lon", to[1])
     back = [F.col(c) for c in ("lat", "lon", "top_lat", "top_lon")]
     return rows.withColumn("az", geo.azimuth(*back)).withColumn("dist_m", geo.distance_m(*back))
