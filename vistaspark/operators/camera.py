@@ -10,13 +10,14 @@ where the rows lie, without an exchange.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vistaspark.operators import skyline
 from vistaspark.operators.layout import likeliest_line
 
 # The grid; the weight, floor and cap of a jump in texture and the rows it looks at; the most texture and
@@ -28,6 +29,8 @@ SKY_TEXTURE, SKY_SPREAD, SKY_ROWS = 0.015, 0.12, 8
 PULSE_REACH, PULSE_SHARE, PULSE_LEAST, PULSE_FROM = 20, 0.7, 0.05, 0.02
 ABOVE_LEAST, ABOVE_SHARE = 0.1, 0.5
 FIRST_ROW, LAST_ROW = 3, GRID[1] - JUMP_ROWS - 2
+#: Pictures, or rings, that a task holds as Python values at a time.
+TOGETHER = 16
 
 # Fixed values, in degrees: reach and step of the first grid about the compass, reach about another start, what a step
 # is divided by from grid to grid, the grids; the step of the shifts that tell the usual difference; the least share of
@@ -114,32 +117,42 @@ def skyline_rows(rgba: bytes, width: int, height: int) -> tuple[np.ndarray, np.n
     return rows / GRID[1], found
 
 
-def skylines(frames: DataFrame) -> DataFrame:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The same rows a few at a time: a batch has as many as Spark likes, whatever a row weighs."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def skylines(frames: DataFrame, keep: dict[str, str] | None = None, source: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """Frame, ys, strengths (arrays of a value a column, null where no border is) of pictures (frame, width, height, rgba).
 
     Pictures without pixels, or with others than ``4 * width * height`` bytes, have no row.
+    ``keep``: further columns to pass on, with their types. ``source`` makes or reads the
+    pictures, as Arrow batches out of those of ``frames``: their pixels then never leave the task.
     """
-    kind = frames.schema["frame"].dataType.simpleString()
+    kind, keep = frames.schema["frame"].dataType.simpleString(), keep or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            frames, ys, strengths = [], [], []
-            for r in batch.to_pylist():
+        for batch in slices(source(batches) if source else batches):
+            there, ys, strengths = [], [], []
+            for i, r in enumerate(batch.select(["width", "height", "rgba"]).to_pylist()):
                 if r["rgba"] and r["width"] and r["height"] and len(r["rgba"]) == 4 * r["width"] * r["height"]:
                     y, s = skyline_rows(r["rgba"], r["width"], r["height"])
-                    frames.append(r["frame"])
+                    there.append(i)
                     ys.append(pa.array(y, from_pandas=True))
                     strengths.append(pa.array(s, from_pandas=True))
-            numbers = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(frames, batch.schema.field("frame").type), pa.array(ys, numbers), pa.array(strengths, numbers)], ["frame", "ys", "strengths"])
+            passed, numbers = batch.select(["frame", *keep]).take(pa.array(there, pa.int64())), pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([*passed.columns, pa.array(ys, numbers), pa.array(strengths, numbers)], ["frame", *keep, "ys", "strengths"])
 
-    return frames.select("frame", "width", "height", "rgba").mapInArrow(run, f"frame {kind}, ys array<double>, strengths array<double>")
+    rows = frames if source else frames.select("frame", "width", "height", "rgba", *keep)
+    return rows.mapInArrow(run, ", ".join([f"frame {kind}", *[f"{k} {v}" for k, v in keep.items()], "ys array<double>", "strengths array<double>"]))
 
 
-def skyline_points(frames: DataFrame) -> DataFrame:
+def skyline_points(frames: DataFrame, source: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """frame, col, y, strength of the columns that have a skyline."""
     points = F.posexplode(F.arrays_zip("ys", "strengths"))
-    return skylines(frames).select("frame", points.alias("col", "p")).filter("p.ys IS NOT NULL").select("frame", "col", F.col("p.ys").alias("y"), F.col("p.strengths").alias("strength"))
+    return skylines(frames, source=source).select("frame", points.alias("col", "p")).filter("p.ys IS NOT NULL").select("frame", "col", F.col("p.ys").alias("y"), F.col("p.strengths").alias("strength"))
 
 
 def level_angles(ys: Column, tilt: Column, horizon: Column, fov_v: Column) -> Column:
@@ -201,6 +214,10 @@ def match(angles: np.ndarray, centre: float, fov: float, ring: np.ndarray, start
     return turn, tilt, error, float(usual[len(usual) // 2]) if len(usual) else 0.0, n
 
 
+def numbers(v: list | None) -> np.ndarray:
+    return np.array([np.nan if x is None else x for x in v or []], float)
+
+
 def matches(frames: DataFrame) -> DataFrame:
     """Frame, azimuth, tilt (corrections), residual, baseline, columns of skylines (frame, angles, centre, fov, ring, starts).
 
@@ -209,10 +226,9 @@ def matches(frames: DataFrame) -> DataFrame:
     difference stays. Skylines with too few columns, or none over the ring, have no residual.
     """
     kind = frames.schema["frame"].dataType.simpleString()
-    numbers = lambda v: np.array([np.nan if x is None else x for x in v or []], float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(r["frame"], *match(numbers(r["angles"]), r["centre"], r["fov"], numbers(r["ring"]), [s for s in r["starts"] or [] if s is not None])) for r in batch.to_pylist()]
             kinds = [batch.schema.field("frame").type, *[pa.float64()] * 4, pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)], ["frame", "azimuth", "tilt", "residual", "baseline", "columns"])
@@ -220,6 +236,31 @@ def matches(frames: DataFrame) -> DataFrame:
     return frames.select("frame", "angles", "centre", "fov", "ring", "starts").mapInArrow(run, f"frame {kind}, azimuth double, tilt double, residual double, baseline double, columns int")
 
 
+def located(frames: DataFrame, fov: float) -> DataFrame:
+    """As ``matches`` of (frame, angles, centre, ring), from the places on the ring where the skyline correlates best.
+
+    ``guess`` and ``uniqueness`` are those of the first place. A frame needs its own ring
+    alone, so it goes through both searches where it lies and the ring is moved once.
+    """
+    kind = frames.schema["frame"].dataType.simpleString()
+    turned = lambda to, centre: (to - centre + math.pi) % (2 * math.pi) - math.pi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for r in batch.to_pylist():
+                angles, ring = numbers(r["angles"]), numbers(r["ring"])
+                columns = round(fov / (2 * math.pi / len(ring))) if len(ring) else 0
+                on_ring = angles[np.floor((np.arange(columns) + 0.5) * len(angles) / columns).astype(int)] if len(angles) and columns else angles
+                guesses = skyline.frame_hypotheses(ring, on_ring, math.nan if r["centre"] is None else r["centre"], fov) if len(on_ring) and len(ring) else []
+                found = match(angles, r["centre"], fov, ring, [turned(g[1], r["centre"]) for g in guesses])
+                rows.append((r["frame"], *found, *((guesses[0][1], guesses[0][3]) if guesses else (None, None))))
+            kinds = [batch.schema.field("frame").type, *[pa.float64()] * 4, pa.int32(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 8, kinds, strict=True)], ["frame", "azimuth", "tilt", "residual", "baseline", "columns", "guess", "uniqueness"])
+
+    return frames.select("frame", "angles", "centre", "ring").mapInArrow(run, f"frame {kind}, azimuth double, tilt double, residual double, baseline double, columns int, guess double, uniqueness double")
+
+
 def confidence(error: Column, baseline: Column, own: Column, uniqueness: Column, anchors: Column) -> Column:
     """How much less than usual a match differs.
 

@@ -99,6 +99,24 @@ def apart_peaks(scores: np.ndarray, separation: int, most: int = 5) -> list[int]
     return out
 
 
+def frame_hypotheses(ring: np.ndarray, ys: np.ndarray, hint: float, fov: float, most: int = 5, least: float = LEAST_SCORE) -> list[tuple[int, float, float, float, int]]:
+    """M20, M21, T6 of one frame: (place, centre, score, uniqueness, rank), best first; ``hint`` is NaN if there is none."""
+    step = 2 * math.pi / len(ring)
+    scores = np.round(ring_scores(ring, ys), 9)
+    found = apart_peaks(scores, round(APART / step), most)
+    if not found:
+        return []
+    unique = scores[found[0]] / scores[found[1]] if len(found) > 1 else 2.0
+    rows = []
+    for s in found:
+        centre = math.remainder(s * step + fov / 2, 2 * math.pi)
+        off = s * step + fov / 2 - hint
+        near = np.isfinite(off) and abs(off - 2 * math.pi * round(off / (2 * math.pi))) < NEAR_COMPASS
+        rows.append((s, centre, scores[s] + (scores[found[0]] * BONUS if near else 0.0), unique))
+    rows = sorted((r for r in rows if r[2] >= least), key=lambda r: -r[2])
+    return [(*r, k + 1) for k, r in enumerate(rows)]
+
+
 def hypotheses(frames: DataFrame, fov: float, most: int = 5, least: float = LEAST_SCORE) -> DataFrame:
     """Where on its ring a frame (frame, ring, ys) may look: rank, place of its left edge, centre, score, uniqueness.
 
@@ -112,21 +130,7 @@ def hypotheses(frames: DataFrame, fov: float, most: int = 5, least: float = LEAS
         for batch in batches:
             out = []
             for frame, ring, ys, hint in zip(batch["frame"], batch["ring"], batch["ys"], batch["hint"], strict=True):
-                ring, ys = np.asarray(ring, float), np.asarray(ys, float)
-                step = 2 * math.pi / len(ring)
-                scores = np.round(ring_scores(ring, ys), 9)
-                found = apart_peaks(scores, round(APART / step), most)
-                if not found:
-                    continue
-                unique = scores[found[0]] / scores[found[1]] if len(found) > 1 else 2.0
-                rows = []
-                for s in found:
-                    centre = math.remainder(s * step + fov / 2, 2 * math.pi)
-                    off = s * step + fov / 2 - hint
-                    near = np.isfinite(off) and abs(off - 2 * math.pi * round(off / (2 * math.pi))) < NEAR_COMPASS
-                    rows.append((frame, s, centre, scores[s] + (scores[found[0]] * BONUS if near else 0.0), unique))
-                rows = sorted((r for r in rows if r[3] >= least), key=lambda r: -r[3])
-                out += [(*r, k + 1) for k, r in enumerate(rows)]
+                out += [(frame, *r) for r in frame_hypotheses(np.asarray(ring, float), np.asarray(ys, float), hint, fov, most, least)]
             yield pd.DataFrame(out, columns=["frame", "place", "centre", "score", "uniqueness", "rank"])
 
     return frames.select("frame", "ring", "ys", "hint").mapInPandas(run, "frame long, place int, centre double, score double, uniqueness double, rank int")
