@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistaspark.functions import geo
+from vistaspark.operators.dealing import spread
 
 TILE = 256
 #: Ranks that one window sums up; a share of a cell below this is a rounding of its edge.
@@ -105,7 +106,8 @@ def reprojected(cells: DataFrame, target: float, west: float = -180.0, north: fl
 
 def fan(observers: DataFrame, cell_deg: float, tile: int, west: float, north: float, rays: int = 72, step: float = 8_000.0, reach: float = 200_000.0) -> DataFrame:
     """Of each observer (id, lat, lon) the samples (id, ray, d, tx, ty) of a fan of rays with the tile each lies in."""
-    rows = observers.select("id", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(rays - 1))).alias("ray")).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(int(reach // step))))).withColumn("d", F.col("d") * step)
+    rows = spread(observers.select("id", "lat", "lon"), "id")
+    rows = rows.select("id", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(rays - 1))).alias("ray")).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(int(reach // step))))).withColumn("d", F.col("d") * step)
     to = geo.destination(F.col("lat"), F.col("lon"), F.col("ray") * (2 * math.pi / rays), F.col("d"))
     return rows.select("id", "ray", "d", F.floor((to[1] - west) / cell_deg / tile).alias("tx"), F.floor((north - to[0]) / cell_deg / tile).alias("ty"))
 
