@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vistaspark.functions import geo
+from vistaspark.operators.dealing import spread
 
 # Fixed values of the march: (up to, step) in metres, its reach, the layers' and the crests' bounds.
 STEPS = ((5000, 90), (30000, 180), (100000, 350), (math.inf, 700))
@@ -124,7 +125,7 @@ def angle_at(profile: DataFrame, at: DataFrame, rays: int) -> DataFrame:
     """The profile's angle at azimuths (id, az): between the two rays around, that of one where the other is a hole, null in a gap."""
     place = F.pmod(F.col("az"), F.lit(2 * math.pi)) / (2 * math.pi / rays)
     rows = at.withColumn("share", place - F.floor(place)).withColumn("r0", F.floor(place) % rays).withColumn("r1", (F.floor(place) + 1) % rays)
-    ring = lambda r, a: profile.select(F.col("ray").alias(r), F.col("angle").alias(a))
+    ring = lambda r, a: F.broadcast(profile.select(F.col("ray").alias(r), F.col("angle").alias(a)))
     rows = rows.join(ring("r0", "a0"), "r0", "left").join(ring("r1", "a1"), "r1", "left")
     between = F.col("a0") + (F.col("a1") - F.col("a0")) * F.col("share")
     return rows.withColumn("angle", F.coalesce(between, "a0", "a1")).drop("r0", "r1", "a0", "a1", "share")
@@ -180,7 +181,7 @@ def peak_rays(peaks: DataFrame, lat: float, lon: float, reach: float = REACH_M)
     spark = peaks.sparkSession
     here = (F.lit(lat), F.lit(lon))
     rows = peaks.filter("ele IS NOT NULL").withColumn("dist_m", geo.distance_m(*here, F.col("lat"), F.col("lon"))).filter(F.col("dist_m").between(1, reach))
-    rows = rows.withColumn("az", geo.azimuth(*here, F.col("lat"), F.col("lon"))).select("id", "ele", "dist_m", "az")
+    rows = spread(rows.withColumn("az", geo.azimuth(*here, F.col("lat"), F.col("lon"))).select("id", "ele", "dist_m", "az"), "id")
     steps = steps_table(spark, 100.0, reach).withColumn("sin_r", F.sin(F.col("d") / geo.EARTH_M)).withColumn("cos_r", F.cos(F.col("d") / geo.EARTH_M))
     # left, so that a peak nearer than the first sample stays
     along = rows.join(F.broadcast(steps), F.col("d") < F.col("dist_m") - PEAK_MARGIN_M, "left")
@@ -197,7 +198,7 @@ def visibility(rays: DataFrame, eye: float, horizon: DataFrame, ring: int) -> Da
     slope = (F.col("h") - eye - geo.drop_m(F.col("d"))) / F.col("d")
     rows = rays.groupBy("id").agg(*[F.first(c).alias(c) for c in ("ele", "dist_m", "az")], F.max(slope).alias("line"))
     rows = rows.withColumn("ray", F.floor(F.col("az") / (2 * math.pi / ring) + 0.5) % ring)
-    rows = rows.join(horizon, "ray", "left")
+    rows = rows.join(F.broadcast(horizon), "ray", "left")  # a ring
     own = (F.col("ele") - eye - geo.drop_m(F.col("dist_m"))) / F.col("dist_m")
     rows = rows.withColumn("angle", F.atan(own)).withColumn("depth", F.atan("line") - F.col("angle")).withColumn("deficit", (F.col("line") - own) * F.col("dist_m"))
     covered = F.coalesce(F.col("depth") > ANGLE_EPS, F.lit(False))
@@ -222,9 +223,12 @@ def main_peak(peaks: DataFrame, centre: float, fov: float) -> DataFrame:
 
 def hidden_in_budget(peaks: DataFrame, placed: int, most: int = 6) -> DataFrame:
     """Hidden peaks that may still be named when so many labels are placed."""
-    first = Window.partitionBy("visibility").orderBy(F.desc("score"), "id")
-    rows = peaks.withColumn("n", F.row_number().over(first))
-    return rows.filter((F.col("visibility") != "hidden") | (F.col("n") <= max(0, most - placed))).drop("n")
+    hidden, left = F.col("visibility") == "hidden", max(0, most - placed)
+    # only hidden peaks compete: the best of each share of them, then the best of those; the others stay dealt by their id
+    for share in (F.pmod(F.xxhash64("id"), F.lit(64)), F.when(hidden, 0).otherwise(F.xxhash64("id"))):
+        first = Window.partitionBy(hidden, share).orderBy(F.desc("score"), "id")
+        peaks = peaks.withColumn("n", F.row_number().over(first)).filter(~hidden | (F.col("n") <= left)).drop("n")
+    return peaks
 
 
 def preview(spark: SparkSession, lat: float, lon: float, rays: int = 720, reach: float = 12_000.0) -> DataFrame:
@@ -240,14 +244,14 @@ def markers(peaks: DataFrame, fronts_of: DataFrame, profile: DataFrame, rays: in
     """Where each peak (id, az, dist_m, angle, visibility) is marked: on the front that fits its distance and azimuth best.
 
     A hidden peak is marked where it is; one without a front on the profile (ray, angle) at
-    its azimuth. Peaks ask the few rays around theirs: an equi-join.
+    its azimuth. Peaks ask the few rays around theirs: an equi-join with the ring's fronts, which are as many for any number of peaks.
     """
     step = 2 * math.pi / rays
     window = F.greatest(F.lit(WINDOW[0]), F.least(F.lit(WINDOW[1]), F.atan2(F.lit(PEAK_WIDE_M), F.col("dist_m"))))
     middle, wide = F.floor(F.col("az") / step + 0.5), F.ceil(window / step)
     rows = peaks.filter("visibility <> 'hidden'").withColumn("window", window).withColumn("tolerance", F.greatest(F.lit(LEAST_GAP_M), F.col("dist_m") * GAP_SHARE))
     near = rows.withColumn("ray", F.explode(F.sequence(F.greatest(F.lit(0), middle - wide), F.least(F.lit(rays - 1), middle + wide))))
-    near = near.join(fronts_of, "ray").withColumn("gap", F.greatest(F.lit(0.0), F.col("from_m") - F.col("dist_m"), F.col("dist_m") - F.col("to_m"))).filter("gap <= tolerance")
+    near = near.join(F.broadcast(fronts_of), "ray").withColumn("gap", F.greatest(F.lit(0.0), F.col("from_m") - F.col("dist_m"), F.col("dist_m") - F.col("to_m"))).filter("gap <= tolerance")
     top = F.atan("slope_max")
     score = -(F.col("gap") / F.col("tolerance")) * WEIGHTS[0] - F.abs(geo.wrap_angle(F.col("ray") * step - F.col("az"))) / F.col("window") * WEIGHTS[1] + top / 0.3 * WEIGHTS[2]
     best = near.groupBy("id").agg(F.max(F.struct(F.round(score, 12).alias("score"), (-F.col("ray")).alias("ray"), (-F.col("front")).alias("front"), top.alias("top"))).alias("best"))
