@@ -5,7 +5,8 @@ quantised in subspaces of two dimensions with sixteen centres each. Codes and co
 minimise a loss in which the error along the vector, the one that changes a high inner
 product, weighs more than the error across it. A query scans the four-bit codes of its
 nearest lists with a table of partial products, and the best of each block are ranked again
-by the exact cosine of the original vectors.
+by the exact cosine of the original vectors, with all others whose codes leave it open that
+they are nearer: within the lists that are asked nothing is missed.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ WIDTH, CENTRES = 2, 16
 THRESHOLD = 0.2
 #: Rows that the centres and codebooks are fitted on.
 SAMPLE_ROWS = 20_000
-#: Best of a block by code that are ranked again.
+#: Best of a block by code that are ranked again in any case.
 RERANKED = 128
 #: Rows and queries of a list that meet in one group.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
@@ -151,7 +152,7 @@ def _probe(width: int, centres: np.ndarray, probes: int):
     return run
 
 
-def _scan(width: int, books: np.ndarray, k: int):
+def _scan(width: int, centres: np.ndarray, books: np.ndarray, k: int):
     m = books.shape[0]
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
@@ -161,10 +162,13 @@ def _scan(width: int, books: np.ndarray, k: int):
             ids, v = rows["vec_id"].to_numpy()[order], matrix(rows["v"], width)[order]
             packed = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             codes = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(ids), -1)[:, :m].T.astype(np.int64)
-            q = matrix(queries["q"], width)
-            tables = np.einsum("qmw,mkw->qmk", unit(q).reshape(len(q), m, WIDTH), books)
+            q, centre = matrix(queries["q"], width), centres[rows["list"][0].as_py()]
+            units, asked = unit(v), unit(q)
+            tables = np.einsum("qmw,mkw->qmk", asked.reshape(len(q), m, WIDTH), books)
+            # how far a vector lies from what its codes say: so far off its score by the codes can be
+            off = np.linalg.norm(units - centre - books[np.arange(m)[:, None], codes].transpose(1, 0, 2).reshape(len(ids), -1), axis=1)
             # all rows of a group are of one list, so its centre adds the same to every score
-            for query_id, vector, table in zip(queries["query_id"].to_pylist(), q, tables, strict=True):
+            for query_id, vector, one, share, table in zip(queries["query_id"].to_pylist(), q, asked, asked @ centre, tables, strict=True):
                 score = table[0][codes[0]]
                 for j in range(1, m):
                     score = score + table[j][codes[j]]
@@ -173,6 +177,14 @@ def _scan(width: int, books: np.ndarray, k: int):
                 best = np.argsort(-score, kind="stable")[:RERANKED]
                 best = best[ids[best] != query_id]
                 exact = cosines(v[best], vector)
+                if len(ids) > RERANKED:
+                    # codes that say too little, as those of a crowd closer than the codebooks tell: all that may still be nearer
+                    least = (np.sort(exact)[-k] if len(exact) >= k else -np.inf) - 1e-9
+                    maybe = score + share + off >= least
+                    maybe[best] = False
+                    maybe = np.flatnonzero(maybe & np.isfinite(score))
+                    maybe = maybe[units[maybe] @ one >= least]
+                    best, exact = np.concatenate([best, maybe]), np.concatenate([exact, cosines(v[maybe], vector)])
                 top = np.lexsort((ids[best], -exact))[:k]
                 out[0] += [query_id] * len(top)
                 out[1].append(ids[best[top]])
@@ -226,19 +238,19 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = 5, lists: int
     def nearest_of(found: DataFrame) -> DataFrame:
         return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    found = materialise(nearest_of(_searched(index, probed, width, books, k)), "ann-found")
+    found = materialise(nearest_of(_searched(index, probed, width, centres, books, k)), "ann-found")
     # queries whose lists hold too few vectors are asked of all lists; few, since a list holds hundreds
     wanted = F.lit(min(k, total - 1))
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= wanted).select("query_id")
     short = probed.select("query_id", "q").dropDuplicates(["query_id"]).join(enough, "query_id", "left_anti")
     short = materialise(short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(centres) - 1)))), "ann-short")
     if short.head(1):
-        rest = nearest_of(_searched(index, short, width, books, k))
+        rest = nearest_of(_searched(index, short, width, centres, books, k))
         found = found.join(short.select("query_id").distinct(), "query_id", "left_anti").union(rest)
     return found
 
 
-def _searched(index: DataFrame, probed: DataFrame, width: int, books: np.ndarray, k: int) -> DataFrame:
+def _searched(index: DataFrame, probed: DataFrame, width: int, centres: np.ndarray, books: np.ndarray, k: int) -> DataFrame:
     """query_id, vec_id, score: the best of each block of the lists that the queries (query_id, q, list) ask.
 
     Vectors travel with their codes, one copy for each block of queries of their list: a
@@ -252,4 +264,4 @@ def _searched(index: DataFrame, probed: DataFrame, width: int, books: np.ndarray
     left = probed.join(sizes, "list").withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int")).withColumn("row_block", every("row_blocks"))
     right = index.join(sizes, "list").withColumn("row_block", F.pmod(F.xxhash64("vec_id"), F.col("row_blocks")).cast("int")).withColumn("query_block", every("query_blocks"))
     key = ["list", "row_block", "query_block"]
-    return left.select(*key, "query_id", "q").groupBy(*key).cogroup(right.select(*key, "vec_id", "v", "codes").groupBy(*key)).applyInArrow(_scan(width, books, k), "query_id long, vec_id long, score double")
+    return left.select(*key, "query_id", "q").groupBy(*key).cogroup(right.select(*key, "vec_id", "v", "codes").groupBy(*key)).applyInArrow(_scan(width, centres, books, k), "query_id long, vec_id long, score double")
