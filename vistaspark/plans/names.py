@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vistaspark.functions import scripts, text
 from vistaspark.operators import etl, search
+from vistaspark.operators.dealing import spread
 from vistaspark.plans import fixtures as fx
 from vistaspark.plans.registry import query
 from vistaspark.sources import gazetteer as files
@@ -48,7 +49,7 @@ def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scripts and spellings of names."""
     n = F.col("name")
     words = F.size(text.forms(n))
-    return fx.named_peaks(spark, sf_dir).filter("name IS NOT NULL").select(
+    return spread(fx.named_peaks(spark, sf_dir).filter("name IS NOT NULL"), "id").select(
         "id", text.script(n).alias("script"), text.to_latin(n).alias("latin"), text.normalised(n).alias("normalised"), text.plain(n).alias("plain"), text.is_cyrillic(n).alias("cyrillic"),
         text.slug(text.to_latin(n)).alias("slug"), F.when(text.plain(n) == "", 0).when(words > 1, words - 1).otherwise(1).cast("bigint").alias("words"), text.typo_budget(F.length(text.plain(n))).alias("budget"),
         text.peak_name(n, F.col("name_ru"), F.col("name_en"), "en").alias("shown"),
