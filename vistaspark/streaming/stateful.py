@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from vistaspark.operators.dealing import spread
 from vistaspark.operators.layout import GAP, HEIGHT, LETTER, LIFT, MOST, PAD, SIDE_GAP
 
 # Frames that a label without room is remembered; seconds that a call for calibration stands; frames of
@@ -109,7 +110,7 @@ def labels_over(labels: DataFrame) -> DataFrame:
     without a key, text or place are left out.
     """
     rows = labels.select("view", "frame", "key", "text", "x", "y", "rank").dropna(subset=["view", "frame", "key", "text", "x", "y"])
-    ordered = rows.repartition("view").sortWithinPartitions("view", "frame", "rank", "key")
+    ordered = spread(rows, "view").sortWithinPartitions("view", "frame", "rank", "key")
     return ordered.mapInArrow(frames_of("view", place_frame, LABELS), ", ".join(LABELS))
 
 
