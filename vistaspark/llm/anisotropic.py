@@ -164,23 +164,18 @@ def _scan(width: int, centres: np.ndarray, books: np.ndarray, k: int):
             codes = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(ids), -1)[:, :m].T.astype(np.int64)
             q, centre = matrix(queries["q"], width), centres[rows["list"][0].as_py()]
             units, asked = unit(v), unit(q)
-            tables = np.einsum("qmw,mkw->qmk", asked.reshape(len(q), m, WIDTH), books)
-            # how far a vector lies from what its codes say: so far off its score by the codes can be
-            off = np.linalg.norm(units - centre - books[np.arange(m)[:, None], codes].transpose(1, 0, 2).reshape(len(ids), -1), axis=1)
-            # all rows of a group are of one list, so its centre adds the same to every score
-            for query_id, vector, one, share, table in zip(queries["query_id"].to_pylist(), q, asked, asked @ centre, tables, strict=True):
-                score = table[0][codes[0]]
-                for j in range(1, m):
-                    score = score + table[j][codes[j]]
+            # what the codes say, and how far a vector lies from it: so far off its score by the codes can be
+            said = centre + books[np.arange(m)[:, None], codes].transpose(1, 0, 2).reshape(len(ids), -1)
+            off = np.linalg.norm(units - said, axis=1)
+            for query_id, vector, one, score in zip(queries["query_id"].to_pylist(), q, asked, asked @ said.T, strict=True):
                 score[ids == query_id] = -np.inf
-                # ties by the smaller id: the sort is stable and rows are in the order of ids
-                best = np.argsort(-score, kind="stable")[:RERANKED]
+                best = np.argpartition(-score, RERANKED)[:RERANKED] if len(ids) > RERANKED else np.arange(len(ids))
                 best = best[ids[best] != query_id]
                 exact = cosines(v[best], vector)
                 if len(ids) > RERANKED:
                     # codes that say too little, as those of a crowd closer than the codebooks tell: all that may still be nearer
                     least = (np.sort(exact)[-k] if len(exact) >= k else -np.inf) - 1e-9
-                    maybe = score + share + off >= least
+                    maybe = score + off >= least
                     maybe[best] = False
                     maybe = np.flatnonzero(maybe & np.isfinite(score))
                     maybe = maybe[units[maybe] @ one >= least]
