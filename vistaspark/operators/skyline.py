@@ -56,11 +56,17 @@ def residuals(profiles: DataFrame, rings: DataFrame, rays: int, shifts: DataFram
     ``profiles``: frame, col (a ray's offset), y; ``rings``: frame, ray, angle; ``shifts`` is a
     grid and broadcast. Shifts with too few columns over the ring have no median.
     """
-    known = profiles.groupBy("frame").agg(F.count(F.lit(1)).alias("known"))
-    at = profiles.join(F.broadcast(shifts)).withColumn("ray", F.pmod(F.col("col") + F.col("shift"), F.lit(rays)))
-    rows = at.join(rings, ["frame", "ray"]).groupBy("frame", "shift", "tilt").agg(F.collect_list(F.abs(F.col("y") + F.col("tilt") - F.col("angle"))).alias("errors"))
+    seen = profiles.groupBy("frame").agg(F.collect_list(F.struct("col", "y")).alias("seen"))
+    held = rings.groupBy("frame").agg(F.collect_list(F.struct("ray", "angle")).alias("held"))
+    # a frame's profile and ring are exchanged once; the grid opens within the row
+    by_ray = F.transform(F.sequence(F.lit(0), F.lit(rays - 1)), lambda slot: F.transform(F.filter("held", lambda h: h["ray"] == slot), lambda h: h["angle"]))
+    rows = seen.join(held, "frame").select("frame", "seen", by_ray.alias("ring")).join(F.broadcast(shifts))
+    ray = lambda p: F.pmod(p["col"] + F.col("shift"), F.lit(rays)).cast("int")
+    met = F.transform("seen", lambda p: F.transform(F.get("ring", ray(p)), lambda angle: F.abs(p["y"] + F.col("tilt") - angle)))
+    rows = rows.select("frame", "shift", "tilt", F.size("seen").alias("known"), F.flatten(F.filter(met, lambda e: e.isNotNull())).alias("errors")).filter(F.size("errors") > 0)
+    rows = rows.withColumn("errors", F.filter("errors", lambda e: e.isNotNull()))
     enough = F.size("errors") >= F.greatest(F.lit(8), F.round(F.col("known") * 0.5))
-    return rows.join(known, "frame").select("frame", "shift", "tilt", F.when(enough, upper_median(F.col("errors"))).alias("residual"))
+    return rows.select("frame", "shift", "tilt", F.when(enough, upper_median(F.col("errors"))).alias("residual"))
 
 
 def is_telling(ys: Column, columns: int) -> Column:
