@@ -91,6 +91,7 @@ class Inputs:
                 runs.setdefault(r, [0, 0])[label] += 1
         self.words = self._chosen(words, sizes, self.COMMON * sizes.sum())
         self.runs = self._chosen(runs, sizes, np.inf)
+        self.starts = np.unique(_triples("".join(f"{r[:3]:\0<3}" for r in self.runs))[::3])
 
     def _chosen(self, counts: dict[str, list[int]], sizes: np.ndarray, common: float) -> dict[str, int]:
         names = sorted(counts)
@@ -107,6 +108,27 @@ class Inputs:
         of = self.runs
         return self.words.get(word, UNKNOWN), [of[r] for r in letter_runs(word) if r in of] or [0]
 
+    def kinds(self, words: list[str]) -> list[tuple[int, tuple[int, ...]]]:
+        """``rows`` of each word. Only those are taken apart that have the first three letters of a kept run anywhere."""
+        text = "".join(f"<{w}>" for w in words)
+        triples = _triples(text)
+        hits = np.flatnonzero(self.starts[np.minimum(np.searchsorted(self.starts, triples), len(self.starts) - 1)] == triples) if len(self.starts) else []
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)
+        out = [(self.words.get(w, UNKNOWN), (0,)) for w in words]
+        for k in np.unique(np.searchsorted(ends, hits, side="right")).tolist():
+            word, runs = self.rows(words[k])
+            out[k] = word, tuple(runs)
+        for k in [k for k, w in enumerate(words) if len(w) < 2 or " " in w]:  # short ones, and pieces without edges
+            word, runs = self.rows(words[k])
+            out[k] = word, tuple(runs)
+        return out
+
+
+def _triples(text: str) -> np.ndarray:
+    """Each three letters in a row as one number."""
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return letters[:-2] | letters[1:-1] << np.uint64(21) | letters[2:] << np.uint64(42)
+
 
 def new_network(n_words: int, n_runs: int, seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
@@ -220,7 +242,10 @@ class Adam:
 
 
 class Table:
-    """Input shares of the gates, a row for each distinct chunk a worker has met (row 0: none)."""
+    """Input shares of the gates, a row for each kind of chunk a worker has met (row 0: none).
+
+    Chunks of the same embeddings are one kind, as all are that have none.
+    """
 
     KEPT = 250_000
 
@@ -230,21 +255,29 @@ class Table:
 
     def clear(self) -> None:
         self.rows: dict[bytes, int] = {}
+        self.kinds: dict[tuple[int, tuple[int, ...]], int] = {}
         self.gates = np.zeros((1024, 6 * HIDDEN), np.float32)
         self.used = 1
 
+    def _add(self, kinds: list[tuple[int, tuple[int, ...]]]) -> None:
+        words, grams = zip(*kinds, strict=True)
+        starts = np.cumsum([0, *map(len, grams[:-1])])
+        sizes = np.sqrt(np.array([len(g) for g in grams], np.float32))[:, None]
+        chars = np.add.reduceat(self.net["C"][np.concatenate(grams)], starts, axis=0) / sizes
+        x = np.concatenate([self.net["E"][list(words)], chars], axis=1)
+        new = np.concatenate([x @ self.net["Wf"] + self.net["bf"], x @ self.net["Wb"] + self.net["bb"]], axis=1)
+        while self.used + len(new) > len(self.gates):
+            self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
+        self.gates[self.used : self.used + len(new)] = new
+        self.kinds.update(zip(kinds, range(self.used, self.used + len(new)), strict=True))
+        self.used += len(new)
+
     def ids(self, chunks: list[bytes]) -> np.ndarray:
-        missing = [c for c in dict.fromkeys(chunks) if c not in self.rows]
+        missing = list(set(chunks).difference(self.rows))
         if missing:
-            words, grams = zip(*[self.inputs.rows(token(c.decode("utf-8", "replace"))) for c in missing], strict=True)
-            starts = np.cumsum([0, *map(len, grams[:-1])])
-            sizes = np.sqrt(np.array([len(g) for g in grams], np.float32))[:, None]
-            chars = np.add.reduceat(self.net["C"][np.concatenate(grams)], starts, axis=0) / sizes
-            x = np.concatenate([self.net["E"][list(words)], chars], axis=1)
-            new = np.concatenate([x @ self.net["Wf"] + self.net["bf"], x @ self.net["Wb"] + self.net["bb"]], axis=1)
-            while self.used + len(new) > len(self.gates):
-                self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
-            self.gates[self.used : self.used + len(new)] = new
-            self.rows.update(zip(missing, range(self.used, self.used + len(new)), strict=True))
-            self.used += len(new)
+            kinds = self.inputs.kinds([token(c.decode("utf-8", "replace")) for c in missing])
+            fresh = [k for k in dict.fromkeys(kinds) if k not in self.kinds]
+            if fresh:
+                self._add(fresh)
+            self.rows.update(zip(missing, map(self.kinds.__getitem__, kinds), strict=True))
         return np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))

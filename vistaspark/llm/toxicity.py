@@ -170,7 +170,7 @@ def scorer(model: dict):
 
         for k, data in enumerate(texts_of(texts)) if table else ():
             chunks = rnn.chunks_of(data.tobytes())
-            if table.used > table.KEPT:
+            if len(table.rows) > table.KEPT:
                 flush()
                 table.clear()
             rows = table.ids(chunks) if chunks else np.zeros(1, np.int64)
