@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vistaspark.llm import content_sort, mixing, packing, partenum, toxicity
-from vistaspark.llm.common import documents, materialise
+from vistaspark.llm.common import documents, materialise, small_batches
 from vistaspark.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the recurrent network, trained on the labels, scores under 0.5."""
+    small_batches(spark)
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -25,6 +26,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingle sets with a similarity of 0.8 or more."""
+    small_batches(spark)
     return partenum.one_of_each(docs, words=5, num=8, den=10)
 
 
@@ -35,6 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json")).drop("ids")
 
 
