@@ -5,6 +5,8 @@ A frame holds some hundreds of labels or columns, so a frame is one group; frame
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,8 +44,12 @@ def place_labels(labels: DataFrame) -> DataFrame:
 
 def visible_parts(widths: list[float], fits) -> tuple[int, int] | None:
     """L4: first and last of the parts of a label that stay when those that don't fit are cut from its ends; None if none does."""
-    edge = np.concatenate([[0.0], np.cumsum(widths)])
-    first, last = 0, len(widths) - 1
+    return parts_between(np.concatenate([[0.0], np.cumsum(widths)]), fits)
+
+
+def parts_between(edge: Sequence[float], fits) -> tuple[int, int] | None:
+    """``visible_parts`` of parts that lie between the edges."""
+    first, last = 0, len(edge) - 2
     while first <= last and not fits(edge[first], edge[last + 1]):
         short, late = fits(edge[first], edge[last]), fits(edge[first + 1], edge[last + 1])
         first, last = first + late, last - (short or not late)
