@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vistaspark.operators import skyline
-from vistaspark.operators.layout import likeliest_line
+from vistaspark.operators.layout import likeliest_lines
 
 # The grid; the weight, floor and cap of a jump in texture and the rows it looks at; the most texture and
 # spread of brightness of a sky, and from which row on they count; reach, share and least size of a step back; the least
@@ -42,6 +43,9 @@ USUAL_STEP, LEAST_KNOWN, LEAST_OVER, LEAST_COLUMNS, OWN_START = 3.0, 0.35, 0.5,
 def cell_features(rgba: bytes, width: int, height: int, grid: tuple[int, int] = GRID) -> np.ndarray:
     """Brightness, blue less red and saturation, each a grid of the means of its cells; of a picture smaller than the grid each pixel counts for several."""
     wide, high = grid
+    if (width, height) == grid:  # a cell a pixel
+        r, g, b = np.frombuffer(rgba, np.uint8).reshape(height, width, 4)[..., :3].transpose(2, 0, 1).astype(np.float64, order="C")
+        return np.stack([(0.299 * r + 0.587 * g + 0.114 * b) / 255, (b - r) / 255, (np.maximum(np.maximum(r, g), b) - np.minimum(np.minimum(r, g), b)) / 255])
     pixels = np.frombuffer(rgba, np.uint8).reshape(height, width, 4)[..., :3].astype(np.float64)
     pixels = pixels.repeat(-(-high // height), axis=0).repeat(-(-wide // width), axis=1)
     height, width = pixels.shape[:2]
@@ -66,6 +70,16 @@ def _before(grid: np.ndarray) -> np.ndarray:
     return np.vstack([np.zeros((1, grid.shape[1])), np.cumsum(grid, axis=0)])
 
 
+def _about(grid: np.ndarray, better: np.ufunc, none: float) -> np.ndarray:
+    """Of each row the ``better`` of those from 2 to ``PULSE_REACH`` rows over and under it, ``none`` beyond the grid."""
+    rows, wanted, width = len(grid), PULSE_REACH - 1, 1
+    run = np.pad(grid, ((PULSE_REACH, PULSE_REACH), (0, 0)), constant_values=none)
+    while width < wanted:
+        more = min(width, wanted - width)
+        run, width = better(run[:-more], run[more:]), width + more
+    return better(run[:rows], run[PULSE_REACH + 2 : PULSE_REACH + 2 + rows])
+
+
 def _steps(grid: np.ndarray) -> np.ndarray:
     """Half the difference of the rows under and over each; 0 at the first and the last."""
     out = np.zeros_like(grid)
@@ -86,11 +100,8 @@ def border_strength(light: np.ndarray, blue: np.ndarray, colour: np.ndarray) ->
     texture = _inner(np.zeros_like(light), np.abs(4 * smooth[1:-1, 1:-1] - around) / 4)
     step = _steps(light)
     edge = np.abs(step) + np.abs(_steps(blue)) + np.abs(_steps(colour)) / 2
-    size, sign = np.abs(step), np.sign(step)
-    back = np.full_like(light, -np.inf)
-    for k in range(2, PULSE_REACH + 1):
-        for one, other in ((slice(k, None), slice(None, -k)), (slice(None, -k), slice(k, None))):
-            back[one] = np.maximum(back[one], -sign[one] * step[other])
+    size = np.abs(step)
+    back = np.where(step > 0, -_about(step, np.minimum, np.inf), _about(step, np.maximum, -np.inf))
     pulse = (size > PULSE_FROM) & (back > np.maximum(PULSE_SHARE * size, PULSE_LEAST))
     highest = np.vstack([np.zeros((2, wide)), np.maximum.accumulate(edge, axis=0)[:-2]])
     under = highest > np.maximum(ABOVE_LEAST, ABOVE_SHARE * edge)
@@ -110,11 +121,18 @@ def border_strength(light: np.ndarray, blue: np.ndarray, colour: np.ndarray) ->
 
 def skyline_rows(rgba: bytes, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each column of the grid the skyline's share of the height from the top, NaN where there is none, and its strength."""
-    strength = border_strength(*cell_features(rgba, width, height))
-    rows = likeliest_line(strength[FIRST_ROW : LAST_ROW + 1]) + FIRST_ROW
+    return skylines_of([(rgba, width, height)])[0]
+
+
+def skylines_of(pictures: list[tuple[bytes, int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``skyline_rows`` of some pictures, whose lines are found together."""
+    if not pictures:
+        return []
+    strengths = np.stack([border_strength(*cell_features(*p)) for p in pictures])
+    rows = likeliest_lines(strengths[:, FIRST_ROW : LAST_ROW + 1]) + FIRST_ROW
     known = np.isfinite(rows)
-    found = np.where(known, strength[np.where(known, rows, 0).astype(int), np.arange(len(rows))], np.nan)
-    return rows / GRID[1], found
+    found = np.take_along_axis(strengths, np.where(known, rows, 0).astype(int)[:, None], axis=1)[:, 0]
+    return list(zip(rows / GRID[1], np.where(known, found, np.nan), strict=True))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER) -> Iterator[pa.RecordBatch]:
@@ -135,13 +153,10 @@ def skylines(frames: DataFrame, keep: dict[str, str] | None = None, source: Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(source(batches) if source else batches):
-            there, ys, strengths = [], [], []
-            for i, r in enumerate(batch.select(["width", "height", "rgba"]).to_pylist()):
-                if r["rgba"] and r["width"] and r["height"] and len(r["rgba"]) == 4 * r["width"] * r["height"]:
-                    y, s = skyline_rows(r["rgba"], r["width"], r["height"])
-                    there.append(i)
-                    ys.append(pa.array(y, from_pandas=True))
-                    strengths.append(pa.array(s, from_pandas=True))
+            rows = [(r["rgba"], r["width"], r["height"]) for r in batch.select(["width", "height", "rgba"]).to_pylist()]
+            there = [i for i, (rgba, width, height) in enumerate(rows) if rgba and width and height and len(rgba) == 4 * width * height]
+            found = skylines_of([rows[i] for i in there])
+            ys, strengths = ([pa.array(f[k], from_pandas=True) for f in found] for k in range(2))
             passed, numbers = batch.select(["frame", *keep]).take(pa.array(there, pa.int64())), pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays([*passed.columns, pa.array(ys, numbers), pa.array(strengths, numbers)], ["frame", *keep, "ys", "strengths"])
 
@@ -164,8 +179,10 @@ def ring_angle(ring: np.ndarray, azimuths: np.ndarray) -> np.ndarray:
     """The ring between its rays, NaN beside a ray that has nothing."""
     at = azimuths / (2 * math.pi / len(ring))
     low = np.floor(at)
-    i = low.astype(np.int64)
-    a, b = ring[i % len(ring)], ring[(i + 1) % len(ring)]
+    i = low.astype(np.int64) % len(ring)
+    a, b = ring[i], np.append(ring[1:], ring[:1])[i]
+    if np.isfinite(ring).all():
+        return a + (b - a) * (at - low)
     with np.errstate(invalid="ignore"):
         return np.where(np.isfinite(a) & np.isfinite(b), a + (b - a) * (at - low), np.nan)
 
@@ -173,7 +190,12 @@ def ring_angle(ring: np.ndarray, azimuths: np.ndarray) -> np.ndarray:
 def median_differences(columns: np.ndarray, angles: np.ndarray, centre: float, ring: np.ndarray, azimuths: np.ndarray, tilts: np.ndarray) -> np.ndarray:
     """For each turn and tilt the upper median of the differences to the ring; infinite where too few columns lie over it."""
     there = ring_angle(ring, (centre + azimuths)[:, None] + columns)
-    errors = np.sort(np.abs((angles + tilts[:, None])[None] - there[:, None]), axis=2)
+    errors = np.subtract((angles + tilts[:, None])[None], there[:, None])
+    np.abs(errors, out=errors)
+    errors.sort(axis=2)
+    if np.isfinite(errors[..., -1]).all():  # what is not comes last
+        n = errors.shape[2]
+        return errors[..., n // 2] if n >= LEAST_COLUMNS else np.full(errors.shape[:2], np.inf)
     n = np.isfinite(errors).sum(axis=2)
     middle = np.take_along_axis(errors, np.minimum(n // 2, errors.shape[2] - 1)[..., None], axis=2)[..., 0]
     return np.where(n >= max(LEAST_COLUMNS, math.floor(len(columns) * LEAST_OVER + 0.5)), middle, np.inf)
@@ -214,8 +236,11 @@ def match(angles: np.ndarray, centre: float, fov: float, ring: np.ndarray, start
     return turn, tilt, error, float(usual[len(usual) // 2]) if len(usual) else 0.0, n
 
 
-def numbers(v: list | None) -> np.ndarray:
-    return np.array([np.nan if x is None else x for x in v or []], float)
+def numbers(lists: pa.Array) -> list[np.ndarray]:
+    """Of each row its numbers, NaN for null ones; none where the list is null."""
+    ends = np.cumsum([0, *(n or 0 for n in lists.value_lengths().to_pylist())])
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return [values[a:b] for a, b in pairwise(ends)]
 
 
 def matches(frames: DataFrame) -> DataFrame:
@@ -229,7 +254,10 @@ def matches(frames: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [(r["frame"], *match(numbers(r["angles"]), r["centre"], r["fov"], numbers(r["ring"]), [s for s in r["starts"] or [] if s is not None])) for r in batch.to_pylist()]
+            rows = [
+                (r["frame"], *match(angles, r["centre"], r["fov"], ring, [s for s in r["starts"] or [] if s is not None]))
+                for r, angles, ring in zip(batch.select(["frame", "centre", "fov", "starts"]).to_pylist(), numbers(batch["angles"]), numbers(batch["ring"]), strict=True)
+            ]
             kinds = [batch.schema.field("frame").type, *[pa.float64()] * 4, pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)], ["frame", "azimuth", "tilt", "residual", "baseline", "columns"])
 
@@ -248,8 +276,7 @@ def located(frames: DataFrame, fov: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for r in batch.to_pylist():
-                angles, ring = numbers(r["angles"]), numbers(r["ring"])
+            for r, angles, ring in zip(batch.select(["frame", "centre"]).to_pylist(), numbers(batch["angles"]), numbers(batch["ring"]), strict=True):
                 columns = round(fov / (2 * math.pi / len(ring))) if len(ring) else 0
                 on_ring = angles[np.floor((np.arange(columns) + 0.5) * len(angles) / columns).astype(int)] if len(angles) and columns else angles
                 guesses = skyline.frame_hypotheses(ring, on_ring, math.nan if r["centre"] is None else r["centre"], fov) if len(on_ring) and len(ring) else []

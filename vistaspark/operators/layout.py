@@ -62,27 +62,47 @@ def likeliest_line(strength: np.ndarray) -> np.ndarray:
     A column costs a little less its strength; steps between rows cost by their size to the
     power of 1.5, at most ``MOST_STEP`` rows; entering after a gap costs, a gap is free.
     """
-    rows, columns = strength.shape
-    offsets = np.arange(-MOST_STEP, MOST_STEP + 1)
+    return likeliest_lines(strength[None])[0]
+
+
+def likeliest_lines(strengths: np.ndarray) -> np.ndarray:
+    """``likeliest_line`` of several pictures of one size (strengths: pictures x rows x columns), column by column together.
+
+    Only costs are kept on the way; which step was the cheapest is asked again along the path.
+    """
+    n, rows, columns = strengths.shape
+    offsets, each = np.arange(-MOST_STEP, MOST_STEP + 1), np.arange(n)
     price = STEP_COST * np.abs(offsets) ** 1.5
-    cost, none = NONE_COST - strength[:, 0], 0.0
-    back, back_none = np.full((columns, rows), -1), np.full(columns, -1)
-    for x in range(1, columns):
-        padded = np.pad(cost, MOST_STEP, constant_values=np.inf)
-        moved = np.stack([padded[k : k + rows] + price[k] for k in range(len(offsets))])
-        best = moved.argmin(0)
-        step = moved[best, np.arange(rows)]
-        enter = none + ENTER_COST
-        back[x] = np.where(step < enter, np.arange(rows) + offsets[best], -1)
-        gap = int(cost.argmin())
-        back_none[x] = gap if cost[gap] < none else -1
-        none, cost = min(none, float(cost[gap])), np.minimum(step, enter) + NONE_COST - strength[:, x]
-    out, at = np.full(columns, np.nan), int(cost.argmin()) if cost.min() < none else -1
+    by_column = np.ascontiguousarray(strengths.transpose(2, 0, 1))
+    padded, nones = np.full((columns, n, rows + 2 * MOST_STEP), np.inf), np.zeros((columns, n))
+    gaps, within = np.zeros((columns, n), int), slice(MOST_STEP, MOST_STEP + rows)
+    step, moved = np.empty((n, rows)), np.empty((n, rows))
+    np.subtract(NONE_COST, by_column[0], out=padded[0, :, within])
+    for x in range(columns):
+        cost = padded[x, :, within]
+        gaps[x] = cost.argmin(1)
+        if x + 1 == columns:
+            break
+        np.add(padded[x, :, :rows], price[0], out=step)
+        for k in range(1, len(offsets)):
+            np.add(padded[x, :, k : k + rows], price[k], out=moved)
+            np.minimum(step, moved, out=step)
+        np.minimum(step, (nones[x] + ENTER_COST)[:, None], out=step)
+        step += NONE_COST
+        np.subtract(step, by_column[x + 1], out=padded[x + 1, :, within])
+        lowest = cost[each, gaps[x]]
+        nones[x + 1] = np.where(lowest < nones[x], lowest, nones[x])
+    out, at = np.full((n, columns), np.nan), None
     for x in range(columns - 1, -1, -1):
-        if at >= 0:
-            out[x], at = at, int(back[x, at])
+        gap = np.where(padded[x, each, gaps[x] + MOST_STEP] < nones[x], gaps[x], -1)
+        if at is None:
+            at = gap
         else:
-            at = int(back_none[x])
+            there = padded[x][each[:, None], np.maximum(at, 0)[:, None] + offsets + MOST_STEP] + price
+            best = there.argmin(1)
+            stepped = np.where(there[each, best] < nones[x] + ENTER_COST, at + offsets[best], -1)
+            at = np.where(at >= 0, stepped, gap)
+        out[:, x] = np.where(at >= 0, at, np.nan)
     return out
 
 
